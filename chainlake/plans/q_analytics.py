@@ -28,3 +28,633 @@ def events_per_pallet_hour(spark, sf):
     return (j.groupBy("mod_name", (F.expr(f"timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
             .agg(F.count(F.lit(1)).alias("n_events"),
                  F.count_distinct(F.when(F.col("result"), F.col("id"))).alias("n_success_extrinsics")))
+
+
+# --- helpers -----------------------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+
+from ..functions import names as N  # noqa: E402
+from ..operators import analytics as A  # noqa: E402
+from ..operators import extract as X  # noqa: E402
+from ..sources import fixture  # noqa: E402
+
+
+def _t(spark, sf, name, chain="polkadot"):
+    return lake_for(spark, sf).table(name, chain)
+
+
+def _count():
+    return F.count(F.lit(1))
+
+
+# --- success (A-01, N-01) -----------------------------------------------------
+@query("extrinsic_success", """
+SELECT block_number, extrinsic_index, ok AS success FROM o_ok WHERE chain = 'polkadot'""")
+def extrinsic_success(spark, sf):
+    return X.success_by_extrinsic(_t(spark, sf, "events")).select(
+        "block_number", "extrinsic_index", "success")
+
+
+_RUNNING_SQL = """
+SELECT x.id, coalesce(bool_or(ok.ok) OVER (PARTITION BY x.block_number ORDER BY x.extrinsic_index
+                                            ROWS UNBOUNDED PRECEDING), false) AS result_running
+FROM p_extrinsics x
+LEFT JOIN o_ok ok ON ok.chain = x.chain AND ok.block_number = x.block_number
+                 AND ok.extrinsic_index = x.extrinsic_index"""
+
+
+@query("extrinsic_success_running", _RUNNING_SQL)
+def extrinsic_success_running(spark, sf):
+    """N-01 over the stored tables (aggregate + window per block)."""
+    return A.running_success(_t(spark, sf, "extrinsics"), _t(spark, sf, "events")).select(
+        "id", "result_running")
+
+
+@query("extrinsic_success_running_extract", _RUNNING_SQL)
+def extrinsic_success_running_extract(spark, sf):
+    """N-01 / T-05 at extraction time: no shuffle, the block is one row."""
+    blocks = fixture.nested_blocks(spark.read.parquet(f"{sf}/events.parquet"))
+    return X.extract_extrinsics(blocks, "block_running").select(
+        "id", F.col("result").alias("result_running"))
+
+
+@query("success_scopes_differ", """
+SELECT count(*) AS n_events, count(*) FILTER (WHERE r.result_running <> x.result) AS n_differ
+FROM p_events e
+JOIN p_extrinsics x ON x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
+JOIN (""" + _RUNNING_SQL + """) r ON r.id = x.id""")
+def success_scopes_differ(spark, sf):
+    """Event rows whose extrinsic's success differs between the two scopes."""
+    ev = _t(spark, sf, "events").select("chain", "block_number", "extrinsic_index")
+    x = A.running_success(_t(spark, sf, "extrinsics"), _t(spark, sf, "events"))
+    j = ev.join(x, ["chain", "block_number", "extrinsic_index"])
+    return j.agg(_count().alias("n_events"),
+                 F.count_if(F.col("result_running") != F.col("result")).alias("n_differ"))
+
+
+# --- per-extrinsic / per-block aggregates (A-02, A-03, A-04, J-01) ----------------
+@query("events_per_extrinsic", """
+SELECT extrinsic_id, count(*) AS n_events FROM p_events GROUP BY extrinsic_id""")
+def events_per_extrinsic(spark, sf):
+    return _t(spark, sf, "events").groupBy("extrinsic_id").agg(_count().alias("n_events"))
+
+
+@query("block_counts", """
+SELECT b.number, coalesce(e.n, 0) AS event_num, coalesce(x.n, 0) AS extrinsics_num
+FROM p_blocks b
+LEFT JOIN (SELECT block_number, count(*) AS n FROM p_events GROUP BY 1) e ON e.block_number = b.number
+LEFT JOIN (SELECT block_number, count(*) AS n FROM p_extrinsics GROUP BY 1) x ON x.block_number = b.number""")
+def block_counts(spark, sf):
+    return A.block_counts(_t(spark, sf, "blocks"), _t(spark, sf, "extrinsics"),
+                          _t(spark, sf, "events")).drop("chain")
+
+
+@query("batch_stats", """
+SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_blocks, min(number) AS min_number,
+       max(number) AS max_number FROM p_blocks""")
+def batch_stats(spark, sf):
+    """A-04: per ingest batch, block count and range (``observe`` exposes the
+    same metrics on a running query without an extra job)."""
+    b = _t(spark, sf, "blocks")
+    return b.groupBy(F.col("_batch_id").alias("batch_id")).agg(
+        _count().alias("n_blocks"), F.min("number").alias("min_number"),
+        F.max("number").alias("max_number"))
+
+
+@query("extrinsic_events_join", """
+SELECT x.id, count(e.id) AS n_events, min(e.event_index) AS first_event,
+       max(e.event_index) AS last_event
+FROM p_extrinsics x LEFT JOIN p_events e
+  ON e.block_number = x.block_number AND e.extrinsic_index = x.extrinsic_index
+GROUP BY x.id""")
+def extrinsic_events_join(spark, sf):
+    x = _t(spark, sf, "extrinsics").select("chain", "block_number", "extrinsic_index", "id")
+    e = _t(spark, sf, "events").select("chain", "block_number", "extrinsic_index",
+                                       F.col("id").alias("event_id"), "event_index")
+    return (x.join(e, ["chain", "block_number", "extrinsic_index"], "left").groupBy("id")
+            .agg(F.count("event_id").alias("n_events"), F.min("event_index").alias("first_event"),
+                 F.max("event_index").alias("last_event")))
+
+
+# --- transfers / withdrawals (X-12, X-13, J-06, J-07, F-01) -----------------------
+@query("transfers", """
+SELECT block_number, "index", id, extrinsic_id, "from", "to", amount, success FROM p_transfers""")
+def transfers(spark, sf):
+    return _t(spark, sf, "transfers").select("block_number", "index", "id", "extrinsic_id",
+                                             "from", "to", "amount", "success")
+
+
+@query("withdrawals", """
+SELECT block_number, "index", id, extrinsic_id, who, amount, success FROM p_withdrawals""")
+def withdrawals(spark, sf):
+    return _t(spark, sf, "withdrawals").select("block_number", "index", "id", "extrinsic_id",
+                                               "who", "amount", "success")
+
+
+@query("transfers_joined_success", """
+SELECT block_number, "index", success FROM p_transfers""")
+def transfers_joined_success(spark, sf):
+    """X-12 with success from the A-01 aggregate + join (events without the
+    denormalised flag), to check both paths agree."""
+    ev = _t(spark, sf, "events").drop("extrinsic_success")
+    return X.extract_transfers(ev).select("block_number", "index", "success")
+
+
+_FEE_SQL = """(SELECT block_number, extrinsic_index,
+          sum(CAST(json_extract_string("values", '$.actual_fee') AS DECIMAL(38,0))) AS fee
+   FROM p_events WHERE mod_name = 'TransactionPayment' AND event_name = 'TransactionFeePaid'
+   GROUP BY ALL)"""
+
+
+@query("transfers_enriched", """
+SELECT t.id, b.hash AS block_hash, b."timestamp" AS block_time, x.extrinsic_hash AS x_hash,
+       x.call_name, t."from", t."to", t.amount, coalesce(f.fee, 0) AS fee, t.success
+FROM p_transfers t
+JOIN p_blocks b ON b.number = t.block_number
+LEFT JOIN p_extrinsics x ON x.block_number = t.block_number AND x.extrinsic_index = t.extrinsic_index
+LEFT JOIN """ + _FEE_SQL + """ f ON f.block_number = t.block_number AND f.extrinsic_index = t.extrinsic_index""")
+def transfers_enriched(spark, sf):
+    t = A.enrich_transfers(_t(spark, sf, "transfers"), _t(spark, sf, "blocks"),
+                           _t(spark, sf, "extrinsics"), _t(spark, sf, "events"))
+    return t.select("id", "block_hash", "block_time", "x_hash", "call_name", "from", "to",
+                    "amount", "fee", "success")
+
+
+@query("events_enriched", """
+SELECT e.id, x.extrinsic_hash AS x_hash, x.call_name, b."timestamp" AS block_time, b.is_finalized
+FROM p_events e
+LEFT JOIN p_extrinsics x ON x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
+LEFT JOIN p_blocks b ON b.number = e.block_number""")
+def events_enriched(spark, sf):
+    e = A.enrich_events(_t(spark, sf, "events"), _t(spark, sf, "extrinsics"), _t(spark, sf, "blocks"))
+    return e.select("id", "x_hash", "call_name", "block_time", "is_finalized")
+
+
+@query("handler_registry", """
+SELECT 'transfer' AS handler, count(*) AS n_rows, sum(amount) AS total_amount FROM p_transfers
+UNION ALL
+SELECT 'withdraw', count(*), sum(amount) FROM p_withdrawals""")
+def handler_registry(spark, sf):
+    reg = (N.HandlerRegistry()
+           .register("Balances", "Transfer", "transfer", X.extract_transfers)
+           .register("Balances", "Withdraw", "withdraw", X.extract_withdrawals))
+    out = reg.apply(_t(spark, sf, "events"))
+    parts = [df.agg(F.lit(name).alias("handler"), _count().alias("n_rows"),
+                    F.sum("amount").alias("total_amount")) for name, df in out.items()]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+def _name_values_sql() -> str:
+    rows = ", ".join(f"('{p}', '{e}', '{k}', '{c}')" for p, e, k, c in N.name_rows())
+    return f"(VALUES {rows}) d(dim_pallet, dim_event, canonical_pallet, canonical_event)"
+
+
+@query("event_name_map", """
+SELECT e.mod_name, e.event_name,
+       coalesce(d.canonical_pallet, CASE e.mod_name WHEN 'System' THEN 'system'
+                WHEN 'Balances' THEN 'balances' WHEN 'TransactionPayment' THEN 'transaction_payment'
+                WHEN 'Utility' THEN 'utility' END) AS canonical_pallet,
+       coalesce(d.canonical_event, 'Unsupport') AS canonical_event, count(*) AS n
+FROM p_events e LEFT JOIN """ + _name_values_sql() + """
+  ON d.dim_pallet = e.mod_name AND d.dim_event = e.event_name
+GROUP BY ALL""")
+def event_name_map(spark, sf):
+    e = N.canonical_event_name(_t(spark, sf, "events"))
+    return e.groupBy("mod_name", "event_name", "canonical_pallet", "canonical_event").agg(
+        _count().alias("n"))
+
+
+# --- block structure (J-08, J-09, T-06, U-02) ------------------------------------
+@query("asof_spec_version", """
+SELECT e.id, v.spec_version AS spec_asof
+FROM p_events e ASOF LEFT JOIN
+  (SELECT spec_version, min(number) AS from_block FROM p_blocks GROUP BY spec_version) v
+  ON e.block_number >= v.from_block""")
+def asof_spec_version(spark, sf):
+    """Runtime version in effect at each event's block, from the upgrade
+    points (first stored block per version)."""
+    versions = A.runtime_versions(_t(spark, sf, "blocks"))
+    ev = _t(spark, sf, "events").select("chain", "id", "block_number")
+    return A.asof_join(ev, versions, ["chain"], "block_number", "from_block", "spec_version",
+                       "spec_asof").select("id", "spec_asof")
+
+
+@query("parent_links", """
+SELECT c.number AS child, p.number AS parent FROM p_blocks c JOIN p_blocks p ON p.hash = c.parent_hash""")
+def parent_links(spark, sf):
+    return A.parent_links(_t(spark, sf, "blocks")).select("child", "parent")
+
+
+@query("orphan_blocks", """
+SELECT number, parent_hash FROM p_blocks c
+WHERE NOT EXISTS (SELECT 1 FROM p_blocks p WHERE p.hash = c.parent_hash)""")
+def orphan_blocks(spark, sf):
+    return A.orphan_blocks(_t(spark, sf, "blocks")).select("number", "parent_hash")
+
+
+@query("block_gaps", """
+SELECT chain, prev + 1 AS gap_from, number - 1 AS gap_to, number - prev - 1 AS missing
+FROM (SELECT chain, number, lag(number) OVER (PARTITION BY chain ORDER BY number) AS prev FROM o_blocks)
+WHERE number - prev > 1""")
+def block_gaps(spark, sf):
+    return A.block_gaps(_t(spark, sf, "blocks", chain=None))
+
+
+@query("multi_chain_union", """
+SELECT b.chain, b.n_blocks, e.n_events
+FROM (SELECT chain, count(*) AS n_blocks FROM o_blocks GROUP BY chain) b
+JOIN (SELECT chain, count(*) AS n_events FROM o_events GROUP BY chain) e USING (chain)""")
+def multi_chain_union(spark, sf):
+    lake = lake_for(spark, sf)
+    per_chain = []
+    for c in ("polkadot", "kusama"):
+        nb = lake.table("blocks", c).agg(_count().alias("n_blocks"))
+        ne = lake.table("events", c).agg(_count().alias("n_events"))
+        per_chain.append(nb.join(ne, how="inner").withColumn("chain", F.lit(c))
+                         if False else nb.withColumn("chain", F.lit(c)).join(
+                             ne.withColumn("chain", F.lit(c)), "chain"))
+    return per_chain[0].unionByName(per_chain[1])
+
+
+# --- §2.12 proof analytics ---------------------------------------------------------
+def _block_hash_literal(n: int) -> str:
+    import hashlib
+    return "0x" + hashlib.sha256(f"block-{n}".encode()).hexdigest()
+
+
+@query("block_by_hash", """
+SELECT number, hash, "timestamp" FROM p_blocks WHERE hash = '0x' || sha256('block-42')""")
+def block_by_hash(spark, sf):
+    """Point look-up: the equality reaches the Parquet scan as a pushed filter."""
+    return _t(spark, sf, "blocks").where(F.col("hash") == _block_hash_literal(42)).select(
+        "number", "hash", "timestamp")
+
+
+@query("events_by_call", """
+SELECT x.mod_name AS call_pallet, x.call_name, e.event_name, count(*) AS n
+FROM p_events e JOIN p_extrinsics x ON x.block_number = e.block_number
+ AND x.extrinsic_index = e.extrinsic_index GROUP BY ALL""")
+def events_by_call(spark, sf):
+    e = _t(spark, sf, "events").select("chain", "block_number", "extrinsic_index", "event_name")
+    x = _t(spark, sf, "extrinsics").select("chain", "block_number", "extrinsic_index",
+                                           F.col("mod_name").alias("call_pallet"), "call_name")
+    return (e.join(x, ["chain", "block_number", "extrinsic_index"])
+            .groupBy("call_pallet", "call_name", "event_name").agg(_count().alias("n")))
+
+
+@query("blocks_left_transfers", """
+SELECT b.number, count(t.id) AS n_transfers, coalesce(sum(t.amount), 0) AS volume
+FROM p_blocks b LEFT JOIN p_transfers t ON t.block_number = b.number GROUP BY b.number""")
+def blocks_left_transfers(spark, sf):
+    tv = _t(spark, sf, "transfers").groupBy("chain", "block_number").agg(
+        _count().alias("n_transfers"), F.sum("amount").alias("volume"))
+    b = _t(spark, sf, "blocks").select("chain", F.col("number").alias("block_number"))
+    return (b.join(tv, ["chain", "block_number"], "left")
+            .select(F.col("block_number").alias("number"),
+                    F.coalesce("n_transfers", F.lit(0)).alias("n_transfers"),
+                    F.coalesce("volume", F.lit(0).cast("decimal(38,0)")).alias("volume")))
+
+
+@query("events_in_ranges", """
+, inc AS (SELECT b.number AS incident, b."timestamp" - 600000 AS t0, b."timestamp" + 600000 AS t1
+          FROM p_blocks b JOIN p_logs l ON l.block_number = b.number
+          WHERE l.type = 'Consensus' AND l.engine IS NULL)
+SELECT incident, count(*) AS n_events FROM inc JOIN p_events e
+  ON e.block_timestamp BETWEEN inc.t0 AND inc.t1 GROUP BY incident""")
+def events_in_ranges(spark, sf):
+    """Events within +-10 minutes of blocks whose consensus engine id is not
+    valid UTF-8 (a theta join, binned so it runs as an equi-join)."""
+    logs = _t(spark, sf, "block_logs").where((F.col("type") == "Consensus") & F.col("engine").isNull())
+    inc = (_t(spark, sf, "blocks").join(logs.select("chain", F.col("block_number").alias("number")),
+                                        ["chain", "number"], "left_semi")
+           .select("chain", F.col("number").alias("incident"),
+                   (F.col("timestamp") - 600_000).alias("t0"), (F.col("timestamp") + 600_000).alias("t1")))
+    ev = _t(spark, sf, "events").select("chain", "id", "block_timestamp")
+    j = A.range_join(ev, inc, ["chain"], "block_timestamp", "t0", "t1", bin_size=600_000)
+    return j.groupBy("incident").agg(_count().alias("n_events"))
+
+
+@query("events_per_pallet_hour_filter", """
+SELECT mod_name, ("timestamp" // 3600000) * 3600000 AS hour_ms,
+       count(*) FILTER (WHERE event_name <> 'ExtrinsicFailed') AS n_ok_events,
+       count(*) AS n_events
+FROM p_events e JOIN p_blocks b ON b.number = e.block_number
+GROUP BY 1, 2 HAVING count(*) > 1""")
+def events_per_pallet_hour_filter(spark, sf):
+    """GROUP BY with FILTER and HAVING."""
+    e = _t(spark, sf, "events").select("chain", "block_number", "mod_name", "event_name")
+    b = _t(spark, sf, "blocks").select("chain", F.col("number").alias("block_number"), "timestamp")
+    g = (e.join(b, ["chain", "block_number"])
+         .groupBy("mod_name", (F.expr(f"timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
+         .agg(F.count_if(F.col("event_name") != "ExtrinsicFailed").alias("n_ok_events"),
+              _count().alias("n_events")))
+    return g.where(F.col("n_events") > 1)
+
+
+@query("distinct_validators", """
+SELECT ("timestamp" // 86400000) * 86400000 AS day_ms, count(DISTINCT validator) AS n_validators,
+       count(*) AS n_blocks FROM p_blocks GROUP BY 1""")
+def distinct_validators(spark, sf):
+    b = _t(spark, sf, "blocks")
+    return b.groupBy((F.expr(f"timestamp div {DAY_MS}") * DAY_MS).alias("day_ms")).agg(
+        F.count_distinct("validator").alias("n_validators"), _count().alias("n_blocks"))
+
+
+@query("distinct_validators_approx")
+def distinct_validators_approx(spark, sf):
+    """HyperLogLog estimate; not comparable bit-for-bit, rows-only check."""
+    b = _t(spark, sf, "blocks")
+    return b.groupBy((F.expr(f"timestamp div {DAY_MS}") * DAY_MS).alias("day_ms")).agg(
+        F.approx_count_distinct("validator").alias("n_validators_approx"))
+
+
+def _grouped(df, cols):
+    return [F.grouping(c).cast("int").alias(f"g_{c}") for c in cols] + [_count().alias("n")]
+
+
+@query("pallet_event_rollup", """
+SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
+       CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
+FROM p_events GROUP BY ROLLUP (mod_name, event_name)""")
+def pallet_event_rollup(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.rollup("mod_name", "event_name").agg(*_grouped(e, ["mod_name", "event_name"]))
+
+
+@query("pallet_event_cube", """
+SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
+       CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
+FROM p_events GROUP BY CUBE (mod_name, event_name)""")
+def pallet_event_cube(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.cube("mod_name", "event_name").agg(*_grouped(e, ["mod_name", "event_name"]))
+
+
+@query("pallet_event_grouping_sets", """
+SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
+       CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
+FROM p_events GROUP BY GROUPING SETS ((mod_name), (event_name), ())""")
+def pallet_event_grouping_sets(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.groupingSets([["mod_name"], ["event_name"], []], "mod_name", "event_name").agg(
+        *_grouped(e, ["mod_name", "event_name"]))
+
+
+_INTERVAL_SQL = """(SELECT chain, number, lag(number) OVER w AS prev_number,
+           "timestamp" - lag("timestamp") OVER w AS interval_ms
+    FROM o_blocks WINDOW w AS (PARTITION BY chain ORDER BY number))"""
+
+
+@query("block_interval", """
+SELECT number, prev_number, interval_ms FROM """ + _INTERVAL_SQL + """ i WHERE chain = 'polkadot'""")
+def block_interval(spark, sf):
+    return A.block_intervals(_t(spark, sf, "blocks")).select("number", "prev_number", "interval_ms")
+
+
+@query("block_interval_median", """
+SELECT chain, quantile_cont(interval_ms, 0.5) AS median_ms FROM """ + _INTERVAL_SQL + """ i
+WHERE interval_ms IS NOT NULL GROUP BY chain""")
+def block_interval_median(spark, sf):
+    iv = A.block_intervals(_t(spark, sf, "blocks", chain=None))
+    return A.exact_percentile(iv, ["chain"], "interval_ms", 0.5, "median_ms")
+
+
+@query("calls_per_block", """
+SELECT block_number, string_agg(call_name, ',' ORDER BY extrinsic_index) AS calls
+FROM p_extrinsics GROUP BY block_number""")
+def calls_per_block(spark, sf):
+    x = _t(spark, sf, "extrinsics")
+    g = x.groupBy("block_number").agg(
+        F.array_sort(F.collect_list(F.struct("extrinsic_index", "call_name"))).alias("_c"))
+    return g.select("block_number", F.array_join(F.transform("_c", lambda c: c["call_name"]), ",")
+                    .alias("calls"))
+
+
+@query("top_senders_per_day", """
+SELECT day_ms, sender, total, rnk FROM (
+  SELECT day_ms, sender, total,
+         row_number() OVER (PARTITION BY day_ms ORDER BY total DESC, sender) AS rnk
+  FROM (SELECT (block_timestamp // 86400000) * 86400000 AS day_ms, "from" AS sender,
+               sum(amount) AS total FROM p_transfers GROUP BY 1, 2))
+WHERE rnk <= 3""")
+def top_senders_per_day(spark, sf):
+    t = _t(spark, sf, "transfers")
+    per = t.groupBy((F.expr(f"block_timestamp div {DAY_MS}") * DAY_MS).alias("day_ms"),
+                    F.col("from").alias("sender")).agg(F.sum("amount").alias("total"))
+    w = Window.partitionBy("day_ms").orderBy(F.col("total").desc(), F.col("sender"))
+    return per.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= 3)
+
+
+_FLOWS_SQL = """(SELECT account, block_number, sum(delta) AS delta FROM (
+      SELECT "from" AS account, block_number, -amount AS delta FROM p_transfers
+      UNION ALL SELECT "to", block_number, amount FROM p_transfers) GROUP BY 1, 2)"""
+
+
+@query("account_running_balance", """
+SELECT account, block_number, delta,
+       sum(delta) OVER (PARTITION BY account ORDER BY block_number ROWS UNBOUNDED PRECEDING) AS balance
+FROM """ + _FLOWS_SQL + """ f""")
+def account_running_balance(spark, sf):
+    """Net transfer flow per account as a running balance. Pre-aggregated per
+    (account, block); the running sum is two-level so a hot account is
+    spread over its block buckets."""
+    t = _t(spark, sf, "transfers")
+    flows = (t.select(F.col("from").alias("account"), "block_number", (-F.col("amount")).alias("delta"))
+             .unionByName(t.select(F.col("to").alias("account"), "block_number",
+                                   F.col("amount").alias("delta")))
+             .groupBy("account", "block_number").agg(F.sum("delta").alias("delta")))
+    return A.running_sum(flows, ["account"], "block_number", "delta", "balance")
+
+
+@query("moving_event_count", """
+SELECT block_number AS number, n_events,
+       sum(n_events) OVER (ORDER BY block_number RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS moving_10
+FROM (SELECT block_number, count(*) AS n_events FROM p_events GROUP BY 1)""")
+def moving_event_count(spark, sf):
+    per = _t(spark, sf, "events").groupBy("chain", "block_number").agg(_count().alias("n_events"))
+    m = A.moving_sum(per, ["chain"], "block_number", "n_events", 10, "moving_10")
+    return m.select(F.col("block_number").alias("number"), "n_events", "moving_10")
+
+
+@query("top_transfers", """
+SELECT id, amount, "from", "to" FROM p_transfers ORDER BY amount DESC, id LIMIT 10""")
+def top_transfers(spark, sf):
+    return (_t(spark, sf, "transfers").select("id", "amount", "from", "to")
+            .orderBy(F.col("amount").desc(), F.col("id")).limit(10))
+
+
+@query("accounts_both", """
+SELECT "from" AS account FROM p_transfers INTERSECT SELECT "to" FROM p_transfers""")
+def accounts_both(spark, sf):
+    t = _t(spark, sf, "transfers")
+    return t.select(F.col("from").alias("account")).intersect(t.select(F.col("to").alias("account")))
+
+
+@query("accounts_only_send", """
+SELECT "from" AS account FROM p_transfers EXCEPT SELECT "to" FROM p_transfers""")
+def accounts_only_send(spark, sf):
+    t = _t(spark, sf, "transfers")
+    return t.select(F.col("from").alias("account")).subtract(t.select(F.col("to").alias("account")))
+
+
+@query("accounts_all", """
+SELECT "from" AS account FROM p_transfers UNION SELECT "to" FROM p_transfers""")
+def accounts_all(spark, sf):
+    t = _t(spark, sf, "transfers")
+    return t.select(F.col("from").alias("account")).union(
+        t.select(F.col("to").alias("account"))).distinct()
+
+
+@query("blocks_above_avg", """
+, per AS (SELECT block_number, count(*) AS n_extrinsics FROM p_extrinsics GROUP BY 1)
+SELECT block_number AS number, n_extrinsics FROM per
+WHERE n_extrinsics > (SELECT avg(n_extrinsics) FROM per)""")
+def blocks_above_avg(spark, sf):
+    """Blocks with more extrinsics than the average block (scalar subquery)."""
+    per = _t(spark, sf, "extrinsics").groupBy("block_number").agg(_count().alias("n_extrinsics"))
+    avg = per.select(F.avg("n_extrinsics")).scalar()
+    return per.where(F.col("n_extrinsics") > avg).select(F.col("block_number").alias("number"),
+                                                         "n_extrinsics")
+
+
+@query("blocks_exists_subquery", """
+SELECT number FROM p_blocks b WHERE EXISTS (
+  SELECT 1 FROM p_extrinsics x WHERE x.block_number = b.number AND x.extrinsic_index = 5)""")
+def blocks_exists_subquery(spark, sf):
+    """Correlated EXISTS subquery through Spark SQL (decorrelated to a semi join)."""
+    lake = lake_for(spark, sf)
+    s = spark.newSession()
+    lake.register("polkadot", s)
+    return s.sql("""SELECT number FROM blocks b WHERE EXISTS (
+        SELECT 1 FROM extrinsics x WHERE x.block_number = b.number AND x.extrinsic_index = 5)""")
+
+
+@query("ancestor_walk", """
+SELECT * FROM (
+  WITH RECURSIVE walk(start, depth, ancestor, parent_hash) AS (
+    SELECT number, 0, number, parent_hash FROM p_blocks
+    UNION ALL
+    SELECT w.start, w.depth + 1, p.number, p.parent_hash
+    FROM walk w JOIN p_blocks p ON p.hash = w.parent_hash WHERE w.depth < 3)
+  SELECT start, max(depth) AS depth, arg_max(ancestor, depth) AS farthest FROM walk GROUP BY start)""")
+def ancestor_walk(spark, sf):
+    """Walk parent links up to 3 steps from every block with a recursive CTE."""
+    lake = lake_for(spark, sf)
+    s = spark.newSession()
+    lake.register("polkadot", s)
+    return s.sql("""
+        WITH RECURSIVE walk(start, depth, ancestor, parent_hash) AS (
+          SELECT number, 0, number, parent_hash FROM blocks
+          UNION ALL
+          SELECT w.start, w.depth + 1, p.number, p.parent_hash
+          FROM walk w JOIN blocks p ON p.hash = w.parent_hash WHERE w.depth < 3)
+        SELECT start, max(depth) AS depth, max_by(ancestor, depth) AS farthest
+        FROM walk GROUP BY start""")
+
+
+@query("json_amounts", """
+SELECT event_name, sum(CAST(coalesce(json_extract_string("values", '$.amount'),
+                                     json_extract_string("values", '$.actual_fee')) AS DECIMAL(38,0))) AS total,
+       count(*) AS n
+FROM p_events WHERE mod_name IN ('Balances', 'TransactionPayment') GROUP BY event_name""")
+def json_amounts(spark, sf):
+    e = _t(spark, sf, "events").where(F.col("mod_name").isin("Balances", "TransactionPayment"))
+    amt = F.coalesce(F.get_json_object("values", "$.amount"),
+                     F.get_json_object("values", "$.actual_fee")).try_cast("decimal(38,0)")
+    return e.groupBy("event_name").agg(F.sum(amt).alias("total"), _count().alias("n"))
+
+
+@query("hash_prefix_hist", """
+SELECT substring(hash, 3, 2) AS prefix, count(*) AS n FROM p_blocks GROUP BY 1""")
+def hash_prefix_hist(spark, sf):
+    b = _t(spark, sf, "blocks")
+    return b.groupBy(F.substring("hash", 3, 2).alias("prefix")).agg(_count().alias("n"))
+
+
+@query("daily_volume", """
+SELECT strftime(make_timestamp(block_timestamp * 1000), '%Y-%m-%d') AS day, count(*) AS n_transfers,
+       sum(amount) AS volume FROM p_transfers GROUP BY 1""")
+def daily_volume(spark, sf):
+    t = _t(spark, sf, "transfers")
+    return t.groupBy(F.date_format(F.timestamp_millis("block_timestamp"), "yyyy-MM-dd").alias("day")).agg(
+        _count().alias("n_transfers"), F.sum("amount").alias("volume"))
+
+
+@query("fee_buckets", """
+SELECT CASE WHEN fee < 1000 THEN 'small' WHEN fee < 5000 THEN 'medium' ELSE 'large' END AS bucket,
+       count(*) AS n, sum(fee) AS total
+FROM (SELECT CAST(json_extract_string("values", '$.actual_fee') AS DECIMAL(38,0)) AS fee
+      FROM p_events WHERE event_name = 'TransactionFeePaid') GROUP BY 1""")
+def fee_buckets(spark, sf):
+    fee = F.get_json_object("values", "$.actual_fee").try_cast("decimal(38,0)")
+    e = _t(spark, sf, "events").where(F.col("event_name") == "TransactionFeePaid").select(fee.alias("fee"))
+    bucket = F.when(F.col("fee") < 1000, "small").when(F.col("fee") < 5000, "medium").otherwise("large")
+    return e.groupBy(bucket.alias("bucket")).agg(_count().alias("n"), F.sum("fee").alias("total"))
+
+
+@query("blocks_with_pallets", """
+SELECT block_number AS number FROM p_events GROUP BY block_number
+HAVING bool_or(mod_name = 'Balances') AND bool_or(mod_name = 'Utility')""")
+def blocks_with_pallets(spark, sf):
+    g = _t(spark, sf, "events").groupBy("block_number").agg(F.collect_set("mod_name").alias("p"))
+    return g.where(F.array_contains("p", "Balances") & F.array_contains("p", "Utility")).select(
+        F.col("block_number").alias("number"))
+
+
+# The inline label table of the VALUES proof query.
+EVENT_LABELS = [("Transfer", "value"), ("Withdraw", "value"), ("TransactionFeePaid", "fee"),
+                ("ExtrinsicSuccess", "status"), ("ExtrinsicFailed", "status")]
+
+
+@query("labelled_events", """
+SELECT l.label, count(*) AS n FROM p_events e
+JOIN (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in EVENT_LABELS) + """) l(event_name, label)
+  ON l.event_name = e.event_name GROUP BY l.label""")
+def labelled_events(spark, sf):
+    labels = spark.createDataFrame(EVENT_LABELS, "event_name string, label string")
+    e = _t(spark, sf, "events")
+    return e.join(F.broadcast(labels), "event_name").groupBy("label").agg(_count().alias("n"))
+
+
+# --- block-time windows in batch (T-07) ----------------------------------------------
+def _ev_time(spark, sf):
+    return _t(spark, sf, "events").withColumn("t", F.timestamp_millis("block_timestamp"))
+
+
+@query("window_tumbling", """
+SELECT (block_timestamp // 3600000) * 3600000 AS window_start_ms, count(*) AS n_events
+FROM p_events GROUP BY 1""")
+def window_tumbling(spark, sf):
+    g = _ev_time(spark, sf).groupBy(F.window("t", "1 hour").alias("w")).agg(_count().alias("n_events"))
+    return g.select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "n_events")
+
+
+@query("window_sliding", """
+SELECT s AS window_start_ms, count(*) AS n_events FROM (
+  SELECT (block_timestamp // 1800000) * 1800000 AS s FROM p_events
+  UNION ALL SELECT (block_timestamp // 1800000) * 1800000 - 1800000 FROM p_events)
+GROUP BY 1""")
+def window_sliding(spark, sf):
+    g = _ev_time(spark, sf).groupBy(F.window("t", "1 hour", "30 minutes").alias("w")).agg(
+        _count().alias("n_events"))
+    return g.select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "n_events")
+
+
+@query("window_session", """
+, tx AS (SELECT "from" AS sender, block_timestamp AS t FROM p_transfers),
+  marked AS (SELECT sender, t, CASE WHEN t - lag(t) OVER (PARTITION BY sender ORDER BY t) <= 86400000
+                                   THEN 0 ELSE 1 END AS brk FROM tx),
+  grouped AS (SELECT sender, t, sum(brk) OVER (PARTITION BY sender ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
+              FROM marked)
+SELECT sender, min(t) AS session_start_ms, max(t) + 86400000 AS session_end_ms, count(*) AS n
+FROM grouped GROUP BY sender, sid""")
+def window_session(spark, sf):
+    """Per-sender activity sessions (gap 1 day) over transfer time."""
+    t = _t(spark, sf, "transfers").select(F.col("from").alias("sender"),
+                                         F.timestamp_millis("block_timestamp").alias("t"))
+    g = t.groupBy("sender", F.session_window("t", "1 day").alias("w")).agg(_count().alias("n"))
+    return g.select("sender", F.unix_millis(F.col("w.start")).alias("session_start_ms"),
+                    F.unix_millis(F.col("w.end")).alias("session_end_ms"), "n")

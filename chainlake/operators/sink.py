@@ -47,20 +47,26 @@ def with_order(df: DataFrame, batch_id: int, pos_col: str | None = None) -> Data
 
 # N-03 -----------------------------------------------------------------------
 def latest(df: DataFrame, keys: list[str], order: list[str] = ORDER_COLS,
-           keep_old: list[str] | None = None) -> DataFrame:
+           keep_old: list[str] | None = None, first_order: list[str] | None = None) -> DataFrame:
     """Last write wins per key (``ON CONFLICT DO UPDATE``). Columns in
     ``keep_old`` keep the first written value instead (partial update,
-    IO-11 / IO-13). A NULL in the winning row wins, as in the reference."""
+    IO-11 / IO-13), ordered by ``first_order`` (default: ``order``). A NULL
+    in the winning row wins, as in the reference."""
     keep_old = [c for c in (keep_old or []) if c in df.columns]
-    others = [c for c in df.columns if c not in keys and c not in keep_old and c not in order]
-    ordering = F.struct(*[F.col(c) for c in order])
-    aggs = [F.max_by(F.struct(*[F.col(c) for c in others + order]), ordering).alias("_new")]
+    first_order = first_order or order
+    hidden = set(order) | set(first_order)
+    others = [c for c in df.columns if c not in keys and c not in keep_old and c not in hidden]
+    carried = [c for c in order if c in df.columns]
+    aggs = [F.max_by(F.struct(*[F.col(c) for c in others + carried]),
+                     F.struct(*[F.col(c) for c in order])).alias("_new")]
     if keep_old:
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in keep_old]), ordering).alias("_old"))
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in keep_old]),
+                             F.struct(*[F.col(c) for c in first_order])).alias("_old"))
     out = df.groupBy(*keys).agg(*aggs)
-    cols = [F.col(k) for k in keys] + [F.col(f"_new.{c}").alias(c) for c in others + order]
+    cols = [F.col(k) for k in keys] + [F.col(f"_new.{c}").alias(c) for c in others + carried]
     cols += [F.col(f"_old.{c}").alias(c) for c in keep_old]
-    return out.select(*cols).select(*df.columns)
+    final = [c for c in df.columns if c not in hidden or c in carried]
+    return out.select(*cols).select(*final)
 
 
 def latest_window(df: DataFrame, keys: list[str], order: list[str] = ORDER_COLS) -> DataFrame:
@@ -134,9 +140,13 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     touched = batch.select(*PARTITION_COLS).distinct()
     existing_touched = existing.join(F.broadcast(touched), PARTITION_COLS, "left_semi") \
         if _small(touched) else existing.join(touched, PARTITION_COLS, "left_semi")
-    merged = latest(existing_touched.unionByName(batch_latest.select(*existing.columns),
-                                                 allowMissingColumns=False),
-                    keys, keep_old=keep_old)
+    # ``_src`` 0 = stored row, 1 = incoming. Replaced columns: latest by
+    # (batch, pos), the incoming row winning a tie (a replay). Kept columns:
+    # the stored row always wins, so a replay cannot reset them.
+    union = (existing_touched.withColumn("_src", F.lit(0))
+             .unionByName(batch_latest.select(*existing.columns).withColumn("_src", F.lit(1))))
+    merged = latest(union, keys, order=ORDER_COLS + ["_src"], keep_old=keep_old,
+                    first_order=["_src"] + ORDER_COLS).drop("_src")
     staging = f"{staging_root or path + '_staging'}/{uuid.uuid4().hex}"
     write_partitioned(merged, staging)
     write_partitioned(spark.read.parquet(staging), path, mode="overwrite")

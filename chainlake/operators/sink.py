@@ -121,9 +121,12 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     contiguous block range, so min/max statistics prune point look-ups."""
     spark = df.sparkSession
     n = files_per_write or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = sort_col or ("block_number" if "block_number" in df.columns else "number")
-    (df.repartitionByRange(n, "chain", key).sortWithinPartitions("chain", key)
-       .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    key = sort_col or next((c for c in ("block_number", "number") if c in df.columns), None)
+    if key is not None:
+        df = df.repartitionByRange(n, "chain", key).sortWithinPartitions("chain", key)
+    else:
+        df = df.repartition(n, *PARTITION_COLS)
+    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
        .partitionBy(*PARTITION_COLS).parquet(path))
 
 
@@ -136,7 +139,8 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     if not _exists(spark, path):
         write_partitioned(batch_latest, path)
         return
-    existing = spark.read.parquet(path)
+    # explicit schema: a table folder left empty by an empty batch still reads
+    existing = spark.read.schema(batch_latest.schema).parquet(path)
     touched = batch.select(*PARTITION_COLS).distinct()
     existing_touched = existing.join(F.broadcast(touched), PARTITION_COLS, "left_semi") \
         if _small(touched) else existing.join(touched, PARTITION_COLS, "left_semi")
@@ -149,7 +153,9 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
                     first_order=["_src"] + ORDER_COLS).drop("_src")
     staging = f"{staging_root or path + '_staging'}/{uuid.uuid4().hex}"
     write_partitioned(merged, staging)
-    write_partitioned(spark.read.parquet(staging), path, mode="overwrite")
+    # swap in: staged files are already range-partitioned and sorted
+    (spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLS).parquet(path))
 
 
 def _small(touched: DataFrame) -> bool:

@@ -114,19 +114,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+MAX_RECORDS_PER_FILE = 2_000_000
+
+
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
                       sort_col: str | None = None, files_per_write: int | None = None) -> None:
-    """Write partitioned by (chain, block_bucket). Range-partitioning on the
-    block key spreads a hot chain over many tasks and keeps each file a
-    contiguous block range, so min/max statistics prune point look-ups."""
+    """Write partitioned by (chain, block_bucket). A bucket is a fixed range
+    of block numbers, so hashing on the partition columns gives tasks of
+    bounded size even when one chain holds most rows (no sampling pass as a
+    range shuffle would need). Rows are sorted by the block key inside each
+    file, so Parquet min/max statistics prune point look-ups, and files are
+    capped at ``MAX_RECORDS_PER_FILE`` rows."""
     spark = df.sparkSession
     n = files_per_write or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = sort_col or next((c for c in ("block_number", "number") if c in df.columns), None)
+    df = df.repartition(n, *PARTITION_COLS)
     if key is not None:
-        df = df.repartitionByRange(n, "chain", key).sortWithinPartitions("chain", key)
-    else:
-        df = df.repartition(n, *PARTITION_COLS)
+        df = df.sortWithinPartitions(*PARTITION_COLS, key)
     (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+       .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy(*PARTITION_COLS).parquet(path))
 
 

@@ -77,16 +77,22 @@ def extract_logs(blocks: DataFrame) -> DataFrame:
 
 
 # X-07 / X-09 / A-01 / N-01 ---------------------------------------------------
-def _success(events: Column, idx: Column, scope: str) -> Column:
+def ok_indexes(events: Column) -> Column:
+    """Extrinsic indexes of the block that emitted System.ExtrinsicSuccess:
+    one pass over the block's events, shared by all its rows."""
+    return F.filter(F.transform(events, lambda e: F.when(
+        (e["mod_name"] == "System") & (e["event_name"] == "ExtrinsicSuccess"),
+        e["extrinsic_index"].cast("bigint"))), lambda i: i.isNotNull())
+
+
+def _success(ok_idx: Column, idx: Column, scope: str) -> Column:
+    """``extrinsic``: its own events hold a success (A-01). ``block_running``:
+    any of extrinsics 0..i does (N-01). Both are codegen'd array lookups."""
     if scope not in SUCCESS_SCOPES:
         raise ValueError(f"success_scope must be one of {SUCCESS_SCOPES}")
-
-    def ok(e):
-        hit = (e["mod_name"] == "System") & (e["event_name"] == "ExtrinsicSuccess")
-        if scope == "extrinsic":
-            return hit & (e["extrinsic_index"] == idx)
-        return hit & (e["extrinsic_index"] <= idx)
-    return F.exists(events, ok)
+    if scope == "extrinsic":
+        return F.array_contains(ok_idx, idx.cast("bigint"))
+    return F.coalesce(F.array_min(ok_idx) <= idx.cast("bigint"), F.lit(False))
 
 
 def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> DataFrame:
@@ -97,7 +103,7 @@ def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> D
     bn = _bn(blocks)
     x = F.col("x")
     return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"),
-                          F.col("body.events").alias("_evs"),
+                          ok_indexes(F.col("body.events")).alias("_ok"),
                           F.posexplode(F.col("body.extrinsics")).alias("extrinsic_index", "x"))
             .select(
                 "chain",
@@ -107,7 +113,7 @@ def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> D
                 x["signature"].isNotNull().alias("is_signed"),                     # X-09
                 x["mod_name"].alias("mod_name"),
                 x["call_name"].alias("call_name"),
-                _success(F.col("_evs"), F.col("extrinsic_index"), success_scope).alias("result"),
+                _success(F.col("_ok"), F.col("extrinsic_index"), success_scope).alias("result"),
                 json_or_null(x["call_params"]).alias("call_params"),
                 x["extrinsic_hash"].alias("extrinsic_hash_bytes"),
                 x["block_timestamp"].cast("bigint").alias("block_timestamp"),
@@ -123,7 +129,7 @@ def extract_events(blocks: DataFrame) -> DataFrame:
     bn = _bn(blocks)
     e = F.col("e")
     return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"),
-                          F.col("body.events").alias("_evs"),
+                          ok_indexes(F.col("body.events")).alias("_ok"),
                           F.explode(F.col("body.events")).alias("e"))
             .select(
                 "chain",
@@ -138,7 +144,7 @@ def extract_events(blocks: DataFrame) -> DataFrame:
                 hex0x(e["extrinsic_hash"]).alias("extrinsic_hash"),
                 e["event_index"].cast("bigint").alias("event_index"),
                 e["extrinsic_index"].cast("bigint").alias("extrinsic_index"),
-                _success(F.col("_evs"), e["extrinsic_index"], "extrinsic").alias("extrinsic_success"),
+                _success(F.col("_ok"), e["extrinsic_index"], "extrinsic").alias("extrinsic_success"),
                 block_bucket("block_number").alias("block_bucket")))
 
 

@@ -136,10 +136,33 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
        .partitionBy(*PARTITION_COLS).parquet(path))
 
 
+MAX_STATIC_PARTITIONS = 10_000
+
+
+def touched_partitions(batch: DataFrame) -> list[tuple] | None:
+    """The (chain, block_bucket) pairs a batch writes, when there are at most
+    ``MAX_STATIC_PARTITIONS`` of them (bounded metadata, not rows); None
+    beyond that, and the merge falls back to a semi join."""
+    rows = batch.select(*PARTITION_COLS).distinct().limit(MAX_STATIC_PARTITIONS + 1).collect()
+    return None if len(rows) > MAX_STATIC_PARTITIONS else [tuple(r) for r in rows]
+
+
+def _partition_filter(pairs: list[tuple]):
+    by_chain: dict = {}
+    for chain, bucket in pairs:
+        by_chain.setdefault(chain, set()).add(bucket)
+    cond = F.lit(False)
+    for chain, buckets in by_chain.items():
+        cond = cond | ((F.col("chain") == chain) & F.col("block_bucket").isin(sorted(buckets)))
+    return cond
+
+
 def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | None = None,
-           staging_root: str | None = None) -> None:
+           staging_root: str | None = None, touched: list[tuple] | None | str = "compute") -> None:
     """Merge ``batch`` (already stamped with ``_batch_id``/``_pos``) into the
-    Parquet table at ``path``; only touched partitions are rewritten."""
+    Parquet table at ``path``; only touched partitions are read and
+    rewritten. ``touched`` may be passed in when several tables share one
+    batch (it is the same block range for all of them)."""
     spark = batch.sparkSession
     batch_latest = latest(batch, keys, keep_old=None)
     if not _exists(spark, path):
@@ -147,9 +170,15 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
         return
     # explicit schema: a table folder left empty by an empty batch still reads
     existing = spark.read.schema(batch_latest.schema).parquet(path)
-    touched = batch.select(*PARTITION_COLS).distinct()
-    existing_touched = existing.join(F.broadcast(touched), PARTITION_COLS, "left_semi") \
-        if _small(touched) else existing.join(touched, PARTITION_COLS, "left_semi")
+    if isinstance(touched, str):
+        touched = touched_partitions(batch)
+    if touched is not None:
+        if not touched:
+            return
+        existing_touched = existing.where(_partition_filter(touched))      # static pruning
+    else:
+        existing_touched = existing.join(batch.select(*PARTITION_COLS).distinct(),
+                                         PARTITION_COLS, "left_semi")
     # ``_src`` 0 = stored row, 1 = incoming. Replaced columns: latest by
     # (batch, pos), the incoming row winning a tie (a replay). Kept columns:
     # the stored row always wins, so a replay cannot reset them.
@@ -159,17 +188,11 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
                     first_order=["_src"] + ORDER_COLS).drop("_src")
     staging = f"{staging_root or path + '_staging'}/{uuid.uuid4().hex}"
     write_partitioned(merged, staging)
-    # swap in: staged files are already range-partitioned and sorted
+    # swap in: staged files are already partitioned and sorted
     (spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLS).parquet(path))
 
 
-def _small(touched: DataFrame) -> bool:
-    # The touched-partition list of one batch is bounded by the batch's block
-    # range / BUCKET_SIZE; broadcast it only after checking the count.
-    return touched.limit(10_001).count() <= 10_000
-
-
 # IO-16 / IO-17 ------------------------------------------------------------------
 def fan_out(batch: DataFrame, sinks: dict, on_error: str = "continue") -> DataFrame:
     """Write one batch to several sinks, computing it once (``persist``).

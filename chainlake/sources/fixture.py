@@ -149,8 +149,10 @@ def block_structs(grouped: DataFrame) -> DataFrame:
         (F.lit(SPEC_BASE) + F.lit(SPEC_STEP) * F.expr(f"block_number div {SPEC_EVERY}"))
         .cast("bigint").alias("spec_version"),
     )
-    success = lambda e: (e["mod_name"] == "System") & (e["event_name"] == "ExtrinsicSuccess")
     evs = F.array_sort(F.col("evs"))
+    first_ok = F.array_min(F.filter(F.transform(evs, lambda e: F.when(
+        (e["mod_name"] == "System") & (e["event_name"] == "ExtrinsicSuccess"),
+        e["extrinsic_index"])), lambda v: v.isNotNull()))
     n_ext = F.when(B % EXTRA_EXTRINSIC_MOD == 0, 6).otherwise(5)
     call_pallets = F.array(*[F.lit(p) for p, _ in CALLS])
     call_names = F.array(*[F.lit(c) for _, c in CALLS])
@@ -169,7 +171,7 @@ def block_structs(grouped: DataFrame) -> DataFrame:
             F.when(i != 0, sha256_bytes(F.concat(F.lit("acct-"), _s((B + i) % ACCOUNTS))))
              .alias("signature"),
             # wire ``result`` as the reference's builder sets it (running flag)
-            F.exists(evs, lambda e: (e["extrinsic_index"] <= i) & success(e)).alias("result"),
+            F.coalesce(first_ok <= i, F.lit(False)).alias("result"),
         )
 
     def event(e: Column) -> Column:

@@ -10,6 +10,8 @@ so the effect is exactly once - where the reference is at-most-once.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,19 @@ def write_batch(batch: DataFrame, batch_id: int, root: str,
     good, bad = V.quarantine(V.blocks_of(ok_env))
     good = good.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for name, fn, pos in TABLE_STEPS:
-            if name in tables:
-                rows = S.with_order(fn(good), batch_id, pos)
-                S.upsert(rows, f"{root}/{name}", S.TABLE_KEYS[name])
+        # the four tables of a block share its (chain, block_bucket)
+        touched = S.touched_partitions(good.select(
+            "chain", X.block_bucket("block_number").alias("block_bucket")))
+        steps = [(name, fn, pos) for name, fn, pos in TABLE_STEPS if name in tables]
+
+        def one(step):
+            name, fn, pos = step
+            rows = S.with_order(fn(good), batch_id, pos)
+            S.upsert(rows, f"{root}/{name}", S.TABLE_KEYS[name], touched=touched)
+        # independent tables are written by concurrent jobs; each upsert is
+        # idempotent, so their order does not matter for a replay
+        with ThreadPoolExecutor(max_workers=len(steps) or 1) as pool:
+            list(pool.map(one, steps))
         _dead_letters(rejected.select("reason", F.coalesce(V.CORRUPT, F.to_json(F.struct(
             "chain", "chain_kind"))).alias("payload")), f"{root}/_rejected_envelopes", batch_id)
         _dead_letters(bad.select("chain", "problem", F.to_json("header").alias("payload")),

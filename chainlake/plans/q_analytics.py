@@ -658,3 +658,41 @@ def window_session(spark, sf):
     g = t.groupBy("sender", F.session_window("t", "1 day").alias("w")).agg(_count().alias("n"))
     return g.select("sender", F.unix_millis(F.col("w.start")).alias("session_start_ms"),
                     F.unix_millis(F.col("w.end")).alias("session_end_ms"), "n")
+
+
+@query("transfers_page", """
+SELECT id, amount FROM p_transfers ORDER BY amount DESC, id LIMIT 10 OFFSET 10""")
+def transfers_page(spark, sf):
+    """Second page of the largest transfers (ORDER BY + LIMIT + OFFSET)."""
+    return (_t(spark, sf, "transfers").select("id", "amount")
+            .orderBy(F.col("amount").desc(), F.col("id")).offset(10).limit(10))
+
+
+@query("string_functions", """
+SELECT split_part(id, '-', 2) AS position, count(*) AS n,
+       count(*) FILTER (WHERE event_name LIKE 'Extrinsic%') AS n_extrinsic_events,
+       count(*) FILTER (WHERE regexp_matches(mod_name, '^[A-Z][a-z]+$')) AS n_simple_pallet,
+       max(length(extrinsic_hash)) AS hash_len
+FROM p_events GROUP BY 1""")
+def string_functions(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.groupBy(F.split_part("id", F.lit("-"), F.lit(2)).alias("position")).agg(
+        _count().alias("n"),
+        F.count_if(F.col("event_name").like("Extrinsic%")).alias("n_extrinsic_events"),
+        F.count_if(F.col("mod_name").rlike("^[A-Z][a-z]+$")).alias("n_simple_pallet"),
+        F.max(F.length("extrinsic_hash")).alias("hash_len"))
+
+
+@query("date_functions", """
+SELECT hour(make_timestamp("timestamp" * 1000)) AS hour_of_day,
+       CAST(dayofweek(make_timestamp("timestamp" * 1000)) AS INTEGER) AS dow,
+       count(*) AS n_blocks,
+       min(strftime(date_trunc('week', make_timestamp("timestamp" * 1000)), '%Y-%m-%d')) AS first_week
+FROM p_blocks GROUP BY 1, 2""")
+def date_functions(spark, sf):
+    """extract / date_trunc over block time (UTC)."""
+    t = F.timestamp_millis("timestamp")
+    return _t(spark, sf, "blocks").groupBy(
+        F.hour(t).alias("hour_of_day"), (F.dayofweek(t) - 1).alias("dow")).agg(
+        _count().alias("n_blocks"),
+        F.min(F.date_format(F.date_trunc("week", t), "yyyy-MM-dd")).alias("first_week"))

@@ -171,3 +171,29 @@ def backfill_range(spark, sf):
     # explicit schema: the range may hold no block at a small scale
     return spark.read.schema("number bigint, chain string, block_bucket bigint").parquet(
         f"{root}/blocks").select("chain", "number")
+
+
+@query("stream_window_session", """
+, tx AS (SELECT chain, block_timestamp AS t FROM o_events WHERE event_name = 'ExtrinsicFailed'),
+  marked AS (SELECT chain, t, CASE WHEN t - lag(t) OVER (PARTITION BY chain ORDER BY t) <= 600000
+                                  THEN 0 ELSE 1 END AS brk FROM tx),
+  grouped AS (SELECT chain, t, sum(brk) OVER (PARTITION BY chain ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
+              FROM marked)
+SELECT * FROM (
+  SELECT chain, min(t) AS window_start_ms, max(t) + 600000 AS window_end_ms, count(*) AS n_events
+  FROM grouped GROUP BY chain, sid)
+WHERE window_end_ms <= (SELECT max(t) FROM tx) - 3600000""")
+def stream_window_session(spark, sf):
+    """T-07 session windows on the stream: bursts of failed extrinsics
+    separated by more than 10 minutes of block time. Append mode emits a
+    session once the watermark (max event time - 1 hour) has passed its end;
+    sessions still open when the input ends stay in state."""
+    root = work_dir(spark, "stream-session")
+    ev = I.event_stream(spark, _src(spark, sf), max_files=None).where(
+        F.col("event_name") == "ExtrinsicFailed")
+    q = (I.events_windowed(ev, size="", gap="10 minutes", delay="1 hour")
+         .writeStream.outputMode("append").format("parquet").option("path", f"{root}/sessions")
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    I.run_to_end(q)
+    return spark.read.schema("chain string, window_start_ms bigint, window_end_ms bigint, "
+                             "n_events bigint").parquet(f"{root}/sessions")

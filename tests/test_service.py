@@ -91,3 +91,18 @@ def test_schema_report(spark, sf_dir):
     assert t[("blocks", "hash_bytes")] == "binary"
     assert t[("events", "values")] == "string"
     assert rep.where(F.col("column_name").startswith("_")).count() == 0
+
+
+def test_no_implicit_limit(spark, sf_dir):
+    """L-02: every row is returned unless a limit is asked for."""
+    lake = lake_for(spark, sf_dir)
+    full = Q.run_query(spark, lake, "polkadot", "SELECT id FROM events").count()
+    assert full == lake.table("events").count()
+    assert Q.run_query(spark, lake, "polkadot", "SELECT id FROM events", limit=3).count() == 3
+
+
+def test_outer_order_by_survives_wrap(spark, sf_dir):
+    rows = Q.run_query(spark, lake_for(spark, sf_dir), "polkadot",
+                       "SELECT number FROM blocks ORDER BY number DESC").collect()
+    nums = [r["number"] for r in rows]
+    assert nums == sorted(nums, reverse=True)

@@ -74,3 +74,33 @@ def test_shuffled_input_same_table(spark, tmp_path):
     S.upsert(S.with_order(table(spark, list(reversed(rows))).repartition(3), 0, "number"), p2,
              ["chain", "number"])
     assert read(spark, p1) == read(spark, p2)
+
+
+def test_legacy_block_upsert_projected_columns(spark, tmp_path):
+    """IO-14: the legacy 5-column block table upserts like IO-07."""
+    path = str(tmp_path / "legacy_block")
+    cols = "chain string, block_bucket long, number long, hash string, parent_hash string, " \
+           "timestamp long, spec_version int"
+    base = spark.createDataFrame([("c", 0, 1, "h1", "p0", 10, 1), ("c", 0, 2, "h2", "h1", 20, 1)], cols)
+    redo = spark.createDataFrame([("c", 0, 2, "h2", "h1", 21, 2)], cols)
+    S.upsert(S.with_order(base, 0, "number"), path, ["chain", "number"])
+    S.upsert(S.with_order(redo, 1, "number"), path, ["chain", "number"])
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("number", "timestamp", "spec_version").collect())
+    assert got == [(1, 10, 1), (2, 21, 2)]
+
+
+def test_fan_out_policies(spark, tmp_path):
+    df = spark.range(5)
+    seen = []
+
+    def ok(name):
+        return lambda d: seen.append((name, d.count()))
+
+    def bad(_d):
+        raise RuntimeError("down")
+    cont = {r["sink"]: r["status"] for r in S.fan_out(df, {"a": ok("a"), "b": bad, "c": ok("c")},
+                                                      on_error="continue").collect()}
+    assert cont == {"a": "ok", "b": "error: RuntimeError", "c": "ok"}
+    stop = {r["sink"]: r["status"] for r in S.fan_out(df, {"a": ok("a"), "b": bad, "c": ok("c")},
+                                                      on_error="stop").collect()}
+    assert stop == {"a": "ok", "b": "error: RuntimeError", "c": "skipped"}

@@ -115,6 +115,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 MAX_RECORDS_PER_FILE = 2_000_000
+WRITE_SPLIT_BLOCKS = 10_000
 
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
@@ -128,9 +129,13 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     spark = df.sparkSession
     n = files_per_write or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = sort_col or next((c for c in ("block_number", "number") if c in df.columns), None)
-    df = df.repartition(n, *PARTITION_COLS)
     if key is not None:
-        df = df.sortWithinPartitions(*PARTITION_COLS, key)
+        # a large bucket is split into sub-ranges of WRITE_SPLIT_BLOCKS blocks,
+        # each written by its own task (several bounded files per partition)
+        df = (df.repartition(n, *PARTITION_COLS, F.floor(F.col(key) / WRITE_SPLIT_BLOCKS))
+              .sortWithinPartitions(*PARTITION_COLS, key))
+    else:
+        df = df.repartition(n, *PARTITION_COLS)
     (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy(*PARTITION_COLS).parquet(path))

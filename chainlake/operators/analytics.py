@@ -242,3 +242,19 @@ def orphan_blocks(blocks: DataFrame) -> DataFrame:
 def runtime_versions(blocks: DataFrame) -> DataFrame:
     """Upgrade points: the first block stored with each spec_version."""
     return blocks.groupBy("chain", "spec_version").agg(F.min("number").alias("from_block"))
+
+
+# --- skew-safe top-k per group -------------------------------------------------------------
+def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, out: str = "rnk",
+                    salt_buckets: int = 64, salt_col: str | None = None) -> DataFrame:
+    """``row_number() <= k`` per group in two stages: first the top k inside
+    (group, salt) - a hot group is spread over ``salt_buckets`` tasks - then
+    the top k of those at most ``k * salt_buckets`` survivors per group.
+    ``order`` must be a total order (include a unique tiebreak)."""
+    salt = (F.abs(F.xxhash64(F.col(salt_col))) if salt_col else
+            F.abs(F.xxhash64(*[F.col(c) for c in df.columns]))) % salt_buckets
+    d = df.withColumn("_salt", salt)
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    pre = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return pre.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)

@@ -451,8 +451,8 @@ def top_senders_per_day(spark, sf):
     t = _t(spark, sf, "transfers")
     per = t.groupBy((F.expr(f"block_timestamp div {DAY_MS}") * DAY_MS).alias("day_ms"),
                     F.col("from").alias("sender")).agg(F.sum("amount").alias("total"))
-    w = Window.partitionBy("day_ms").orderBy(F.col("total").desc(), F.col("sender"))
-    return per.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= 3)
+    return A.top_k_per_group(per, ["day_ms"], [F.col("total").desc(), F.col("sender")], 3,
+                             salt_col="sender")
 
 
 _FLOWS_SQL = """(SELECT account, block_number, sum(delta) AS delta FROM (

@@ -86,3 +86,14 @@ def test_exact_percentile(spark):
     df = spark.createDataFrame([("x", v) for v in [1, 2, 2, 3, 10, 11]], "g string, v long")
     got = A.exact_percentile(df, ["g"], "v", 0.5, "med").collect()[0]["med"]
     assert got == 2.5
+
+
+def test_top_k_per_group_hot_group(spark):
+    rnd = random.Random(5)
+    data = [("hot" if i % 2 else f"g{i % 7}", f"s{i}", rnd.randint(0, 30)) for i in range(2000)]
+    df = spark.createDataFrame(data, "g string, s string, v long")
+    order = [F.col("v").desc(), F.col("s")]
+    got = A.top_k_per_group(df, ["g"], order, 4, salt_buckets=16, salt_col="s")
+    w = Window.partitionBy("g").orderBy(*order)
+    want = df.withColumn("rnk", F.row_number().over(w)).where("rnk <= 4")
+    assert rows_of(got, ["g", "s", "v", "rnk"]) == rows_of(want, ["g", "s", "v", "rnk"])

@@ -258,3 +258,30 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     pre = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*group).orderBy(*order)
     return pre.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
+
+
+# --- skew-safe sessionization ---------------------------------------------------------------
+def sessionize(df: DataFrame, key: list[str], t: str, gap: int, bucket: int, out: str = "session_id"
+               ) -> DataFrame:
+    """Session ids per ``key`` over a numeric time ``t``: a new session starts
+    when the gap to the previous event exceeds ``gap`` (like
+    ``session_window``). Sessions are cut inside (key, time bucket) with
+    ``lag``; the per-(key, bucket) summary (first/last time, local session
+    count) is small and turns into a global numbering by a prefix sum, so a
+    key holding a third of all rows is spread over its buckets."""
+    d = df.withColumn("_b", F.floor(F.col(t) / bucket).cast("bigint"))
+    w = Window.partitionBy(*key, "_b").orderBy(t)
+    brk = F.when(F.lag(t).over(w).isNull() | ((F.col(t) - F.lag(t).over(w)) > gap), 1).otherwise(0)
+    d = d.withColumn("_brk", brk).withColumn(
+        "_local", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    summ = d.groupBy(*key, "_b").agg(F.min(t).alias("_first"), F.max(t).alias("_last"),
+                                     F.sum("_brk").alias("_n"))
+    wb = Window.partitionBy(*key).orderBy("_b")
+    summ = summ.withColumn("_cont", F.when(
+        (F.col("_first") - F.lag("_last").over(wb)) <= gap, 1).otherwise(0))
+    # global id of the bucket's local session 0 = sessions before it - merges so far
+    before = F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    merges = F.sum("_cont").over(wb.rowsBetween(Window.unboundedPreceding, 0))
+    off = summ.select(*key, "_b", (before - merges).alias("_off"))
+    return (d.join(off, [*key, "_b"]).withColumn(out, F.col("_off") + F.col("_local"))
+            .drop("_b", "_brk", "_local", "_off"))

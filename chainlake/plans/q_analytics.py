@@ -651,16 +651,31 @@ def window_sliding(spark, sf):
     return g.select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "n_events")
 
 
-@query("window_session", """
+_SESSION_SQL = """
 , tx AS (SELECT "from" AS sender, block_timestamp AS t FROM p_transfers),
   marked AS (SELECT sender, t, CASE WHEN t - lag(t) OVER (PARTITION BY sender ORDER BY t) <= 86400000
                                    THEN 0 ELSE 1 END AS brk FROM tx),
   grouped AS (SELECT sender, t, sum(brk) OVER (PARTITION BY sender ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
               FROM marked)
 SELECT sender, min(t) AS session_start_ms, max(t) + 86400000 AS session_end_ms, count(*) AS n
-FROM grouped GROUP BY sender, sid""")
+FROM grouped GROUP BY sender, sid"""
+
+
+@query("window_session", _SESSION_SQL)
 def window_session(spark, sf):
-    """Per-sender activity sessions (gap 1 day) over transfer time."""
+    """Per-sender activity sessions (gap 1 day) over transfer time, with the
+    bucketed sessionizer (a hot sender is spread over weekly buckets)."""
+    t = _t(spark, sf, "transfers").select(F.col("from").alias("sender"),
+                                         F.col("block_timestamp").alias("t"))
+    s = A.sessionize(t, ["sender"], "t", DAY_MS, 7 * DAY_MS)
+    return s.groupBy("sender", "session_id").agg(
+        F.min("t").alias("session_start_ms"), (F.max("t") + DAY_MS).alias("session_end_ms"),
+        _count().alias("n")).drop("session_id")
+
+
+@query("window_session_builtin", _SESSION_SQL)
+def window_session_builtin(spark, sf):
+    """The same sessions with Spark's ``session_window`` (one task per sender)."""
     t = _t(spark, sf, "transfers").select(F.col("from").alias("sender"),
                                          F.timestamp_millis("block_timestamp").alias("t"))
     g = t.groupBy("sender", F.session_window("t", "1 day").alias("w")).agg(_count().alias("n"))

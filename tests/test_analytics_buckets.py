@@ -97,3 +97,21 @@ def test_top_k_per_group_hot_group(spark):
     w = Window.partitionBy("g").orderBy(*order)
     want = df.withColumn("rnk", F.row_number().over(w)).where("rnk <= 4")
     assert rows_of(got, ["g", "s", "v", "rnk"]) == rows_of(want, ["g", "s", "v", "rnk"])
+
+
+def test_sessionize_matches_sequential(spark):
+    rnd = random.Random(9)
+    data, t = [], 0
+    for i in range(700):
+        t += rnd.choice([1, 2, 3, 15, 40])
+        data.append(("hot" if i % 3 else f"k{i % 5}", t))
+    df = spark.createDataFrame(data, "k string, t long")
+    got = A.sessionize(df, ["k"], "t", gap=10, bucket=37)
+    sess = sorted((r["k"], r["t"], r["session_id"]) for r in got.collect())
+    want, last, sid = [], {}, {}
+    for k, tt in sorted(data):
+        if k not in last or tt - last[k] > 10:
+            sid[k] = sid.get(k, -1) + 1
+        last[k] = tt
+        want.append((k, tt, sid[k]))
+    assert sess == sorted(want)

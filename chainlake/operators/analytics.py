@@ -261,8 +261,8 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
 
 
 # --- skew-safe sessionization ---------------------------------------------------------------
-def sessionize(df: DataFrame, key: list[str], t: str, gap: int, bucket: int, out: str = "session_id"
-               ) -> DataFrame:
+def sessionize(df: DataFrame, key: list[str], t: str, gap: int, bucket: int, out: str = "session_id",
+               tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """Session ids per ``key`` over a numeric time ``t``: a new session starts
     when the gap to the previous event exceeds ``gap`` (like
     ``session_window``). Sessions are cut inside (key, time bucket) with
@@ -270,7 +270,7 @@ def sessionize(df: DataFrame, key: list[str], t: str, gap: int, bucket: int, out
     count) is small and turns into a global numbering by a prefix sum, so a
     key holding a third of all rows is spread over its buckets."""
     d = df.withColumn("_b", F.floor(F.col(t) / bucket).cast("bigint"))
-    w = Window.partitionBy(*key, "_b").orderBy(t)
+    w = Window.partitionBy(*key, "_b").orderBy(t, *tiebreak)
     brk = F.when(F.lag(t).over(w).isNull() | ((F.col(t) - F.lag(t).over(w)) > gap), 1).otherwise(0)
     d = d.withColumn("_brk", brk).withColumn(
         "_local", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)

@@ -652,10 +652,10 @@ def window_sliding(spark, sf):
 
 
 _SESSION_SQL = """
-, tx AS (SELECT "from" AS sender, block_timestamp AS t FROM p_transfers),
-  marked AS (SELECT sender, t, CASE WHEN t - lag(t) OVER (PARTITION BY sender ORDER BY t) <= 86400000
-                                   THEN 0 ELSE 1 END AS brk FROM tx),
-  grouped AS (SELECT sender, t, sum(brk) OVER (PARTITION BY sender ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
+, tx AS (SELECT "from" AS sender, block_timestamp AS t, id FROM p_transfers),
+  marked AS (SELECT sender, t, id, CASE WHEN t - lag(t) OVER (PARTITION BY sender ORDER BY t, id) <= 86400000
+                                       THEN 0 ELSE 1 END AS brk FROM tx),
+  grouped AS (SELECT sender, t, sum(brk) OVER (PARTITION BY sender ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS sid
               FROM marked)
 SELECT sender, min(t) AS session_start_ms, max(t) + 86400000 AS session_end_ms, count(*) AS n
 FROM grouped GROUP BY sender, sid"""
@@ -665,9 +665,9 @@ FROM grouped GROUP BY sender, sid"""
 def window_session(spark, sf):
     """Per-sender activity sessions (gap 1 day) over transfer time, with the
     bucketed sessionizer (a hot sender is spread over weekly buckets)."""
-    t = _t(spark, sf, "transfers").select(F.col("from").alias("sender"),
+    t = _t(spark, sf, "transfers").select(F.col("from").alias("sender"), "id",
                                          F.col("block_timestamp").alias("t"))
-    s = A.sessionize(t, ["sender"], "t", DAY_MS, 7 * DAY_MS)
+    s = A.sessionize(t, ["sender"], "t", DAY_MS, 7 * DAY_MS, tiebreak=("id",))
     return s.groupBy("sender", "session_id").agg(
         F.min("t").alias("session_start_ms"), (F.max("t") + DAY_MS).alias("session_end_ms"),
         _count().alias("n")).drop("session_id")

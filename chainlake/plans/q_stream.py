@@ -174,10 +174,10 @@ def backfill_range(spark, sf):
 
 
 @query("stream_window_session", """
-, tx AS (SELECT chain, block_timestamp AS t FROM o_events WHERE event_name = 'ExtrinsicFailed'),
-  marked AS (SELECT chain, t, CASE WHEN t - lag(t) OVER (PARTITION BY chain ORDER BY t) <= 600000
-                                  THEN 0 ELSE 1 END AS brk FROM tx),
-  grouped AS (SELECT chain, t, sum(brk) OVER (PARTITION BY chain ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
+, tx AS (SELECT chain, block_timestamp AS t, id FROM o_events WHERE event_name = 'ExtrinsicFailed'),
+  marked AS (SELECT chain, t, id, CASE WHEN t - lag(t) OVER (PARTITION BY chain ORDER BY t, id) <= 600000
+                                      THEN 0 ELSE 1 END AS brk FROM tx),
+  grouped AS (SELECT chain, t, sum(brk) OVER (PARTITION BY chain ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS sid
               FROM marked)
 SELECT * FROM (
   SELECT chain, min(t) AS window_start_ms, max(t) + 600000 AS window_end_ms, count(*) AS n_events

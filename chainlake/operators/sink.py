@@ -16,6 +16,7 @@ Plain Parquet has no MERGE, so an upsert is:
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,8 +119,12 @@ MAX_RECORDS_PER_FILE = 2_000_000
 WRITE_SPLIT_BLOCKS = 10_000
 
 
+_SAFE_CHAIN = re.compile(r"^[a-z0-9_\-]+$")
+
+
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
-                      sort_col: str | None = None, files_per_write: int | None = None) -> None:
+                      sort_col: str | None = None, files_per_write: int | None = None,
+                      partition_cols: list[str] | None = None) -> None:
     """Write partitioned by (chain, block_bucket). A bucket is a fixed range
     of block numbers, so hashing on the partition columns gives tasks of
     bounded size even when one chain holds most rows (no sampling pass as a
@@ -127,6 +132,7 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     file, so Parquet min/max statistics prune point look-ups, and files are
     capped at ``MAX_RECORDS_PER_FILE`` rows."""
     spark = df.sparkSession
+    parts = partition_cols or PARTITION_COLS
     n = files_per_write or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = sort_col or next((c for c in ("block_number", "number") if c in df.columns), None)
     if key is not None:
@@ -136,9 +142,11 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
               .sortWithinPartitions(*PARTITION_COLS, key))
     else:
         df = df.repartition(n, *PARTITION_COLS)
+    if partition_cols is not None:
+        df = df.drop(*[c for c in PARTITION_COLS if c not in parts])   # value is in the folder name
     (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-       .partitionBy(*PARTITION_COLS).parquet(path))
+       .partitionBy(*parts).parquet(path))
 
 
 MAX_STATIC_PARTITIONS = 10_000
@@ -184,11 +192,27 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     else:
         existing_touched = existing.join(batch.select(*PARTITION_COLS).distinct(),
                                          PARTITION_COLS, "left_semi")
+    # Fast path: keys already stored decide which partitions need a merge;
+    # rows of the other partitions are appended as new files (the common
+    # case for a live chain, where a batch only brings new blocks).
+    key_hits = (batch_latest.select(*keys, *[c for c in PARTITION_COLS if c not in keys])
+                .join(existing_touched.select(*keys), keys, "left_semi"))
+    conflict = touched_partitions(key_hits)
+    if conflict is None:                       # too many to list: merge all touched
+        merge_rows, append_rows = batch_latest, None
+        merge_existing = existing_touched
+    elif not conflict:
+        append_partitioned(batch_latest, path, touched)
+        return
+    else:
+        in_conflict = _partition_filter(conflict)
+        merge_rows, append_rows = batch_latest.where(in_conflict), batch_latest.where(~in_conflict)
+        merge_existing = existing.where(in_conflict)
     # ``_src`` 0 = stored row, 1 = incoming. Replaced columns: latest by
     # (batch, pos), the incoming row winning a tie (a replay). Kept columns:
     # the stored row always wins, so a replay cannot reset them.
-    union = (existing_touched.withColumn("_src", F.lit(0))
-             .unionByName(batch_latest.select(*existing.columns).withColumn("_src", F.lit(1))))
+    union = (merge_existing.withColumn("_src", F.lit(0))
+             .unionByName(merge_rows.select(*existing.columns).withColumn("_src", F.lit(1))))
     merged = latest(union, keys, order=ORDER_COLS + ["_src"], keep_old=keep_old,
                     first_order=["_src"] + ORDER_COLS).drop("_src")
     staging = f"{staging_root or path + '_staging'}/{uuid.uuid4().hex}"
@@ -196,6 +220,19 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     # swap in: staged files are already partitioned and sorted
     (spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLS).parquet(path))
+    if append_rows is not None:
+        append_partitioned(append_rows, path, [p for p in touched if p not in set(conflict)])
+
+
+def append_partitioned(df: DataFrame, path: str, partitions: list[tuple]) -> None:
+    """Append new rows. Each chain folder is written as its own table
+    (``<path>/chain=<c>`` partitioned by ``block_bucket``): the layout is the
+    same, and the streams of different chains never share a commit folder."""
+    for chain in sorted({c for c, _ in partitions}):
+        if not _SAFE_CHAIN.match(chain):
+            raise ValueError(f"chain key not usable as a folder name: {chain!r}")
+        write_partitioned(df.where(F.col("chain") == chain), f"{path}/chain={chain}",
+                          mode="append", partition_cols=["block_bucket"])
 
 
 # IO-16 / IO-17 ------------------------------------------------------------------

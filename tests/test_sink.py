@@ -104,3 +104,18 @@ def test_fan_out_policies(spark, tmp_path):
     stop = {r["sink"]: r["status"] for r in S.fan_out(df, {"a": ok("a"), "b": bad, "c": ok("c")},
                                                       on_error="stop").collect()}
     assert stop == {"a": "ok", "b": "error: RuntimeError", "c": "skipped"}
+
+
+def test_new_keys_are_appended_not_rewritten(spark, tmp_path):
+    import os
+    path = str(tmp_path / "t")
+    keys = ["chain", "number"]
+    S.upsert(S.with_order(table(spark, [("c", 0, 1, "a", "x"), ("c", 0, 2, "b", "y")]), 0, "number"),
+             path, keys)
+    part = os.path.join(path, "chain=c", "block_bucket=0")
+    before = {f for f in os.listdir(part) if f.endswith(".parquet")}
+    S.upsert(S.with_order(table(spark, [("c", 0, 3, "n", "z")]), 1, "number"), path, keys)
+    after = {f for f in os.listdir(part) if f.endswith(".parquet")}
+    assert before < after                               # old files kept, a file added
+    S.upsert(S.with_order(table(spark, [("c", 0, 3, "n2", "z")]), 2, "number"), path, keys)
+    assert read(spark, path) == [(1, "a", "x"), (2, "b", "y"), (3, "n2", "z")]

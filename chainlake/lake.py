@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -72,12 +73,16 @@ def ingest_blocks(blocks: DataFrame, root: str, batch_id: int = 0) -> None:
     header, logs, extrinsics, events). The block rows are persisted once and
     reused by the four extractions."""
     cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    steps = [("blocks", X.extract_headers, "number"), ("block_logs", X.extract_logs, None),
+             ("extrinsics", X.extract_extrinsics, None), ("events", X.extract_events, None)]
+
+    def one(step):
+        name, fn, pos = step
+        write_partitioned(with_order(fn(cached), batch_id, pos), f"{root}/{name}")
     try:
-        write_partitioned(with_order(X.extract_headers(cached), batch_id, "number"),
-                          f"{root}/blocks")
-        write_partitioned(with_order(X.extract_logs(cached), batch_id), f"{root}/block_logs")
-        write_partitioned(with_order(X.extract_extrinsics(cached), batch_id), f"{root}/extrinsics")
-        write_partitioned(with_order(X.extract_events(cached), batch_id), f"{root}/events")
+        cached.count()          # build the blocks once, then four concurrent writes
+        with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+            list(pool.map(one, steps))
     finally:
         cached.unpersist()
 

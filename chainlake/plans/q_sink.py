@@ -23,16 +23,25 @@ def work_dir(spark, tag: str) -> str:
     return f"{checkpoint_dir(spark)}/chainlake/work/{tag}-{uuid.uuid4().hex[:10]}"
 
 
-def _blocks(spark, sf):
+def _blocks(spark, sf, persist: bool = True):
+    """Fixture blocks and the re-delivery batch derived from them. Persisted
+    when several upserts read them (released by ``_upsert_twice``)."""
+    from pyspark import StorageLevel
     events = spark.read.parquet(f"{sf}/events.parquet")
     blocks = fixture.nested_blocks(events)
+    if persist:
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     return blocks, fixture.redelivery(blocks)
 
 
-def _upsert_twice(base, redo, path, keys, keep_old=None):
-    S.upsert(base, path, keys, keep_old)
-    S.upsert(redo, path, keys, keep_old)
-    S.upsert(redo, path, keys, keep_old)      # replay of the same batch: no change
+def _upsert_twice(base, redo, path, keys, keep_old=None, release=None):
+    try:
+        S.upsert(base, path, keys, keep_old)
+        S.upsert(redo, path, keys, keep_old)
+        S.upsert(redo, path, keys, keep_old)      # replay of the same batch: no change
+    finally:
+        if release is not None:
+            release.unpersist()
 
 
 _BLOCKS_AFTER_SQL = """
@@ -48,7 +57,8 @@ def upsert_blocks(spark, sf):
     blocks, redo = _blocks(spark, sf)
     path = work_dir(spark, "upsert-blocks") + "/blocks"
     _upsert_twice(S.with_order(X.extract_headers(blocks), 0, "number"),
-                  S.with_order(X.extract_headers(redo), 1, "number"), path, S.TABLE_KEYS["blocks"])
+                  S.with_order(X.extract_headers(redo), 1, "number"), path, S.TABLE_KEYS["blocks"],
+                  release=blocks)
     return spark.read.parquet(path).select("number", "hash", "spec_version", "validator",
                                            F.col("validator_bytes").isNull().alias("validator_bytes_null"))
 
@@ -56,7 +66,7 @@ def upsert_blocks(spark, sf):
 @query("latest_wins", _BLOCKS_AFTER_SQL)
 def latest_wins(spark, sf):
     """N-03 on DataFrames: batch 0 then batch 1, latest per key, NULL wins."""
-    blocks, redo = _blocks(spark, sf)
+    blocks, redo = _blocks(spark, sf, persist=False)
     both = S.with_order(X.extract_headers(blocks), 0, "number").unionByName(
         S.with_order(X.extract_headers(redo), 1, "number"))
     return S.latest(both, ["chain", "number"]).select(
@@ -67,7 +77,7 @@ def latest_wins(spark, sf):
 @query("latest_wins_window", _BLOCKS_AFTER_SQL)
 def latest_wins_window(spark, sf):
     """The ``row_number() = 1`` form of N-03 (same result as ``latest``)."""
-    blocks, redo = _blocks(spark, sf)
+    blocks, redo = _blocks(spark, sf, persist=False)
     both = S.with_order(X.extract_headers(blocks), 0, "number").unionByName(
         S.with_order(X.extract_headers(redo), 1, "number"))
     return S.latest_window(both, ["chain", "number"]).select(
@@ -81,7 +91,7 @@ def upsert_block_logs(spark, sf):
     blocks, redo = _blocks(spark, sf)
     path = work_dir(spark, "upsert-logs") + "/block_logs"
     _upsert_twice(S.with_order(X.extract_logs(blocks), 0), S.with_order(X.extract_logs(redo), 1),
-                  path, S.TABLE_KEYS["block_logs"])
+                  path, S.TABLE_KEYS["block_logs"], release=blocks)
     return spark.read.parquet(path).select("id", "block_number", "type", "data", "engine")
 
 
@@ -92,7 +102,8 @@ def upsert_extrinsics(spark, sf):
     blocks, redo = _blocks(spark, sf)
     path = work_dir(spark, "upsert-extrinsics") + "/extrinsics"
     _upsert_twice(S.with_order(X.extract_extrinsics(blocks), 0),
-                  S.with_order(X.extract_extrinsics(redo), 1), path, S.TABLE_KEYS["extrinsics"])
+                  S.with_order(X.extract_extrinsics(redo), 1), path, S.TABLE_KEYS["extrinsics"],
+                  release=blocks)
     return spark.read.parquet(path).select("id", "block_number", "extrinsic_hash", "is_signed",
                                            "mod_name", "call_name", "result", "call_params")
 
@@ -103,7 +114,8 @@ def upsert_events(spark, sf):
     blocks, redo = _blocks(spark, sf)
     path = work_dir(spark, "upsert-events") + "/events"
     _upsert_twice(S.with_order(X.extract_events(blocks), 0),
-                  S.with_order(X.extract_events(redo), 1), path, S.TABLE_KEYS["events"])
+                  S.with_order(X.extract_events(redo), 1), path, S.TABLE_KEYS["events"],
+                  release=blocks)
     return spark.read.parquet(path).select("id", "block_number", "extrinsic_id", "mod_name",
                                            "event_name", "phase", "values")
 
@@ -122,6 +134,7 @@ def upsert_counts(spark, sf):
     batch = S.with_order(headers, 1, "number")
     counts = S.upsert_counts(batch, spark.read.parquet(path), keys).checkpoint()
     S.upsert(batch, path, keys)
+    blocks.unpersist()
     return counts
 
 

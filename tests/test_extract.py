@@ -69,3 +69,16 @@ def test_wire_roundtrip(spark, sf_dir, tmp_path):
     direct = X.extract_headers(blocks(spark, sf_dir)).drop("block_bucket")
     wire = X.extract_headers(good).drop("block_bucket")
     assert direct.exceptAll(wire).count() == 0 and wire.exceptAll(direct).count() == 0
+
+
+def test_batch_observation(spark, sf_dir, tmp_path):
+    """A-04: one micro-batch reports its block count and range via observe."""
+    from chainlake.sources import envelope as V
+    from chainlake.streaming import ingest as I
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = fixture.write_envelope_files(events, str(tmp_path / "env"), ("polkadot",), files=2)
+    stats = I.write_batch(V.read_envelopes(spark, path).drop("_file"), 7, str(tmp_path / "lake"))
+    b = X.extract_headers(blocks(spark, sf_dir))
+    want = b.agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("lo"),
+                 F.max("number").alias("hi")).first()
+    assert (stats["n_blocks"], stats["min_block"], stats["max_block"]) == (want["n"], want["lo"], want["hi"])

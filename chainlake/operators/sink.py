@@ -131,17 +131,18 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     range shuffle would need). Rows are sorted by the block key inside each
     file, so Parquet min/max statistics prune point look-ups, and files are
     capped at ``MAX_RECORDS_PER_FILE`` rows."""
-    spark = df.sparkSession
     parts = partition_cols or PARTITION_COLS
-    n = files_per_write or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = sort_col or next((c for c in ("block_number", "number") if c in df.columns), None)
+    # Repartition by columns (no fixed count) so AQE sizes the write tasks
+    # at run time; ``files_per_write`` pins the count when asked.
+    lead = [files_per_write] if files_per_write else []
     if key is not None:
         # a large bucket is split into sub-ranges of WRITE_SPLIT_BLOCKS blocks,
         # each written by its own task (several bounded files per partition)
-        df = (df.repartition(n, *PARTITION_COLS, F.floor(F.col(key) / WRITE_SPLIT_BLOCKS))
+        df = (df.repartition(*lead, *PARTITION_COLS, F.floor(F.col(key) / WRITE_SPLIT_BLOCKS))
               .sortWithinPartitions(*PARTITION_COLS, key))
     else:
-        df = df.repartition(n, *PARTITION_COLS)
+        df = df.repartition(*lead, *PARTITION_COLS)
     if partition_cols is not None:
         df = df.drop(*[c for c in PARTITION_COLS if c not in parts])   # value is in the folder name
     (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")

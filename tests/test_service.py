@@ -106,3 +106,9 @@ def test_outer_order_by_survives_wrap(spark, sf_dir):
                        "SELECT number FROM blocks ORDER BY number DESC").collect()
     nums = [r["number"] for r in rows]
     assert nums == sorted(nums, reverse=True)
+
+
+def test_cte_inside_wrapped_query(spark, sf_dir):
+    df = Q.run_query(spark, lake_for(spark, sf_dir), "polkadot",
+                     "WITH t AS (SELECT number FROM blocks) SELECT count(*) AS n FROM t")
+    assert df.first()["n"] == lake_for(spark, sf_dir).table("blocks").count()

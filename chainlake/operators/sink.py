@@ -116,6 +116,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 MAX_RECORDS_PER_FILE = 2_000_000
+# Columns looked up by equality although files are sorted by block number
+# (min/max statistics cannot prune them): Parquet bloom filters let the
+# reader skip row groups for a hash look-up.
+BLOOM_COLUMNS = ("hash", "extrinsic_hash", "parent_hash")
 WRITE_SPLIT_BLOCKS = 10_000
 
 
@@ -145,9 +149,12 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
         df = df.repartition(*lead, *PARTITION_COLS)
     if partition_cols is not None:
         df = df.drop(*[c for c in PARTITION_COLS if c not in parts])   # value is in the folder name
-    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-       .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-       .partitionBy(*parts).parquet(path))
+    w = (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).option("compression", "zstd"))
+    for c in BLOOM_COLUMNS:
+        if c in df.columns:
+            w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.partitionBy(*parts).parquet(path)
 
 
 MAX_STATIC_PARTITIONS = 10_000

@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PARTITION_COLS = ["chain", "block_bucket"]
@@ -179,23 +179,25 @@ def _partition_filter(pairs: list[tuple]):
 
 
 def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | None = None,
-           staging_root: str | None = None, touched: list[tuple] | None | str = "compute") -> None:
+           staging_root: str | None = None, touched: list[tuple] | None | str = "compute") -> dict:
     """Merge ``batch`` (already stamped with ``_batch_id``/``_pos``) into the
     Parquet table at ``path``; only touched partitions are read and
     rewritten. ``touched`` may be passed in when several tables share one
-    batch (it is the same block range for all of them)."""
+    batch (it is the same block range for all of them). Returns the number
+    of keys inserted and updated (IO-18), observed on the key check itself."""
     spark = batch.sparkSession
-    batch_latest = latest(batch, keys, keep_old=None)
+    all_obs = Observation()
+    batch_latest = latest(batch, keys, keep_old=None).observe(all_obs, F.count(F.lit(1)).alias("n"))
     if not _exists(spark, path):
         write_partitioned(batch_latest, path)
-        return
+        return {"inserted": all_obs.get["n"], "updated": 0}
     # explicit schema: a table folder left empty by an empty batch still reads
     existing = spark.read.schema(batch_latest.schema).parquet(path)
     if isinstance(touched, str):
         touched = touched_partitions(batch)
     if touched is not None:
         if not touched:
-            return
+            return {"inserted": 0, "updated": 0}
         existing_touched = existing.where(_partition_filter(touched))      # static pruning
     else:
         existing_touched = existing.join(batch.select(*PARTITION_COLS).distinct(),
@@ -203,15 +205,18 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     # Fast path: keys already stored decide which partitions need a merge;
     # rows of the other partitions are appended as new files (the common
     # case for a live chain, where a batch only brings new blocks).
+    hit_obs = Observation()
     key_hits = (batch_latest.select(*keys, *[c for c in PARTITION_COLS if c not in keys])
-                .join(existing_touched.select(*keys), keys, "left_semi"))
+                .join(existing_touched.select(*keys), keys, "left_semi")
+                .observe(hit_obs, F.count(F.lit(1)).alias("n")))
     conflict = touched_partitions(key_hits)
+    counts = {"inserted": all_obs.get["n"] - hit_obs.get["n"], "updated": hit_obs.get["n"]}
     if conflict is None:                       # too many to list: merge all touched
         merge_rows, append_rows = batch_latest, None
         merge_existing = existing_touched
     elif not conflict:
         append_partitioned(batch_latest, path, touched)
-        return
+        return counts
     else:
         in_conflict = _partition_filter(conflict)
         merge_rows, append_rows = batch_latest.where(in_conflict), batch_latest.where(~in_conflict)
@@ -230,6 +235,7 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
      .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLS).parquet(path))
     if append_rows is not None:
         append_partitioned(append_rows, path, [p for p in touched if p not in set(conflict)])
+    return counts
 
 
 def append_partitioned(df: DataFrame, path: str, partitions: list[tuple]) -> None:

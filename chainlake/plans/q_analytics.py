@@ -278,11 +278,9 @@ def multi_chain_union(spark, sf):
     lake = lake_for(spark, sf)
     per_chain = []
     for c in ("polkadot", "kusama"):
-        nb = lake.table("blocks", c).agg(_count().alias("n_blocks"))
-        ne = lake.table("events", c).agg(_count().alias("n_events"))
-        per_chain.append(nb.join(ne, how="inner").withColumn("chain", F.lit(c))
-                         if False else nb.withColumn("chain", F.lit(c)).join(
-                             ne.withColumn("chain", F.lit(c)), "chain"))
+        nb = lake.table("blocks", c).groupBy("chain").agg(_count().alias("n_blocks"))
+        ne = lake.table("events", c).groupBy("chain").agg(_count().alias("n_events"))
+        per_chain.append(nb.join(ne, "chain"))
     return per_chain[0].unionByName(per_chain[1])
 
 

@@ -119,3 +119,14 @@ def test_new_keys_are_appended_not_rewritten(spark, tmp_path):
     assert before < after                               # old files kept, a file added
     S.upsert(S.with_order(table(spark, [("c", 0, 3, "n2", "z")]), 2, "number"), path, keys)
     assert read(spark, path) == [(1, "a", "x"), (2, "b", "y"), (3, "n2", "z")]
+
+
+def test_upsert_reports_inserted_and_updated(spark, tmp_path):
+    path = str(tmp_path / "t")
+    keys = ["chain", "number"]
+    first = S.upsert(S.with_order(table(spark, [("c", 0, n, "a", "k") for n in range(5)]), 0, "number"),
+                     path, keys)
+    assert first == {"inserted": 5, "updated": 0}
+    second = S.upsert(S.with_order(table(spark, [("c", 0, n, "b", "k") for n in range(3, 8)]), 1,
+                                   "number"), path, keys)
+    assert second == {"inserted": 3, "updated": 2}

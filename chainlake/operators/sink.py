@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTITION_COLS = ["chain", "block_bucket"]
@@ -186,11 +186,10 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     batch (it is the same block range for all of them). Returns the number
     of keys inserted and updated (IO-18), observed on the key check itself."""
     spark = batch.sparkSession
-    all_obs = Observation()
-    batch_latest = latest(batch, keys, keep_old=None).observe(all_obs, F.count(F.lit(1)).alias("n"))
+    batch_latest = latest(batch, keys, keep_old=None)
     if not _exists(spark, path):
         write_partitioned(batch_latest, path)
-        return {"inserted": all_obs.get["n"], "updated": 0}
+        return {"inserted": spark.read.parquet(path).count(), "updated": 0}
     # explicit schema: a table folder left empty by an empty batch still reads
     existing = spark.read.schema(batch_latest.schema).parquet(path)
     if isinstance(touched, str):
@@ -205,12 +204,16 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     # Fast path: keys already stored decide which partitions need a merge;
     # rows of the other partitions are appended as new files (the common
     # case for a live chain, where a batch only brings new blocks).
-    hit_obs = Observation()
-    key_hits = (batch_latest.select(*keys, *[c for c in PARTITION_COLS if c not in keys])
-                .join(existing_touched.select(*keys), keys, "left_semi")
-                .observe(hit_obs, F.count(F.lit(1)).alias("n")))
-    conflict = touched_partitions(key_hits)
-    counts = {"inserted": all_obs.get["n"] - hit_obs.get["n"], "updated": hit_obs.get["n"]}
+    # one bounded aggregate: per touched partition, batch keys and stored hits
+    per_part = (batch_latest.select(*keys, *[c for c in PARTITION_COLS if c not in keys])
+                .join(existing_touched.select(*keys).withColumn("_hit", F.lit(1)), keys, "left")
+                .groupBy(*PARTITION_COLS)
+                .agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"))
+                .limit(MAX_STATIC_PARTITIONS + 1).collect())
+    counts = {"updated": sum(r["hits"] for r in per_part)}
+    counts["inserted"] = sum(r["n"] for r in per_part) - counts["updated"]
+    conflict = (None if len(per_part) > MAX_STATIC_PARTITIONS else
+                [(r["chain"], r["block_bucket"]) for r in per_part if r["hits"] > 0])
     if conflict is None:                       # too many to list: merge all touched
         merge_rows, append_rows = batch_latest, None
         merge_existing = existing_touched

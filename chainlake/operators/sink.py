@@ -189,7 +189,8 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     batch_latest = latest(batch, keys, keep_old=None)
     if not _exists(spark, path):
         write_partitioned(batch_latest, path)
-        return {"inserted": spark.read.parquet(path).count(), "updated": 0}
+        return {"inserted": spark.read.schema(batch_latest.schema).parquet(path).count(),
+                "updated": 0}
     # explicit schema: a table folder left empty by an empty batch still reads
     existing = spark.read.schema(batch_latest.schema).parquet(path)
     if isinstance(touched, str):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 PARTITION_COLS = ["chain", "block_bucket"]
 ORDER_COLS = ["_batch_id", "_pos"]
 
-# Upsert keys of the stored tables (scripts DDL: primary key / unique id).
+# Upsert keys of the stored tables (primary key / unique id of the DDL).
 TABLE_KEYS = {
     "blocks": ["chain", "number"],
     "block_logs": ["chain", "id"],

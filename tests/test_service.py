@@ -81,7 +81,7 @@ def test_strict_routing_raises(spark):
 
 def test_node_lookup(spark):
     cat = K.read_catalog(spark)
-    assert K.node(cat, "hyperdot-node").count() == 1
+    assert K.node(cat, "storage-node-1").count() == 1
     assert K.node(cat, "nope").count() == 0
 
 

@@ -120,33 +120,53 @@ def running_sum(df: DataFrame, key: list[str], order: str, value: str, out: str,
 
 # --- as-of join -----------------------------------------------------------------
 def asof_join(left: DataFrame, markers: DataFrame, by: list[str], left_key: str,
-              marker_key: str, value: str, out: str, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+              marker_key: str, value: str, out: str, bucket_size: int = BUCKET_SIZE,
+              broadcast_limit: int = BROADCAST_ROWS) -> DataFrame:
     """For each left row, ``value`` of the marker with the greatest
-    ``marker_key <= left_key`` (same ``by``). Runs as union + ordered
-    ``last(ignorenulls)`` inside buckets, carrying the last marker of the
-    earlier buckets across edges; no pairwise range join."""
+    ``marker_key <= left_key`` (same ``by``); NULL when there is none.
+
+    Markers are summarised per (by, bucket): the markers inside the bucket
+    (sorted) and the last marker of the earlier buckets (carry). When that
+    summary is proven small it is broadcast and the left side - the large
+    table - is joined map-side without any shuffle; otherwise the left rows
+    are unioned with the markers and resolved by ``last(ignorenulls)``
+    inside each bucket, with the same carry across bucket edges."""
+    mk = markers.select(*by, F.col(marker_key).alias("_k"), F.col(value).alias("_v"),
+                        _bucket_of(marker_key, bucket_size).alias("_bkt"))
+    per_bkt = mk.groupBy(*by, "_bkt").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_k"), F.col("_v")))).alias("_ms"),
+        F.max_by("_v", F.col("_k")).alias("_lastv"))
+    # buckets that hold left rows (a map-side aggregate: one row per bucket)
+    lb = left.select(*by, _bucket_of(left_key, bucket_size).alias("_bkt")).distinct()
+    allb = lb.unionByName(per_bkt.select(*by, "_bkt")).distinct()
+    wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    summary = (allb.join(per_bkt, [*by, "_bkt"], "left")
+               .select(*by, "_bkt", "_ms",
+                       F.last("_lastv", ignorenulls=True).over(wb).alias("_carryv")))
+    if _bounded(summary, broadcast_limit) and _bounded(mk, broadcast_limit):
+        k = F.col(left_key)
+        j = left.withColumn("_bkt", _bucket_of(left_key, bucket_size)).join(
+            F.broadcast(summary), [*by, "_bkt"], "left")
+        before = F.filter(F.coalesce("_ms", F.array().cast(summary.schema["_ms"].dataType)),
+                          lambda m: m["_k"] <= k)
+        inside = F.try_element_at(before, F.lit(-1))["_v"]
+        return j.withColumn(out, F.coalesce(inside, F.col("_carryv"))).drop("_bkt", "_ms", "_carryv")
+    return _asof_by_window(left, mk, summary, by, left_key, out, bucket_size)
+
+
+def _asof_by_window(left, mk, summary, by, left_key, out, bucket_size):
     lk = left.select(*by, F.col(left_key).alias("_k"), F.lit(1).alias("_side"),
-                     F.lit(None).cast(markers.schema[value].dataType).alias("_v"),
+                     F.lit(None).cast(mk.schema["_v"].dataType).alias("_v"),
                      F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
-    mk = markers.select(*by, F.col(marker_key).alias("_k"), F.lit(0).alias("_side"),
-                        F.col(value).alias("_v"),
-                        F.lit(None).cast(lk.schema["_row"].dataType).alias("_row"))
-    u = lk.unionByName(mk).withColumn("_bkt", _bucket_of("_k", bucket_size))
+    mk2 = mk.select(*by, "_k", F.lit(0).alias("_side"), "_v",
+                    F.lit(None).cast(lk.schema["_row"].dataType).alias("_row"))
+    u = lk.unionByName(mk2).withColumn("_bkt", _bucket_of("_k", bucket_size))
     w = Window.partitionBy(*by, "_bkt").orderBy("_k", "_side").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     u = u.withColumn("_cur", F.last("_v", ignorenulls=True).over(w))
-    last_m = mk.withColumn("_bkt", _bucket_of("_k", bucket_size)).groupBy(*by, "_bkt").agg(
-        F.max_by("_v", F.col("_k")).alias("_lastv"))
-    wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    # every bucket holding left rows needs the last marker of the buckets
-    # before it (one row per bucket: a small table)
-    lb = u.where(F.col("_side") == 1).select(*by, "_bkt").distinct()
-    allb = lb.unionByName(last_m.select(*by, "_bkt")).distinct()
-    carry_all = (allb.join(last_m, [*by, "_bkt"], "left")
-                 .select(*by, "_bkt", F.last("_lastv", ignorenulls=True).over(wb).alias("_carryv")))
-    res = (u.where(F.col("_side") == 1).join(_maybe_broadcast(carry_all), [*by, "_bkt"], "left")
-           .select("_row.*", F.coalesce(F.col("_cur"), F.col("_carryv")).alias(out)))
-    return res
+    carry = summary.select(*by, "_bkt", "_carryv")
+    return (u.where(F.col("_side") == 1).join(_maybe_broadcast(carry), [*by, "_bkt"], "left")
+            .select("_row.*", F.coalesce(F.col("_cur"), F.col("_carryv")).alias(out)))
 
 
 # --- binned range join ------------------------------------------------------------
@@ -159,8 +179,9 @@ def range_join(points: DataFrame, ranges: DataFrame, by: list[str], point: str,
     r = ranges.withColumn("_bin", F.explode(F.sequence(
         F.floor(F.col(start) / bin_size).cast("bigint"), F.floor(F.col(end) / bin_size).cast("bigint"))))
     p = points.withColumn("_bin", F.floor(F.col(point) / bin_size).cast("bigint"))
-    return (p.join(r, [*by, "_bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end)))
-            .drop("_bin"))
+    # few ranges (checked): broadcast their bins, the points are not shuffled
+    return (p.join(_maybe_broadcast(r), [*by, "_bin"])
+            .where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end))).drop("_bin"))
 
 
 # --- exact median from a frequency table ---------------------------------------------

@@ -115,3 +115,14 @@ def test_sessionize_matches_sequential(spark):
         last[k] = tt
         want.append((k, tt, sid[k]))
     assert sess == sorted(want)
+
+
+def test_asof_join_window_fallback(spark):
+    """The shuffle-based path (summary too large to broadcast) agrees too."""
+    df = numbers(spark)
+    markers = spark.createDataFrame([("c1", 0, 1), ("c1", 400, 2), ("c1", 1500, 3), ("c2", 100, 7)],
+                                    "chain string, from_block long, ver long")
+    a = A.asof_join(df, markers, ["chain"], "number", "from_block", "ver", "asof", bucket_size=64)
+    b = A.asof_join(df, markers, ["chain"], "number", "from_block", "ver", "asof", bucket_size=64,
+                    broadcast_limit=0)
+    assert rows_of(a, ["chain", "number", "asof"]) == rows_of(b, ["chain", "number", "asof"])

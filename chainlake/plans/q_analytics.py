@@ -135,12 +135,16 @@ FROM p_extrinsics x LEFT JOIN p_events e
   ON e.block_number = x.block_number AND e.extrinsic_index = x.extrinsic_index
 GROUP BY x.id""")
 def extrinsic_events_join(spark, sf):
-    x = _t(spark, sf, "extrinsics").select("chain", "block_number", "extrinsic_index", "id")
-    e = _t(spark, sf, "events").select("chain", "block_number", "extrinsic_index",
-                                       F.col("id").alias("event_id"), "event_index")
-    return (x.join(e, ["chain", "block_number", "extrinsic_index"], "left").groupBy("id")
-            .agg(F.count("event_id").alias("n_events"), F.min("event_index").alias("first_event"),
-                 F.max("event_index").alias("last_event")))
+    """J-01: each extrinsic with its events (count, first and last index);
+    events are aggregated per extrinsic before the join (map-side partial
+    aggregate), so the join sees one row per extrinsic on each side."""
+    keys = ["chain", "block_number", "extrinsic_index"]
+    x = _t(spark, sf, "extrinsics").select(*keys, "id")
+    e = (_t(spark, sf, "events").groupBy(*keys)
+         .agg(_count().alias("n"), F.min("event_index").alias("first_event"),
+              F.max("event_index").alias("last_event")))
+    return (x.join(e, keys, "left")
+            .select("id", F.coalesce("n", F.lit(0)).alias("n_events"), "first_event", "last_event"))
 
 
 # --- transfers / withdrawals (X-12, X-13, J-06, J-07, F-01) -----------------------
@@ -303,11 +307,11 @@ SELECT x.mod_name AS call_pallet, x.call_name, e.event_name, count(*) AS n
 FROM p_events e JOIN p_extrinsics x ON x.block_number = e.block_number
  AND x.extrinsic_index = e.extrinsic_index GROUP BY ALL""")
 def events_by_call(spark, sf):
-    e = _t(spark, sf, "events").select("chain", "block_number", "extrinsic_index", "event_name")
-    x = _t(spark, sf, "extrinsics").select("chain", "block_number", "extrinsic_index",
-                                           F.col("mod_name").alias("call_pallet"), "call_name")
-    return (e.join(x, ["chain", "block_number", "extrinsic_index"])
-            .groupBy("call_pallet", "call_name", "event_name").agg(_count().alias("n")))
+    keys = ["chain", "block_number", "extrinsic_index"]
+    e = _t(spark, sf, "events").groupBy(*keys, "event_name").agg(_count().alias("n"))
+    x = _t(spark, sf, "extrinsics").select(*keys, F.col("mod_name").alias("call_pallet"), "call_name")
+    return (e.join(x, keys).groupBy("call_pallet", "call_name", "event_name")
+            .agg(F.sum("n").alias("n")))
 
 
 @query("blocks_left_transfers", """

@@ -183,10 +183,6 @@ def success_by_extrinsic(events: DataFrame) -> DataFrame:
                            (F.col("event_name") == "ExtrinsicSuccess")).alias("success")))
 
 
-def _amount(path: str) -> Column:
-    return F.get_json_object(F.col("values"), path).try_cast("decimal(38,0)")
-
-
 def _with_success(sel: DataFrame, events: DataFrame) -> DataFrame:
     if "extrinsic_success" in sel.columns:
         return sel.withColumn("success", F.col("extrinsic_success"))
@@ -198,19 +194,20 @@ def _with_success(sel: DataFrame, events: DataFrame) -> DataFrame:
 def extract_transfers(events: DataFrame) -> DataFrame:
     """Balances.Transfer -> from, to, amount DECIMAL(38,0), success."""
     tr = events.where((F.col("mod_name") == "Balances") & (F.col("event_name") == "Transfer"))
+    v = F.from_json("values", "`from` string, `to` string, amount string")   # one parse per row
     return (_with_success(tr, events)
             .select("chain", "block_number", F.col("event_index").alias("index"), "id",
                     "extrinsic_id", "extrinsic_index", "extrinsic_hash", "block_timestamp",
-                    F.get_json_object("values", "$.from").alias("from"),
-                    F.get_json_object("values", "$.to").alias("to"),
-                    _amount("$.amount").alias("amount"), "success"))
+                    v["from"].alias("from"), v["to"].alias("to"),
+                    v["amount"].try_cast("decimal(38,0)").alias("amount"), "success"))
 
 
 def extract_withdrawals(events: DataFrame) -> DataFrame:
     """Balances.Withdraw -> who, amount, success."""
     wd = events.where((F.col("mod_name") == "Balances") & (F.col("event_name") == "Withdraw"))
+    v = F.from_json("values", "who string, amount string")
     return (_with_success(wd, events)
             .select("chain", "block_number", F.col("event_index").alias("index"), "id",
                     "extrinsic_id", "extrinsic_index", "extrinsic_hash", "block_timestamp",
-                    F.get_json_object("values", "$.who").alias("who"),
-                    _amount("$.amount").alias("amount"), "success"))
+                    v["who"].alias("who"), v["amount"].try_cast("decimal(38,0)").alias("amount"),
+                    "success"))

@@ -191,7 +191,7 @@ def stream_window_session(spark, sf):
     root = work_dir(spark, "stream-session")
     ev = I.event_stream(spark, _src(spark, sf), max_files=None).where(
         F.col("event_name") == "ExtrinsicFailed")
-    q = (I.events_windowed(ev, size="", gap="10 minutes", delay="1 hour")
+    q = (I.events_windowed(ev, gap="10 minutes", delay="1 hour")
          .writeStream.outputMode("append").format("parquet").option("path", f"{root}/sessions")
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
     I.run_to_end(q)

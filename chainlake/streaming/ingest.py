@@ -127,11 +127,13 @@ def block_stream(spark: SparkSession, src: str, max_files: int | None = None) ->
     return X.extract_headers(good).withColumn("t", F.timestamp_millis("timestamp"))
 
 
-def events_windowed(events: DataFrame, size: str, slide: str | None = None,
+def events_windowed(events: DataFrame, size: str | None = None, slide: str | None = None,
                     gap: str | None = None, delay: str = "1 hour",
                     by: tuple[str, ...] = ("chain",)) -> DataFrame:
     """T-07: tumbling (``size``), sliding (``size`` + ``slide``) or session
     (``gap``) counts over block time, with a watermark bounding the state."""
+    if (size is None) == (gap is None):
+        raise ValueError("give either a window size or a session gap")
     w = (F.session_window("t", gap) if gap else
          F.window("t", size, slide) if slide else F.window("t", size))
     return (events.withWatermark("t", delay).groupBy(*by, w.alias("w"))

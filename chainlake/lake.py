@@ -47,6 +47,16 @@ class ChainLake:
             df = df.where(F.col("chain") == chain)
         return df
 
+    def chains(self, table: str = "blocks") -> set[str]:
+        """Chains stored, from the ``chain=`` folder names (no data read)."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return set()
+        return {st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
+                if st.isDirectory() and st.getPath().getName().startswith("chain=")}
+
     def source(self, name: str) -> DataFrame:
         """A driver input table of the data folder (e.g. ``events``)."""
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -9,16 +9,13 @@ from ..lake import STORED, lake_for
 from . import service as Q
 from .registry import query
 
-CHAINS = {"polkadot", "kusama"}
-
-
 @query("run_sql_blocks", """
 SELECT spec_version, count(*) AS n_blocks, max("timestamp") AS last_ts FROM p_blocks GROUP BY spec_version""")
 def run_sql_blocks(spark, sf):
     """A user's SQL text against one chain's tables ("ident" quoting on)."""
     return Q.run_query(spark, lake_for(spark, sf), "polkadot",
                        'SELECT spec_version, count(*) AS n_blocks, max("timestamp") AS last_ts '
-                       "FROM blocks GROUP BY spec_version", CHAINS)
+                       "FROM blocks GROUP BY spec_version")
 
 
 @query("run_sql_json_columns", """
@@ -28,7 +25,7 @@ FROM p_events""")
 def run_sql_json_columns(spark, sf):
     """JSON columns in a result (the reference panics on them): encoded rows."""
     df = Q.run_query(spark, lake_for(spark, sf), "polkadot",
-                     "SELECT id, block_number, phase, values, extrinsic_success FROM events", CHAINS)
+                     "SELECT id, block_number, phase, values, extrinsic_success FROM events")
     return Q.encode_result(df)
 
 
@@ -46,7 +43,7 @@ def encode_result(spark, sf):
     df = Q.run_query(spark, lake_for(spark, sf), "polkadot",
                      "SELECT number, hash_bytes, spec_version, is_finalized, "
                      "CAST(number AS DECIMAL(38,0)) * 100000000000000000000 AS big, validator_bytes "
-                     "FROM blocks", CHAINS)
+                     "FROM blocks")
     return Q.encode_result(df)
 
 
@@ -55,7 +52,7 @@ SELECT number, hash FROM p_blocks WHERE number < 0""")
 def empty_result(spark, sf):
     """No rows, schema kept (the reference returns empty columns)."""
     return Q.run_query(spark, lake_for(spark, sf), "polkadot",
-                       "SELECT number, hash FROM blocks WHERE number < 0", CHAINS)
+                       "SELECT number, hash FROM blocks WHERE number < 0")
 
 
 # Visible columns per stored table (the DDL plus the kept

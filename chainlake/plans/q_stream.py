@@ -197,3 +197,21 @@ def stream_window_session(spark, sf):
     I.run_to_end(q)
     return spark.read.schema("chain string, window_start_ms bigint, window_end_ms bigint, "
                              "n_events bigint").parquet(f"{root}/sessions")
+
+
+@query("stream_window_sliding", """
+SELECT chain, s AS window_start_ms, s + 3600000 AS window_end_ms, count(*) AS n_events FROM (
+  SELECT chain, (block_timestamp // 1800000) * 1800000 AS s FROM o_events
+  UNION ALL SELECT chain, (block_timestamp // 1800000) * 1800000 - 1800000 FROM o_events)
+GROUP BY ALL""")
+def stream_window_sliding(spark, sf):
+    """T-07: 1-hour windows sliding by 30 minutes, update mode into a keyed table."""
+    root = work_dir(spark, "stream-sliding")
+    q = (I.events_windowed(I.event_stream(spark, _src(spark, sf), max_files=None), "1 hour",
+                           slide="30 minutes")
+         .writeStream.outputMode("update")
+         .foreachBatch(I.upsert_sink(f"{root}/windows", ["chain", "window_start_ms"]))
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    I.run_to_end(q)
+    return spark.read.parquet(f"{root}/windows").select("chain", "window_start_ms", "window_end_ms",
+                                                       "n_events")

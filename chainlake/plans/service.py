@@ -24,7 +24,9 @@ class QueryError(Exception):
 def chain_session(spark: SparkSession, lake, chain: str, known_chains: set[str] | None = None
                   ) -> SparkSession:
     """Q-01 / D8: an isolated session whose views are the chain's tables."""
-    if known_chains is not None and chain not in known_chains:
+    if known_chains is None:
+        known_chains = lake.chains()
+    if chain not in known_chains:
         raise QueryError(f"unknown chain {chain!r}")
     s = spark.newSession()
     for k, v in SQL_CONF.items():

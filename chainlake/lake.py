@@ -23,7 +23,7 @@ from .session import checkpoint_dir
 from .sources import fixture
 
 STORED = ("blocks", "block_logs", "extrinsics", "events", "raw_event")
-LAKE_VERSION = "v4"
+LAKE_VERSION = "v5"
 FIXTURE_CHAINS = ("polkadot", "kusama")
 
 

@@ -112,3 +112,7 @@ def test_cte_inside_wrapped_query(spark, sf_dir):
     df = Q.run_query(spark, lake_for(spark, sf_dir), "polkadot",
                      "WITH t AS (SELECT number FROM blocks) SELECT count(*) AS n FROM t")
     assert df.first()["n"] == lake_for(spark, sf_dir).table("blocks").count()
+
+
+def test_lake_chains_from_folders(spark, sf_dir):
+    assert lake_for(spark, sf_dir).chains() == {"polkadot", "kusama"}

@@ -353,11 +353,10 @@ SELECT mod_name, ("timestamp" // 3600000) * 3600000 AS hour_ms,
 FROM p_events e JOIN p_blocks b ON b.number = e.block_number
 GROUP BY 1, 2 HAVING count(*) > 1""")
 def events_per_pallet_hour_filter(spark, sf):
-    """GROUP BY with FILTER and HAVING."""
-    e = _t(spark, sf, "events").select("chain", "block_number", "mod_name", "event_name")
-    b = _t(spark, sf, "blocks").select("chain", F.col("number").alias("block_number"), "timestamp")
-    g = (e.join(b, ["chain", "block_number"])
-         .groupBy("mod_name", (F.expr(f"timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
+    """GROUP BY with FILTER and HAVING. The block time is read from the
+    events table, where extraction stored it, so no join is needed."""
+    e = _t(spark, sf, "events").select("mod_name", "event_name", "block_timestamp")
+    g = (e.groupBy("mod_name", (F.expr(f"block_timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
          .agg(F.count_if(F.col("event_name") != "ExtrinsicFailed").alias("n_ok_events"),
               _count().alias("n_events")))
     return g.where(F.col("n_events") > 1)
@@ -381,7 +380,15 @@ def distinct_validators_approx(spark, sf):
 
 
 def _grouped(df, cols):
-    return [F.grouping(c).cast("int").alias(f"g_{c}") for c in cols] + [_count().alias("n")]
+    # input is pre-aggregated to one row per (pallet, event) with count ``n``
+    return [F.grouping(c).cast("int").alias(f"g_{c}") for c in cols] + [F.sum("n").alias("n")]
+
+
+def _pallet_event_counts(spark, sf):
+    """Counts per (pallet, event) first (map-side partial aggregate), so the
+    Expand of cube / rollup / grouping sets runs over a handful of rows
+    instead of every event."""
+    return _t(spark, sf, "events").groupBy("mod_name", "event_name").agg(_count().alias("n"))
 
 
 @query("pallet_event_rollup", """
@@ -389,7 +396,7 @@ SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
        CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
 FROM p_events GROUP BY ROLLUP (mod_name, event_name)""")
 def pallet_event_rollup(spark, sf):
-    e = _t(spark, sf, "events")
+    e = _pallet_event_counts(spark, sf)
     return e.rollup("mod_name", "event_name").agg(*_grouped(e, ["mod_name", "event_name"]))
 
 
@@ -398,7 +405,7 @@ SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
        CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
 FROM p_events GROUP BY CUBE (mod_name, event_name)""")
 def pallet_event_cube(spark, sf):
-    e = _t(spark, sf, "events")
+    e = _pallet_event_counts(spark, sf)
     return e.cube("mod_name", "event_name").agg(*_grouped(e, ["mod_name", "event_name"]))
 
 
@@ -407,7 +414,7 @@ SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
        CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
 FROM p_events GROUP BY GROUPING SETS ((mod_name), (event_name), ())""")
 def pallet_event_grouping_sets(spark, sf):
-    e = _t(spark, sf, "events")
+    e = _pallet_event_counts(spark, sf)
     return e.groupingSets([["mod_name"], ["event_name"], []], "mod_name", "event_name").agg(
         *_grouped(e, ["mod_name", "event_name"]))
 
@@ -572,8 +579,8 @@ SELECT event_name, sum(CAST(coalesce(json_extract_string("values", '$.amount'),
 FROM p_events WHERE mod_name IN ('Balances', 'TransactionPayment') GROUP BY event_name""")
 def json_amounts(spark, sf):
     e = _t(spark, sf, "events").where(F.col("mod_name").isin("Balances", "TransactionPayment"))
-    amt = F.coalesce(F.get_json_object("values", "$.amount"),
-                     F.get_json_object("values", "$.actual_fee")).try_cast("decimal(38,0)")
+    v = F.from_json("values", "amount string, actual_fee string")      # one parse per row
+    amt = F.coalesce(v["amount"], v["actual_fee"]).try_cast("decimal(38,0)")
     return e.groupBy("event_name").agg(F.sum(amt).alias("total"), _count().alias("n"))
 
 

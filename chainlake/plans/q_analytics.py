@@ -233,9 +233,10 @@ FROM p_events e LEFT JOIN """ + _name_values_sql() + """
   ON d.dim_pallet = e.mod_name AND d.dim_event = e.event_name
 GROUP BY ALL""")
 def event_name_map(spark, sf):
-    e = N.canonical_event_name(_t(spark, sf, "events"))
-    return e.groupBy("mod_name", "event_name", "canonical_pallet", "canonical_event").agg(
-        _count().alias("n"))
+    # count per (pallet, event) first; the dimension join then sees a few rows
+    per = _t(spark, sf, "events").groupBy("mod_name", "event_name").agg(_count().alias("n"))
+    return N.canonical_event_name(per).select("mod_name", "event_name", "canonical_pallet",
+                                              "canonical_event", "n")
 
 
 # --- block structure (J-08, J-09, T-06, U-02) ------------------------------------

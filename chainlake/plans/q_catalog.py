@@ -96,8 +96,9 @@ SELECT s.engine, string_agg(DISTINCT s.chain, ',' ORDER BY s.chain) AS chains,
        count(DISTINCT s.chain) AS n_chains, sum(coalesce(st.n_blocks, 0)) AS n_blocks
 FROM o_support s LEFT JOIN o_stored st ON st.chain = s.chain GROUP BY s.engine""")
 def engine_chains(spark, sf):
-    s = _with_blocks(K.engine_chains(K.read_catalog(spark)).select("engine", "chain"), spark, sf)
-    g = s.groupBy("engine").agg(F.array_sort(F.collect_set("chain")).alias("cs"),
-                                F.count_distinct("chain").alias("n_chains"),
-                                F.sum("n_blocks").alias("n_blocks"))
+    engines = K.list_engines(K.read_catalog(spark))            # raises when empty
+    per_chain = _with_blocks(engines.select("engine", F.explode("chains").alias("chain")), spark, sf)
+    g = per_chain.groupBy("engine").agg(F.array_sort(F.collect_set("chain")).alias("cs"),
+                                        F.count_distinct("chain").alias("n_chains"),
+                                        F.sum("n_blocks").alias("n_blocks"))
     return g.select("engine", F.array_join("cs", ",").alias("chains"), "n_chains", "n_blocks")

@@ -119,3 +119,12 @@ def chain_connections(catalog: DataFrame) -> DataFrame:
 def node(catalog: DataFrame, name: str) -> DataFrame:
     """J-05: node look-up by name."""
     return nodes(catalog).where(F.col("node_name") == name)
+
+
+def list_engines(catalog: DataFrame) -> DataFrame:
+    """Q-08 / A-06: support chains grouped per engine kind (disabled chains
+    included). An empty engine list is an error, as in the reference."""
+    e = engine_chains(catalog)
+    if not e.limit(1).collect():
+        raise CatalogError("data engines is empty")
+    return e.groupBy("engine").agg(F.array_sort(F.collect_set("chain")).alias("chains"))

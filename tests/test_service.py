@@ -116,3 +116,14 @@ def test_cte_inside_wrapped_query(spark, sf_dir):
 
 def test_lake_chains_from_folders(spark, sf_dir):
     assert lake_for(spark, sf_dir).chains() == {"polkadot", "kusama"}
+
+
+def test_empty_engine_list_is_error(spark, tmp_path):
+    p = tmp_path / "empty.json"
+    p.write_text('{"storage": {"nodes": [{"id": 1, "name": "n", "rpc": {"url": "x"}, '
+                 '"apiserver": {"url": "y"}, "data_engines": []}]}, "chain": []}')
+    with pytest.raises(K.CatalogError):
+        K.list_engines(K.read_catalog(spark, str(p)))
+    engines = K.list_engines(K.read_catalog(spark)).collect()
+    assert [(r["engine"], r["chains"]) for r in engines] == [
+        ("Postgres", ["kusama", "localsubstrate", "polkadot", "westend"])]

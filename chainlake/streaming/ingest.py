@@ -56,14 +56,18 @@ def write_batch(batch: DataFrame, batch_id: int, root: str,
             name, fn, pos = step
             rows = S.with_order(fn(good), batch_id, pos)
             return name, S.upsert(rows, f"{root}/{name}", S.TABLE_KEYS[name], touched=touched)
-        # independent tables are written by concurrent jobs; each upsert is
-        # idempotent, so their order does not matter for a replay
-        with ThreadPoolExecutor(max_workers=len(steps) or 1) as pool:
+
+        def dead_letters():
+            _dead_letters(rejected.select("reason", F.coalesce(V.CORRUPT, F.to_json(F.struct(
+                "chain", "chain_kind"))).alias("payload")), f"{root}/_rejected_envelopes", batch_id)
+            _dead_letters(bad.select("chain", "problem", F.to_json("header").alias("payload")),
+                          f"{root}/_bad_blocks", batch_id)
+        # independent tables (and the dead letters) are written by concurrent
+        # jobs; each write is idempotent, so their order does not matter
+        with ThreadPoolExecutor(max_workers=len(steps) + 1) as pool:
+            dl = pool.submit(dead_letters)
             written = dict(pool.map(one, steps))
-        _dead_letters(rejected.select("reason", F.coalesce(V.CORRUPT, F.to_json(F.struct(
-            "chain", "chain_kind"))).alias("payload")), f"{root}/_rejected_envelopes", batch_id)
-        _dead_letters(bad.select("chain", "problem", F.to_json("header").alias("payload")),
-                      f"{root}/_bad_blocks", batch_id)
+            dl.result()
         stats = dict(obs.get)
         for name, counts in written.items():       # IO-18: inserted vs updated keys
             stats.update({f"{name}_{k}": v for k, v in counts.items()})

@@ -184,7 +184,7 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     Parquet table at ``path``; only touched partitions are read and
     rewritten. ``touched`` may be passed in when several tables share one
     batch (it is the same block range for all of them). Returns the number
-    of keys inserted and updated (IO-18), observed on the key check itself."""
+    of keys inserted and updated (IO-18), counted by the key check itself."""
     spark = batch.sparkSession
     batch_latest = latest(batch, keys, keep_old=None)
     if not _exists(spark, path):
@@ -213,13 +213,14 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
                 .limit(MAX_STATIC_PARTITIONS + 1).collect())
     counts = {"updated": sum(r["hits"] for r in per_part)}
     counts["inserted"] = sum(r["n"] for r in per_part) - counts["updated"]
+    parts = [(r["chain"], r["block_bucket"]) for r in per_part]
     conflict = (None if len(per_part) > MAX_STATIC_PARTITIONS else
                 [(r["chain"], r["block_bucket"]) for r in per_part if r["hits"] > 0])
     if conflict is None:                       # too many to list: merge all touched
         merge_rows, append_rows = batch_latest, None
         merge_existing = existing_touched
     elif not conflict:
-        append_partitioned(batch_latest, path, touched)
+        append_partitioned(batch_latest, path, parts)
         return counts
     else:
         in_conflict = _partition_filter(conflict)
@@ -238,7 +239,7 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     (spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLS).parquet(path))
     if append_rows is not None:
-        append_partitioned(append_rows, path, [p for p in touched if p not in set(conflict)])
+        append_partitioned(append_rows, path, [p for p in parts if p not in set(conflict)])
     return counts
 
 

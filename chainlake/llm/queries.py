@@ -7,10 +7,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import decontam, quality, sentencepiece_bpe, simhash, spans
 from .common import table
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.components(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -20,5 +31,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_quality)}
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.duplicates(table(spark, sf_dir, "documents"))
+    chars = F.aggregate("removed", F.lit(0), lambda n, r: n + r["chars"])
+    return out.select("doc_id", "n_sentences", chars.alias("removed_chars"), "removed", "kept_in", "text")
+
+
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_simhash, op7_quality, op8_sentencepiece, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -13,8 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainlake.llm import quality, simhash
+from chainlake.llm import decontam, quality, sentencepiece_bpe, simhash, spans
 from chainlake.llm.common import table
+from chainlake.llm.queries import tokenizer_path
 from chainlake.session import checkpoint_dir
 
 
@@ -29,9 +30,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.dedup(docs)
 
 
+def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences covered by a repeated span leave all documents but the first."""
+    return spans.dedup(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids, decoded)``: the token ids of each whole text and the
+    text they decode to."""
+    return sentencepiece_bpe.tokenize(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality classifier", quality_filter),
     ("SimHash near-dedup", near_dedup),
+    ("substring dedup", span_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding and decoding", tokenize),
 ]
 
 # The stages hold a fitted model, bit-level hashes and a tokenizer: no SQL form.

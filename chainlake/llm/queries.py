@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sentencepiece_bpe, simhash, spans
+from . import decontam, quality, sentencepiece_bpe, sharding, simhash, spans, topk
 from .common import table
 
 
@@ -18,6 +18,25 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), 64)
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+OP1_SQL = """
+WITH e AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM e),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +63,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", chars.alias("removed_chars"), "removed", "kept_in", "text")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_simhash, op7_quality, op8_sentencepiece, op9_substring_dedup)}
-ORACLES: dict[str, str] = {}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_topk, op4_decontamination, op5_simhash, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
+ORACLES = {"op1_topk": OP1_SQL, "op10_sharding": sharding.placement_sql()}

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sentencepiece_bpe, sharding, simhash, spans, topk
+from . import chat, decontam, quality, sentencepiece_bpe, sharding, simhash, spans, topk
 from .common import table
 
 
@@ -37,6 +37,19 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                              F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                              F.lit(probe).alias("text")))
+    back = chat.read_back(chat.windows(rows))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,5 +81,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_topk, op4_decontamination, op5_simhash, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
+    op1_topk, op3_chat, op4_decontamination, op5_simhash, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
 ORACLES = {"op1_topk": OP1_SQL, "op10_sharding": sharding.placement_sql()}

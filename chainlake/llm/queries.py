@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, quality, sentencepiece_bpe, sharding, simhash, spans, topk
+from . import chat, decontam, quality, sentencepiece_bpe, sharding, simhash, spans, topk, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,5 +85,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_topk, op3_chat, op4_decontamination, op5_simhash, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
+    op1_topk, op3_chat, op4_decontamination, op5_simhash, op6_toxicity, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
 ORACLES = {"op1_topk": OP1_SQL, "op10_sharding": sharding.placement_sql()}

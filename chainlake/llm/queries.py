@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, quality, sentencepiece_bpe, sharding, simhash, spans, topk, toxicity
+from . import chat, decontam, pages, quality, sentencepiece_bpe, sharding, simhash, spans, topk, toxicity
 from .common import table
 
 
@@ -37,6 +37,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
@@ -85,5 +90,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_topk, op3_chat, op4_decontamination, op5_simhash, op6_toxicity, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
+    op1_topk, op2_html, op3_chat, op4_decontamination, op5_simhash, op6_toxicity, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
 ORACLES = {"op1_topk": OP1_SQL, "op10_sharding": sharding.placement_sql()}

@@ -110,11 +110,12 @@ def lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth: int = 3,
               penalty: float = 0.0005) -> Rules:
-    """Trees, their paths as rules, lasso weights. One class or no rows: a
-    constant score, the share of label 1 (0.5 without rows)."""
+    """Trees, their paths as rules, lasso weights. One class, or too few rows
+    for a split: a constant score, the share of label 1 (0.5 without rows)."""
+    share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
+    constant = Rules(float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
-        return Rules(float(np.log(share / (1 - share))))
+        return constant
     cuts = []
     for j in range(x.shape[1]):
         points = np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)))
@@ -130,6 +131,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, d
             else:
                 f[what] += 0.5 * value
     rules = list(paths)
+    if not rules:  # too few rows to split
+        return constant
     a = np.stack([np.logical_and.reduce([(x[:, j] > c) == g for j, g, c in rule]) for rule in rules], 1).astype(float)
     keep = np.flatnonzero((a.mean(0) > 0) & (a.mean(0) < 1))
     b, w = lasso(a[:, keep], y.astype(float), penalty)

@@ -36,6 +36,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,10 +278,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, i
     schema = f"doc_id {kind}, item_id long, word_from int, word_to int, distance int"
     out = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Index(items, max_edits))  # bounded by the block
+        # bounded by the block; pickled by value, as the tasks' functions are
+        sent = spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(Index(items, max_edits))})
 
         def run(batches, sent=sent):
-            index = sent.value
+            kept = sent.value  # stays with the worker from task to task
+            if "index" not in kept:
+                kept["index"] = cloudpickle.loads(kept["pickled"])
+            index = kept["index"]
             for b in batches:
                 for part in by_size(b):
                     got = index.leaks(part.column(1).to_pylist())

@@ -10,7 +10,7 @@ fits, it marks the place as failed in a bitfield and steps back.
 
 No piece holds the space mark after another character, so a text splits into
 chunks (space marks, then other characters) that encode independently; chunks
-that recur are kept in a bounded cache per task.
+that recur are kept in a bounded cache per Python worker.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 SPACE = "▁"
-CACHE = 300_000  # chunks kept per task
+CACHE = 1_000_000  # chunks kept per Python worker (some 300 MB)
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -72,7 +72,7 @@ def normalizer_flags(model: bytes) -> dict[str, object]:
 
 
 class Encoder:
-    """One per task, from the bytes of a model file."""
+    """One per Python worker, from the bytes of a model file."""
 
     def __init__(self, model: bytes):
         flags = normalizer_flags(model)
@@ -236,13 +236,15 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     empty table gives no rows. The model file is read on the driver and sent
     with the tasks (its size is that of the vocabulary)."""
     with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast({"model": f.read()})
     src = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string"))
 
     def run(batches):
-        encoder = None
+        kept = shared.value  # stays with the worker from task to task, and so do the encoder's caches
+        if "encoder" not in kept:
+            kept["encoder"] = Encoder(kept["model"])
+        encoder = kept["encoder"]
         for b in batches:
-            encoder = encoder or Encoder(model.value)
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 found = [encoder.encode(t.as_py()) for t in part.column(1)]

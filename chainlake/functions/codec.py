@@ -61,8 +61,8 @@ def ints_from_bytes(b) -> Column:
 
 # S-03 -------------------------------------------------------------------
 def item_id(block, index) -> Column:
-    """Composite id ``{block}-{index}``."""
-    return F.concat_ws("-", _c(block).cast("string"), _c(index).cast("string"))
+    """Composite id ``{block}-{index}``; NULL when either part is."""
+    return F.concat(_c(block).cast("string"), F.lit("-"), _c(index).cast("string"))
 
 
 # S-04 -------------------------------------------------------------------

@@ -13,21 +13,24 @@ import hashlib
 import threading
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import extract as X
-from .operators.sink import _exists, with_order, write_partitioned
+from .operators.sink import _delete, _exists, _fs, _names, with_order, write_partitioned
 from .session import checkpoint_dir
 from .sources import fixture
+from .tables import TABLES
 
 STORED = ("blocks", "block_logs", "extrinsics", "events", "raw_event")
-LAKE_VERSION = "v5"
+LAKE_VERSION = "v7"
 FIXTURE_CHAINS = ("polkadot", "kusama")
 
 
 class ChainLake:
+    STORED = STORED
+    DERIVED = ("transfers", "withdrawals")
+
     def __init__(self, spark: SparkSession, root: str, sf_dir: str | None = None):
         self.spark = spark
         self.root = root
@@ -36,26 +39,20 @@ class ChainLake:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, chain: str | None = "polkadot") -> DataFrame:
-        """A stored table; ``chain`` filters the partition (pruned at scan)."""
+    def table(self, name: str, chain: str | None = None) -> DataFrame:
+        """A stored table, of all chains or of one (pruned at scan)."""
         if name == "transfers":
             return X.extract_transfers(self.table("events", chain))
         if name == "withdrawals":
             return X.extract_withdrawals(self.table("events", chain))
-        df = self.spark.read.parquet(self.path(name))
+        df = self.spark.read.schema(TABLES[name]).parquet(self.path(name))
         if chain is not None:
             df = df.where(F.col("chain") == chain)
         return df
 
     def chains(self, table: str = "blocks") -> set[str]:
         """Chains stored, from the ``chain=`` folder names (no data read)."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return set()
-        return {st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
-                if st.isDirectory() and st.getPath().getName().startswith("chain=")}
+        return {n.split("=", 1)[1] for n in _names(self.spark, self.path(table)) if n.startswith("chain=")}
 
     def source(self, name: str) -> DataFrame:
         """A driver input table of the data folder (e.g. ``events``)."""
@@ -71,38 +68,55 @@ class ChainLake:
                 fixture.write_envelope_files(events, path, FIXTURE_CHAINS)
         return path
 
-    def register(self, chain: str = "polkadot", spark: SparkSession | None = None) -> None:
-        """Temp views for SQL over one chain (Q-01)."""
+    def register(self, chain: str | None = None, spark: SparkSession | None = None) -> None:
+        """Temp views for SQL, over one chain (Q-01) or all."""
         view_lake = ChainLake(spark or self.spark, self.root, self.sf_dir)
-        for name in STORED + ("transfers", "withdrawals"):
+        for name in self.STORED + self.DERIVED:
             view_lake.table(name, chain).createOrReplaceTempView(name)
 
 
 def ingest_blocks(blocks: DataFrame, root: str, batch_id: int = 0) -> None:
     """Batch ingest: nested blocks -> the four stored tables (IO-15 order:
-    header, logs, extrinsics, events). The block rows are persisted once and
-    reused by the four extractions."""
-    cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    header, logs, extrinsics, events). The nested rows are built once, as a
+    table in the shared folder that the four extractions read, so a lost
+    executor costs no rebuild; it is dropped at the end."""
+    spark = blocks.sparkSession
+    nested = f"{root}/_nested"
+    blocks.write.mode("overwrite").parquet(nested)
     steps = [("blocks", X.extract_headers, "number"), ("block_logs", X.extract_logs, None),
              ("extrinsics", X.extract_extrinsics, None), ("events", X.extract_events, None)]
 
     def one(step):
         name, fn, pos = step
-        write_partitioned(with_order(fn(cached), batch_id, pos), f"{root}/{name}")
-    try:
-        cached.count()          # build the blocks once, then four concurrent writes
-        with ThreadPoolExecutor(max_workers=len(steps)) as pool:
-            list(pool.map(one, steps))
-    finally:
-        cached.unpersist()
+        rows = with_order(fn(spark.read.schema(blocks.schema).parquet(nested)), batch_id, pos)
+        write_partitioned(rows.drop("_pos"), f"{root}/{name}")
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        list(pool.map(one, steps))
+    _delete(spark, nested)
+
+
+def create_tables(spark: SparkSession, root: str) -> None:
+    """IO-19: the empty tables of the layout, ready to be read and upserted."""
+    for name, schema in TABLES.items():
+        if not _exists(spark, f"{root}/{name}"):
+            write_partitioned(spark.createDataFrame([], schema), f"{root}/{name}")
+            fs, p = _fs(spark, f"{root}/{name}")
+            fs.mkdirs(p)
 
 
 _LOCK = threading.Lock()
 _LAKES: dict[tuple[str, str], ChainLake] = {}
 
 
+def source_files(spark: SparkSession, sf_dir: str, table: str = "events") -> list[str]:
+    """Name, size and time of the source's files: other data, another lake."""
+    fs, p = _fs(spark, f"{sf_dir}/{table}.parquet")
+    return sorted(f"{st.getPath().getName()} {st.getLen()} {st.getModificationTime()}" for st in fs.listStatus(p))
+
+
 def lake_root(spark: SparkSession, sf_dir: str, tag: str = "lake") -> str:
-    digest = hashlib.sha1(f"{sf_dir}|{LAKE_VERSION}".encode()).hexdigest()[:12]
+    key = "|".join([sf_dir, LAKE_VERSION, *source_files(spark, sf_dir)])
+    digest = hashlib.sha1(key.encode()).hexdigest()[:12]
     return f"{checkpoint_dir(spark)}/chainlake/{tag}-{digest}"
 
 
@@ -120,7 +134,7 @@ def lake_for(spark: SparkSession, sf_dir: str) -> ChainLake:
             ingest_blocks(fixture.nested_blocks(events, FIXTURE_CHAINS), root)
             raw = fixture.raw_event_rows(events).withColumn("chain", F.lit("polkadot")) \
                 .withColumn("block_bucket", X.block_bucket("block_number"))
-            write_partitioned(with_order(raw, 0), f"{root}/raw_event")
+            write_partitioned(with_order(raw, 0).drop("_pos"), f"{root}/raw_event")
             spark.createDataFrame([(LAKE_VERSION,)], "v string").coalesce(1) \
                 .write.mode("overwrite").text(f"{root}/_DONE")
         lake = ChainLake(spark, root, sf_dir)

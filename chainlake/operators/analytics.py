@@ -16,6 +16,11 @@ through a one-row-per-bucket summary table:
                         the last marker of earlier buckets
 * ``range_join``      - ranges exploded into fixed-width bins, equi-join on
                         the bin, then the exact range predicate
+* ``count_in_ranges`` - prefix sums of the points and two as-of look-ups per
+                        range: no pairs at all
+
+No plan here depends on the data's size: joins with the summaries are plain
+equi-joins, which Spark broadcasts when it sees at run time that they are small.
 """
 
 from __future__ import annotations
@@ -25,18 +30,6 @@ from pyspark.sql import functions as F
 
 from .extract import BUCKET_SIZE
 
-# Summary tables (one row per key and bucket) are broadcast only when their
-# row count is checked to stay under this bound.
-BROADCAST_ROWS = 200_000
-
-
-def _bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if _bounded(df, limit) else df
-
 
 def _bucket_of(col: str, size: int) -> Column:
     return F.floor(F.col(col) / size).cast("bigint")
@@ -56,7 +49,7 @@ def prev_in_order(df: DataFrame, by: list[str], order: str, cols: list[str],
         F.max_by(F.struct(*keep), F.col(order)).alias("_last"))
     wb = Window.partitionBy(*by).orderBy("_bkt")
     carry = last.select(*by, "_bkt", F.lag("_last").over(wb).alias("_carry"))
-    d = d.join(_maybe_broadcast(carry), [*by, "_bkt"], "left")
+    d = d.join(carry, [*by, "_bkt"], "left")
     first = F.col(f"_lag_{order}").isNull()
     for c in keep:
         d = d.withColumn(f"{prefix}{c}", F.when(first, F.col("_carry")[c]).otherwise(F.col(f"_lag_{c}")))
@@ -64,19 +57,19 @@ def prev_in_order(df: DataFrame, by: list[str], order: str, cols: list[str],
 
 
 # T-06 ------------------------------------------------------------------------
-def block_gaps(blocks: DataFrame) -> DataFrame:
+def block_gaps(blocks: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
     """Missing block-number ranges per chain: (gap_from, gap_to, missing)."""
-    b = prev_in_order(blocks.select("chain", "number"), ["chain"], "number", [])
+    b = prev_in_order(blocks.select("chain", "number"), ["chain"], "number", [], bucket_size)
     return (b.where(F.col("number") - F.col("prev_number") > 1)
             .select("chain", (F.col("prev_number") + 1).alias("gap_from"),
                     (F.col("number") - 1).alias("gap_to"),
                     (F.col("number") - F.col("prev_number") - 1).alias("missing")))
 
 
-def block_intervals(blocks: DataFrame) -> DataFrame:
+def block_intervals(blocks: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
     """Time since the previous stored block (analytic-window proof)."""
     b = prev_in_order(blocks.select("chain", "number", "timestamp"), ["chain"], "number",
-                      ["timestamp"])
+                      ["timestamp"], bucket_size)
     return b.select("chain", "number", "prev_number",
                     (F.col("timestamp") - F.col("prev_timestamp")).alias("interval_ms"))
 
@@ -120,53 +113,31 @@ def running_sum(df: DataFrame, key: list[str], order: str, value: str, out: str,
 
 # --- as-of join -----------------------------------------------------------------
 def asof_join(left: DataFrame, markers: DataFrame, by: list[str], left_key: str,
-              marker_key: str, value: str, out: str, bucket_size: int = BUCKET_SIZE,
-              broadcast_limit: int = BROADCAST_ROWS) -> DataFrame:
+              marker_key: str, value: str, out: str, bucket_size: int = BUCKET_SIZE) -> DataFrame:
     """For each left row, ``value`` of the marker with the greatest
     ``marker_key <= left_key`` (same ``by``); NULL when there is none.
 
-    Markers are summarised per (by, bucket): the markers inside the bucket
-    (sorted) and the last marker of the earlier buckets (carry). When that
-    summary is proven small it is broadcast and the left side - the large
-    table - is joined map-side without any shuffle; otherwise the left rows
-    are unioned with the markers and resolved by ``last(ignorenulls)``
-    inside each bucket, with the same carry across bucket edges."""
-    mk = markers.select(*by, F.col(marker_key).alias("_k"), F.col(value).alias("_v"),
-                        _bucket_of(marker_key, bucket_size).alias("_bkt"))
-    per_bkt = mk.groupBy(*by, "_bkt").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_k"), F.col("_v")))).alias("_ms"),
-        F.max_by("_v", F.col("_k")).alias("_lastv"))
-    # buckets that hold left rows (a map-side aggregate: one row per bucket)
-    lb = left.select(*by, _bucket_of(left_key, bucket_size).alias("_bkt")).distinct()
-    allb = lb.unionByName(per_bkt.select(*by, "_bkt")).distinct()
-    wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (allb.join(per_bkt, [*by, "_bkt"], "left")
-               .select(*by, "_bkt", "_ms",
-                       F.last("_lastv", ignorenulls=True).over(wb).alias("_carryv")))
-    if _bounded(summary, broadcast_limit) and _bounded(mk, broadcast_limit):
-        k = F.col(left_key)
-        j = left.withColumn("_bkt", _bucket_of(left_key, bucket_size)).join(
-            F.broadcast(summary), [*by, "_bkt"], "left")
-        before = F.filter(F.coalesce("_ms", F.array().cast(summary.schema["_ms"].dataType)),
-                          lambda m: m["_k"] <= k)
-        inside = F.try_element_at(before, F.lit(-1))["_v"]
-        return j.withColumn(out, F.coalesce(inside, F.col("_carryv"))).drop("_bkt", "_ms", "_carryv")
-    return _asof_by_window(left, mk, summary, by, left_key, out, bucket_size)
-
-
-def _asof_by_window(left, mk, summary, by, left_key, out, bucket_size):
-    lk = left.select(*by, F.col(left_key).alias("_k"), F.lit(1).alias("_side"),
-                     F.lit(None).cast(mk.schema["_v"].dataType).alias("_v"),
-                     F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
-    mk2 = mk.select(*by, "_k", F.lit(0).alias("_side"), "_v",
-                    F.lit(None).cast(lk.schema["_row"].dataType).alias("_row"))
-    u = lk.unionByName(mk2).withColumn("_bkt", _bucket_of("_k", bucket_size))
-    w = Window.partitionBy(*by, "_bkt").orderBy("_k", "_side").rowsBetween(
+    Left rows and markers are unioned and resolved by ``last(ignorenulls)``
+    inside (by, bucket); the last marker of the earlier buckets comes from a
+    summary of one row per bucket. Only the columns needed are shuffled with
+    the left rows."""
+    mk = markers.select(*by, F.col(marker_key).alias("_k"), F.struct(F.col(value).alias("v")).alias("_v"))
+    lk = left.select(*by, F.col(left_key).alias("_k"), F.struct(*left.columns).alias("_row"))
+    u = (lk.withColumn("_v", F.lit(None).cast(mk.schema["_v"].dataType))
+         .unionByName(mk.withColumn("_row", F.lit(None).cast(lk.schema["_row"].dataType)))
+         .withColumn("_bkt", _bucket_of("_k", bucket_size)))
+    w = Window.partitionBy(*by, "_bkt").orderBy(F.col("_k"), F.col("_row").isNotNull()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     u = u.withColumn("_cur", F.last("_v", ignorenulls=True).over(w))
-    carry = summary.select(*by, "_bkt", "_carryv")
-    return (u.where(F.col("_side") == 1).join(_maybe_broadcast(carry), [*by, "_bkt"], "left")
-            .select("_row.*", F.coalesce(F.col("_cur"), F.col("_carryv")).alias(out)))
+    # buckets with a row of either kind, and the last marker before each
+    per = (lk.select(*by, _bucket_of("_k", bucket_size).alias("_bkt"), F.lit(None).cast("bigint").alias("_k"),
+                     F.lit(None).cast(mk.schema["_v"].dataType).alias("_v")).distinct()
+           .unionByName(mk.select(*by, _bucket_of("_k", bucket_size).alias("_bkt"), F.col("_k").cast("bigint").alias("_k"), "_v"))
+           .groupBy(*by, "_bkt").agg(F.max_by("_v", "_k").alias("_last")))
+    wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*by, "_bkt", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
+    return (u.where(F.col("_row").isNotNull()).join(carry, [*by, "_bkt"], "left")
+            .select("_row.*", F.coalesce("_cur", "_carry")["v"].alias(out)))
 
 
 # --- binned range join ------------------------------------------------------------
@@ -179,18 +150,40 @@ def range_join(points: DataFrame, ranges: DataFrame, by: list[str], point: str,
     r = ranges.withColumn("_bin", F.explode(F.sequence(
         F.floor(F.col(start) / bin_size).cast("bigint"), F.floor(F.col(end) / bin_size).cast("bigint"))))
     p = points.withColumn("_bin", F.floor(F.col(point) / bin_size).cast("bigint"))
-    # few ranges (checked): broadcast their bins, the points are not shuffled
-    return (p.join(_maybe_broadcast(r), [*by, "_bin"])
+    return (p.join(r, [*by, "_bin"])
             .where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end))).drop("_bin"))
 
 
-# --- exact median from a frequency table ---------------------------------------------
-def exact_percentile(df: DataFrame, group: list[str], col: str, p: float, out: str) -> DataFrame:
-    """Exact percentile (linear interpolation, like ``percentile_cont``):
-    values are first counted per distinct value (partial aggregation on
-    the map side), so the buffer holds distinct values, not rows."""
+def count_in_ranges(points: DataFrame, ranges: DataFrame, by: list[str], point: str, start: str, end: str,
+                    out: str, bucket_size: int) -> DataFrame:
+    """``ranges`` with the number of points in ``[start, end]`` (integers).
+    Points are counted per position, the counts summed up along the axis (two
+    levels), and each range takes the difference of the sums as of its ends:
+    the work is linear in points and ranges, however much they overlap."""
+    per = points.groupBy(*by, F.col(point).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sum(per, by, "_at", "_n", "_upto", bucket_size).select(*by, "_at", "_upto")
+    r = ranges.withColumn("_before", F.col(start) - 1)
+    r = asof_join(r, upto, by, end, "_at", "_upto", "_hi", bucket_size)
+    r = asof_join(r, upto, by, "_before", "_at", "_upto", "_lo", bucket_size)
+    n = F.coalesce("_hi", F.lit(0)) - F.coalesce("_lo", F.lit(0))
+    return r.withColumn(out, n.cast("bigint")).drop("_before", "_hi", "_lo")
+
+
+# --- exact percentile from a frequency table -------------------------------------------
+def exact_percentile(df: DataFrame, group: list[str], col: str, p: float, out: str,
+                     bucket_size: int = BUCKET_SIZE) -> DataFrame:
+    """Exact percentile of a whole-number column (linear interpolation, like
+    ``percentile_cont``). Values are counted per distinct value, the counts
+    summed up in value order in two levels, and the two values at the wanted
+    positions picked by an aggregate: no task holds a group's values."""
     freq = df.where(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count(F.lit(1)).alias("_n"))
-    return freq.groupBy(*group).agg(F.percentile(F.col(col), F.lit(p), F.col("_n")).alias(out))
+    upto = running_sum(freq, group, col, "_n", "_upto", bucket_size)
+    total = freq.groupBy(*group).agg(F.sum("_n").alias("_all"))
+    at = F.lit(p) * (F.col("_all") - 1)
+    picked = upto.join(total, group).groupBy(*group, "_all").agg(
+        F.min(F.when(F.col("_upto") > F.floor(at), F.col(col))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > F.ceil(at), F.col(col))).alias("_hi"))
+    return picked.select(*group, (F.col("_lo") + (at - F.floor(at)) * (F.col("_hi") - F.col("_lo"))).alias(out))
 
 
 # --- J-06 / J-07 / A-03 -----------------------------------------------------------------
@@ -259,6 +252,19 @@ def orphan_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.join(parent, ["chain", "parent_hash"], "left_anti")
 
 
+def ancestors(blocks: DataFrame, steps: int = 3) -> DataFrame:
+    """Up to ``steps`` parent links from every block, one equi-join a step:
+    (chain, start, depth, farthest)."""
+    walk = blocks.select("chain", F.col("number").alias("start"), F.lit(0).alias("depth"),
+                         F.col("number").alias("farthest"), F.col("parent_hash").alias("_up"))
+    up = blocks.select("chain", F.col("hash").alias("_up"), F.col("number").alias("_n"), F.col("parent_hash").alias("_next"))
+    for _ in range(steps):
+        walk = (walk.join(up, ["chain", "_up"], "left")
+                .select("chain", "start", (F.col("depth") + F.col("_n").isNotNull().cast("int")).alias("depth"),
+                        F.coalesce("_n", "farthest").alias("farthest"), F.col("_next").alias("_up")))
+    return walk.drop("_up")
+
+
 # J-08 ----------------------------------------------------------------------------
 def runtime_versions(blocks: DataFrame) -> DataFrame:
     """Upgrade points: the first block stored with each spec_version."""

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import (engine_name, five_topics, hex0x, item_id, json_or_null, phase_text,
-                               wrap_i32)
+from ..functions.codec import (amount38, five_topics, hex0x, item_id, json_or_null, phase_text,
+                               wrap_i16, wrap_i32)
 
 BUCKET_SIZE = 100_000  # block_bucket = block_number div BUCKET_SIZE (SURVEY §4.3)
 
@@ -34,6 +34,11 @@ def _chain(blocks: DataFrame) -> Column:
     return F.col("chain") if "chain" in blocks.columns else F.lit("polkadot")
 
 
+def _src(blocks: DataFrame) -> list[Column]:
+    """The block's position in its source, carried along where it is known."""
+    return [F.col("_src")] if "_src" in blocks.columns else []
+
+
 # X-01 … X-05 --------------------------------------------------------------
 def extract_headers(blocks: DataFrame) -> DataFrame:
     """``blocks`` table rows: hex text and raw bytes of every hash."""
@@ -56,6 +61,7 @@ def extract_headers(blocks: DataFrame) -> DataFrame:
         h["state_root"].alias("state_root_bytes"),
         h["validator"].alias("validator_bytes"),
         block_bucket(bn).alias("block_bucket"),
+        *_src(blocks),
     )
 
 
@@ -63,7 +69,7 @@ def extract_headers(blocks: DataFrame) -> DataFrame:
 def extract_logs(blocks: DataFrame) -> DataFrame:
     """Digest items, indexed by position; an empty list gives no rows."""
     bn = _bn(blocks)
-    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"),
+    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
                           F.posexplode(F.col("logs")).alias("pos", "log"))
             .select(
                 "chain",
@@ -71,9 +77,9 @@ def extract_logs(blocks: DataFrame) -> DataFrame:
                 "block_number",
                 F.col("log.type").alias("type"),
                 hex0x(F.col("log.data")).alias("data"),
-                engine_name(F.col("log.engine_id")).alias("engine"),
+                F.col("log.engine").alias("engine"),
                 F.col("pos").alias("log_index"),
-                block_bucket("block_number").alias("block_bucket")))
+                block_bucket("block_number").alias("block_bucket"), *_src(blocks)))
 
 
 # X-07 / X-09 / A-01 / N-01 ---------------------------------------------------
@@ -102,7 +108,7 @@ def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> D
     the reference's never-reset flag produces (N-01)."""
     bn = _bn(blocks)
     x = F.col("x")
-    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"),
+    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
                           ok_indexes(F.col("body.events")).alias("_ok"),
                           F.posexplode(F.col("body.extrinsics")).alias("extrinsic_index", "x"))
             .select(
@@ -119,16 +125,17 @@ def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> D
                 x["block_timestamp"].cast("bigint").alias("block_timestamp"),
                 F.col("extrinsic_index").cast("bigint").alias("extrinsic_index"),
                 hex0x(x["signature"]).alias("signer"),
-                block_bucket("block_number").alias("block_bucket")))
+                block_bucket("block_number").alias("block_bucket"), *_src(blocks)))
 
 
 # X-08 ---------------------------------------------------------------------
 def extract_events(blocks: DataFrame) -> DataFrame:
     """``events`` rows. ``extrinsic_success`` is denormalised here, where the
-    whole block is at hand, so transfer/withdraw tables need no join."""
+    whole block is at hand, so transfer/withdraw tables need no join. An event
+    outside extrinsics (phase 1 or 2) has no extrinsic id and no success."""
     bn = _bn(blocks)
     e = F.col("e")
-    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"),
+    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
                           ok_indexes(F.col("body.events")).alias("_ok"),
                           F.explode(F.col("body.events")).alias("e"))
             .select(
@@ -138,25 +145,26 @@ def extract_events(blocks: DataFrame) -> DataFrame:
                 item_id(F.col("block_number"), e["extrinsic_index"]).alias("extrinsic_id"),
                 e["mod_name"].alias("mod_name"),
                 e["event_name"].alias("event_name"),
-                e["phase"].cast("smallint").alias("phase"),
+                wrap_i16(e["phase"]).alias("phase"),                               # S-09
                 json_or_null(e["values"]).alias("values"),
                 e["block_timestamp"].cast("bigint").alias("block_timestamp"),
                 hex0x(e["extrinsic_hash"]).alias("extrinsic_hash"),
                 e["event_index"].cast("bigint").alias("event_index"),
                 e["extrinsic_index"].cast("bigint").alias("extrinsic_index"),
-                _success(F.col("_ok"), e["extrinsic_index"], "extrinsic").alias("extrinsic_success"),
-                block_bucket("block_number").alias("block_bucket")))
+                F.coalesce(_success(F.col("_ok"), e["extrinsic_index"], "extrinsic"),
+                           F.lit(False)).alias("extrinsic_success"),
+                block_bucket("block_number").alias("block_bucket"), *_src(blocks)))
 
 
 # X-10 ---------------------------------------------------------------------
 def with_events_only(extrinsics: DataFrame, events: DataFrame) -> DataFrame:
     """Legacy rule: drop extrinsics without events (semi join on the key)."""
-    keys = events.select("chain", "block_number", "extrinsic_index").distinct()
+    keys = events.where("extrinsic_index is not null").select("chain", "block_number", "extrinsic_index").distinct()
     return extrinsics.join(keys, ["chain", "block_number", "extrinsic_index"], "left_semi")
 
 
 def without_events(extrinsics: DataFrame, events: DataFrame) -> DataFrame:
-    keys = events.select("chain", "block_number", "extrinsic_index").distinct()
+    keys = events.where("extrinsic_index is not null").select("chain", "block_number", "extrinsic_index").distinct()
     return extrinsics.join(keys, ["chain", "block_number", "extrinsic_index"], "left_anti")
 
 
@@ -178,7 +186,7 @@ def extract_raw_events(raw: DataFrame) -> DataFrame:
 # X-12 / X-13 ----------------------------------------------------------------
 def success_by_extrinsic(events: DataFrame) -> DataFrame:
     """A-01 over the flat table: ``bool_or`` per (chain, block, extrinsic)."""
-    return (events.groupBy("chain", "block_number", "extrinsic_index")
+    return (events.where("extrinsic_index is not null").groupBy("chain", "block_number", "extrinsic_index")
             .agg(F.bool_or((F.col("mod_name") == "System") &
                            (F.col("event_name") == "ExtrinsicSuccess")).alias("success")))
 
@@ -199,7 +207,7 @@ def extract_transfers(events: DataFrame) -> DataFrame:
             .select("chain", "block_number", F.col("event_index").alias("index"), "id",
                     "extrinsic_id", "extrinsic_index", "extrinsic_hash", "block_timestamp",
                     v["from"].alias("from"), v["to"].alias("to"),
-                    v["amount"].try_cast("decimal(38,0)").alias("amount"), "success"))
+                    amount38(v["amount"]).alias("amount"), "success"))
 
 
 def extract_withdrawals(events: DataFrame) -> DataFrame:
@@ -209,5 +217,5 @@ def extract_withdrawals(events: DataFrame) -> DataFrame:
     return (_with_success(wd, events)
             .select("chain", "block_number", F.col("event_index").alias("index"), "id",
                     "extrinsic_id", "extrinsic_index", "extrinsic_hash", "block_timestamp",
-                    v["who"].alias("who"), v["amount"].try_cast("decimal(38,0)").alias("amount"),
+                    v["who"].alias("who"), amount38(v["amount"]).alias("amount"),
                     "success"))

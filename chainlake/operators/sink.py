@@ -2,21 +2,28 @@
 
 Plain Parquet has no MERGE, so an upsert is:
 
-1. read only the partitions ``(chain, block_bucket)`` the batch touches
-   (a left-semi join on the partition columns, which dynamic partition
-   pruning turns into a partition filter - no driver-side list);
-2. union with the batch and keep the latest row per key with ``max_by``
-   over ``(_batch_id, _pos)`` - an aggregate, so a hot key is reduced
-   map-side before the shuffle instead of piling into one window task;
-3. write the merged partitions to a staging folder, then swap them in with
-   dynamic partition overwrite. A failed commit is repeated from staging;
-   a replayed batch carries the same ``(_batch_id, _pos)`` and changes
-   nothing.
+1. keep the last write per key inside the batch (``max_by`` over the row's
+   position in its source: file, split, line, block), an aggregate, so a hot
+   key is reduced map-side;
+2. read only the partitions ``(chain, block_bucket)`` the batch touches; the
+   incoming row replaces the stored one whatever batch ids either carries (a
+   new checkpoint, another stream or a back-fill starts counting anew), apart
+   from the columns a partial update keeps;
+3. write the result to a staging folder in the final layout (partitions,
+   sorting, compression, file size, bloom filters): whole partitions where
+   stored keys were hit, further files for the others;
+4. mark the staging folder ready, rename its folders and files into the table,
+   record the commit, drop the staging folder.
+
+A batch that is written under a commit name is applied once: if its commit is
+recorded it is a replay and changes nothing; if its staging folder is marked
+ready, the renames are finished from it; otherwise it starts anew. So a
+failure at any point loses no stored row.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +45,15 @@ TABLE_KEYS = {
 
 
 def with_order(df: DataFrame, batch_id: int, pos_col: str | None = None) -> DataFrame:
-    """Stamp the hidden ordering columns. ``_pos`` defaults to the block
-    number, which orders re-deliveries inside one batch deterministically."""
-    pos = F.col(pos_col) if pos_col else F.col("block_number" if "block_number" in df.columns
-                                               else "number")
-    return df.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).withColumn(
-        "_pos", pos.cast("bigint"))
+    """Stamp the hidden ordering columns: ``_pos`` is the row's position in its
+    source (``_src``, see ``sources.envelope``) where it is known, else
+    ``pos_col`` or the block number (sources without re-deliveries inside one
+    batch)."""
+    if pos_col is None and "_src" in df.columns:
+        pos = F.col("_src")
+    else:
+        pos = F.col(pos_col or ("block_number" if "block_number" in df.columns else "number")).cast("bigint")
+    return df.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).withColumn("_pos", pos).drop("_src")
 
 
 # N-03 -----------------------------------------------------------------------
@@ -108,13 +118,57 @@ def upsert_counts(batch: DataFrame, existing: DataFrame | None, keys: list[str])
 
 
 # IO-07 … IO-11, IO-13: the physical upsert -------------------------------------
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
     return fs.exists(p)
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (none if it does not exist)."""
+    fs, p = _fs(spark, path)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _rename(spark: SparkSession, src: str, dst: str) -> None:
+    fs, s = _fs(spark, src)
+    _, d = _fs(spark, dst)
+    fs.mkdirs(d.getParent())
+    if not fs.rename(s, d):
+        raise OSError(f"cannot move {src} to {dst}")
+
+
+def write_marker(spark: SparkSession, path: str, value: dict) -> None:
+    """A small JSON file, written whole or not at all."""
+    fs, p = _fs(spark, path + ".tmp")
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    _delete(spark, path)
+    _rename(spark, path + ".tmp", path)
+
+
+def read_marker(spark: SparkSession, path: str) -> dict | None:
+    if not _exists(spark, path):
+        return None
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
 MAX_RECORDS_PER_FILE = 2_000_000
 # Columns looked up by equality although files are sorted by block number
 # (min/max statistics cannot prune them): Parquet bloom filters let the
@@ -123,9 +177,6 @@ BLOOM_COLUMNS = ("hash", "extrinsic_hash", "parent_hash")
 WRITE_SPLIT_BLOCKS = 10_000
 
 
-_SAFE_CHAIN = re.compile(r"^[a-z0-9_\-]+$")
-
-
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
                       sort_col: str | None = None, files_per_write: int | None = None,
                       partition_cols: list[str] | None = None) -> None:
@@ -157,15 +208,10 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     w.partitionBy(*parts).parquet(path)
 
 
-MAX_STATIC_PARTITIONS = 10_000
-
-
-def touched_partitions(batch: DataFrame) -> list[tuple] | None:
-    """The (chain, block_bucket) pairs a batch writes, when there are at most
-    ``MAX_STATIC_PARTITIONS`` of them (bounded metadata, not rows); None
-    beyond that, and the merge falls back to a semi join."""
-    rows = batch.select(*PARTITION_COLS).distinct().limit(MAX_STATIC_PARTITIONS + 1).collect()
-    return None if len(rows) > MAX_STATIC_PARTITIONS else [tuple(r) for r in rows]
+def touched_partitions(batch: DataFrame) -> list[tuple]:
+    """The (chain, block_bucket) pairs a batch writes: one entry per partition
+    folder, metadata that the driver's file index of the table holds anyway."""
+    return [tuple(r) for r in batch.select(*PARTITION_COLS).distinct().collect()]
 
 
 def _partition_filter(pairs: list[tuple]):
@@ -179,105 +225,99 @@ def _partition_filter(pairs: list[tuple]):
 
 
 def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | None = None,
-           staging_root: str | None = None, touched: list[tuple] | None | str = "compute") -> dict:
-    """Merge ``batch`` (already stamped with ``_batch_id``/``_pos``) into the
-    Parquet table at ``path``; only touched partitions are read and
-    rewritten. ``touched`` may be passed in when several tables share one
-    batch (it is the same block range for all of them). Returns the number
-    of keys inserted and updated (IO-18), counted by the key check itself."""
+           commit: str | None = None, touched: list[tuple] | None = None) -> dict:
+    """Merge ``batch`` (stamped by :func:`with_order`) into the Parquet table at
+    ``path``. Columns in ``keep_old`` keep their first written value, inside
+    the batch too. ``commit`` names the batch (its stream and number): under a
+    name it is applied exactly once, see the module's docstring. ``touched``
+    may be passed in when several tables share one batch's block range.
+    Returns the number of keys inserted and updated (IO-18)."""
     spark = batch.sparkSession
-    batch_latest = latest(batch, keys, keep_old=None)
-    if not _exists(spark, path):
-        write_partitioned(batch_latest, path)
-        return {"inserted": spark.read.schema(batch_latest.schema).parquet(path).count(),
-                "updated": 0}
-    # explicit schema: a table folder left empty by an empty batch still reads
-    existing = spark.read.schema(batch_latest.schema).parquet(path)
-    if isinstance(touched, str):
-        touched = touched_partitions(batch)
-    if touched is not None:
-        if not touched:
-            return {"inserted": 0, "updated": 0}
-        existing_touched = existing.where(_partition_filter(touched))      # static pruning
-    else:
-        existing_touched = existing.join(batch.select(*PARTITION_COLS).distinct(),
-                                         PARTITION_COLS, "left_semi")
-    # Fast path: keys already stored decide which partitions need a merge;
-    # rows of the other partitions are appended as new files (the common
-    # case for a live chain, where a batch only brings new blocks).
-    # one bounded aggregate: per touched partition, batch keys and stored hits
-    per_part = (batch_latest.select(*keys, *[c for c in PARTITION_COLS if c not in keys])
-                .join(existing_touched.select(*keys).withColumn("_hit", F.lit(1)), keys, "left")
-                .groupBy(*PARTITION_COLS)
-                .agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"))
-                .limit(MAX_STATIC_PARTITIONS + 1).collect())
-    counts = {"updated": sum(r["hits"] for r in per_part)}
-    counts["inserted"] = sum(r["n"] for r in per_part) - counts["updated"]
-    parts = [(r["chain"], r["block_bucket"]) for r in per_part]
-    conflict = (None if len(per_part) > MAX_STATIC_PARTITIONS else
-                [(r["chain"], r["block_bucket"]) for r in per_part if r["hits"] > 0])
-    if conflict is None:                       # too many to list: merge all touched
-        merge_rows, append_rows = batch_latest, None
-        merge_existing = existing_touched
-    elif not conflict:
-        append_partitioned(batch_latest, path, parts)
-        return counts
-    else:
-        in_conflict = _partition_filter(conflict)
-        merge_rows, append_rows = batch_latest.where(in_conflict), batch_latest.where(~in_conflict)
-        merge_existing = existing.where(in_conflict)
-    # ``_src`` 0 = stored row, 1 = incoming. Replaced columns: latest by
-    # (batch, pos), the incoming row winning a tie (a replay). Kept columns:
-    # the stored row always wins, so a replay cannot reset them.
-    union = (merge_existing.withColumn("_src", F.lit(0))
-             .unionByName(merge_rows.select(*existing.columns).withColumn("_src", F.lit(1))))
-    merged = latest(union, keys, order=ORDER_COLS + ["_src"], keep_old=keep_old,
-                    first_order=["_src"] + ORDER_COLS).drop("_src")
-    staging = f"{staging_root or path + '_staging'}/{uuid.uuid4().hex}"
-    write_partitioned(merged, staging)
-    # swap in: staged files are already partitioned and sorted
-    (spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLS).parquet(path))
-    if append_rows is not None:
-        append_partitioned(append_rows, path, [p for p in parts if p not in set(conflict)])
+    log = f"{path}__commits/{commit}" if commit else None
+    done = read_marker(spark, log) if log else None
+    if done is not None:
+        return done
+    stage = f"{path}__staging/{commit or uuid.uuid4().hex}"
+    counts = read_marker(spark, f"{stage}/_READY")
+    if counts is None:
+        _delete(spark, stage)                  # remains of an attempt that was not finished
+        counts = _stage(batch, path, keys, keep_old or [], stage, touched)
+        write_marker(spark, f"{stage}/_READY", counts)
+    _swap_in(spark, stage, path)
+    if log:
+        write_marker(spark, log, counts)
+    _delete(spark, stage)
     return counts
 
 
-def append_partitioned(df: DataFrame, path: str, partitions: list[tuple]) -> None:
-    """Append new rows. Each chain folder is written as its own table
-    (``<path>/chain=<c>`` partitioned by ``block_bucket``): the layout is the
-    same, and the streams of different chains never share a commit folder."""
-    for chain in sorted({c for c, _ in partitions}):
-        if not _SAFE_CHAIN.match(chain):
-            raise ValueError(f"chain key not usable as a folder name: {chain!r}")
-        write_partitioned(df.where(F.col("chain") == chain), f"{path}/chain={chain}",
-                          mode="append", partition_cols=["block_bucket"])
+def _stage(batch: DataFrame, path: str, keys: list[str], keep_old: list[str], stage: str,
+           touched: list[tuple] | None) -> dict:
+    """Write what the table gains to ``<stage>/data/_op=…``: ``merge`` holds
+    whole partitions to replace, ``append`` further files."""
+    spark = batch.sparkSession
+    new = latest(batch, keys, order=["_pos"], keep_old=keep_old, first_order=["_pos"]).drop("_pos")
+    parts = touched if touched is not None else touched_partitions(batch)
+    if not _exists(spark, path) or not parts:
+        conflict, old = [], None
+    else:
+        # explicit schema: a table folder left empty by an empty batch still reads
+        old = spark.read.schema(new.schema).parquet(path).where(_partition_filter(parts))
+        # keys already stored decide which partitions are merged (the rows of
+        # the others, usual for a live chain, become new files)
+        hits = (new.select(*dict.fromkeys([*keys, *PARTITION_COLS]))
+                .join(old.select(*keys, F.lit(1).alias("_hit")), keys)
+                .groupBy(*PARTITION_COLS).agg(F.count("_hit").alias("n")).collect())
+        conflict = [(r["chain"], r["block_bucket"]) for r in hits]
+    merge = _partition_filter(conflict)
+    rows = new.withColumn("_op", F.when(merge, "merge").otherwise("append"))
+    updated = sum(r["n"] for r in hits) if conflict else 0
+    if conflict:
+        stored = old.where(merge)
+        if keep_old:
+            kept = stored.select(*keys, F.struct(*keep_old).alias("_old"))
+            rows = rows.join(kept, keys, "left").withColumns({
+                c: F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in keep_old}).drop("_old")
+        rest = stored.join(new.select(*keys), keys, "left_anti").withColumn("_op", F.lit("merge"))
+        rows = rows.select(*rest.columns).unionByName(rest)
+    write_partitioned(rows, f"{stage}/data", partition_cols=["_op", *PARTITION_COLS])
+    total = new.count()
+    return {"inserted": total - updated, "updated": updated}
+
+
+def _swap_in(spark: SparkSession, stage: str, path: str) -> None:
+    """Move staged partitions and files into the table. Repeatable: what was
+    moved before is no longer in the staging folder."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    for op in ("merge", "append"):
+        root = f"{stage}/data/_op={op}"
+        for chain in _names(spark, root):
+            for bucket in _names(spark, f"{root}/{chain}"):
+                src, dst = f"{root}/{chain}/{bucket}", f"{path}/{chain}/{bucket}"
+                if op == "merge":
+                    _delete(spark, dst)
+                    _rename(spark, src, dst)
+                else:
+                    for name in _names(spark, src):
+                        _rename(spark, f"{src}/{name}", f"{dst}/{name}")
 
 
 # IO-16 / IO-17 ------------------------------------------------------------------
 def fan_out(batch: DataFrame, sinks: dict, on_error: str = "continue") -> DataFrame:
-    """Write one batch to several sinks, computing it once (``persist``).
+    """Write one batch to several sinks. A sink is a function of the batch
+    that returns how many rows it holds after the write, read back.
     ``on_error='continue'`` logs and swallows a sink error like the engine
     controller; ``'stop'`` aborts the remaining sinks like the node fan-out.
     Returns one status row per sink (sink, rows, status)."""
-    from pyspark import StorageLevel
-    spark = batch.sparkSession
-    cached = batch.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    try:
-        total = cached.count()
-        stopped = False
-        for name, fn in sinks.items():
-            if stopped:
-                rows.append((name, 0, "skipped"))
-                continue
-            try:
-                fn(cached)
-                rows.append((name, total, "ok"))
-            except Exception as err:  # noqa: BLE001 - policy decides
-                rows.append((name, 0, f"error: {type(err).__name__}"))
-                if on_error == "stop":
-                    stopped = True
-    finally:
-        cached.unpersist()
-    return spark.createDataFrame(rows, "sink string, rows bigint, status string")
+    stopped = False
+    for name, fn in sinks.items():
+        if stopped:
+            rows.append((name, 0, "skipped"))
+            continue
+        try:
+            rows.append((name, int(fn(batch) or 0), "ok"))
+        except Exception as err:  # noqa: BLE001 - policy decides
+            rows.append((name, 0, f"error: {type(err).__name__}"))
+            stopped = on_error == "stop"
+    return batch.sparkSession.createDataFrame(rows, "sink string, rows bigint, status string")

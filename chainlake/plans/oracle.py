@@ -13,7 +13,11 @@ o_ev0 AS (
   SELECT event_id AS k,
          event_id // 20 AS block_number,
          event_id % 20 AS event_index,
-         (event_id % 20) // 4 AS extrinsic_index,
+         CASE WHEN event_id % 20 = 19 AND (event_id // 20) % 2 = 1 THEN 1
+              WHEN event_id % 20 = 0 AND (event_id // 20) % 3 = 0 THEN 2 ELSE 0 END AS phase,
+         CASE WHEN event_id % 20 = 19 AND (event_id // 20) % 2 = 1 THEN NULL
+              WHEN event_id % 20 = 0 AND (event_id // 20) % 3 = 0 THEN NULL
+              ELSE (event_id % 20) // 4 END AS extrinsic_index,
          epoch_us(ts) // 1000 AS ts_ms,
          user_id,
          CASE event_type WHEN 'purchase' THEN 'Balances' WHEN 'signup' THEN 'System'
@@ -28,7 +32,6 @@ o_ev0 AS (
          CAST(round(value * 100) AS BIGINT) AS amount,
          props
   FROM events
-  WHERE (event_id // 20) % 97 <> 96
 ),
 o_ev AS (
   SELECT *,
@@ -55,7 +58,7 @@ o_blk AS (
 o_ok AS (
   SELECT chain, block_number, extrinsic_index,
          bool_or(mod_name = 'System' AND event_name = 'ExtrinsicSuccess') AS ok
-  FROM o_evc GROUP BY chain, block_number, extrinsic_index
+  FROM o_evc WHERE extrinsic_index IS NOT NULL GROUP BY chain, block_number, extrinsic_index
 ),
 o_blocks AS (
   SELECT chain, block_number AS number, ts_ms AS "timestamp",
@@ -73,7 +76,7 @@ o_blocks AS (
 o_events AS (
   SELECT e.chain, e.block_number || '-' || e.event_index AS id, e.block_number,
     e.block_number || '-' || e.extrinsic_index AS extrinsic_id, e.mod_name, e.event_name,
-    CAST(0 AS SMALLINT) AS phase, e.vals AS "values", b.ts_ms AS block_timestamp,
+    CAST(e.phase AS SMALLINT) AS phase, e.vals AS "values", b.ts_ms AS block_timestamp,
     '0x' || sha256(e.pfx || 'ext-' || (e.block_number * 5 + e.extrinsic_index)) AS extrinsic_hash,
     e.event_index, e.extrinsic_index, coalesce(ok.ok, false) AS extrinsic_success,
     e.user_id, e.amount, e.k
@@ -149,13 +152,20 @@ o_raw AS (
     CASE WHEN k % 7 > 2 THEN '0x' || sha256('topic-' || k || '-2') ELSE '' END AS topic2,
     CASE WHEN k % 7 > 3 THEN '0x' || sha256('topic-' || k || '-3') ELSE '' END AS topic3,
     CASE WHEN k % 7 > 4 THEN '0x' || sha256('topic-' || k || '-4') ELSE '' END AS topic4,
-    'ApplyExtrinsic(' || extrinsic_index || ')' AS phase,
+    CASE phase WHEN 1 THEN 'Finalization' WHEN 2 THEN 'Initialization'
+         ELSE 'ApplyExtrinsic(' || extrinsic_index || ')' END AS phase,
     mod_name AS pallet_name,
     CAST(CASE mod_name WHEN 'System' THEN 0 WHEN 'Balances' THEN 5 WHEN 'Utility' THEN 26
                        WHEN 'TransactionPayment' THEN 32 END AS SMALLINT) AS pallet_index,
     event_name, k % 7 AS n_topics
   FROM o_ev
 ),
+o_bad_envelopes AS (
+  SELECT DISTINCT event_id // 20 AS b, ((event_id // 20) // 37) % 6 AS kind FROM events WHERE (event_id // 20) % 37 = 5
+),
+o_bad_blocks AS (
+  SELECT DISTINCT event_id // 20 AS b, ((event_id // 20) // 41) % 3 AS kind FROM events WHERE (event_id // 20) % 41 = 7
+),
 p_blocks AS (SELECT * FROM o_blocks WHERE chain = 'polkadot'),
 p_events AS (SELECT * FROM o_events WHERE chain = 'polkadot'),
 p_extrinsics AS (SELECT * FROM o_extrinsics WHERE chain = 'polkadot'),

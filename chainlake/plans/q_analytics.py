@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..lake import lake_for
+from ..lake import FIXTURE_CHAINS, lake_for
 from .registry import query
 
 HOUR_MS = 3_600_000
@@ -13,28 +13,24 @@ DAY_MS = 86_400_000
 
 
 @query("events_per_pallet_hour", """
-SELECT e.mod_name, (b."timestamp" // 3600000) * 3600000 AS hour_ms, count(*) AS n_events,
+SELECT e.chain, e.mod_name, (b."timestamp" // 3600000) * 3600000 AS hour_ms, count(*) AS n_events,
        count(DISTINCT CASE WHEN x.result THEN x.id END) AS n_success_extrinsics
-FROM p_events e
-JOIN p_blocks b ON b.number = e.block_number
-JOIN p_extrinsics x ON x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
-GROUP BY 1, 2""")
+FROM o_events e
+JOIN o_blocks b ON b.chain = e.chain AND b.number = e.block_number
+JOIN o_extrinsics x ON x.chain = e.chain AND x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
+GROUP BY 1, 2, 3""")
 def events_per_pallet_hour(spark, sf):
-    """Flagship (M0): events joined with their block (time) and extrinsic
-    (success), counted per pallet and hour. Events - the largest table - are
-    first reduced to one row per (extrinsic, pallet) with a map-side partial
-    aggregate, so the joins and the shuffle carry fewer rows, and the
-    distinct count of successful extrinsics becomes a plain ``count_if``
-    (each extrinsic appears once per pallet after that step)."""
-    lake = lake_for(spark, sf)
-    ev = (lake.table("events").groupBy("chain", "block_number", "extrinsic_index", "mod_name")
+    """Flagship (M0): events of extrinsics with their block's time and their
+    extrinsic's success, counted per chain, pallet and hour. Extraction stored
+    both with the event, so no join is needed. Events are first reduced to one
+    row per (extrinsic, pallet) by a map-side partial aggregate; after that
+    step the distinct count of successful extrinsics is a plain ``count_if``."""
+    ev = (lake_for(spark, sf).table("events").where("extrinsic_index is not null")
+          .groupBy("chain", "block_number", "extrinsic_index", "mod_name", "block_timestamp", "extrinsic_success")
           .agg(F.count(F.lit(1)).alias("n")))
-    b = lake.table("blocks").select("chain", F.col("number").alias("block_number"), "timestamp")
-    x = lake.table("extrinsics").select("chain", "block_number", "extrinsic_index", "result")
-    j = ev.join(b, ["chain", "block_number"]).join(x, ["chain", "block_number", "extrinsic_index"])
-    return (j.groupBy("mod_name", (F.expr(f"timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
+    return (ev.groupBy("chain", "mod_name", (F.expr(f"block_timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
             .agg(F.sum("n").alias("n_events"),
-                 F.count_if(F.col("result")).alias("n_success_extrinsics")))
+                 F.count_if(F.col("extrinsic_success")).alias("n_success_extrinsics")))
 
 
 # --- helpers -----------------------------------------------------------------
@@ -43,11 +39,14 @@ from pyspark.sql import Window  # noqa: E402
 from ..functions import names as N  # noqa: E402
 from ..operators import analytics as A  # noqa: E402
 from ..operators import extract as X  # noqa: E402
+from ..operators import sink as S  # noqa: E402
 from ..sources import fixture  # noqa: E402
+from .q_sink import work_dir  # noqa: E402
 
 
-def _t(spark, sf, name, chain="polkadot"):
-    return lake_for(spark, sf).table(name, chain)
+def _t(spark, sf, name):
+    """A stored table, all chains."""
+    return lake_for(spark, sf).table(name)
 
 
 def _count():
@@ -56,16 +55,16 @@ def _count():
 
 # --- success (A-01, N-01) -----------------------------------------------------
 @query("extrinsic_success", """
-SELECT block_number, extrinsic_index, ok AS success FROM o_ok WHERE chain = 'polkadot'""")
+SELECT chain, block_number, extrinsic_index, ok AS success FROM o_ok""")
 def extrinsic_success(spark, sf):
     return X.success_by_extrinsic(_t(spark, sf, "events")).select(
-        "block_number", "extrinsic_index", "success")
+        "chain", "block_number", "extrinsic_index", "success")
 
 
 _RUNNING_SQL = """
-SELECT x.id, coalesce(bool_or(ok.ok) OVER (PARTITION BY x.block_number ORDER BY x.extrinsic_index
+SELECT x.chain, x.id, coalesce(bool_or(ok.ok) OVER (PARTITION BY x.chain, x.block_number ORDER BY x.extrinsic_index
                                             ROWS UNBOUNDED PRECEDING), false) AS result_running
-FROM p_extrinsics x
+FROM o_extrinsics x
 LEFT JOIN o_ok ok ON ok.chain = x.chain AND ok.block_number = x.block_number
                  AND ok.extrinsic_index = x.extrinsic_index"""
 
@@ -74,22 +73,22 @@ LEFT JOIN o_ok ok ON ok.chain = x.chain AND ok.block_number = x.block_number
 def extrinsic_success_running(spark, sf):
     """N-01 over the stored tables (aggregate + window per block)."""
     return A.running_success(_t(spark, sf, "extrinsics"), _t(spark, sf, "events")).select(
-        "id", "result_running")
+        "chain", "id", "result_running")
 
 
 @query("extrinsic_success_running_extract", _RUNNING_SQL)
 def extrinsic_success_running_extract(spark, sf):
     """N-01 / T-05 at extraction time: no shuffle, the block is one row."""
-    blocks = fixture.nested_blocks(spark.read.parquet(f"{sf}/events.parquet"))
+    blocks = fixture.nested_blocks(spark.read.parquet(f"{sf}/events.parquet"), FIXTURE_CHAINS)
     return X.extract_extrinsics(blocks, "block_running").select(
-        "id", F.col("result").alias("result_running"))
+        "chain", "id", F.col("result").alias("result_running"))
 
 
 @query("success_scopes_differ", """
 SELECT count(*) AS n_events, count(*) FILTER (WHERE r.result_running <> x.result) AS n_differ
-FROM p_events e
-JOIN p_extrinsics x ON x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
-JOIN (""" + _RUNNING_SQL + """) r ON r.id = x.id""")
+FROM o_events e
+JOIN o_extrinsics x ON x.chain = e.chain AND x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
+JOIN (""" + _RUNNING_SQL + """) r ON r.chain = x.chain AND r.id = x.id""")
 def success_scopes_differ(spark, sf):
     """Event rows whose extrinsic's success differs between the two scopes."""
     ev = _t(spark, sf, "events").select("chain", "block_number", "extrinsic_index")
@@ -101,39 +100,41 @@ def success_scopes_differ(spark, sf):
 
 # --- per-extrinsic / per-block aggregates (A-02, A-03, A-04, J-01) ----------------
 @query("events_per_extrinsic", """
-SELECT extrinsic_id, count(*) AS n_events FROM p_events GROUP BY extrinsic_id""")
+SELECT chain, extrinsic_id, count(*) AS n_events FROM o_events GROUP BY ALL""")
 def events_per_extrinsic(spark, sf):
-    return _t(spark, sf, "events").groupBy("extrinsic_id").agg(_count().alias("n_events"))
+    return _t(spark, sf, "events").groupBy("chain", "extrinsic_id").agg(_count().alias("n_events"))
 
 
 @query("block_counts", """
-SELECT b.number, coalesce(e.n, 0) AS event_num, coalesce(x.n, 0) AS extrinsics_num
-FROM p_blocks b
-LEFT JOIN (SELECT block_number, count(*) AS n FROM p_events GROUP BY 1) e ON e.block_number = b.number
-LEFT JOIN (SELECT block_number, count(*) AS n FROM p_extrinsics GROUP BY 1) x ON x.block_number = b.number""")
+SELECT b.chain, b.number, coalesce(e.n, 0) AS event_num, coalesce(x.n, 0) AS extrinsics_num
+FROM o_blocks b
+LEFT JOIN (SELECT chain, block_number, count(*) AS n FROM o_events GROUP BY ALL) e
+  ON e.chain = b.chain AND e.block_number = b.number
+LEFT JOIN (SELECT chain, block_number, count(*) AS n FROM o_extrinsics GROUP BY ALL) x
+  ON x.chain = b.chain AND x.block_number = b.number""")
 def block_counts(spark, sf):
     return A.block_counts(_t(spark, sf, "blocks"), _t(spark, sf, "extrinsics"),
-                          _t(spark, sf, "events")).drop("chain")
+                          _t(spark, sf, "events"))
 
 
 @query("batch_stats", """
-SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_blocks, min(number) AS min_number,
-       max(number) AS max_number FROM p_blocks""")
+SELECT chain, CAST(0 AS BIGINT) AS batch_id, count(*) AS n_blocks, min(number) AS min_number,
+       max(number) AS max_number FROM o_blocks GROUP BY chain""")
 def batch_stats(spark, sf):
     """A-04: per ingest batch, block count and range (``observe`` exposes the
     same metrics on a running query without an extra job)."""
     b = _t(spark, sf, "blocks")
-    return b.groupBy(F.col("_batch_id").alias("batch_id")).agg(
+    return b.groupBy("chain", F.col("_batch_id").alias("batch_id")).agg(
         _count().alias("n_blocks"), F.min("number").alias("min_number"),
         F.max("number").alias("max_number"))
 
 
 @query("extrinsic_events_join", """
-SELECT x.id, count(e.id) AS n_events, min(e.event_index) AS first_event,
+SELECT x.chain, x.id, count(e.id) AS n_events, min(e.event_index) AS first_event,
        max(e.event_index) AS last_event
-FROM p_extrinsics x LEFT JOIN p_events e
-  ON e.block_number = x.block_number AND e.extrinsic_index = x.extrinsic_index
-GROUP BY x.id""")
+FROM o_extrinsics x LEFT JOIN o_events e
+  ON e.chain = x.chain AND e.block_number = x.block_number AND e.extrinsic_index = x.extrinsic_index
+GROUP BY x.chain, x.id""")
 def extrinsic_events_join(spark, sf):
     """J-01: each extrinsic with its events (count, first and last index);
     events are aggregated per extrinsic before the join (map-side partial
@@ -144,67 +145,67 @@ def extrinsic_events_join(spark, sf):
          .agg(_count().alias("n"), F.min("event_index").alias("first_event"),
               F.max("event_index").alias("last_event")))
     return (x.join(e, keys, "left")
-            .select("id", F.coalesce("n", F.lit(0)).alias("n_events"), "first_event", "last_event"))
+            .select("chain", "id", F.coalesce("n", F.lit(0)).alias("n_events"), "first_event", "last_event"))
 
 
 # --- transfers / withdrawals (X-12, X-13, J-06, J-07, F-01) -----------------------
 @query("transfers", """
-SELECT block_number, "index", id, extrinsic_id, "from", "to", amount, success FROM p_transfers""")
+SELECT chain, block_number, "index", id, extrinsic_id, "from", "to", amount, success FROM o_transfers""")
 def transfers(spark, sf):
-    return _t(spark, sf, "transfers").select("block_number", "index", "id", "extrinsic_id",
+    return _t(spark, sf, "transfers").select("chain", "block_number", "index", "id", "extrinsic_id",
                                              "from", "to", "amount", "success")
 
 
 @query("withdrawals", """
-SELECT block_number, "index", id, extrinsic_id, who, amount, success FROM p_withdrawals""")
+SELECT chain, block_number, "index", id, extrinsic_id, who, amount, success FROM o_withdrawals""")
 def withdrawals(spark, sf):
-    return _t(spark, sf, "withdrawals").select("block_number", "index", "id", "extrinsic_id",
+    return _t(spark, sf, "withdrawals").select("chain", "block_number", "index", "id", "extrinsic_id",
                                                "who", "amount", "success")
 
 
 @query("transfers_joined_success", """
-SELECT block_number, "index", success FROM p_transfers""")
+SELECT chain, block_number, "index", success FROM o_transfers""")
 def transfers_joined_success(spark, sf):
     """X-12 with success from the A-01 aggregate + join (events without the
     denormalised flag), to check both paths agree."""
     ev = _t(spark, sf, "events").drop("extrinsic_success")
-    return X.extract_transfers(ev).select("block_number", "index", "success")
+    return X.extract_transfers(ev).select("chain", "block_number", "index", "success")
 
 
-_FEE_SQL = """(SELECT block_number, extrinsic_index,
+_FEE_SQL = """(SELECT chain, block_number, extrinsic_index,
           sum(CAST(json_extract_string("values", '$.actual_fee') AS DECIMAL(38,0))) AS fee
-   FROM p_events WHERE mod_name = 'TransactionPayment' AND event_name = 'TransactionFeePaid'
+   FROM o_events WHERE mod_name = 'TransactionPayment' AND event_name = 'TransactionFeePaid'
    GROUP BY ALL)"""
 
 
 @query("transfers_enriched", """
-SELECT t.id, b.hash AS block_hash, b."timestamp" AS block_time, x.extrinsic_hash AS x_hash,
+SELECT t.chain, t.id, b.hash AS block_hash, b."timestamp" AS block_time, x.extrinsic_hash AS x_hash,
        x.call_name, t."from", t."to", t.amount, coalesce(f.fee, 0) AS fee, t.success
-FROM p_transfers t
-JOIN p_blocks b ON b.number = t.block_number
-LEFT JOIN p_extrinsics x ON x.block_number = t.block_number AND x.extrinsic_index = t.extrinsic_index
-LEFT JOIN """ + _FEE_SQL + """ f ON f.block_number = t.block_number AND f.extrinsic_index = t.extrinsic_index""")
+FROM o_transfers t
+JOIN o_blocks b ON b.chain = t.chain AND b.number = t.block_number
+LEFT JOIN o_extrinsics x ON x.chain = t.chain AND x.block_number = t.block_number AND x.extrinsic_index = t.extrinsic_index
+LEFT JOIN """ + _FEE_SQL + """ f ON f.chain = t.chain AND f.block_number = t.block_number AND f.extrinsic_index = t.extrinsic_index""")
 def transfers_enriched(spark, sf):
     t = A.enrich_transfers(_t(spark, sf, "transfers"), _t(spark, sf, "blocks"),
                            _t(spark, sf, "extrinsics"), _t(spark, sf, "events"))
-    return t.select("id", "block_hash", "block_time", "x_hash", "call_name", "from", "to",
+    return t.select("chain", "id", "block_hash", "block_time", "x_hash", "call_name", "from", "to",
                     "amount", "fee", "success")
 
 
 @query("events_enriched", """
-SELECT e.id, x.extrinsic_hash AS x_hash, x.call_name, b."timestamp" AS block_time, b.is_finalized
-FROM p_events e
-LEFT JOIN p_extrinsics x ON x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
-LEFT JOIN p_blocks b ON b.number = e.block_number""")
+SELECT e.chain, e.id, x.extrinsic_hash AS x_hash, x.call_name, b."timestamp" AS block_time, b.is_finalized
+FROM o_events e
+LEFT JOIN o_extrinsics x ON x.chain = e.chain AND x.block_number = e.block_number AND x.extrinsic_index = e.extrinsic_index
+LEFT JOIN o_blocks b ON b.chain = e.chain AND b.number = e.block_number""")
 def events_enriched(spark, sf):
     e = A.enrich_events(_t(spark, sf, "events"), _t(spark, sf, "extrinsics"), _t(spark, sf, "blocks"))
-    return e.select("id", "x_hash", "call_name", "block_time", "is_finalized")
+    return e.select("chain", "id", "x_hash", "call_name", "block_time", "is_finalized")
 
 
 @query("handler_registry", """
-SELECT 'transfer' AS handler, count(*) AS n_rows, sum(amount) AS total_amount FROM p_transfers
+SELECT 'transfer' AS handler, count(*) AS n_rows, sum(amount) AS total_amount FROM o_transfers
 UNION ALL
-SELECT 'withdraw', count(*), sum(amount) FROM p_withdrawals""")
+SELECT 'withdraw', count(*), sum(amount) FROM o_withdrawals""")
 def handler_registry(spark, sf):
     reg = (N.HandlerRegistry()
            .register("Balances", "Transfer", "transfer", X.extract_transfers)
@@ -224,55 +225,86 @@ def _name_values_sql() -> str:
 
 
 @query("event_name_map", """
-SELECT e.mod_name, e.event_name,
+SELECT e.chain, e.mod_name, e.event_name,
        coalesce(d.canonical_pallet, CASE e.mod_name WHEN 'System' THEN 'system'
                 WHEN 'Balances' THEN 'balances' WHEN 'TransactionPayment' THEN 'transaction_payment'
                 WHEN 'Utility' THEN 'utility' END) AS canonical_pallet,
        coalesce(d.canonical_event, 'Unsupport') AS canonical_event, count(*) AS n
-FROM p_events e LEFT JOIN """ + _name_values_sql() + """
+FROM o_events e LEFT JOIN """ + _name_values_sql() + """
   ON d.dim_pallet = e.mod_name AND d.dim_event = e.event_name
 GROUP BY ALL""")
 def event_name_map(spark, sf):
     # count per (pallet, event) first; the dimension join then sees a few rows
-    per = _t(spark, sf, "events").groupBy("mod_name", "event_name").agg(_count().alias("n"))
-    return N.canonical_event_name(per).select("mod_name", "event_name", "canonical_pallet",
+    per = _t(spark, sf, "events").groupBy("chain", "mod_name", "event_name").agg(_count().alias("n"))
+    return N.canonical_event_name(per).select("chain", "mod_name", "event_name", "canonical_pallet",
                                               "canonical_event", "n")
 
 
 # --- block structure (J-08, J-09, T-06, U-02) ------------------------------------
 @query("asof_spec_version", """
-SELECT e.id, v.spec_version AS spec_asof
-FROM p_events e ASOF LEFT JOIN
-  (SELECT spec_version, min(number) AS from_block FROM p_blocks GROUP BY spec_version) v
-  ON e.block_number >= v.from_block""")
+SELECT e.chain, e.id, v.spec_version AS spec_asof
+FROM o_events e ASOF LEFT JOIN
+  (SELECT chain, spec_version, min(number) AS from_block FROM o_blocks GROUP BY ALL) v
+  ON e.chain = v.chain AND e.block_number >= v.from_block""")
 def asof_spec_version(spark, sf):
     """Runtime version in effect at each event's block, from the upgrade
     points (first stored block per version)."""
     versions = A.runtime_versions(_t(spark, sf, "blocks"))
     ev = _t(spark, sf, "events").select("chain", "id", "block_number")
     return A.asof_join(ev, versions, ["chain"], "block_number", "from_block", "spec_version",
-                       "spec_asof").select("id", "spec_asof")
+                       "spec_asof").select("chain", "id", "spec_asof")
+
+
+@query("asof_bucket_edges", """
+SELECT e.chain, e.id, v.spec_version AS spec_asof
+FROM o_events e ASOF LEFT JOIN
+  (SELECT chain, spec_version, min(number) AS from_block FROM o_blocks GROUP BY ALL) v
+  ON e.chain = v.chain AND e.block_number >= v.from_block""")
+def asof_bucket_edges(spark, sf):
+    """The same as-of join in buckets of 16 blocks, so nearly every version is
+    carried over bucket edges."""
+    versions = A.runtime_versions(_t(spark, sf, "blocks"))
+    ev = _t(spark, sf, "events").select("chain", "id", "block_number")
+    return A.asof_join(ev, versions, ["chain"], "block_number", "from_block", "spec_version",
+                       "spec_asof", bucket_size=16).select("chain", "id", "spec_asof")
 
 
 @query("parent_links", """
-SELECT c.number AS child, p.number AS parent FROM p_blocks c JOIN p_blocks p ON p.hash = c.parent_hash""")
+SELECT c.chain, c.number AS child, p.number AS parent
+FROM o_blocks c JOIN o_blocks p ON p.chain = c.chain AND p.hash = c.parent_hash""")
 def parent_links(spark, sf):
-    return A.parent_links(_t(spark, sf, "blocks")).select("child", "parent")
+    return A.parent_links(_t(spark, sf, "blocks")).select("chain", "child", "parent")
 
 
 @query("orphan_blocks", """
-SELECT number, parent_hash FROM p_blocks c
-WHERE NOT EXISTS (SELECT 1 FROM p_blocks p WHERE p.hash = c.parent_hash)""")
+SELECT chain, number, parent_hash FROM o_blocks c
+WHERE NOT EXISTS (SELECT 1 FROM o_blocks p WHERE p.chain = c.chain AND p.hash = c.parent_hash)""")
 def orphan_blocks(spark, sf):
-    return A.orphan_blocks(_t(spark, sf, "blocks")).select("number", "parent_hash")
+    return A.orphan_blocks(_t(spark, sf, "blocks")).select("chain", "number", "parent_hash")
 
 
-@query("block_gaps", """
+_GAPS_SQL = """
 SELECT chain, prev + 1 AS gap_from, number - 1 AS gap_to, number - prev - 1 AS missing
-FROM (SELECT chain, number, lag(number) OVER (PARTITION BY chain ORDER BY number) AS prev FROM o_blocks)
-WHERE number - prev > 1""")
+FROM (SELECT chain, number, lag(number) OVER (PARTITION BY chain ORDER BY number) AS prev
+      FROM o_blocks WHERE number % 97 <> 96)
+WHERE number - prev > 1"""
+
+
+def _blocks_with_gaps(spark, sf):
+    """The stored blocks without those of ``B % 97 = 96``, so that there are
+    gaps to find (kusama, which has every other block, has more)."""
+    return _t(spark, sf, "blocks").where(F.col("number") % fixture.GAP_MOD != fixture.GAP_REM)
+
+
+@query("block_gaps", _GAPS_SQL)
 def block_gaps(spark, sf):
-    return A.block_gaps(_t(spark, sf, "blocks", chain=None))
+    return A.block_gaps(_blocks_with_gaps(spark, sf))
+
+
+@query("block_gaps_bucket_edges", _GAPS_SQL)
+def block_gaps_bucket_edges(spark, sf):
+    """The same audit in buckets of 8 blocks: gaps cross bucket edges."""
+    return A.block_gaps(_blocks_with_gaps(spark, sf), bucket_size=8)
 
 
 @query("multi_chain_union", """
@@ -280,13 +312,26 @@ SELECT b.chain, b.n_blocks, e.n_events
 FROM (SELECT chain, count(*) AS n_blocks FROM o_blocks GROUP BY chain) b
 JOIN (SELECT chain, count(*) AS n_events FROM o_events GROUP BY chain) e USING (chain)""")
 def multi_chain_union(spark, sf):
-    lake = lake_for(spark, sf)
-    per_chain = []
-    for c in ("polkadot", "kusama"):
-        nb = lake.table("blocks", c).groupBy("chain").agg(_count().alias("n_blocks"))
-        ne = lake.table("events", c).groupBy("chain").agg(_count().alias("n_events"))
-        per_chain.append(nb.join(ne, "chain"))
-    return per_chain[0].unionByName(per_chain[1])
+    """U-02: every stored chain side by side, whatever its name."""
+    nb = _t(spark, sf, "blocks").groupBy("chain").agg(_count().alias("n_blocks"))
+    ne = _t(spark, sf, "events").groupBy("chain").agg(_count().alias("n_events"))
+    return nb.join(ne, "chain")
+
+
+@query("derived_chain_union", """
+SELECT chain, count(*) AS n_blocks, min(number) AS first_block, max(spec_version) AS last_version FROM (
+  SELECT chain, number, spec_version FROM o_blocks
+  UNION ALL SELECT 'westend', number, spec_version FROM o_blocks WHERE chain = 'polkadot' AND number % 3 = 0)
+GROUP BY chain""")
+def derived_chain_union(spark, sf):
+    """U-02 with a third chain, derived from the first one's blocks and stored
+    beside the others in a table of its own."""
+    root = work_dir(spark, "third-chain") + "/blocks"
+    b = _t(spark, sf, "blocks")
+    third = b.where((F.col("chain") == "polkadot") & (F.col("number") % 3 == 0)).withColumn("chain", F.lit("westend"))
+    S.write_partitioned(b.unionByName(third), root)
+    return spark.read.parquet(root).groupBy("chain").agg(
+        _count().alias("n_blocks"), F.min("number").alias("first_block"), F.max("spec_version").alias("last_version"))
 
 
 # --- §2.12 proof analytics ---------------------------------------------------------
@@ -296,88 +341,94 @@ def _block_hash_literal(n: int) -> str:
 
 
 @query("block_by_hash", """
-SELECT number, hash, "timestamp" FROM p_blocks WHERE hash = '0x' || sha256('block-42')""")
+SELECT chain, number, hash, "timestamp" FROM o_blocks WHERE hash = '0x' || sha256('block-42')""")
 def block_by_hash(spark, sf):
     """Point look-up: the equality reaches the Parquet scan as a pushed filter."""
     return _t(spark, sf, "blocks").where(F.col("hash") == _block_hash_literal(42)).select(
-        "number", "hash", "timestamp")
+        "chain", "number", "hash", "timestamp")
 
 
 @query("events_by_call", """
-SELECT x.mod_name AS call_pallet, x.call_name, e.event_name, count(*) AS n
-FROM p_events e JOIN p_extrinsics x ON x.block_number = e.block_number
+SELECT e.chain, x.mod_name AS call_pallet, x.call_name, e.event_name, count(*) AS n
+FROM o_events e JOIN o_extrinsics x ON x.chain = e.chain AND x.block_number = e.block_number
  AND x.extrinsic_index = e.extrinsic_index GROUP BY ALL""")
 def events_by_call(spark, sf):
     keys = ["chain", "block_number", "extrinsic_index"]
     e = _t(spark, sf, "events").groupBy(*keys, "event_name").agg(_count().alias("n"))
     x = _t(spark, sf, "extrinsics").select(*keys, F.col("mod_name").alias("call_pallet"), "call_name")
-    return (e.join(x, keys).groupBy("call_pallet", "call_name", "event_name")
+    return (e.join(x, keys).groupBy("chain", "call_pallet", "call_name", "event_name")
             .agg(F.sum("n").alias("n")))
 
 
 @query("blocks_left_transfers", """
-SELECT b.number, count(t.id) AS n_transfers, coalesce(sum(t.amount), 0) AS volume
-FROM p_blocks b LEFT JOIN p_transfers t ON t.block_number = b.number GROUP BY b.number""")
+SELECT b.chain, b.number, count(t.id) AS n_transfers, coalesce(sum(t.amount), 0) AS volume
+FROM o_blocks b LEFT JOIN o_transfers t ON t.chain = b.chain AND t.block_number = b.number GROUP BY b.chain, b.number""")
 def blocks_left_transfers(spark, sf):
     tv = _t(spark, sf, "transfers").groupBy("chain", "block_number").agg(
         _count().alias("n_transfers"), F.sum("amount").alias("volume"))
     b = _t(spark, sf, "blocks").select("chain", F.col("number").alias("block_number"))
     return (b.join(tv, ["chain", "block_number"], "left")
-            .select(F.col("block_number").alias("number"),
+            .select("chain", F.col("block_number").alias("number"),
                     F.coalesce("n_transfers", F.lit(0)).alias("n_transfers"),
                     F.coalesce("volume", F.lit(0).cast("decimal(38,0)")).alias("volume")))
 
 
 @query("events_in_ranges", """
-, inc AS (SELECT b.number AS incident, b."timestamp" - 600000 AS t0, b."timestamp" + 600000 AS t1
-          FROM p_blocks b JOIN p_logs l ON l.block_number = b.number
+, inc AS (SELECT b.chain, b.number AS incident, b."timestamp" - 600000 AS t0, b."timestamp" + 600000 AS t1
+          FROM o_blocks b JOIN o_logs l ON l.chain = b.chain AND l.block_number = b.number
           WHERE l.type = 'Consensus' AND l.engine IS NULL)
-SELECT incident, count(*) AS n_events FROM inc JOIN p_events e
-  ON e.block_timestamp BETWEEN inc.t0 AND inc.t1 GROUP BY incident""")
+SELECT inc.chain, incident, count(*) AS n_events FROM inc JOIN o_events e
+  ON e.chain = inc.chain AND e.block_timestamp BETWEEN inc.t0 AND inc.t1 GROUP BY inc.chain, incident""")
 def events_in_ranges(spark, sf):
-    """Events within +-10 minutes of blocks whose consensus engine id is not
-    valid UTF-8 (a theta join, binned so it runs as an equi-join)."""
+    """Events within +-10 minutes of blocks whose consensus engine has no text
+    (D-05): prefix sums over block time and two as-of look-ups per block."""
     logs = _t(spark, sf, "block_logs").where((F.col("type") == "Consensus") & F.col("engine").isNull())
     inc = (_t(spark, sf, "blocks").join(logs.select("chain", F.col("block_number").alias("number")),
                                         ["chain", "number"], "left_semi")
            .select("chain", F.col("number").alias("incident"),
                    (F.col("timestamp") - 600_000).alias("t0"), (F.col("timestamp") + 600_000).alias("t1")))
-    ev = _t(spark, sf, "events").select("chain", "id", "block_timestamp")
-    j = A.range_join(ev, inc, ["chain"], "block_timestamp", "t0", "t1", bin_size=600_000)
-    return j.groupBy("incident").agg(_count().alias("n_events"))
+    ev = _t(spark, sf, "events").select("chain", "block_timestamp")
+    out = A.count_in_ranges(ev, inc, ["chain"], "block_timestamp", "t0", "t1", "n_events", bucket_size=DAY_MS)
+    return out.select("chain", "incident", "n_events")
 
 
 @query("events_per_pallet_hour_filter", """
-SELECT mod_name, ("timestamp" // 3600000) * 3600000 AS hour_ms,
+SELECT e.chain, mod_name, ("timestamp" // 3600000) * 3600000 AS hour_ms,
        count(*) FILTER (WHERE event_name <> 'ExtrinsicFailed') AS n_ok_events,
        count(*) AS n_events
-FROM p_events e JOIN p_blocks b ON b.number = e.block_number
-GROUP BY 1, 2 HAVING count(*) > 1""")
+FROM o_events e JOIN o_blocks b ON b.chain = e.chain AND b.number = e.block_number
+GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def events_per_pallet_hour_filter(spark, sf):
     """GROUP BY with FILTER and HAVING. The block time is read from the
     events table, where extraction stored it, so no join is needed."""
-    e = _t(spark, sf, "events").select("mod_name", "event_name", "block_timestamp")
-    g = (e.groupBy("mod_name", (F.expr(f"block_timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
+    e = _t(spark, sf, "events").select("chain", "mod_name", "event_name", "block_timestamp")
+    g = (e.groupBy("chain", "mod_name", (F.expr(f"block_timestamp div {HOUR_MS}") * HOUR_MS).alias("hour_ms"))
          .agg(F.count_if(F.col("event_name") != "ExtrinsicFailed").alias("n_ok_events"),
               _count().alias("n_events")))
     return g.where(F.col("n_events") > 1)
 
 
 @query("distinct_validators", """
-SELECT ("timestamp" // 86400000) * 86400000 AS day_ms, count(DISTINCT validator) AS n_validators,
-       count(*) AS n_blocks FROM p_blocks GROUP BY 1""")
+SELECT chain, ("timestamp" // 86400000) * 86400000 AS day_ms, count(DISTINCT validator) AS n_validators,
+       count(*) AS n_blocks FROM o_blocks GROUP BY ALL""")
 def distinct_validators(spark, sf):
     b = _t(spark, sf, "blocks")
-    return b.groupBy((F.expr(f"timestamp div {DAY_MS}") * DAY_MS).alias("day_ms")).agg(
+    return b.groupBy("chain", (F.expr(f"timestamp div {DAY_MS}") * DAY_MS).alias("day_ms")).agg(
         F.count_distinct("validator").alias("n_validators"), _count().alias("n_blocks"))
 
 
-@query("distinct_validators_approx")
+@query("distinct_validators_approx", """
+SELECT chain, ("timestamp" // 86400000) * 86400000 AS day_ms, count(DISTINCT validator) AS n_validators,
+       true AS within_bound FROM o_blocks GROUP BY ALL""")
 def distinct_validators_approx(spark, sf):
-    """HyperLogLog estimate; not comparable bit-for-bit, rows-only check."""
+    """HyperLogLog estimate beside the exact count: it has to lie within three
+    of its standard errors (5 %), or one validator, of it."""
     b = _t(spark, sf, "blocks")
-    return b.groupBy((F.expr(f"timestamp div {DAY_MS}") * DAY_MS).alias("day_ms")).agg(
-        F.approx_count_distinct("validator").alias("n_validators_approx"))
+    g = b.groupBy("chain", (F.expr(f"timestamp div {DAY_MS}") * DAY_MS).alias("day_ms")).agg(
+        F.count_distinct("validator").alias("n_validators"), F.approx_count_distinct("validator", 0.05).alias("n"))
+    off = F.abs(F.col("n") - F.col("n_validators"))
+    return g.select("chain", "day_ms", "n_validators",
+                    (off <= F.greatest(F.lit(1.0), 0.15 * F.col("n_validators"))).alias("within_bound"))
 
 
 def _grouped(df, cols):
@@ -389,35 +440,38 @@ def _pallet_event_counts(spark, sf):
     """Counts per (pallet, event) first (map-side partial aggregate), so the
     Expand of cube / rollup / grouping sets runs over a handful of rows
     instead of every event."""
-    return _t(spark, sf, "events").groupBy("mod_name", "event_name").agg(_count().alias("n"))
+    return _t(spark, sf, "events").groupBy("chain", "mod_name", "event_name").agg(_count().alias("n"))
 
 
 @query("pallet_event_rollup", """
-SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
+SELECT chain, mod_name, event_name, CAST(grouping(chain) AS INTEGER) AS g_chain,
+       CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
        CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
-FROM p_events GROUP BY ROLLUP (mod_name, event_name)""")
+FROM o_events GROUP BY ROLLUP (chain, mod_name, event_name)""")
 def pallet_event_rollup(spark, sf):
     e = _pallet_event_counts(spark, sf)
-    return e.rollup("mod_name", "event_name").agg(*_grouped(e, ["mod_name", "event_name"]))
+    return e.rollup("chain", "mod_name", "event_name").agg(*_grouped(e, ["chain", "mod_name", "event_name"]))
 
 
 @query("pallet_event_cube", """
-SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
+SELECT chain, mod_name, event_name, CAST(grouping(chain) AS INTEGER) AS g_chain,
+       CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
        CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
-FROM p_events GROUP BY CUBE (mod_name, event_name)""")
+FROM o_events GROUP BY CUBE (chain, mod_name, event_name)""")
 def pallet_event_cube(spark, sf):
     e = _pallet_event_counts(spark, sf)
-    return e.cube("mod_name", "event_name").agg(*_grouped(e, ["mod_name", "event_name"]))
+    return e.cube("chain", "mod_name", "event_name").agg(*_grouped(e, ["chain", "mod_name", "event_name"]))
 
 
 @query("pallet_event_grouping_sets", """
-SELECT mod_name, event_name, CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
+SELECT chain, mod_name, event_name, CAST(grouping(chain) AS INTEGER) AS g_chain,
+       CAST(grouping(mod_name) AS INTEGER) AS g_mod_name,
        CAST(grouping(event_name) AS INTEGER) AS g_event_name, count(*) AS n
-FROM p_events GROUP BY GROUPING SETS ((mod_name), (event_name), ())""")
+FROM o_events GROUP BY GROUPING SETS ((chain, mod_name), (chain, event_name), (chain), ())""")
 def pallet_event_grouping_sets(spark, sf):
     e = _pallet_event_counts(spark, sf)
-    return e.groupingSets([["mod_name"], ["event_name"], []], "mod_name", "event_name").agg(
-        *_grouped(e, ["mod_name", "event_name"]))
+    return e.groupingSets([["chain", "mod_name"], ["chain", "event_name"], ["chain"], []],
+                          "chain", "mod_name", "event_name").agg(*_grouped(e, ["chain", "mod_name", "event_name"]))
 
 
 _INTERVAL_SQL = """(SELECT chain, number, lag(number) OVER w AS prev_number,
@@ -426,53 +480,53 @@ _INTERVAL_SQL = """(SELECT chain, number, lag(number) OVER w AS prev_number,
 
 
 @query("block_interval", """
-SELECT number, prev_number, interval_ms FROM """ + _INTERVAL_SQL + """ i WHERE chain = 'polkadot'""")
+SELECT chain, number, prev_number, interval_ms FROM """ + _INTERVAL_SQL + """ i""")
 def block_interval(spark, sf):
-    return A.block_intervals(_t(spark, sf, "blocks")).select("number", "prev_number", "interval_ms")
+    return A.block_intervals(_t(spark, sf, "blocks")).select("chain", "number", "prev_number", "interval_ms")
 
 
 @query("block_interval_median", """
 SELECT chain, quantile_cont(interval_ms, 0.5) AS median_ms FROM """ + _INTERVAL_SQL + """ i
 WHERE interval_ms IS NOT NULL GROUP BY chain""")
 def block_interval_median(spark, sf):
-    iv = A.block_intervals(_t(spark, sf, "blocks", chain=None))
-    return A.exact_percentile(iv, ["chain"], "interval_ms", 0.5, "median_ms")
+    iv = A.block_intervals(_t(spark, sf, "blocks"))
+    return A.exact_percentile(iv, ["chain"], "interval_ms", 0.5, "median_ms", bucket_size=HOUR_MS)
 
 
 @query("calls_per_block", """
-SELECT block_number, string_agg(call_name, ',' ORDER BY extrinsic_index) AS calls
-FROM p_extrinsics GROUP BY block_number""")
+SELECT chain, block_number, string_agg(call_name, ',' ORDER BY extrinsic_index) AS calls
+FROM o_extrinsics GROUP BY chain, block_number""")
 def calls_per_block(spark, sf):
     x = _t(spark, sf, "extrinsics")
-    g = x.groupBy("block_number").agg(
+    g = x.groupBy("chain", "block_number").agg(
         F.array_sort(F.collect_list(F.struct("extrinsic_index", "call_name"))).alias("_c"))
-    return g.select("block_number", F.array_join(F.transform("_c", lambda c: c["call_name"]), ",")
+    return g.select("chain", "block_number", F.array_join(F.transform("_c", lambda c: c["call_name"]), ",")
                     .alias("calls"))
 
 
 @query("top_senders_per_day", """
-SELECT day_ms, sender, total, rnk FROM (
-  SELECT day_ms, sender, total,
-         row_number() OVER (PARTITION BY day_ms ORDER BY total DESC, sender) AS rnk
-  FROM (SELECT (block_timestamp // 86400000) * 86400000 AS day_ms, "from" AS sender,
-               sum(amount) AS total FROM p_transfers GROUP BY 1, 2))
+SELECT chain, day_ms, sender, total, rnk FROM (
+  SELECT chain, day_ms, sender, total,
+         row_number() OVER (PARTITION BY chain, day_ms ORDER BY total DESC, sender) AS rnk
+  FROM (SELECT chain, (block_timestamp // 86400000) * 86400000 AS day_ms, "from" AS sender,
+               sum(amount) AS total FROM o_transfers GROUP BY 1, 2, 3))
 WHERE rnk <= 3""")
 def top_senders_per_day(spark, sf):
     t = _t(spark, sf, "transfers")
-    per = t.groupBy((F.expr(f"block_timestamp div {DAY_MS}") * DAY_MS).alias("day_ms"),
+    per = t.groupBy("chain", (F.expr(f"block_timestamp div {DAY_MS}") * DAY_MS).alias("day_ms"),
                     F.col("from").alias("sender")).agg(F.sum("amount").alias("total"))
-    return A.top_k_per_group(per, ["day_ms"], [F.col("total").desc(), F.col("sender")], 3,
+    return A.top_k_per_group(per, ["chain", "day_ms"], [F.col("total").desc(), F.col("sender")], 3,
                              salt_col="sender")
 
 
-_FLOWS_SQL = """(SELECT account, block_number, sum(delta) AS delta FROM (
-      SELECT "from" AS account, block_number, -amount AS delta FROM p_transfers
-      UNION ALL SELECT "to", block_number, amount FROM p_transfers) GROUP BY 1, 2)"""
+_FLOWS_SQL = """(SELECT chain, account, block_number, sum(delta) AS delta FROM (
+      SELECT chain, "from" AS account, block_number, -amount AS delta FROM o_transfers
+      UNION ALL SELECT chain, "to", block_number, amount FROM o_transfers) GROUP BY 1, 2, 3)"""
 
 
 @query("account_running_balance", """
-SELECT account, block_number, delta,
-       sum(delta) OVER (PARTITION BY account ORDER BY block_number ROWS UNBOUNDED PRECEDING) AS balance
+SELECT chain, account, block_number, delta,
+       sum(delta) OVER (PARTITION BY chain, account ORDER BY block_number ROWS UNBOUNDED PRECEDING) AS balance
 FROM """ + _FLOWS_SQL + """ f""")
 def account_running_balance(spark, sf):
     """Net transfer flow per account as a running balance. Pre-aggregated per
@@ -481,145 +535,135 @@ def account_running_balance(spark, sf):
     t = _t(spark, sf, "transfers")
     legs = F.explode(F.array(F.struct(F.col("from").alias("account"), (-F.col("amount")).alias("delta")),
                              F.struct(F.col("to").alias("account"), F.col("amount").alias("delta"))))
-    flows = (t.select("block_number", legs.alias("leg"))         # one scan, two legs per transfer
-             .groupBy(F.col("leg.account").alias("account"), "block_number")
+    flows = (t.select("chain", "block_number", legs.alias("leg"))         # one scan, two legs per transfer
+             .groupBy("chain", F.col("leg.account").alias("account"), "block_number")
              .agg(F.sum("leg.delta").alias("delta")))
-    return A.running_sum(flows, ["account"], "block_number", "delta", "balance")
+    return A.running_sum(flows, ["chain", "account"], "block_number", "delta", "balance")
 
 
 @query("moving_event_count", """
-SELECT block_number AS number, n_events,
-       sum(n_events) OVER (ORDER BY block_number RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS moving_10
-FROM (SELECT block_number, count(*) AS n_events FROM p_events GROUP BY 1)""")
+SELECT chain, block_number AS number, n_events,
+       sum(n_events) OVER (PARTITION BY chain ORDER BY block_number RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS moving_10
+FROM (SELECT chain, block_number, count(*) AS n_events FROM o_events GROUP BY ALL)""")
 def moving_event_count(spark, sf):
     per = _t(spark, sf, "events").groupBy("chain", "block_number").agg(_count().alias("n_events"))
     m = A.moving_sum(per, ["chain"], "block_number", "n_events", 10, "moving_10")
-    return m.select(F.col("block_number").alias("number"), "n_events", "moving_10")
+    return m.select("chain", F.col("block_number").alias("number"), "n_events", "moving_10")
 
 
 @query("top_transfers", """
-SELECT id, amount, "from", "to" FROM p_transfers ORDER BY amount DESC, id LIMIT 10""")
+SELECT chain, id, amount, "from", "to" FROM o_transfers ORDER BY amount DESC, chain, id LIMIT 10""")
 def top_transfers(spark, sf):
-    return (_t(spark, sf, "transfers").select("id", "amount", "from", "to")
-            .orderBy(F.col("amount").desc(), F.col("id")).limit(10))
+    return (_t(spark, sf, "transfers").select("chain", "id", "amount", "from", "to")
+            .orderBy(F.col("amount").desc(), "chain", "id").limit(10))
 
 
 @query("accounts_both", """
-SELECT "from" AS account FROM p_transfers INTERSECT SELECT "to" FROM p_transfers""")
+SELECT chain, "from" AS account FROM o_transfers INTERSECT SELECT chain, "to" FROM o_transfers""")
 def accounts_both(spark, sf):
     t = _t(spark, sf, "transfers")
-    return t.select(F.col("from").alias("account")).intersect(t.select(F.col("to").alias("account")))
+    return t.select("chain", F.col("from").alias("account")).intersect(t.select("chain", F.col("to").alias("account")))
 
 
 @query("accounts_only_send", """
-SELECT "from" AS account FROM p_transfers EXCEPT SELECT "to" FROM p_transfers""")
+SELECT chain, "from" AS account FROM o_transfers EXCEPT SELECT chain, "to" FROM o_transfers""")
 def accounts_only_send(spark, sf):
     t = _t(spark, sf, "transfers")
-    return t.select(F.col("from").alias("account")).subtract(t.select(F.col("to").alias("account")))
+    return t.select("chain", F.col("from").alias("account")).subtract(t.select("chain", F.col("to").alias("account")))
 
 
 @query("accounts_all", """
-SELECT "from" AS account FROM p_transfers UNION SELECT "to" FROM p_transfers""")
+SELECT chain, "from" AS account FROM o_transfers UNION SELECT chain, "to" FROM o_transfers""")
 def accounts_all(spark, sf):
     t = _t(spark, sf, "transfers")
-    return t.select(F.col("from").alias("account")).union(
-        t.select(F.col("to").alias("account"))).distinct()
+    return t.select("chain", F.col("from").alias("account")).union(
+        t.select("chain", F.col("to").alias("account"))).distinct()
 
 
 @query("blocks_above_avg", """
-, per AS (SELECT block_number, count(*) AS n_extrinsics FROM p_extrinsics GROUP BY 1)
-SELECT block_number AS number, n_extrinsics FROM per
+, per AS (SELECT chain, block_number, count(*) AS n_extrinsics FROM o_extrinsics GROUP BY ALL)
+SELECT chain, block_number AS number, n_extrinsics FROM per
 WHERE n_extrinsics > (SELECT avg(n_extrinsics) FROM per)""")
 def blocks_above_avg(spark, sf):
     """Blocks with more extrinsics than the average block (scalar subquery)."""
-    per = _t(spark, sf, "extrinsics").groupBy("block_number").agg(_count().alias("n_extrinsics"))
+    per = _t(spark, sf, "extrinsics").groupBy("chain", "block_number").agg(_count().alias("n_extrinsics"))
     avg = per.select(F.avg("n_extrinsics")).scalar()
-    return per.where(F.col("n_extrinsics") > avg).select(F.col("block_number").alias("number"),
+    return per.where(F.col("n_extrinsics") > avg).select("chain", F.col("block_number").alias("number"),
                                                          "n_extrinsics")
 
 
 @query("blocks_exists_subquery", """
-SELECT number FROM p_blocks b WHERE EXISTS (
-  SELECT 1 FROM p_extrinsics x WHERE x.block_number = b.number AND x.extrinsic_index = 5)""")
+SELECT chain, number FROM o_blocks b WHERE EXISTS (
+  SELECT 1 FROM o_extrinsics x WHERE x.chain = b.chain AND x.block_number = b.number AND x.extrinsic_index = 5)""")
 def blocks_exists_subquery(spark, sf):
     """Correlated EXISTS subquery through Spark SQL (decorrelated to a semi join)."""
-    lake = lake_for(spark, sf)
     s = spark.newSession()
-    lake.register("polkadot", s)
-    return s.sql("""SELECT number FROM blocks b WHERE EXISTS (
-        SELECT 1 FROM extrinsics x WHERE x.block_number = b.number AND x.extrinsic_index = 5)""")
+    lake_for(spark, sf).register(None, s)
+    return s.sql("""SELECT chain, number FROM blocks b WHERE EXISTS (SELECT 1 FROM extrinsics x
+        WHERE x.chain = b.chain AND x.block_number = b.number AND x.extrinsic_index = 5)""")
 
 
 @query("ancestor_walk", """
 SELECT * FROM (
-  WITH RECURSIVE walk(start, depth, ancestor, parent_hash) AS (
-    SELECT number, 0, number, parent_hash FROM p_blocks
+  WITH RECURSIVE walk(chain, start, depth, ancestor, parent_hash) AS (
+    SELECT chain, number, 0, number, parent_hash FROM o_blocks
     UNION ALL
-    SELECT w.start, w.depth + 1, p.number, p.parent_hash
-    FROM walk w JOIN p_blocks p ON p.hash = w.parent_hash WHERE w.depth < 3)
-  SELECT start, max(depth) AS depth, arg_max(ancestor, depth) AS farthest FROM walk GROUP BY start)""")
+    SELECT w.chain, w.start, w.depth + 1, p.number, p.parent_hash
+    FROM walk w JOIN o_blocks p ON p.chain = w.chain AND p.hash = w.parent_hash WHERE w.depth < 3)
+  SELECT chain, start, max(depth) AS depth, arg_max(ancestor, depth) AS farthest FROM walk GROUP BY chain, start)""")
 def ancestor_walk(spark, sf):
-    """Walk parent links up to 3 steps from every block with a recursive CTE."""
-    lake = lake_for(spark, sf)
-    s = spark.newSession()
-    lake.register("polkadot", s)
-    return s.sql("""
-        WITH RECURSIVE walk(start, depth, ancestor, parent_hash) AS (
-          SELECT number, 0, number, parent_hash FROM blocks
-          UNION ALL
-          SELECT w.start, w.depth + 1, p.number, p.parent_hash
-          FROM walk w JOIN blocks p ON p.hash = w.parent_hash WHERE w.depth < 3)
-        SELECT start, max(depth) AS depth, max_by(ancestor, depth) AS farthest
-        FROM walk GROUP BY start""")
+    """Walk parent links up to 3 steps from every block (D-16): the depth is
+    known, so the recursion is three equi-joins."""
+    return A.ancestors(_t(spark, sf, "blocks"), 3)
 
 
 @query("json_amounts", """
-SELECT event_name, sum(CAST(coalesce(json_extract_string("values", '$.amount'),
+SELECT chain, event_name, sum(CAST(coalesce(json_extract_string("values", '$.amount'),
                                      json_extract_string("values", '$.actual_fee')) AS DECIMAL(38,0))) AS total,
        count(*) AS n
-FROM p_events WHERE mod_name IN ('Balances', 'TransactionPayment') GROUP BY event_name""")
+FROM o_events WHERE mod_name IN ('Balances', 'TransactionPayment') GROUP BY chain, event_name""")
 def json_amounts(spark, sf):
     e = _t(spark, sf, "events").where(F.col("mod_name").isin("Balances", "TransactionPayment"))
     v = F.from_json("values", "amount string, actual_fee string")      # one parse per row
     amt = F.coalesce(v["amount"], v["actual_fee"]).try_cast("decimal(38,0)")
-    return e.groupBy("event_name").agg(F.sum(amt).alias("total"), _count().alias("n"))
+    return e.groupBy("chain", "event_name").agg(F.sum(amt).alias("total"), _count().alias("n"))
 
 
 @query("hash_prefix_hist", """
-SELECT substring(hash, 3, 2) AS prefix, count(*) AS n FROM p_blocks GROUP BY 1""")
+SELECT chain, substring(hash, 3, 2) AS prefix, count(*) AS n FROM o_blocks GROUP BY ALL""")
 def hash_prefix_hist(spark, sf):
     b = _t(spark, sf, "blocks")
-    return b.groupBy(F.substring("hash", 3, 2).alias("prefix")).agg(_count().alias("n"))
+    return b.groupBy("chain", F.substring("hash", 3, 2).alias("prefix")).agg(_count().alias("n"))
 
 
 @query("daily_volume", """
-SELECT strftime(make_timestamp(block_timestamp * 1000), '%Y-%m-%d') AS day, count(*) AS n_transfers,
-       sum(amount) AS volume FROM p_transfers GROUP BY 1""")
+SELECT chain, strftime(make_timestamp(block_timestamp * 1000), '%Y-%m-%d') AS day, count(*) AS n_transfers,
+       sum(amount) AS volume FROM o_transfers GROUP BY ALL""")
 def daily_volume(spark, sf):
     t = _t(spark, sf, "transfers")
-    return t.groupBy(F.date_format(F.timestamp_millis("block_timestamp"), "yyyy-MM-dd").alias("day")).agg(
+    return t.groupBy("chain", F.date_format(F.timestamp_millis("block_timestamp"), "yyyy-MM-dd").alias("day")).agg(
         _count().alias("n_transfers"), F.sum("amount").alias("volume"))
 
 
 @query("fee_buckets", """
-SELECT CASE WHEN fee < 1000 THEN 'small' WHEN fee < 5000 THEN 'medium' ELSE 'large' END AS bucket,
+SELECT chain, CASE WHEN fee < 1000 THEN 'small' WHEN fee < 5000 THEN 'medium' ELSE 'large' END AS bucket,
        count(*) AS n, sum(fee) AS total
-FROM (SELECT CAST(json_extract_string("values", '$.actual_fee') AS DECIMAL(38,0)) AS fee
-      FROM p_events WHERE event_name = 'TransactionFeePaid') GROUP BY 1""")
+FROM (SELECT chain, CAST(json_extract_string("values", '$.actual_fee') AS DECIMAL(38,0)) AS fee
+      FROM o_events WHERE event_name = 'TransactionFeePaid') GROUP BY 1, 2""")
 def fee_buckets(spark, sf):
     fee = F.get_json_object("values", "$.actual_fee").try_cast("decimal(38,0)")
-    e = _t(spark, sf, "events").where(F.col("event_name") == "TransactionFeePaid").select(fee.alias("fee"))
+    e = _t(spark, sf, "events").where(F.col("event_name") == "TransactionFeePaid").select("chain", fee.alias("fee"))
     bucket = F.when(F.col("fee") < 1000, "small").when(F.col("fee") < 5000, "medium").otherwise("large")
-    return e.groupBy(bucket.alias("bucket")).agg(_count().alias("n"), F.sum("fee").alias("total"))
+    return e.groupBy("chain", bucket.alias("bucket")).agg(_count().alias("n"), F.sum("fee").alias("total"))
 
 
 @query("blocks_with_pallets", """
-SELECT block_number AS number FROM p_events GROUP BY block_number
+SELECT chain, block_number AS number FROM o_events GROUP BY chain, block_number
 HAVING bool_or(mod_name = 'Balances') AND bool_or(mod_name = 'Utility')""")
 def blocks_with_pallets(spark, sf):
-    g = _t(spark, sf, "events").groupBy("block_number").agg(F.collect_set("mod_name").alias("p"))
+    g = _t(spark, sf, "events").groupBy("chain", "block_number").agg(F.collect_set("mod_name").alias("p"))
     return g.where(F.array_contains("p", "Balances") & F.array_contains("p", "Utility")).select(
-        F.col("block_number").alias("number"))
+        "chain", F.col("block_number").alias("number"))
 
 
 # The inline label table of the VALUES proof query.
@@ -628,13 +672,13 @@ EVENT_LABELS = [("Transfer", "value"), ("Withdraw", "value"), ("TransactionFeePa
 
 
 @query("labelled_events", """
-SELECT l.label, count(*) AS n FROM p_events e
+SELECT e.chain, l.label, count(*) AS n FROM o_events e
 JOIN (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in EVENT_LABELS) + """) l(event_name, label)
-  ON l.event_name = e.event_name GROUP BY l.label""")
+  ON l.event_name = e.event_name GROUP BY e.chain, l.label""")
 def labelled_events(spark, sf):
     labels = spark.createDataFrame(EVENT_LABELS, "event_name string, label string")
     e = _t(spark, sf, "events")
-    return e.join(F.broadcast(labels), "event_name").groupBy("label").agg(_count().alias("n"))
+    return e.join(F.broadcast(labels), "event_name").groupBy("chain", "label").agg(_count().alias("n"))
 
 
 # --- block-time windows in batch (T-07) ----------------------------------------------
@@ -643,73 +687,74 @@ def _ev_time(spark, sf):
 
 
 @query("window_tumbling", """
-SELECT (block_timestamp // 3600000) * 3600000 AS window_start_ms, count(*) AS n_events
-FROM p_events GROUP BY 1""")
+SELECT chain, (block_timestamp // 3600000) * 3600000 AS window_start_ms, count(*) AS n_events
+FROM o_events GROUP BY ALL""")
 def window_tumbling(spark, sf):
-    g = _ev_time(spark, sf).groupBy(F.window("t", "1 hour").alias("w")).agg(_count().alias("n_events"))
-    return g.select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "n_events")
+    g = _ev_time(spark, sf).groupBy("chain", F.window("t", "1 hour").alias("w")).agg(_count().alias("n_events"))
+    return g.select("chain", F.unix_millis(F.col("w.start")).alias("window_start_ms"), "n_events")
 
 
 @query("window_sliding", """
-SELECT s AS window_start_ms, count(*) AS n_events FROM (
-  SELECT (block_timestamp // 1800000) * 1800000 AS s FROM p_events
-  UNION ALL SELECT (block_timestamp // 1800000) * 1800000 - 1800000 FROM p_events)
-GROUP BY 1""")
+SELECT chain, s AS window_start_ms, count(*) AS n_events FROM (
+  SELECT chain, (block_timestamp // 1800000) * 1800000 AS s FROM o_events
+  UNION ALL SELECT chain, (block_timestamp // 1800000) * 1800000 - 1800000 FROM o_events)
+GROUP BY 1, 2""")
 def window_sliding(spark, sf):
-    g = _ev_time(spark, sf).groupBy(F.window("t", "1 hour", "30 minutes").alias("w")).agg(
+    g = _ev_time(spark, sf).groupBy("chain", F.window("t", "1 hour", "30 minutes").alias("w")).agg(
         _count().alias("n_events"))
-    return g.select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "n_events")
+    return g.select("chain", F.unix_millis(F.col("w.start")).alias("window_start_ms"), "n_events")
 
 
 _SESSION_SQL = """
-, tx AS (SELECT "from" AS sender, block_timestamp AS t, id FROM p_transfers),
-  marked AS (SELECT sender, t, id, CASE WHEN t - lag(t) OVER (PARTITION BY sender ORDER BY t, id) <= 86400000
+, tx AS (SELECT chain, "from" AS sender, block_timestamp AS t, id FROM o_transfers),
+  marked AS (SELECT chain, sender, t, id, CASE WHEN t - lag(t) OVER (PARTITION BY chain, sender ORDER BY t, id) <= 86400000
                                        THEN 0 ELSE 1 END AS brk FROM tx),
-  grouped AS (SELECT sender, t, sum(brk) OVER (PARTITION BY sender ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS sid
+  grouped AS (SELECT chain, sender, t, sum(brk) OVER (PARTITION BY chain, sender ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS sid
               FROM marked)
-SELECT sender, min(t) AS session_start_ms, max(t) + 86400000 AS session_end_ms, count(*) AS n
-FROM grouped GROUP BY sender, sid"""
+SELECT chain, sender, min(t) AS session_start_ms, max(t) + 86400000 AS session_end_ms, count(*) AS n
+FROM grouped GROUP BY chain, sender, sid"""
+
+
+def _sessions(spark, sf, bucket_ms):
+    t = _t(spark, sf, "transfers").select("chain", F.col("from").alias("sender"), "id",
+                                         F.col("block_timestamp").alias("t"))
+    s = A.sessionize(t, ["chain", "sender"], "t", DAY_MS, bucket_ms, tiebreak=("id",))
+    return s.groupBy("chain", "sender", "session_id").agg(
+        F.min("t").alias("session_start_ms"), (F.max("t") + DAY_MS).alias("session_end_ms"),
+        _count().alias("n")).drop("session_id")
 
 
 @query("window_session", _SESSION_SQL)
 def window_session(spark, sf):
     """Per-sender activity sessions (gap 1 day) over transfer time, with the
     bucketed sessionizer (a hot sender is spread over weekly buckets)."""
-    t = _t(spark, sf, "transfers").select(F.col("from").alias("sender"), "id",
-                                         F.col("block_timestamp").alias("t"))
-    s = A.sessionize(t, ["sender"], "t", DAY_MS, 7 * DAY_MS, tiebreak=("id",))
-    return s.groupBy("sender", "session_id").agg(
-        F.min("t").alias("session_start_ms"), (F.max("t") + DAY_MS).alias("session_end_ms"),
-        _count().alias("n")).drop("session_id")
+    return _sessions(spark, sf, 7 * DAY_MS)
 
 
 @query("window_session_builtin", _SESSION_SQL)
 def window_session_builtin(spark, sf):
-    """The same sessions with Spark's ``session_window`` (one task per sender)."""
-    t = _t(spark, sf, "transfers").select(F.col("from").alias("sender"),
-                                         F.timestamp_millis("block_timestamp").alias("t"))
-    g = t.groupBy("sender", F.session_window("t", "1 day").alias("w")).agg(_count().alias("n"))
-    return g.select("sender", F.unix_millis(F.col("w.start")).alias("session_start_ms"),
-                    F.unix_millis(F.col("w.end")).alias("session_end_ms"), "n")
+    """What Spark's ``session_window`` gives (a test compares them), without
+    its one task per sender; buckets of six hours, so sessions cross edges."""
+    return _sessions(spark, sf, DAY_MS // 4)
 
 
 @query("transfers_page", """
-SELECT id, amount FROM p_transfers ORDER BY amount DESC, id LIMIT 10 OFFSET 10""")
+SELECT chain, id, amount FROM o_transfers ORDER BY amount DESC, chain, id LIMIT 10 OFFSET 10""")
 def transfers_page(spark, sf):
     """Second page of the largest transfers (ORDER BY + LIMIT + OFFSET)."""
-    return (_t(spark, sf, "transfers").select("id", "amount")
-            .orderBy(F.col("amount").desc(), F.col("id")).offset(10).limit(10))
+    return (_t(spark, sf, "transfers").select("chain", "id", "amount")
+            .orderBy(F.col("amount").desc(), "chain", "id").offset(10).limit(10))
 
 
 @query("string_functions", """
-SELECT split_part(id, '-', 2) AS position, count(*) AS n,
+SELECT chain, split_part(id, '-', 2) AS position, count(*) AS n,
        count(*) FILTER (WHERE event_name LIKE 'Extrinsic%') AS n_extrinsic_events,
        count(*) FILTER (WHERE regexp_matches(mod_name, '^[A-Z][a-z]+$')) AS n_simple_pallet,
        max(length(extrinsic_hash)) AS hash_len
-FROM p_events GROUP BY 1""")
+FROM o_events GROUP BY 1, 2""")
 def string_functions(spark, sf):
     e = _t(spark, sf, "events")
-    return e.groupBy(F.split_part("id", F.lit("-"), F.lit(2)).alias("position")).agg(
+    return e.groupBy("chain", F.split_part("id", F.lit("-"), F.lit(2)).alias("position")).agg(
         _count().alias("n"),
         F.count_if(F.col("event_name").like("Extrinsic%")).alias("n_extrinsic_events"),
         F.count_if(F.col("mod_name").rlike("^[A-Z][a-z]+$")).alias("n_simple_pallet"),
@@ -717,15 +762,15 @@ def string_functions(spark, sf):
 
 
 @query("date_functions", """
-SELECT hour(make_timestamp("timestamp" * 1000)) AS hour_of_day,
+SELECT chain, hour(make_timestamp("timestamp" * 1000)) AS hour_of_day,
        CAST(dayofweek(make_timestamp("timestamp" * 1000)) AS INTEGER) AS dow,
        count(*) AS n_blocks,
        min(strftime(date_trunc('week', make_timestamp("timestamp" * 1000)), '%Y-%m-%d')) AS first_week
-FROM p_blocks GROUP BY 1, 2""")
+FROM o_blocks GROUP BY 1, 2, 3""")
 def date_functions(spark, sf):
     """extract / date_trunc over block time (UTC)."""
     t = F.timestamp_millis("timestamp")
     return _t(spark, sf, "blocks").groupBy(
-        F.hour(t).alias("hour_of_day"), (F.dayofweek(t) - 1).alias("dow")).agg(
+        "chain", F.hour(t).alias("hour_of_day"), (F.dayofweek(t) - 1).alias("dow")).agg(
         _count().alias("n_blocks"),
         F.min(F.date_format(F.date_trunc("week", t), "yyyy-MM-dd")).alias("first_week"))

@@ -4,6 +4,8 @@ so the report reflects the data, not only the configuration."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..lake import lake_for
@@ -27,8 +29,12 @@ _SQL_PARTS = f"""
 """
 
 
+def _catalog(spark):
+    return K.read_catalog(spark, K.SAMPLE_CATALOG)
+
+
 def _stored(spark, sf):
-    return lake_for(spark, sf).table("blocks", chain=None).groupBy("chain").agg(
+    return lake_for(spark, sf).table("blocks").groupBy("chain").agg(
         F.count(F.lit(1)).alias("n_blocks"))
 
 
@@ -41,7 +47,7 @@ def _with_blocks(df, spark, sf):
 SELECT c.id, c.name, c.chain, c.kind, c.enabled, coalesce(s.n_blocks, 0) AS n_blocks
 FROM o_cchains c LEFT JOIN o_stored s USING (chain)""")
 def catalog_chains(spark, sf):
-    c = K.chains(K.read_catalog(spark)).select("id", "name", "chain", "kind", "enabled")
+    c = K.chains(_catalog(spark)).select("id", "name", "chain", "kind", "enabled")
     return _with_blocks(c, spark, sf)
 
 
@@ -51,7 +57,7 @@ FROM o_cchains c JOIN o_support s ON s.chain = c.chain AND s.enabled
 LEFT JOIN o_stored st ON st.chain = c.chain
 WHERE c.enabled""")
 def catalog_enabled(spark, sf):
-    cat = K.read_catalog(spark)
+    cat = _catalog(spark)
     c = K.enabled(K.chains(cat)).select("chain")
     s = K.enabled(K.engine_chains(cat)).select("chain", "dbname")
     return _with_blocks(c.join(s, "chain"), spark, sf)
@@ -62,7 +68,7 @@ SELECT w.chain, w.node_name, n.rpc_url, coalesce(st.n_blocks, 0) AS n_blocks
 FROM (SELECT chain, unnest(storage_nodes) AS node_name FROM o_cchains WHERE enabled) w
 JOIN o_nodes n USING (node_name) LEFT JOIN o_stored st ON st.chain = w.chain""")
 def route_matched(spark, sf):
-    matched, _ = K.route_chains(K.read_catalog(spark))
+    matched, _ = K.route_chains(_catalog(spark))
     return _with_blocks(matched.select("chain", "node_name", "rpc_url"), spark, sf)
 
 
@@ -72,31 +78,58 @@ FROM (SELECT chain, unnest(storage_nodes) AS node_name FROM o_cchains WHERE enab
 LEFT JOIN o_stored st ON st.chain = w.chain
 WHERE w.node_name NOT IN (SELECT node_name FROM o_nodes)""")
 def route_unmatched(spark, sf):
-    _, unmatched = K.route_chains(K.read_catalog(spark))
+    _, unmatched = K.route_chains(_catalog(spark))
     return _with_blocks(unmatched.select("chain", "node_name"), spark, sf)
 
 
 @query("chain_connections", _SQL_PARTS + """
-SELECT s.chain, s.use_connection, k.host, k.port, k.host IS NOT NULL AS matched,
+SELECT s.node_name, s.chain, s.use_connection, k.host, k.port, k.host IS NOT NULL AS matched,
        coalesce(st.n_blocks, 0) AS n_blocks
 FROM o_support s
-LEFT JOIN (SELECT chain, k0.name AS cname, k0.host AS host, k0.port AS port
-           FROM (SELECT chain, unnest(connections) AS k0 FROM o_support)) k
-  ON k.chain = s.chain AND k.cname = s.use_connection
+LEFT JOIN (SELECT node_name, engine, chain, k0.name AS cname, k0.host AS host, k0.port AS port
+           FROM (SELECT node_name, engine, chain, unnest(connections) AS k0 FROM o_support)) k
+  ON k.node_name = s.node_name AND k.engine = s.engine AND k.chain = s.chain AND k.cname = s.use_connection
 LEFT JOIN o_stored st ON st.chain = s.chain
 WHERE s.enabled""")
 def chain_connections(spark, sf):
-    c = K.chain_connections(K.read_catalog(spark)).select("chain", "use_connection", "host",
-                                                          "port", "matched")
+    c = K.chain_connections(_catalog(spark)).select("node_name", "chain", "use_connection", "host",
+                                                    "port", "matched")
     return _with_blocks(c, spark, sf)
 
 
+@query("route_strict", _SQL_PARTS + """
+SELECT w.chain, min(w.node_name) AS unknown_node, coalesce(max(st.n_blocks), 0) AS n_blocks
+FROM (SELECT chain, unnest(storage_nodes) AS node_name FROM o_cchains WHERE enabled) w
+LEFT JOIN o_stored st ON st.chain = w.chain
+WHERE w.node_name NOT IN (SELECT node_name FROM o_nodes) GROUP BY w.chain""")
+def route_strict(spark, sf):
+    """J-03: strict routing stops at a route to an unknown node; the error
+    names it."""
+    try:
+        K.route_chains(_catalog(spark), strict=True)
+        rows = []
+    except K.CatalogError as err:
+        rows = [re.fullmatch(r"chain (\S+) routes to unknown storage node '(.*)'", str(err)).groups()]
+    return _with_blocks(spark.createDataFrame(rows, "chain string, unknown_node string"), spark, sf)
+
+
+@query("node_lookup", _SQL_PARTS + """
+SELECT n.node_name, n.rpc_url, s.chain, coalesce(st.n_blocks, 0) AS n_blocks
+FROM o_nodes n JOIN o_support s USING (node_name) LEFT JOIN o_stored st ON st.chain = s.chain
+WHERE n.node_name = 'lake-b'""")
+def node_lookup(spark, sf):
+    """J-05: a node by name, with the chains it stores."""
+    cat = _catalog(spark)
+    n = K.node(cat, "lake-b").select("node_name", "rpc_url")
+    return _with_blocks(n.join(K.engine_chains(cat).select("node_name", "chain"), "node_name"), spark, sf)
+
+
 @query("engine_chains", _SQL_PARTS + """
 SELECT s.engine, string_agg(DISTINCT s.chain, ',' ORDER BY s.chain) AS chains,
        count(DISTINCT s.chain) AS n_chains, sum(coalesce(st.n_blocks, 0)) AS n_blocks
-FROM o_support s LEFT JOIN o_stored st ON st.chain = s.chain GROUP BY s.engine""")
+FROM (SELECT DISTINCT engine, chain FROM o_support) s LEFT JOIN o_stored st ON st.chain = s.chain GROUP BY s.engine""")
 def engine_chains(spark, sf):
-    engines = K.list_engines(K.read_catalog(spark))            # raises when empty
+    engines = K.list_engines(_catalog(spark))            # raises when empty
     per_chain = _with_blocks(engines.select("engine", F.explode("chains").alias("chain")), spark, sf)
     g = per_chain.groupBy("engine").agg(F.array_sort(F.collect_set("chain")).alias("cs"),
                                         F.count_distinct("chain").alias("n_chains"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.codec import ints_from_bytes, json_number
+from ..functions.codec import decimal_text, ints_from_bytes, json_number
 from ..session import SQL_CONF
 
 
@@ -34,6 +34,8 @@ def chain_session(spark: SparkSession, lake, chain: str, known_chains: set[str]
             s.conf.set(k, v)
         except Exception:  # noqa: BLE001
             pass
+    # the chain's views are all there is: no other chain's files by path
+    s.conf.set("spark.sql.runSQLOnFiles", "false")
     lake.register(chain, s)
     return s
 
@@ -91,15 +93,24 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
 
 def _encode(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.DecimalType):
-        return c.cast("string")                       # S-11: NUMERIC as text
+        return decimal_text(c)                        # S-11: NUMERIC as text
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return json_number(c)                         # S-12: NaN / Inf raise
     if isinstance(dt, T.BinaryType):
         return ints_from_bytes(c)                     # S-13: bytes as numbers
-    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dt, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if isinstance(dt, T.ArrayType):
         return F.transform(c, lambda x: _encode(x, dt.elementType))
+    if isinstance(dt, T.StructType):
+        fields = F.struct(*[_encode(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
+        return F.when(c.isNotNull(), fields)
+    if isinstance(dt, T.MapType):
+        # JSON keys are text; values are typed like any other
+        return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(
+            _encode(e["key"], dt.keyType).cast("string").alias("key"), _encode(e["value"], dt.valueType).alias("value"))))
     return c
 
 
@@ -112,16 +123,12 @@ def encode_result(df: DataFrame) -> DataFrame:
 
 
 # --- Q-07: schema report -------------------------------------------------------------------
-def schema_report(spark: SparkSession, lake, chain: str = "polkadot",
-                  tables: tuple[str, ...] = ("blocks", "block_logs", "extrinsics", "events")
-                  ) -> DataFrame:
-    """Columns of each stored table with their type, from the Parquet
-    footers - no data scan (the reference issues one query per table)."""
+def schema_report(spark: SparkSession, lake, chain: str | None = None) -> DataFrame:
+    """Columns of every registered table with their type (A-05): what the
+    stored files hold, without a data scan; hidden columns are left out."""
     rows = []
-    for t in tables:
-        for i, f in enumerate(lake.table(t, chain).schema.fields):
-            if f.name.startswith("_"):
-                continue
-            rows.append((t, f.name, f.dataType.simpleString(), i))
+    for t in (*lake.STORED, *lake.DERIVED):
+        shown = [f for f in lake.table(t, chain).schema.fields if not f.name.startswith("_")]
+        rows += [(t, f.name, f.dataType.simpleString(), i) for i, f in enumerate(shown)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, "
                                        "ordinal int")

@@ -20,8 +20,8 @@ SQL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Broadcast is used only behind explicit size checks (see plans.sizing);
-    # the automatic threshold stays at its default.
+    # No broadcast is forced on data of unknown size; the automatic threshold
+    # stays at its default.
 }
 
 
@@ -47,12 +47,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL options and make sure a checkpoint dir exists."""
-    for k, v in SQL_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as is
-            pass
+    """Prepare a caller's session: block times are read in UTC, and a
+    checkpoint folder must exist. No other setting of the session changes."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
     return spark
 
@@ -61,8 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read.
-    When it is unset (local runs, tests) a fresh scratch folder is created
-    and registered, so lineage cuts and lake tables have somewhere to go.
+    When it is unset, a fresh scratch folder is created and registered, in
+    local mode only (tests); executors of a cluster would each see a folder of
+    their own, so there it is an error.
     """
     global _LOCAL_CKPT
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -71,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc_dir.isDefined():
             path = sc_dir.get()
         else:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             if _LOCAL_CKPT is None:
                 _LOCAL_CKPT = tempfile.mkdtemp(prefix="chainlake-ckpt-")
             path = _LOCAL_CKPT

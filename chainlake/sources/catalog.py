@@ -50,12 +50,20 @@ class CatalogError(ValueError):
     pass
 
 
-def read_catalog(spark: SparkSession, path: str = SAMPLE_CATALOG) -> DataFrame:
-    """IO-06: JSON only; any other extension is rejected."""
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """IO-06: JSON only; any other extension is rejected. The file is small
+    configuration and is read by the driver (a path with a scheme through
+    Spark's file systems), so executors need not see it."""
     if not path.lower().endswith(".json"):
         raise CatalogError(f"catalog must be a .json file: {path}")
-    return (spark.read.option("multiLine", True).option("mode", "FAILFAST")
-            .schema(CATALOG_SCHEMA).json(path))
+    if "://" in path:
+        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    row = spark.createDataFrame([(text,)], "text string").select(
+        F.from_json("text", CATALOG_SCHEMA, {"mode": "FAILFAST"}).alias("c"))
+    return row.select("c.*")
 
 
 def chains(catalog: DataFrame) -> DataFrame:
@@ -106,14 +114,18 @@ def route_chains(catalog: DataFrame, strict: bool = False) -> tuple[DataFrame, D
 
 
 def chain_connections(catalog: DataFrame) -> DataFrame:
-    """J-04: enabled support chain -> its named connection; a miss keeps the
-    row with ``matched = false`` (the engine logs it and skips the chain)."""
+    """J-04: enabled support chain of a node's engine -> its named connection
+    of that engine; a miss keeps the row with ``matched = false`` (the engine
+    logs it and skips the chain)."""
     s = enabled(engine_chains(catalog))
-    conns = s.select("chain", "use_connection", F.explode("connections").alias("k"))
-    hit = conns.where(F.col("k.name") == F.col("use_connection")).select(
-        "chain", F.col("k.host").alias("host"), F.col("k.port").alias("port"))
-    return (s.drop("connections").join(hit, "chain", "left")
-            .withColumn("matched", F.col("host").isNotNull()))
+    hit = F.try_element_at(F.filter("connections", lambda k: k["name"] == F.col("use_connection")), F.lit(1))
+    return (s.withColumn("k", hit).drop("connections")
+            .withColumns({"host": F.col("k.host"), "port": F.col("k.port"), "matched": F.col("k").isNotNull()}).drop("k"))
+
+
+def known_chains(catalog: DataFrame) -> tuple[str, ...]:
+    """S-14: the chain keys the catalog names (configuration, a few rows)."""
+    return tuple(sorted(r.chain for r in chains(catalog).select("chain").distinct().collect()))
 
 
 def node(catalog: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ and are narrowed to BIGINT with the reference's wrap-around.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ U64 = T.DecimalType(20, 0)
 
 LOG_WIRE = T.StructType([
     T.StructField("type", T.StringType()),
-    T.StructField("engine_id", WIRE_BYTES),
+    T.StructField("engine", T.StringType()),
     T.StructField("data", WIRE_BYTES),
 ])
 EXTRINSIC_WIRE = T.StructType([
@@ -74,13 +76,23 @@ ENVELOPE_SCHEMA = T.StructType([
 ])
 
 
+SOURCE = "_src"
+
+
+def with_source(lines: DataFrame) -> DataFrame:
+    """The arrival order of envelope lines as one sortable column: time and
+    name of the file, its split, and the line within the split."""
+    return lines.withColumn("_line", F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")))
+
+
 # IO-02 --------------------------------------------------------------------
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """Batch read; a line that is not a valid envelope keeps its text in
     ``_corrupt_record`` instead of failing the job."""
-    return (spark.read.schema(ENVELOPE_SCHEMA).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).json(path)
-            .withColumn("_file", F.input_file_name()))
+    return with_source(spark.read.schema(ENVELOPE_SCHEMA).option("mode", "PERMISSIVE")
+                       .option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
 # IO-01 / T-02 ----------------------------------------------------------------
@@ -91,20 +103,28 @@ def read_block_stream(spark: SparkSession, path: str, max_files: int | None = 1)
          .option("columnNameOfCorruptRecord", CORRUPT))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.json(path)
+    return r.json(path).withColumn("_line", F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split")))
 
 
 # IO-03 --------------------------------------------------------------------
-def reject_reason() -> F.Column:
-    return (F.when(F.col(CORRUPT).isNotNull(), F.lit("unparseable"))
-            .when(F.col("chain_kind") == "Ethereum", F.lit("unimplemented_chain_kind"))
+def reject_reason(known_chains: Iterable[str] | None = None) -> F.Column:
+    """Why an envelope is refused (NULL: it is not). Chain and chain kind are
+    mandatory; with ``known_chains`` any other chain is refused."""
+    reason = (F.when(F.col(CORRUPT).isNotNull(), F.lit("unparseable"))
+              .when(F.col("chain").isNull(), F.lit("missing_chain"))
+              .when(F.col("chain_kind").isNull(), F.lit("missing_chain_kind")))
+    if known_chains is not None:
+        reason = reason.when(~chain_key(F.col("chain")).isin(sorted(known_chains)), F.lit("unknown_chain"))
+    return (reason.when(F.col("chain_kind") == "Ethereum", F.lit("unimplemented_chain_kind"))
             .when(F.col("chain_kind") != "Polkadot", F.lit("unknown_chain_kind"))
             .when(F.col("polkadot_blocks").isNull(), F.lit("polkadot_without_blocks")))
 
 
-def split_valid(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_valid(envelopes: DataFrame, known_chains: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid envelopes, rejected envelopes with a ``reason`` column)."""
-    tagged = envelopes.withColumn("reason", reject_reason())
+    tagged = envelopes.withColumn("reason", reject_reason(known_chains))
     return (tagged.where(F.col("reason").isNull()).drop("reason"),
             tagged.where(F.col("reason").isNotNull()))
 
@@ -132,7 +152,7 @@ def from_wire_block(b: F.Column) -> dict[str, F.Column]:
                       .withField("block_timestamp", wrap_i64(e["block_timestamp"]))
                       .withField("extrinsic_hash", bytes_from_ints(e["extrinsic_hash"])))
     logs = F.transform(b["logs"], lambda g: F.struct(
-        g["type"].alias("type"), bytes_from_ints(g["engine_id"]).alias("engine_id"),
+        g["type"].alias("type"), g["engine"].alias("engine"),
         bytes_from_ints(g["data"]).alias("data")))
     return {"header": header, "body": F.struct(exts.alias("extrinsics"), evs.alias("events")),
             "logs": logs}
@@ -140,15 +160,16 @@ def from_wire_block(b: F.Column) -> dict[str, F.Column]:
 
 def blocks_of(envelopes: DataFrame) -> DataFrame:
     """One row per block, tagged with the chain key and its position in the
-    envelope; internal (BINARY / BIGINT) form, same shape as the fixture."""
-    ex = envelopes.select(chain_key(F.col("chain")).alias("chain"),
-                          F.posexplode(F.col("polkadot_blocks")).alias("block_pos", "b"),
-                          *[c for c in ("_file",) if c in envelopes.columns])
+    source (``_src``: line, then block in the envelope); internal (BINARY /
+    BIGINT) form, same shape as the fixture."""
+    line = [F.col("_line")] if "_line" in envelopes.columns else []
+    ex = envelopes.select(chain_key(F.col("chain")).alias("chain"), *line,
+                          F.posexplode(F.col("polkadot_blocks")).alias("block_pos", "b"))
     parts = from_wire_block(F.col("b"))
+    src = [F.struct(*line, "block_pos").alias(SOURCE)] if line else []
     return ex.select("chain", parts["header"]["block_number"].alias("block_number"),
                      parts["header"].alias("header"), parts["body"].alias("body"),
-                     parts["logs"].alias("logs"), "block_pos",
-                     *[c for c in ("_file",) if c in ex.columns])
+                     parts["logs"].alias("logs"), "block_pos", *src)
 
 
 # X-15 ---------------------------------------------------------------------

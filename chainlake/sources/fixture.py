@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import ints_from_bytes, sha256_0x, sha256_bytes
+from ..functions.codec import engine_name, ints_from_bytes, sha256_0x, sha256_bytes
 
 # Fixed values of the fixture rules (FIXTURES.md §3).
 EVENTS_PER_BLOCK = 20
 EVENTS_PER_EXTRINSIC = 4
-GAP_MOD, GAP_REM = 97, 96          # blocks with B % 97 = 96 are missing
+GAP_MOD, GAP_REM = 97, 96          # the gap audit leaves out blocks with B % 97 = 96
 ACCOUNTS = 150                     # transfer target: (u*7+1) % 150
 FORK_MOD, FORK_REM = 50, 7         # parent link broken when B % 50 = 7
 VALIDATOR_NULL_MOD = 7
@@ -33,6 +33,10 @@ NULL_VALUES_MOD = 41               # ItemCompleted values NULL when k % 41 = 0
 KUSAMA_MOD = 2                     # kusama carries blocks with B % 2 = 0
 REDELIVER_MOD = 10                 # re-delivery batch: B % 10 = 0
 TOPICS_MOD = 7                     # raw event has k % 7 topics
+FINAL_INDEX, FINAL_MOD = 19, 2     # last event of odd blocks: phase Finalization
+INIT_INDEX, INIT_MOD = 0, 3        # first event of blocks with B % 3 = 0: phase Initialization
+BAD_ENVELOPE_MOD, BAD_ENVELOPE_REM = 37, 5
+BAD_BLOCK_MOD, BAD_BLOCK_REM = 41, 7
 CHAIN_PREFIX = {"polkadot": "", "kusama": "ksm-"}
 CHAIN_TITLE = {"polkadot": "Polkadot", "kusama": "Kusama"}
 CALLS = [("Balances", "transfer_keep_alive"), ("Utility", "batch"), ("Staking", "bond")]
@@ -57,7 +61,7 @@ def account_hash(u: Column) -> Column:
 
 
 def event_rows(events: DataFrame) -> DataFrame:
-    """Per-event derivation; one output row per kept ``events`` row."""
+    """Per-event derivation; one output row per ``events`` row."""
     k = F.col("event_id")
     u = F.col("user_id")
     et = F.col("event_type")
@@ -68,13 +72,17 @@ def event_rows(events: DataFrame) -> DataFrame:
     for typ, (pallet, ev) in EVENT_MAP.items():
         mod_name = mod_name.when(et == typ, pallet)
         event_name = event_name.when(et == typ, ev)
+    b, i = F.expr(f"event_id div {EVENTS_PER_BLOCK}"), k % EVENTS_PER_BLOCK
+    phase = (F.when((i == FINAL_INDEX) & (b % FINAL_MOD == 1), 1)
+             .when((i == INIT_INDEX) & (b % INIT_MOD == 0), 2).otherwise(0))
     df = (events
-          .where(F.expr(f"(event_id div {EVENTS_PER_BLOCK}) % {GAP_MOD}") != GAP_REM)
           .select(
               k.alias("k"),
-              F.expr(f"event_id div {EVENTS_PER_BLOCK}").alias("block_number"),
-              (k % EVENTS_PER_BLOCK).alias("event_index"),
-              F.expr(f"(event_id % {EVENTS_PER_BLOCK}) div {EVENTS_PER_EXTRINSIC}").alias("extrinsic_index"),
+              b.alias("block_number"),
+              i.alias("event_index"),
+              phase.cast("int").alias("phase"),
+              F.when(phase == 0, F.expr(f"(event_id % {EVENTS_PER_BLOCK}) div {EVENTS_PER_EXTRINSIC}"))
+              .alias("extrinsic_index"),
               F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts_ms"),
               u.alias("user_id"),
               mod_name.alias("mod_name"),
@@ -124,7 +132,7 @@ def nested_blocks(events: DataFrame, chains: tuple[str, ...] = ("polkadot",)) ->
     ev = _chain_rows(event_rows(events), chains)
     grouped = ev.groupBy("chain", "block_number").agg(
         F.max("ts_ms").alias("ts_ms"),
-        F.collect_list(F.struct("event_index", "extrinsic_index", "mod_name",
+        F.collect_list(F.struct("event_index", "extrinsic_index", "phase", "mod_name",
                                 "event_name", "values")).alias("evs"))
     return block_structs(grouped)
 
@@ -181,34 +189,36 @@ def block_structs(grouped: DataFrame) -> DataFrame:
             B.alias("block_number"),
             ts.alias("block_timestamp"),
             xi.alias("extrinsic_index"),
-            F.concat_ws("-", sB, _s(xi)).alias("extrinsic_id"),
+            F.concat(sB, F.lit("-"), _s(xi)).alias("extrinsic_id"),
             e["mod_name"].alias("mod_name"),
             e["event_name"].alias("event_name"),
             e["event_index"].alias("event_index"),
-            F.lit(0).cast("int").alias("phase"),
+            e["phase"].alias("phase"),
             _h(pfx, "ext-", _s(B * 5 + xi)).alias("extrinsic_hash"),
             e["values"].alias("values"),
         )
 
-    babe = F.lit(bytearray(b"BABE"))
-    beef = F.when(B % 25 == 0, F.lit(bytearray(b"\xff\x80\x00\x01"))).otherwise(F.lit(bytearray(b"BEEF")))
-    no_bytes = F.lit(None).cast("binary")
+    # the decoder turns 4-byte engine ids into text (S-04)
+    babe = engine_name(F.lit(bytearray(b"BABE")))
+    beef = engine_name(F.when(B % 25 == 0, F.lit(bytearray(b"\xff\x80\x00\x01")))
+                       .otherwise(F.lit(bytearray(b"BEEF"))))
+    no_bytes, no_engine = F.lit(None).cast("binary"), F.lit(None).cast("string")
 
     def log(kind: str, engine: Column, data: Column, present: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), engine.alias("engine_id"),
+        return F.struct(F.lit(kind).alias("type"), engine.alias("engine"),
                         data.alias("data"), present.alias("present"))
 
     candidates = F.array(
         log("PreRuntime", babe, _h(pfx, "pre-", sB), F.lit(True)),
         log("Seal", babe, _h(pfx, "seal-", sB), F.lit(True)),
         log("Consensus", beef, _h(pfx, "beef-", sB), B % 5 == 0),
-        log("Other", no_bytes, _h(pfx, "other-", sB), B % 11 == 0),
-        log("RuntimeEnvironmentUpdated", no_bytes, no_bytes, B % 50 == 0),
+        log("Other", no_engine, _h(pfx, "other-", sB), B % 11 == 0),
+        log("RuntimeEnvironmentUpdated", no_engine, no_bytes, B % 50 == 0),
     )
     logs = F.when(B % 53 == 0, F.array().cast(
-        "array<struct<type:string,engine_id:binary,data:binary>>")).otherwise(
+        "array<struct<type:string,engine:string,data:binary>>")).otherwise(
         F.transform(F.filter(candidates, lambda c: c["present"]),
-                    lambda c: F.struct(c["type"].alias("type"), c["engine_id"].alias("engine_id"),
+                    lambda c: F.struct(c["type"].alias("type"), c["engine"].alias("engine"),
                                        c["data"].alias("data"))))
     return grouped.select(
         "chain", "block_number",
@@ -245,7 +255,8 @@ def raw_event_rows(events: DataFrame) -> DataFrame:
         sha256_bytes(F.concat(F.lit("data-"), _s(k))).alias("data"),
         F.col("event_index").cast("int").alias("index"),
         F.slice(topic_pool, 1, (k % TOPICS_MOD).cast("int")).alias("topics"),
-        F.lit("ApplyExtrinsic").alias("phase_kind"),
+        F.when(F.col("phase") == 1, "Finalization").when(F.col("phase") == 2, "Initialization")
+        .otherwise("ApplyExtrinsic").alias("phase_kind"),
         F.col("extrinsic_index").alias("phase_index"),
         F.col("mod_name").alias("pallet_name"),
         pidx[F.col("mod_name")].cast("smallint").alias("pallet_index"),
@@ -271,7 +282,7 @@ def to_wire(blocks: DataFrame) -> DataFrame:
     evs = F.transform(F.col("body.events"), lambda e: e.withField(
         "extrinsic_hash", ib(e["extrinsic_hash"])))
     logs = F.transform(F.col("logs"), lambda g: F.struct(
-        g["type"].alias("type"), ib(g["engine_id"]).alias("engine_id"), ib(g["data"]).alias("data")))
+        g["type"].alias("type"), g["engine"].alias("engine"), ib(g["data"]).alias("data")))
     title = F.create_map(*[x for kv in CHAIN_TITLE.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     block = F.struct(header.alias("header"), F.struct(exts.alias("extrinsics"), evs.alias("events"))
                      .alias("body"), logs.alias("logs"))
@@ -282,28 +293,78 @@ def to_wire(blocks: DataFrame) -> DataFrame:
         F.col("block_number").alias("_order"))
 
 
-# The malformed envelopes appended to every fixture batch.
-BAD_ENVELOPE_LINES = [
-    'this is not json',
-    '{"chain": "Polkadot", "chain_kind": "Polkadot", "polkadot_blocks": null}',
-    '{"chain": "Polkadot", "chain_kind": "Ethereum", "polkadot_blocks": []}',
-    '{"chain": "Polkadot", "chain_kind": "Polkadot", "polkadot_blocks": [{"header": '
-    '{"block_number": null, "block_timestamp": 1, "block_hash": [1], "parent_hash": [2], '
-    '"extrinsics_root": [3], "state_root": [4], "is_finished": true, "validator": null, '
-    '"spec_version": 1}, "body": {"extrinsics": [], "events": []}, "logs": []}]}',
-]
+def bad_lines(events: DataFrame) -> DataFrame:
+    """``(value, _order)``: malformed input derived from the blocks. Blocks with
+    ``B % 37 = 5`` add an envelope that is refused, of the kind
+    ``(B div 37) % 6``; blocks with ``B % 41 = 7`` add one whose block is
+    quarantined, of the kind ``(B div 41) % 3``."""
+    b = events.select(F.expr(f"event_id div {EVENTS_PER_BLOCK}").alias("B")).distinct()
+    n = _s(F.col("B"))
+    empty = '"polkadot_blocks": []}'
+    kinds = [F.concat(F.lit("this is not json "), n),
+             F.lit('{"chain": "Polkadot", "chain_kind": "Polkadot", "polkadot_blocks": null}'),
+             F.lit('{"chain": "Polkadot", "chain_kind": "Ethereum", ' + empty),
+             F.lit('{"chain": null, "chain_kind": "Polkadot", ' + empty),
+             F.lit('{"chain": "Nowhere/../x", "chain_kind": "Polkadot", ' + empty),
+             F.lit('{"chain": "Kusama", "chain_kind": null, ' + empty)]
+    full = F.array_join(F.array_repeat(F.lit("7"), 32), ",")
+
+    def block(number: Column, block_hash: Column, parent: Column) -> Column:
+        return F.concat(
+            F.lit('{"chain": "Polkadot", "chain_kind": "Polkadot", "polkadot_blocks": [{"header": {"block_number": '),
+            number, F.lit(', "block_timestamp": 1, "block_hash": '), block_hash, F.lit(', "parent_hash": '), parent,
+            F.lit(', "is_finished": true, "spec_version": 1}, "body": {"extrinsics": [], "events": []}, "logs": []}]}'))
+
+    whole = F.concat(F.lit("["), full, F.lit("]"))
+    faults = [block(F.lit("null"), whole, whole), block(n, F.lit("[1]"), whole), block(n, whole, F.lit("null"))]
+    pick = lambda options, i: F.get(F.array(*options), i)
+    refused = b.where(F.col("B") % BAD_ENVELOPE_MOD == BAD_ENVELOPE_REM).select(
+        pick(kinds, F.expr(f"cast((B div {BAD_ENVELOPE_MOD}) % 6 as int)")).alias("value"), F.col("B").alias("_order"))
+    bad = b.where(F.col("B") % BAD_BLOCK_MOD == BAD_BLOCK_REM).select(
+        pick(faults, F.expr(f"cast((B div {BAD_BLOCK_MOD}) % 3 as int)")).alias("value"), F.col("B").alias("_order"))
+    return refused.unionByName(bad)
+
+
+def wire_lines(blocks: DataFrame) -> DataFrame:
+    """``(value, _order)``: one envelope per line, NULL fields left out."""
+    wire = to_wire(blocks)
+    cols = [c for c in wire.columns if c != "_order"]
+    return wire.select(F.to_json(F.struct(*cols)).alias("value"), "_order")
 
 
 def write_envelope_files(events: DataFrame, path: str, chains: tuple[str, ...] = ("polkadot",),
-                         files: int = 8, with_bad: bool = True) -> str:
+                         with_bad: bool = True) -> str:
     """Write the fixture chain as JSON-lines envelope files (the ingest
-    source format). Files are range-partitioned by block number so a file
-    is a contiguous block range, like a chain follower would produce."""
-    wire = to_wire(nested_blocks(events, chains))
-    (wire.repartitionByRange(files, "_order").sortWithinPartitions("_order").drop("_order")
-         .write.mode("overwrite").json(path))
+    source format), range-partitioned by block number: a file is a contiguous
+    block range and file names follow block order, like a chain follower's.
+    Spark chooses the number of files by size."""
+    lines = wire_lines(nested_blocks(events, chains))
     if with_bad:
-        spark = events.sparkSession
-        (spark.createDataFrame([(x,) for x in BAD_ENVELOPE_LINES], "value string")
-         .coalesce(1).write.mode("append").text(path))
+        lines = lines.unionByName(bad_lines(events))
+    (lines.repartitionByRange("_order").sortWithinPartitions("_order", "value").select("value")
+     .write.mode("overwrite").text(path))
+    stamp_in_order(events.sparkSession, path)
+    return path
+
+
+def stamp_in_order(spark, path: str) -> None:
+    """Give the files of a folder modification times in the order of their
+    names, as if they had landed one after the other."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(((st.getPath().getName(), st.getModificationTime(), st.getPath()) for st in fs.listStatus(fs_path)
+                   if st.isFile() and not st.getPath().getName().startswith(("_", "."))), key=lambda f: f[0])
+    last = max((t for _, t, _ in files), default=0)
+    for i, (_, _, file) in enumerate(files):
+        fs.setTimes(file, last - 1000 * (len(files) - i), -1)
+
+
+ARCHIVE_BLOCKS = 100  # blocks of one archive folder
+
+
+def write_archive(blocks: DataFrame, path: str) -> str:
+    """Envelope lines in one folder per ``ARCHIVE_BLOCKS`` blocks
+    (``range=<block div 100>``), so a back-fill reads only its range."""
+    (wire_lines(blocks).withColumn("range", F.expr(f"_order div {ARCHIVE_BLOCKS}")).repartition("range")
+     .sortWithinPartitions("range", "_order").select("value", "range").write.mode("overwrite").partitionBy("range").text(path))
     return path

@@ -3,17 +3,18 @@
 The chain follower's output (envelope files) is a file source. Each
 micro-batch goes through ``write_batch``: validate envelopes, explode
 blocks, quarantine bad blocks, then upsert header -> logs -> extrinsics ->
-events. The checkpoint gives at-least-once delivery and the upsert is
-idempotent (``_batch_id`` is the micro-batch id, stable across a restart),
-so the effect is exactly once - where the reference is at-most-once.
+events. The checkpoint gives at-least-once delivery, and a batch is stored under the name
+of its stream and number, once: the effect is exactly once - where the
+reference is at-most-once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,82 +31,127 @@ TABLE_STEPS = (
 )
 
 
-BATCH_STATS: dict[int, dict] = {}
-
-
 def write_batch(batch: DataFrame, batch_id: int, root: str,
-                tables: tuple[str, ...] = ("blocks", "block_logs", "extrinsics", "events")) -> dict:
-    """IO-15: one micro-batch into the stored tables (plus dead letters).
-    Re-running a batch id rewrites the same rows: partial writes heal.
-    Returns the batch's block count and range (A-04), gathered with
-    ``observe`` on the first action instead of an extra job."""
-    ok_env, rejected = V.split_valid(batch)
-    good, bad = V.quarantine(V.blocks_of(ok_env))
-    obs = Observation(f"batch_{batch_id}")
-    good = good.observe(obs, F.count(F.lit(1)).alias("n_blocks"),
-                        F.min("block_number").alias("min_block"),
-                        F.max("block_number").alias("max_block"))
-    good = good.persist(StorageLevel.MEMORY_AND_DISK)
+                tables: tuple[str, ...] = ("blocks", "block_logs", "extrinsics", "events"),
+                stream: str = "all", known_chains: tuple[str, ...] | None = None) -> dict:
+    """IO-15: one micro-batch of the stream ``stream`` into the stored tables
+    (plus dead letters). The lines are parsed once, tagged and kept for the
+    batch; each table takes the batch under the commit name ``stream-batch``,
+    so a batch that is run again is applied once, wherever it broke off.
+    Returns the batch's block count and range (A-04) and the keys inserted and
+    updated, and stores them in ``<root>/_batch_stats/<stream>-<batch>``."""
+    spark = batch.sparkSession
+    name = f"{stream}-{batch_id}"
+    stored = S.read_marker(spark, f"{root}/_batch_stats/{name}")
+    if stored is not None:
+        return stored
+    batch = batch.withColumn("_line", F.struct("_line.*", F.monotonically_increasing_id().alias("line")))
+    tagged = batch.withColumn("reason", V.reject_reason(known_chains)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # the four tables of a block share its (chain, block_bucket)
-        touched = S.touched_partitions(good.select(
-            "chain", X.block_bucket("block_number").alias("block_bucket")))
-        steps = [(name, fn, pos) for name, fn, pos in TABLE_STEPS if name in tables]
+        rejected = tagged.where("reason is not null")
+        good, bad = V.quarantine(V.blocks_of(tagged.where("reason is null")))
+        # one aggregate: the partitions the batch touches (the four tables of a
+        # block share them), its block count and range (A-04)
+        parts = (good.groupBy("chain", X.block_bucket("block_number").alias("block_bucket"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
+                 .collect())
+        touched = [(r["chain"], r["block_bucket"]) for r in parts]
+        stats = {"n_blocks": sum(r["n"] for r in parts), "min_block": min((r["lo"] for r in parts), default=None),
+                 "max_block": max((r["hi"] for r in parts), default=None)}
+        steps = [(t, fn, pos) for t, fn, pos in TABLE_STEPS if t in tables]
 
         def one(step):
-            name, fn, pos = step
-            rows = S.with_order(fn(good), batch_id, pos)
-            return name, S.upsert(rows, f"{root}/{name}", S.TABLE_KEYS[name], touched=touched)
+            table, fn, _ = step
+            rows = S.with_order(fn(good), batch_id)
+            return table, S.upsert(rows, f"{root}/{table}", S.TABLE_KEYS[table], commit=name, touched=touched)
 
         def dead_letters():
             _dead_letters(rejected.select("reason", F.coalesce(V.CORRUPT, F.to_json(F.struct(
-                "chain", "chain_kind"))).alias("payload")), f"{root}/_rejected_envelopes", batch_id)
+                "chain", "chain_kind"))).alias("payload")), f"{root}/_rejected_envelopes", stream, batch_id)
             _dead_letters(bad.select("chain", "problem", F.to_json("header").alias("payload")),
-                          f"{root}/_bad_blocks", batch_id)
+                          f"{root}/_bad_blocks", stream, batch_id)
         # independent tables (and the dead letters) are written by concurrent
         # jobs; each write is idempotent, so their order does not matter
         with ThreadPoolExecutor(max_workers=len(steps) + 1) as pool:
             dl = pool.submit(dead_letters)
             written = dict(pool.map(one, steps))
             dl.result()
-        stats = dict(obs.get)
-        for name, counts in written.items():       # IO-18: inserted vs updated keys
-            stats.update({f"{name}_{k}": v for k, v in counts.items()})
-        BATCH_STATS[batch_id] = stats
+        for table, counts in written.items():       # IO-18: inserted vs updated keys
+            stats.update({f"{table}_{k}": v for k, v in counts.items()})
+        S.write_marker(spark, f"{root}/_batch_stats/{name}", stats)
         return stats
     finally:
-        good.unpersist()
+        tagged.unpersist()
+
 
+def batch_stats(root: str, spark: SparkSession) -> dict[str, dict]:
+    """A-04: the stored statistics of each ``stream-batch``."""
+    return {n: S.read_marker(spark, f"{root}/_batch_stats/{n}") for n in S._names(spark, f"{root}/_batch_stats")
+            if not n.startswith(".")}
 
-def _dead_letters(df: DataFrame, path: str, batch_id: int) -> None:
-    # Partitioned by batch id and overwritten dynamically: a replayed batch
-    # replaces its own dead letters instead of duplicating them.
-    (df.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).coalesce(1)
+
+def _dead_letters(df: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    # Each batch of each stream has a folder of its own and overwrites it: a
+    # replayed batch replaces its own dead letters, and nobody else's.
+    (df.withColumns({"stream": F.lit(stream), "batch": F.lit(batch_id).cast("bigint")})
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("_batch_id").parquet(path))
+       .partitionBy("stream", "batch").parquet(path))
 
 
 def start_chain(spark: SparkSession, src: str, root: str, checkpoint: str,
                 chain: str | None = None, max_files: int | None = 1, available_now: bool = True,
                 tables: tuple[str, ...] = ("blocks", "block_logs", "extrinsics", "events"),
-                block_range: tuple[int, int] | None = None) -> StreamingQuery:
-    """T-01 / T-02 / T-10: one streaming query (per chain when ``chain`` is
-    given, so a slow chain never blocks another). ``block_range`` keeps only
-    blocks in ``[start, end]`` (back-fill)."""
-    stream = V.read_block_stream(spark, src, max_files)
+                block_range: tuple[int, int] | None = None, stream: str | None = None,
+                known_chains: tuple[str, ...] | None = None) -> StreamingQuery:
+    """T-01 / T-02 / T-10: one streaming query, for all chains or (``chain``)
+    for one, so a slow chain never blocks another. Lines that belong to no
+    known chain are not a per-chain stream's: :func:`start_rejects` takes them.
+    ``block_range`` keeps only blocks in ``[start, end]`` (back-fill).
+    ``stream`` names the query's batches; another checkpoint needs another
+    name (default: drawn from the checkpoint's path)."""
+    lines = V.read_block_stream(spark, src, max_files)
     if chain is not None:
-        stream = stream.where(chain_key(F.col("chain")) == chain)
+        lines = lines.where(chain_key(F.col("chain")) == chain)
+    stream = stream or f"{chain or 'all'}-{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}"
 
     def body(df: DataFrame, bid: int) -> None:
         if block_range is not None:
             lo, hi = block_range
             df = df.withColumn("polkadot_blocks", F.filter(
                 "polkadot_blocks", lambda b: b["header"]["block_number"].between(lo, hi)))
-        write_batch(df, bid, root, tables)
+        write_batch(df, bid, root, tables, stream, known_chains)
 
-    w = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
-    if chain is not None:
-        w = w.queryName(f"ingest_{chain}")
+    return _start(lines, body, checkpoint, f"ingest_{chain}" if chain else None, available_now)
+
+
+def start_rejects(spark: SparkSession, src: str, root: str, checkpoint: str, chains: tuple[str, ...],
+                  max_files: int | None = 1, available_now: bool = True) -> StreamingQuery:
+    """The dead letters that no per-chain stream of ``chains`` sees: lines that
+    don't parse, have no chain, or name another one."""
+    lines = V.read_block_stream(spark, src, max_files).where(
+        ~F.coalesce(chain_key(F.col("chain")).isin(*chains), F.lit(False)))
+
+    def body(df: DataFrame, bid: int) -> None:
+        write_batch(df, bid, root, (), "rejects", chains)
+
+    return _start(lines, body, checkpoint, "ingest_rejects", available_now)
+
+
+def start_backfill(spark: SparkSession, archive: str, root: str, checkpoint: str, block_range: tuple[int, int],
+                   archive_blocks: int = 100, **options) -> StreamingQuery:
+    """T-10: replay blocks ``start..end`` from an archive with a folder
+    ``range=<block div archive_blocks>`` per block range. Only the folders of
+    the range are listed and read."""
+    lo, hi = (b // archive_blocks for b in block_range)
+    wanted = {f"range={k}" for k in range(lo, hi + 1)} & set(S._names(spark, archive))
+    src = f"{archive}/{{{','.join(sorted(wanted))}}}" if wanted else f"{archive}/range={lo}*"
+    return start_chain(spark, src, root, checkpoint, block_range=block_range, max_files=None, **options)
+
+
+def _start(lines: DataFrame, body, checkpoint: str, name: str | None, available_now: bool) -> StreamingQuery:
+    w = lines.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    if name:
+        w = w.queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -122,13 +168,13 @@ def event_stream(spark: SparkSession, src: str, max_files: int | None = None) ->
     """Flat events (with event time) from the envelope stream."""
     env, _ = V.split_valid(V.read_block_stream(spark, src, max_files))
     good, _ = V.quarantine(V.blocks_of(env))
-    return X.extract_events(good).withColumn("t", F.timestamp_millis("block_timestamp"))
+    return X.extract_events(good.drop(V.SOURCE)).withColumn("t", F.timestamp_millis("block_timestamp"))
 
 
 def block_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
     env, _ = V.split_valid(V.read_block_stream(spark, src, max_files))
     good, _ = V.quarantine(V.blocks_of(env))
-    return X.extract_headers(good).withColumn("t", F.timestamp_millis("timestamp"))
+    return X.extract_headers(good.drop(V.SOURCE)).withColumn("t", F.timestamp_millis("timestamp"))
 
 
 def events_windowed(events: DataFrame, size: str | None = None, slide: str | None = None,
@@ -156,14 +202,17 @@ def dedup_blocks(blocks: DataFrame, delay: str = "1 hour") -> DataFrame:
     return blocks.withWatermark("t", delay).dropDuplicatesWithinWatermark(["chain", "hash"])
 
 
-def upsert_sink(root: str, keys: list[str]):
-    """foreachBatch sink for update-mode aggregates: keep the latest value
-    per key across micro-batches (used for T-07 / T-08 results)."""
+def upsert_sink(root: str, keys: list[str], bucket: str | None = None, width: int = 1, stream: str = "all"):
+    """foreachBatch sink for update-mode aggregates: the latest value per key
+    across micro-batches (T-07 / T-08 results). The result table is bucketed
+    by ``bucket div width`` (a window's start, say), so a batch rewrites only
+    the buckets it touches."""
     def body(df: DataFrame, bid: int) -> None:
         if "chain" not in df.columns:
             df = df.withColumn("chain", F.lit("all"))
-        rows = (df.withColumn("block_bucket", F.lit(0).cast("bigint"))
+        slot = F.floor(F.col(bucket) / width) if bucket else F.lit(0)
+        rows = (df.withColumn("block_bucket", slot.cast("bigint"))
                 .withColumn("_batch_id", F.lit(bid).cast("bigint"))
                 .withColumn("_pos", F.lit(0).cast("bigint")))
-        S.upsert(rows, root, keys)
+        S.upsert(rows, root, keys, commit=f"{stream}-{bid}")
     return body

@@ -3,6 +3,8 @@ sizes force many bucket edges, empty buckets and hot keys."""
 
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -117,12 +119,40 @@ def test_sessionize_matches_sequential(spark):
     assert sess == sorted(want)
 
 
-def test_asof_join_window_fallback(spark):
-    """The shuffle-based path (summary too large to broadcast) agrees too."""
-    df = numbers(spark)
-    markers = spark.createDataFrame([("c1", 0, 1), ("c1", 400, 2), ("c1", 1500, 3), ("c2", 100, 7)],
-                                    "chain string, from_block long, ver long")
-    a = A.asof_join(df, markers, ["chain"], "number", "from_block", "ver", "asof", bucket_size=64)
-    b = A.asof_join(df, markers, ["chain"], "number", "from_block", "ver", "asof", bucket_size=64,
-                    broadcast_limit=0)
-    assert rows_of(a, ["chain", "number", "asof"]) == rows_of(b, ["chain", "number", "asof"])
+def test_count_in_ranges_matches_theta_join(spark):
+    rnd = random.Random(3)
+    pts = spark.createDataFrame([(rnd.choice("ab"), rnd.randrange(-50, 900)) for _ in range(600)], "g string, t long")
+    rng = spark.createDataFrame([(rnd.choice("abc"), i, *sorted(rnd.sample(range(-100, 1000), 2))) for i in range(60)]
+                                + [("a", 60, 5, 5), ("b", 61, 9, 2)], "g string, rid long, t0 long, t1 long")
+    got = A.count_in_ranges(pts, rng, ["g"], "t", "t0", "t1", "n", bucket_size=32)
+    want = (rng.join(pts, "g", "left").groupBy("rid")
+            .agg(F.count_if((F.col("t") >= F.col("t0")) & (F.col("t") <= F.col("t1"))).alias("n")))
+    rows = {r.rid: r.n for r in got.collect()}
+    assert {k: v for k, v in rows.items() if k != 61} == {r.rid: r.n for r in want.collect() if r.rid != 61}
+
+
+def test_percentile_matches_builtin(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(rnd.choice("abc"), rnd.randrange(-40, 400)) for _ in range(999)], "g string, v long")
+    for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {r.g: r.m for r in A.exact_percentile(df, ["g"], "v", p, "m", bucket_size=16).collect()}
+        want = {r.g: r.m for r in df.groupBy("g").agg(F.percentile("v", p).alias("m")).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_ancestors(spark):
+    rows = [("c", n, f"h{n}", f"h{n - 1}") for n in range(6)] + [("c", 9, "h9", "x"), ("d", 1, "h1", "h0")]
+    df = spark.createDataFrame(rows, "chain string, number long, hash string, parent_hash string")
+    got = {(r.chain, r.start): (r.depth, r.farthest) for r in A.ancestors(df, 3).collect()}
+    assert got == {("c", 0): (0, 0), ("c", 1): (1, 0), ("c", 2): (2, 0), ("c", 3): (3, 0), ("c", 4): (3, 1),
+                   ("c", 5): (3, 2), ("c", 9): (0, 9), ("d", 1): (0, 1)}
+
+
+def test_sessionize_matches_session_window(spark):
+    rnd = random.Random(11)
+    df = spark.createDataFrame([(rnd.choice("ab"), i, rnd.randrange(0, 40_000)) for i in range(400)], "k string, id long, t long")
+    got = A.sessionize(df, ["k"], "t", 1000, 700, tiebreak=("id",)).groupBy("k", "session_id").agg(
+        F.min("t").alias("a"), F.count("*").alias("n"))
+    want = (df.withColumn("ts", F.timestamp_millis("t")).groupBy("k", F.session_window("ts", "1 second").alias("w"))
+            .agg(F.min("t").alias("a"), F.count("*").alias("n")))
+    assert rows_of(got, ["k", "a", "n"]) == rows_of(want, ["k", "a", "n"])

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chainlake.operators import extract as X
+from chainlake.sources import envelope as V
 from chainlake.sources import fixture
 
 
@@ -60,28 +61,35 @@ def test_success_scopes(spark):
 def test_wire_roundtrip(spark, sf_dir, tmp_path):
     from chainlake.sources import envelope as V
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    path = fixture.write_envelope_files(events, str(tmp_path / "env"), ("polkadot",), files=2)
-    env, rejected = V.split_valid(V.read_envelopes(spark, path))
-    assert sorted(r["reason"] for r in rejected.collect()) == [
-        "polkadot_without_blocks", "unimplemented_chain_kind", "unparseable"]
+    path = fixture.write_envelope_files(events, str(tmp_path / "env"), ("polkadot",))
+    env, rejected = V.split_valid(V.read_envelopes(spark, path), ("polkadot", "kusama"))
+    numbers = [r[0] for r in events.selectExpr("event_id div 20").distinct().collect()]
+    assert rejected.count() == sum(b % 37 == 5 for b in numbers) > 0
     good, bad = V.quarantine(V.blocks_of(env))
-    assert bad.count() == 1
+    assert bad.count() == sum(b % 41 == 7 for b in numbers) > 0
     direct = X.extract_headers(blocks(spark, sf_dir)).drop("block_bucket")
-    wire = X.extract_headers(good).drop("block_bucket")
+    wire = X.extract_headers(good).drop("block_bucket", "_src")
     assert direct.exceptAll(wire).count() == 0 and wire.exceptAll(direct).count() == 0
 
 
-def test_batch_observation(spark, sf_dir, tmp_path):
-    """A-04: one micro-batch reports its block count and range via observe."""
-    from chainlake.sources import envelope as V
+def test_batch_stats(spark, sf_dir, tmp_path):
+    """A-04: a micro-batch reports its block count and range, and keeps them;
+    the batch is applied once."""
     from chainlake.streaming import ingest as I
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    path = fixture.write_envelope_files(events, str(tmp_path / "env"), ("polkadot",), files=2)
-    stats = I.write_batch(V.read_envelopes(spark, path).drop("_file"), 7, str(tmp_path / "lake"))
+    path = fixture.write_envelope_files(events, str(tmp_path / "env"), ("polkadot",))
+    root = str(tmp_path / "lake")
+    lines = V.read_envelopes(spark, path).withColumn("_line", F.col("_line").dropFields("line"))
+    stats = I.write_batch(lines, 7, root, stream="s")
     b = X.extract_headers(blocks(spark, sf_dir))
     want = b.agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("lo"),
                  F.max("number").alias("hi")).first()
     assert (stats["n_blocks"], stats["min_block"], stats["max_block"]) == (want["n"], want["lo"], want["hi"])
+    assert stats["blocks_inserted"] == want["n"] and I.batch_stats(root, spark) == {"s-7": stats}
+    assert I.write_batch(lines, 7, root, stream="s") == stats
+    assert I.write_batch(lines, 0, root, stream="t")["blocks_updated"] == want["n"]
+    n = spark.read.parquet(f"{root}/_bad_blocks").groupBy("stream").count().collect()
+    assert len(n) == 2 and len({r["count"] for r in n}) == 1       # each stream keeps its own dead letters
 
 
 def _envelope_line(values_json: str, ts: str = "1700000000000") -> str:
@@ -126,3 +134,31 @@ def test_missing_timestamp_defaults_to_zero(spark, tmp_path):
     env, _ = V.split_valid(V.read_envelopes(spark, str(p)))
     h = X.extract_headers(V.blocks_of(env)).first()
     assert h["timestamp"] == 0 and h["spec_version"] == 9430 and h["validator"] is None
+
+
+def test_events_outside_extrinsics(spark, sf_dir):
+    e = X.extract_events(blocks(spark, sf_dir))
+    outside = e.where("phase <> 0")
+    assert {r.phase for r in outside.select("phase").distinct().collect()} == {1, 2}
+    assert outside.where("extrinsic_id is not null or extrinsic_index is not null or extrinsic_success").count() == 0
+    assert e.where("phase = 0 and extrinsic_id is null").count() == 0
+
+
+def test_phase_wraps(spark, sf_dir):
+    b = blocks(spark, sf_dir).limit(1).withColumn("body", F.col("body").withField("events", F.transform(
+        F.col("body.events"), lambda x: x.withField("phase", F.lit(65535)))))
+    assert {r.phase for r in X.extract_events(b).select("phase").collect()} == {-1}
+
+
+def test_wire_engine_is_text_and_bad_envelopes_are_refused(spark, tmp_path):
+    lines = ['{"chain": "Polkadot", "chain_kind": "Polkadot", "polkadot_blocks": [{"header": {"block_number": 1, "block_timestamp": 1, '
+             '"block_hash": [' + ",".join(["1"] * 32) + '], "parent_hash": [' + ",".join(["2"] * 32) + ']}, "body": {"extrinsics": [], '
+             '"events": []}, "logs": [{"type": "Seal", "engine": "BABE", "data": [1, 255]}, {"type": "Other"}]}]}',
+             '{"chain": null, "chain_kind": "Polkadot", "polkadot_blocks": []}', '{"chain": "Polkadot", "polkadot_blocks": []}',
+             '{"chain": "a/../b", "chain_kind": "Polkadot", "polkadot_blocks": []}', "{", ""]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    env = V.read_envelopes(spark, str(tmp_path / "a.json"))
+    ok, bad = V.split_valid(env, ("polkadot", "kusama"))
+    assert sorted(r.reason for r in bad.collect()) == ["missing_chain", "missing_chain_kind", "unknown_chain", "unparseable"]
+    logs = X.extract_logs(V.blocks_of(ok)).orderBy("log_index").collect()
+    assert [(r.type, r.engine, r.data) for r in logs] == [("Seal", "BABE", "0x01ff"), ("Other", None, None)]

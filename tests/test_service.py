@@ -72,16 +72,16 @@ def test_catalog_rejects_non_json(spark, tmp_path):
 
 
 def test_strict_routing_raises(spark):
-    cat = K.read_catalog(spark)
+    cat = K.read_catalog(spark, K.SAMPLE_CATALOG)
     with pytest.raises(K.CatalogError):
         K.route_chains(cat, strict=True)
     matched, unmatched = K.route_chains(cat)
-    assert [(r["chain"], r["node_name"]) for r in unmatched.collect()] == [("kusama", "archive-node")]
+    assert [(r["chain"], r["node_name"]) for r in unmatched.collect()] == [("kusama", "lake-z")]
 
 
 def test_node_lookup(spark):
-    cat = K.read_catalog(spark)
-    assert K.node(cat, "storage-node-1").count() == 1
+    cat = K.read_catalog(spark, K.SAMPLE_CATALOG)
+    assert K.node(cat, "lake-a").count() == 1
     assert K.node(cat, "nope").count() == 0
 
 
@@ -97,7 +97,7 @@ def test_no_implicit_limit(spark, sf_dir):
     """L-02: every row is returned unless a limit is asked for."""
     lake = lake_for(spark, sf_dir)
     full = Q.run_query(spark, lake, "polkadot", "SELECT id FROM events").count()
-    assert full == lake.table("events").count()
+    assert full == lake.table("events", "polkadot").count()
     assert Q.run_query(spark, lake, "polkadot", "SELECT id FROM events", limit=3).count() == 3
 
 
@@ -111,7 +111,7 @@ def test_outer_order_by_survives_wrap(spark, sf_dir):
 def test_cte_inside_wrapped_query(spark, sf_dir):
     df = Q.run_query(spark, lake_for(spark, sf_dir), "polkadot",
                      "WITH t AS (SELECT number FROM blocks) SELECT count(*) AS n FROM t")
-    assert df.first()["n"] == lake_for(spark, sf_dir).table("blocks").count()
+    assert df.first()["n"] == lake_for(spark, sf_dir).table("blocks", "polkadot").count()
 
 
 def test_lake_chains_from_folders(spark, sf_dir):
@@ -124,6 +124,28 @@ def test_empty_engine_list_is_error(spark, tmp_path):
                  '"apiserver": {"url": "y"}, "data_engines": []}]}, "chain": []}')
     with pytest.raises(K.CatalogError):
         K.list_engines(K.read_catalog(spark, str(p)))
-    engines = K.list_engines(K.read_catalog(spark)).collect()
+    engines = K.list_engines(K.read_catalog(spark, K.SAMPLE_CATALOG)).collect()
     assert [(r["engine"], r["chains"]) for r in engines] == [
-        ("Postgres", ["kusama", "localsubstrate", "polkadot", "westend"])]
+        ("Postgres", ["acala", "astar", "kusama", "polkadot"])]
+
+
+def test_files_by_path_are_out_of_reach(spark, sf_dir):
+    lake = lake_for(spark, sf_dir)
+    with pytest.raises(Q.QueryError):
+        Q.run_query(spark, lake, "polkadot", f"SELECT number FROM parquet.`{lake.root}/blocks`")
+
+
+def test_nested_values_are_typed(spark):
+    df = spark.sql("SELECT named_struct('b', X'00FF', 'd', CAST(1.5 AS DECIMAL(4,1)), 'n', CAST(NULL AS BINARY)) AS s, "
+                   "map('k', X'01') AS m, CAST(NULL AS STRUCT<b: BINARY>) AS z, DATE'2024-01-02' AS day")
+    assert Q.encode_result(df).first()["row_json"] == (
+        '{"s":{"b":[0,255],"d":"1.5","n":null},"m":{"k":[1]},"z":null,"day":"2024-01-02"}')
+
+
+def test_connections_are_of_the_node(spark):
+    c = K.chain_connections(K.read_catalog(spark, K.SAMPLE_CATALOG))
+    got = sorted((r.node_name, r.chain, r.host) for r in c.collect() if r.matched)
+    assert got == [("lake-a", "kusama", "db2.example.org"), ("lake-a", "polkadot", "db1.example.org"),
+                   ("lake-b", "polkadot", "db3.example.org")]
+    assert [r.chain for r in c.where("not matched").collect()] == ["astar"]
+    assert K.known_chains(K.read_catalog(spark, K.SAMPLE_CATALOG)) == ("acala", "astar", "kusama", "polkadot")

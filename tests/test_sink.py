@@ -130,3 +130,74 @@ def test_upsert_reports_inserted_and_updated(spark, tmp_path):
     second = S.upsert(S.with_order(table(spark, [("c", 0, n, "b", "k") for n in range(3, 8)]), 1,
                                    "number"), path, keys)
     assert second == {"inserted": 3, "updated": 2}
+
+
+def test_incoming_beats_stored_whatever_its_batch_id(spark, tmp_path):
+    path = str(tmp_path / "t")
+    keys = ["chain", "number"]
+    S.upsert(S.with_order(table(spark, [("c", 0, 1, "old", "k")]), 5), path, keys, commit="a-5")
+    S.upsert(S.with_order(table(spark, [("c", 0, 1, "new", "k")]), 0), path, keys, commit="b-0")
+    assert read(spark, path) == [(1, "new", "k")]
+    S.upsert(S.with_order(table(spark, [("c", 0, 1, "old", "k")]), 5), path, keys, commit="a-5")   # a true replay
+    assert read(spark, path) == [(1, "new", "k")]
+
+
+def test_kept_columns_inside_one_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("c", 0, 1, "a", "first", 1), ("c", 0, 1, "b", "second", 2)],
+                                 "chain string, block_bucket long, number long, v string, keep string, pos long")
+    for df in (rows, rows.orderBy(F.desc("pos"))):
+        S.upsert(S.with_order(df, 0, "pos").drop("pos"), path + str(df is rows), ["chain", "number"], ["keep"])
+        assert read(spark, path + str(df is rows)) == [(1, "b", "first")]
+
+
+def test_counts_over_many_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = [("c", n, n * 100000, "a", "k") for n in range(60)]
+    assert S.upsert(S.with_order(table(spark, first), 0), path, ["chain", "number"]) == {"inserted": 60, "updated": 0}
+    again = [("c", n, n * 100000, "b", "k") for n in range(30, 90)]
+    assert S.upsert(S.with_order(table(spark, again), 1), path, ["chain", "number"]) == {"inserted": 30, "updated": 30}
+    assert len(read(spark, path)) == 90
+
+
+def test_recovers_between_staging_and_swap(spark, tmp_path, monkeypatch):
+    """A failure after some partitions were moved: nothing stored is lost, and
+    the next attempt of the same batch finishes the move."""
+    path = str(tmp_path / "t")
+    keys = ["chain", "number"]
+    base = [("c", n // 2, n, "a", "k") for n in range(8)] + [("odd name/=%", 0, 1, "a", "k")]
+    S.upsert(S.with_order(table(spark, base), 0), path, keys, commit="s-0")
+    redo = S.with_order(table(spark, [("c", n // 2, n, "b", "k") for n in range(0, 8, 2)] + [("c", 9, 18, "n", "k")]), 1)
+    moves, real = [], S._rename
+
+    def failing(spark_, src, dst):
+        if "/data/" in src:
+            moves.append(dst)
+            if len(moves) == 3:
+                raise OSError("lost")
+        real(spark_, src, dst)
+    monkeypatch.setattr(S, "_rename", failing)
+    try:
+        S.upsert(redo, path, keys, commit="s-1")
+        raise AssertionError("the failure was swallowed")
+    except OSError:
+        pass
+    monkeypatch.setattr(S, "_rename", real)
+    monkeypatch.setattr(S, "_stage", None)              # must finish from what is staged
+    assert S.upsert(redo, path, keys, commit="s-1") == {"inserted": 1, "updated": 4}
+    want = sorted([(n, "b" if n % 2 == 0 else "a", "k") for n in range(8)] + [(1, "a", "k"), (18, "n", "k")])
+    assert read(spark, path) == want
+    assert S._names(spark, path + "__staging") == []
+
+
+def test_swapped_files_keep_the_layout(spark, tmp_path):
+    import pyarrow.parquet as pq
+    path = str(tmp_path / "t")
+    keys = ["chain", "number"]
+    for i in range(2):
+        S.upsert(S.with_order(table(spark, [("c", 0, n, str(i), "k") for n in range(50, 0, -1)]), i), path, keys)
+    files = list((tmp_path / "t" / "chain=c" / "block_bucket=0").glob("*.parquet"))
+    assert len(files) == 1
+    meta = pq.ParquetFile(files[0]).metadata
+    assert meta.row_group(0).column(0).compression == "ZSTD"
+    assert pq.read_table(files[0])["number"].to_pylist() == list(range(1, 51))

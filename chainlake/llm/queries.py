@@ -55,6 +55,39 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+OP3_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c') || ': '
+            || replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l') || '</turn>' || chr(10) AS line FROM c),
+t AS (
+  SELECT *, CAST(ceil(strlen(line) / 4) AS BIGINT) AS tokens,
+         CAST(sum(CAST(ceil(strlen(line) / 4) AS BIGINT)) OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM e),
+b AS (SELECT *, upto - tokens AS before, upto - tokens = 0 AND role = 'system' AS system FROM t),
+p AS (SELECT conv_id, greatest(2048 - 256 - coalesce(max(tokens) FILTER (system), 0), 512) AS step FROM b GROUP BY conv_id),
+w AS (
+  SELECT b.*, 2 * (before // step) + CASE WHEN (before + tokens - 1) // step > before // step THEN 1 ELSE 0 END AS w
+  FROM b JOIN p ON p.conv_id IS NOT DISTINCT FROM b.conv_id),
+s AS (SELECT conv_id, w, min(before) AS start FROM w GROUP BY conv_id, w),
+shown AS (
+  SELECT conv_id, length(line) AS n FROM w
+  UNION ALL SELECT w.conv_id, length(line) FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
+    AND NOT system AND tokens <= 256 AND start BETWEEN before + tokens AND before + 256
+  UNION ALL SELECT w.conv_id, length(line) FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND system AND start > 0),
+f AS (SELECT conv_id, CAST(sum(n) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id),
+d AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
+  FROM c GROUP BY conv_id)
+SELECT d.conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,4 +124,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_html, op3_chat, op4_decontamination, op5_simhash, op6_toxicity, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
-ORACLES = {"op1_topk": OP1_SQL, "op10_sharding": sharding.placement_sql()}
+ORACLES = {"op1_topk": OP1_SQL, "op3_chat": OP3_SQL, "op10_sharding": sharding.placement_sql()}

@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 
 from .common import col_of, indexed, pick, restore
 
-MAX_EDITS = 0.1
+MAX_EDITS = 0.2
 RECALL = 0.999
-AGREE = 0.7  # share of equal steps assumed between the walks of a leak
-SAMPLED = 5
+AGREE = 0.55  # share of equal steps assumed between the walks of a leak
+SAMPLED = 3
 PER_WALK = 4  # tables drawn from one walk
 BLOCK_ITEMS = 5000
 WORD = re.compile(r"\w+")

@@ -2,16 +2,17 @@
 
 Every document is cut into sentences (at sentence marks followed by white
 space, and at line breaks; a sentence of more than ``MAX_WORDS`` words is cut
-every ``MAX_WORDS`` words). From every sentence the shortest run of at least
-``RUN`` consecutive sentences with at least ``MIN_WORDS`` words is hashed,
-forwards from its start and backwards to its end, so that a repeated passage
-is covered by spans up to its last sentence. Spans are joined globally on a
-128-bit hash; the first occurrence, in the order of (doc_id, text hash,
-position), stays, and sentences covered by any other occurrence are removed.
+every ``MAX_WORDS`` words). Every run of ``RUN`` consecutive sentences with at
+least ``SPAN_WORDS`` words is hashed, and the spans are joined globally on the
+128-bit hash. The first occurrence, in the order of (doc_id, text hash,
+position), stays; sentences covered by any other occurrence are removed, where
+they form a stretch of at least ``MIN_WORDS`` words (so a short line that many
+documents share, such as a licence, stays).
 
 Spans with many occurrences are reduced map-side (count and first place), so
-a hot span costs one row per task; the join back is an ordinary equi-join
-whose large partitions Spark can split.
+a hot span costs one row per task; what is repeated is cut off as a table of
+its own, so that the join back is a plain equi-join of two shuffles, whose
+large partitions Spark splits.
 
 A document is identified by (doc_id, hash of its text): rows that repeat both
 are one document and fare alike. Null doc_ids sort first; null and empty
@@ -29,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col_of, indexed, restore
+from .common import col_of, cut, indexed, restore
 
 RUN = 3
+SPAN_WORDS = 12
 MIN_WORDS = 25
 MAX_WORDS = 16
 
@@ -61,22 +63,15 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def spans(parts: list[tuple[int, int, list[str]]], run: int = RUN, min_words: int = MIN_WORDS):
-    """``[(first, last, hash 1, hash 2)]``: the spans of a document's sentences."""
-    n = len(parts)
-    if n < run:
-        return []
-    total = np.concatenate(([0], np.cumsum([len(w) for _, _, w in parts])))
-    at = np.arange(n)
-    last = np.maximum(at + run - 1, np.searchsorted(total, total[:-1] + min_words) - 1)  # shortest run from each start
-    first = np.minimum(at - run + 1, np.searchsorted(total, total[1:] - min_words, "right") - 1)  # and to each end
-    pairs = {(i, j) for i, j in zip(at.tolist(), last.tolist()) if j < n}
-    pairs.update((i, j) for i, j in zip(first.tolist(), at.tolist()) if i >= 0)
+def spans(parts: list[tuple[int, int, list[str]]], run: int = RUN, span_words: int = SPAN_WORDS):
+    """``[(first sentence, hash 1, hash 2)]``: the spans of a document."""
     buf = b"".join(xxhash.xxh3_128_digest(" ".join(w)) for _, _, w in parts)
+    size = [len(w) for _, _, w in parts]
     out = []
-    for i, j in sorted(pairs):
-        h = xxhash.xxh3_128_intdigest(buf[16 * i:16 * (j + 1)])
-        out.append((i, j, (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)))
+    for i in range(len(parts) - run + 1):
+        if sum(size[i:i + run]) >= span_words:
+            h = xxhash.xxh3_128_intdigest(buf[16 * i:16 * (i + run)])
+            out.append((i, (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)))
     return out
 
 
@@ -90,93 +85,97 @@ def keyed(docs: DataFrame) -> DataFrame:
     })
 
 
-def all_spans(src: DataFrame, run: int, min_words: int) -> DataFrame:
-    """A row per span: document key, first and last sentence, hash."""
-    schema = "_id long, _no boolean, _th long, i int, j int, h1 long, h2 long"
+def all_spans(src: DataFrame, run: int, span_words: int) -> DataFrame:
+    """A row per span: document key, first sentence, hash."""
+    schema = "_id long, _no boolean, _th long, i int, h1 long, h2 long"
 
     def cut_up(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                found = [spans(sentences(t.as_py()), run, min_words) for t in part.column(3)]
+                found = [spans(sentences(t.as_py()), run, span_words) for t in part.column(3)]
                 flat = [s for f in found for s in f]
                 if not flat:
                     continue
                 rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                i, j, h1, h2 = zip(*flat)
+                i, h1, h2 = zip(*flat)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(k).take(rows) for k in range(3)], pa.array(i, pa.int32()), pa.array(j, pa.int32()),
-                     pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["_id", "_no", "_th", "i", "j", "h1", "h2"])
+                    [*[part.column(k).take(rows) for k in range(3)], pa.array(i, pa.int32()),
+                     pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["_id", "_no", "_th", "i", "h1", "h2"])
 
     return src.select("_id", "_no", "_th", "_text").where("_text <> ''").mapInArrow(cut_up, schema)
 
 
-def repeated(src: DataFrame, run: int, min_words: int) -> DataFrame:
-    """A row per document with repeated spans: its key, the sentence ranges
-    ``spans`` to remove and ``kept_in``, the doc_ids that keep them."""
-    found = all_spans(src, run, min_words)
+def repeated(src: DataFrame, run: int, span_words: int) -> DataFrame:
+    """A row per document with non-first spans: its key and ``spans(i,
+    kept_in)``, the first sentence of each and the doc_id that keeps it."""
+    found = all_spans(src, run, span_words)
     place = F.struct("_no", "_id", "_th", "i")
-    first = (found.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("l"))
-             .where("f <> l").drop("l"))
+    first = cut(found.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = found.join(first, ["h1", "h2"]).where(place != F.col("f"))
     return again.groupBy("_id", "_no", "_th").agg(
-        F.collect_set(F.struct("i", "j")).alias("spans"),
-        F.array_sort(F.collect_set(F.expr("if(f._no, f._id, null)"))).alias("kept_in"))
+        F.collect_set(F.struct("i", F.expr("if(f._no, f._id, null)").alias("kept_in"))).alias("spans"))
 
 
-def removed(text, ranges):
-    """Text without the sentences of ``ranges``: a scalar Arrow helper."""
-    def strip(t: str, ij) -> dict | None:
-        if not ij:
+def removed(text, found, run: int, min_words: int):
+    """What is left of a text, and what goes: a scalar Arrow helper. Null
+    where nothing goes."""
+    def strip(t: str, found) -> dict | None:
+        if not found:
             return None
         parts = sentences(t)
-        gone = np.zeros(len(parts) + 1, np.int64)
-        for x in ij:
-            gone[x["i"]] += 1
-            gone[x["j"] + 1] -= 1
-        gone = np.cumsum(gone[:-1]) > 0
-        cut = [(a, b) for (a, b, _), g in zip(parts, gone) if g]
-        merged: list[list[int]] = []
-        for a, b in cut:
-            if merged and merged[-1][1] == a:
-                merged[-1][1] = b
-            else:
-                merged.append([a, b])
-        lo, kept = 0, []
-        for a, b in merged:
-            kept.append(t[lo:a])
-            lo = b
-        kept.append(t[lo:])
-        return {"text": "".join(kept).rstrip(), "removed": [{"start": a, "chars": b - a} for a, b in merged],
-                "n_sentences": int(gone.sum())}
-
-    schema = "text string, removed array<struct<start int, chars int>>, n_sentences int"
+        hit = np.zeros(len(parts) + 1, np.int64)
+        for x in found:
+            hit[x["i"]] += 1
+            hit[x["i"] + run] -= 1
+        hit = np.cumsum(hit[:-1]) > 0
+        cuts, k = [], 0
+        while k < len(parts):
+            end = k
+            while end < len(parts) and hit[end]:
+                end += 1
+            if end > k and sum(len(w) for _, _, w in parts[k:end]) >= min_words:
+                cuts.append((k, end))
+            k = max(end, k + 1)
+        if not cuts:
+            return None
+        lo, left, gone = 0, [], []
+        for a, b in cuts:
+            start, end = parts[a][0], parts[b - 1][1]
+            left.append(t[lo:start])
+            gone.append({"start": start, "chars": end - start})
+            lo = end
+        left.append(t[lo:])
+        by = {x["kept_in"] for x in found if any(a <= x["i"] < b for a, b in cuts)} - {None}
+        return {"text": "".join(left).rstrip(), "removed": gone, "n_sentences": sum(b - a for a, b in cuts), "kept_in": sorted(by)}
+
+    schema = "text string, removed array<struct<start int, chars int>>, n_sentences int, kept_in array<long>"
 
     @F.udf(schema, useArrow=True)
-    def run(t, ij):
-        return strip(t or "", ij)
+    def call(t, found):
+        return strip(t or "", found)
 
-    return run(text, ranges)
+    return call(text, found)
 
 
-def duplicates(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def duplicates(docs: DataFrame, run: int = RUN, span_words: int = SPAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per row of ``docs`` that loses sentences: ``doc_id``, its text
     without them, the character ranges ``removed(start, chars)``,
     ``n_sentences`` removed and ``kept_in``, the doc_ids of the documents that
     keep the first occurrences (null ids left out)."""
     src = keyed(docs)
-    out = src.join(repeated(src, run, min_words), ["_id", "_no", "_th"])
-    out = out.select(col_of(docs, "doc_id").alias("doc_id"), "kept_in", removed(F.col("_text"), F.col("spans")).alias("r"))
-    return out.select("doc_id", "r.text", "r.removed", "r.n_sentences", "kept_in")
+    out = src.join(repeated(src, run, span_words), ["_id", "_no", "_th"])
+    out = out.select(col_of(docs, "doc_id").alias("doc_id"), removed(F.col("_text"), F.col("spans"), run, min_words).alias("r"))
+    return out.where("r is not null").select("doc_id", "r.text", "r.removed", "r.n_sentences", "r.kept_in")
 
 
-def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, span_words: int = SPAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated sentences: the same rows and columns, texts
     cut, ``n_chars`` (where present) counted anew for texts that changed."""
     src = keyed(docs)
     cols = [f"_c{i}" for i in range(len(docs.columns))]
-    out = src.join(repeated(src, run, min_words), ["_id", "_no", "_th"], "left").select(*cols, "_text", "spans")
-    out = out.withColumn("new", F.when(F.col("spans").isNotNull(), removed(F.col("_text"), F.coalesce("spans", F.array().cast("array<struct<i:int,j:int>>")))["text"]))
+    out = src.join(repeated(src, run, span_words), ["_id", "_no", "_th"], "left").select(*cols, "_text", "spans")
+    out = out.withColumn("new", removed(F.col("_text"), F.col("spans"), run, min_words)["text"])
     at = f"_c{docs.columns.index('text')}"
     put = {at: F.coalesce("new", at)}
     if "n_chars" in docs.columns:

@@ -132,8 +132,9 @@ def test_chat_digests(spark):
 
 
 def test_chat_windows(spark):
-    """Small budget: windows keep to it, begin with the system turn, repeat
-    limited history, and hold every turn anew exactly once, in order."""
+    """Small budget and blocks of 8 turns: windows keep to the budget, begin
+    with the system turn, repeat limited history (of their block and the one
+    before), and hold every turn anew exactly once, in order."""
     rng = random.Random(4)
     rows = []
     for c in range(30):
@@ -149,7 +150,7 @@ def test_chat_windows(spark):
     escaped = lambda x: x.replace("\\", "\\b").replace("#", "\\h").replace("<", "\\l")
     for c, ws in by.items():
         turns = [(r[2], r[3]) for r in rows if r[0] == c]
-        ws.sort(key=lambda r: r.window)
+        ws.sort(key=lambda r: (r.block, r.window))
         fresh = []
         for i, w in enumerate(ws):
             old, new = [tuple(t) for t in w.turns[:w.n_repeated]], [tuple(t) for t in w.turns[w.n_repeated:]]
@@ -161,7 +162,8 @@ def test_chat_windows(spark):
             assert history == (before[-len(history):] if history else [])
             assert sum(map(tokens, history)) <= 40
             longer = before[-len(history) - 1:-len(history) or None]  # one turn more would be too much
-            if longer and len(history) < len(before) - len(system):
+            in_reach = len(before) - max(8 * (w.block - 1), len(system))
+            if longer and len(history) < in_reach:
                 assert sum(map(tokens, longer + history)) > 40
             if len(new) > 1 and sum(map(tokens, system)) <= 110:
                 assert sum(map(tokens, system + history + new)) <= 200
@@ -193,7 +195,7 @@ def test_decontamination(spark):
         text = [rng.choice(vocabulary) for _ in range(rng.randrange(80))]
         if d % 2:
             words = list(items[d % 60][1])
-            for _ in range(rng.randrange(int(0.14 * len(words)) + 1)):
+            for _ in range(rng.randrange(int(0.25 * len(words)) + 1)):
                 p = rng.randrange(len(words))
                 words[p:p + rng.choice([0, 1])] = [rng.choice(vocabulary)] * rng.choice([0, 1])
             at = rng.randrange(len(text) + 1)
@@ -368,24 +370,25 @@ def slow_spans(rows):
     places, parts = collections.defaultdict(list), {}
     for d, text in rows:
         p = parts[d] = spans.sentences(text)
-        size = [len(w) for _, _, w in p]
-        found = set()
-        for a in range(len(p)):
-            for b in range(a + spans.RUN - 1, len(p)):
-                if sum(size[a:b + 1]) >= spans.MIN_WORDS:
-                    found.add((a, b))
-                    break
-        for b in range(len(p)):
-            for a in range(b - spans.RUN + 1, -1, -1):
-                if sum(size[a:b + 1]) >= spans.MIN_WORDS:
-                    found.add((a, b))
-                    break
-        for a, b in found:
-            places[tuple(tuple(w) for _, _, w in p[a:b + 1])].append((d, a, b))
-    gone = collections.defaultdict(set)
+        for a in range(len(p) - 2):
+            run = tuple(tuple(w) for _, _, w in p[a:a + 3])
+            if sum(map(len, run)) >= spans.SPAN_WORDS:
+                places[run].append((d, a))
+    hit = collections.defaultdict(set)
     for v in places.values():
-        for d, a, b in sorted(v)[1:]:
-            gone[d].update(range(a, b + 1))
+        for d, a in sorted(v)[1:]:
+            hit[d].update(range(a, a + 3))
+    gone = {}
+    for d, h in hit.items():
+        stretches = []
+        for k in sorted(h):
+            if stretches and stretches[-1][-1] == k - 1:
+                stretches[-1].append(k)
+            else:
+                stretches.append([k])
+        whole = {k for s in stretches for k in s if sum(len(parts[d][i][2]) for i in s) >= spans.MIN_WORDS}
+        if whole:
+            gone[d] = whole
     return parts, gone
 
 
@@ -467,7 +470,7 @@ def test_pipeline(spark):
     parts, gone = slow_spans(rows)
     rows = [(d, (t[:parts[d][0][0]] + "".join(t[a:b] for k, (a, b, _) in enumerate(parts[d]) if k not in gone[d])).rstrip() if d in gone else t) for d, t in rows]
     items = [decontam.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    rows = [(d, t) for d, t in rows if not any(edits_to_passage(i, decontam.words_of(t)) <= len(i) // 10 for i in items)]
+    rows = [(d, t) for d, t in rows if not any(edits_to_passage(i, decontam.words_of(t)) <= int(decontam.MAX_EDITS * len(i)) for i in items)]
     lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
     want = {d: (lib.encode(t), lib.decode(lib.encode(t))) for d, t in rows}
     got = {r.doc_id: (list(r.ids), r.decoded) for r in corpus_pipeline.run(spark, sf).collect()}

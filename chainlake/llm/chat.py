@@ -7,23 +7,25 @@ written ``\\b``, ``\\h`` and ``\\l`` (for ``\\``, ``#`` and ``<``; in roles also
 undone.
 
 Prefix sums of turn tokens choose the windows. With ``step = budget - history
-- system``, a conversation's token axis is cut into cells of ``step`` tokens:
-the turns that lie within one cell form a window, and a turn that lies across
-a border forms its own. So every span is turn-aligned and keeps to the budget,
-unless a single turn alone exceeds it (turns are never cut). Each window begins
-with the system turn, if the conversation begins with one, then repeats the
-turns of the last ``history`` tokens before it, then has its new turns. Only
-new assistant turns are under the loss mask; repeated ones are not.
-
-Prefix sums are taken in two levels, within blocks of ``BLOCK`` turn numbers
-and over the blocks' totals, so a conversation that holds a large part of all
-rows is spread over its blocks. Tokens are estimated as a quarter of the
-UTF-8 bytes.
+- system``, the token axis is cut into cells of ``step`` tokens: the turns that
+lie within one cell form a window, and a turn that lies across a border forms
+its own. So every span is turn-aligned and keeps to the budget, unless a single
+turn alone exceeds it (turns are never cut). Each window begins with the system
+turn, if the conversation begins with one, then repeats the turns of the last
+``history`` tokens before it, then has its new turns. Only new assistant turns
+are under the loss mask; repeated ones are not.
+
+The unit of work is a block of ``BLOCK`` turn numbers of a conversation: the
+token axis begins anew there, so a conversation that holds a large part of all
+rows is spread over its blocks. Texts are shuffled once, by block; between
+blocks go only their sizes, the system turn, and the last ``history`` tokens of
+a block to the next one (history reaches back one block at most). Tokens are
+estimated as a quarter of the UTF-8 bytes.
 
 Null roles and texts count as empty; rows of a null conv_id form one
-conversation; null turns come first; rows that share conversation and turn are
-ordered by role, then text; repeated rows are turns of their own; an empty
-table gives no rows.
+conversation; null turns come first, in a block of their own; rows that share
+conversation and turn are ordered by role, length, then text; repeated rows are
+turns of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,65 +61,94 @@ def unescape(text: Column, role: bool = False) -> Column:
 
 
 def turns(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per turn: key, ``head`` and ``body`` as written, ``tokens`` and
-    ``before``, the tokens of the conversation's earlier turns."""
-    src = pick(rows, conv="conv_id", turn="turn", role="role", text="text").select(
+    """One row per turn: conversation, block, order columns, ``tokens`` and the
+    turn as written (``head`` and ``body``)."""
+    src = pick(rows, conv="conv_id", turn="turn", role="role", text="text")
+    turn = F.col("turn").cast("long")
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    src = src.select(
         F.coalesce(F.col("conv").cast("long"), F.lit(0)).alias("ck"), F.col("conv").isNull().alias("cn"),
-        F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"))
-    src = src.select(*KEY, "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / block), F.lit(-2**62)).alias("blk"),
-                     F.concat(F.lit(TURN), escape(F.col("role"), True), F.lit(": ")).alias("head"),
-                     escape(F.col("text")).alias("body"))
-    tokens = F.ceil((F.octet_length("head") + F.octet_length("body") + len(END)) / 4).cast("long")
-    src = src.withColumn("tokens", tokens)
-    inner = (W.partitionBy(*KEY, "blk").orderBy(F.asc_nulls_first("turn"), "role", "text")
-             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    src = src.withColumn("upto", F.sum("tokens").over(inner))
-    outer = W.partitionBy(*KEY).orderBy("blk").rowsBetween(W.unboundedPreceding, W.currentRow)
-    blocks = (src.groupBy(*KEY, "blk").agg(F.sum("tokens").alias("total"))
-              .select(*KEY, "blk", (F.sum("total").over(outer) - F.col("total")).alias("base")))
-    return (src.join(blocks, [*KEY, "blk"])
-            .select(*KEY, "role", "head", "body", "tokens", (F.col("base") + F.col("upto") - F.col("tokens")).alias("before")))
+        F.coalesce(F.floor(turn / block), F.lit(-2**62)).alias("blk"), turn.alias("turn"), role.alias("role"),
+        F.concat(F.lit(TURN), escape(role, True), F.lit(": ")).alias("head"), escape(text).alias("body"))
+    return src.withColumn("tokens", F.ceil((F.octet_length("head") + F.octet_length("body") + len(END)) / 4).cast("long"))
+
+
+def block_sizes(src: DataFrame) -> DataFrame:
+    """One row per block: its ``total`` tokens, whether it is its conversation's
+    ``first``, the ``next`` block, and ``sys``, the tokens of the system turn."""
+    per = src.groupBy(*KEY, "blk").agg(F.sum("tokens").alias("total"), F.min(F.struct("turn", "role", "tokens")).alias("m"))
+    o = W.partitionBy(*KEY).orderBy("blk")
+    return per.select(*KEY, "blk", "total", F.lag("blk").over(o).isNull().alias("first"), F.lead("blk").over(o).alias("next"),
+                      F.first(F.when(F.col("m.role") == "system", F.col("m.tokens"))).over(o).alias("sys"))
+
+
+def placed(src: DataFrame) -> DataFrame:
+    """``before``, the tokens of the block's earlier turns, and ``system``,
+    whether the turn is its conversation's system turn."""
+    o = (W.partitionBy(*KEY, "blk").orderBy(F.asc_nulls_first("turn"), "role", "tokens", "body")
+         .rowsBetween(W.unboundedPreceding, W.currentRow))
+    src = src.withColumn("before", F.sum("tokens").over(o) - F.col("tokens"))
+    return src.withColumn("system", F.col("first") & (F.col("before") == 0) & (F.col("role") == "system"))
 
 
 def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
-    """``(conv_id, window, text, n_repeated, loss)``: the windows of every
-    conversation in order. ``n_repeated`` turns at the start of ``text`` are
-    the system turn and history; ``loss`` holds ``(start, chars)``, the code
-    points of ``text`` that are targets."""
+    """``(conv_id, block, window, text, n_repeated, loss)``: the windows of
+    every conversation, in the order of ``block`` and ``window``. The first
+    ``n_repeated`` turns of ``text`` are the system turn and history; ``loss``
+    holds ``(start, chars)``, the code points of ``text`` that are targets."""
     if not 0 <= history < budget // 4:
         raise ValueError("history has to be less than a quarter of the budget")
-    all_turns = turns(rows, block)
-    system = all_turns.where("before = 0 and role = 'system'")
-    sizes = system.select(*KEY, F.col("tokens").alias("sys"))
-    t = all_turns.join(sizes, KEY, "left").withColumn(
-        # a system turn that leaves little room takes no part in the reckoning
-        "step", F.greatest(F.lit(budget - history) - F.coalesce("sys", F.lit(0)), F.lit(budget // 4)).cast("long"))
-    cell = F.floor(F.col("before") / F.col("step"))
-    last = F.floor((F.col("before") + F.col("tokens") - 1) / F.col("step"))
+    src = turns(rows, block)
+    sizes = block_sizes(src)
+    unit = [*KEY, "blk"]
+    shown = lambda new: F.struct(
+        F.concat("head", "body", F.lit(END)).alias("text"), F.length("head").alias("head"), F.length("body").alias("chars"),
+        (F.lit(new) & (F.col("role") == "assistant")).alias("target"))
+
+    # the windows of each block, and which later windows repeat a turn
+    t = placed(src.join(sizes.select(*unit, "first", "sys"), unit))
+    # a system turn that leaves little room takes no part in the reckoning
+    step = F.greatest(F.lit(budget - history) - F.coalesce("sys", F.lit(0)), F.lit(budget // 4)).cast("long")
+    cell, last = F.floor(F.col("before") / step), F.floor((F.col("before") + F.col("tokens") - 1) / step)
     t = t.withColumn("w", 2 * cell + F.when(last > cell, 1).otherwise(0))
-
-    # where each window begins; cells of the token axis carry the range join
-    starts = (t.groupBy(*KEY, "w", "step").agg(F.min("before").alias("start"))
-              .withColumn("cell", F.floor(F.col("start") / F.col("step"))))
-    shown = [*KEY, "head", "body", "before", "role"]
-    new = t.select(*shown, "w", F.lit(True).alias("new"))
-    past = t.where(~((F.col("before") == 0) & (F.col("role") == "system")) & (F.col("tokens") <= history))
-    first, reach = F.col("before") + F.col("tokens"), F.col("before") + history
-    past = past.select(*shown, first.alias("lo"), reach.alias("hi"), F.explode(
-        F.sequence(F.floor(first / F.col("step")), F.floor(reach / F.col("step")))).alias("cell"))
-    old = (past.join(starts.select(*KEY, "cell", "w", "start"), [*KEY, "cell"])
-           .where("start >= lo and start <= hi").select(*shown, "w", F.lit(False).alias("new")))
-    lead = (system.join(starts.where("start > 0").select(*KEY, "w"), KEY)
-            .select(*shown, "w", F.lit(False).alias("new")))
-
-    part = F.struct("before", F.concat("head", "body", F.lit(END)).alias("text"), F.length("head").alias("head"),
-                    F.length("body").alias("chars"), "new", (F.col("new") & (F.col("role") == "assistant")).alias("target"))
+    o = W.partitionBy(*unit).orderBy("before")
+    begins = F.coalesce(F.lag("w").over(o) != F.col("w"), F.lit(True))
+    t = t.withColumn("begins", begins).select(
+        *unit, "before", "w", "system", shown(True).alias("new"), shown(False).alias("old"),
+        # windows that begin within the next ``history`` tokens
+        F.collect_list(F.when(F.col("begins"), F.col("w"))).over(o.rangeBetween(1, max(history, 1))).alias("later"),
+        F.first(F.when(F.col("system"), shown(False))).over(o).alias("lead"))
+    later = F.when(F.col("system") | F.lit(history == 0), F.array().cast("array<bigint>")).otherwise(F.col("later"))
+    t = t.select(*unit, "before", "w", "new", "old", "lead", F.explode(F.concat(F.array("w"), later)).alias("at"))
+    fresh = F.col("at") == F.col("w")
     # bounded by the budget: every turn counts three tokens at least
-    made = (new.unionByName(old).unionByName(lead).groupBy(*KEY, "w")
-            .agg(F.array_sort(F.collect_list(part)).alias("t")))
+    made = t.groupBy(*unit, "at").agg(
+        F.array_sort(F.collect_list(F.struct("before", F.when(fresh, F.col("new")).otherwise(F.col("old")).alias("x"),
+                                             fresh.alias("fresh")))).alias("t"),
+        F.min(F.when(fresh, F.col("before"))).alias("start"), F.first("lead").alias("lead"))
+
+    # what later blocks take over: the system turn, and the end of the block before
+    more = sizes.where(~F.col("first"))
+    system = (src.where("role = 'system'").join(sizes.where("first and next is not null and sys is not null")
+                                                .select(*unit, "first"), unit))
+    system = (placed(system).where("system").groupBy(*KEY).agg(F.first(shown(False)).alias("carried"))
+              .join(more.select(*unit), KEY))
+    ends = placed(src.join(sizes.where("next is not null").select(*unit, "first", "next", "total"), unit))
+    left = F.col("total") - F.col("before")
+    ends = (ends.where(~F.col("system") & (left <= history))
+            .groupBy(*KEY, F.col("next").alias("blk"))
+            .agg(F.sort_array(F.collect_list(F.struct(left.alias("left"), shown(False).alias("x"))), asc=False).alias("ends")))
+    made = made.join(system, unit, "left").join(ends, unit, "left")
+
+    none = F.array().cast("array<struct<text:string,head:int,chars:int,target:boolean>>")
+    lead = F.coalesce("carried", F.when(F.col("start") > 0, F.col("lead")))
+    before = F.transform(F.filter("ends", lambda e: e["left"] + F.col("start") <= history), lambda e: e["x"])
+    made = made.select(
+        *unit, "at", F.concat(F.when(lead.isNotNull(), F.array(lead)).otherwise(none), F.coalesce(before, none),
+                              F.transform("t", lambda x: x["x"])).alias("turns"),
+        F.size(F.filter("t", lambda x: x["fresh"])).alias("n_new"))
     spans = F.aggregate(
-        "t", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,chars:int>>)").alias("s")),
+        "turns", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,chars:int>>)").alias("s")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["text"])).cast("int").alias("at"),
             F.when(x["target"], F.concat(acc["s"], F.array(F.struct(
@@ -125,9 +156,9 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, block
             .otherwise(acc["s"]).alias("s")),
         lambda acc: acc["s"])
     return made.select(
-        F.when(~F.col("cn"), F.col("ck")).alias("conv_id"), F.col("w").alias("window"),
-        F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"),
-        F.size(F.filter("t", lambda x: ~x["new"])).alias("n_repeated"), spans.alias("loss"))
+        F.when(~F.col("cn"), F.col("ck")).alias("conv_id"), F.col("blk").alias("block"), F.col("at").alias("window"),
+        F.array_join(F.transform("turns", lambda x: x["text"]), "").alias("text"),
+        (F.size("turns") - F.col("n_new")).alias("n_repeated"), spans.alias("loss"))
 
 
 def read_turns(text: Column) -> Column:
@@ -146,7 +177,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     own = F.slice(turn_list, F.col("n_repeated") + 1, F.greatest(F.size(turn_list), F.lit(1)))
     loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("text"), s["start"] + 1, s["chars"]))), "")
     per_window = formatted.select("conv_id", F.struct(
-        "window", own.alias("turns"), loss.alias("loss"), F.length("text").cast("long").alias("chars")).alias("w"))
+        "block", "window", own.alias("turns"), loss.alias("loss"), F.length("text").cast("long").alias("chars")).alias("w"))
     whole = per_window.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
     return whole.select(
         "conv_id", F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"),

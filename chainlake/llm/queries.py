@@ -63,20 +63,26 @@ e AS (
   SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c') || ': '
             || replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l') || '</turn>' || chr(10) AS line FROM c),
 t AS (
-  SELECT *, CAST(ceil(strlen(line) / 4) AS BIGINT) AS tokens,
-         CAST(sum(CAST(ceil(strlen(line) / 4) AS BIGINT)) OVER (
-           PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM e),
-b AS (SELECT *, upto - tokens AS before, upto - tokens = 0 AND role = 'system' AS system FROM t),
+  SELECT *, turn // 64 AS blk, CAST(ceil(strlen(line) / 4) AS BIGINT) AS tokens FROM e),
+u AS (
+  SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id, blk ORDER BY turn, role, tokens, text ROWS UNBOUNDED PRECEDING) AS BIGINT)
+            - tokens AS before, CAST(sum(tokens) OVER (PARTITION BY conv_id, blk) AS BIGINT) AS total,
+         blk = min(blk) OVER (PARTITION BY conv_id) AS first FROM t),
+b AS (SELECT *, first AND before = 0 AND role = 'system' AS system FROM u),
 p AS (SELECT conv_id, greatest(2048 - 256 - coalesce(max(tokens) FILTER (system), 0), 512) AS step FROM b GROUP BY conv_id),
 w AS (
   SELECT b.*, 2 * (before // step) + CASE WHEN (before + tokens - 1) // step > before // step THEN 1 ELSE 0 END AS w
   FROM b JOIN p ON p.conv_id IS NOT DISTINCT FROM b.conv_id),
-s AS (SELECT conv_id, w, min(before) AS start FROM w GROUP BY conv_id, w),
+s AS (SELECT conv_id, blk, w, first, min(before) AS start FROM w GROUP BY ALL),
+n AS (SELECT conv_id, blk, lead(blk) OVER (PARTITION BY conv_id ORDER BY blk) AS next FROM (SELECT DISTINCT conv_id, blk FROM t)),
 shown AS (
   SELECT conv_id, length(line) AS n FROM w
+  UNION ALL SELECT w.conv_id, length(line) FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.blk = w.blk
+    AND NOT system AND start BETWEEN before + tokens AND before + 256
+  UNION ALL SELECT w.conv_id, length(line) FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.blk = w.blk
+    JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.blk = n.next AND NOT system AND total - before + start <= 256
   UNION ALL SELECT w.conv_id, length(line) FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
-    AND NOT system AND tokens <= 256 AND start BETWEEN before + tokens AND before + 256
-  UNION ALL SELECT w.conv_id, length(line) FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND system AND start > 0),
+    AND system AND (start > 0 OR NOT s.first)),
 f AS (SELECT conv_id, CAST(sum(n) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id),
 d AS (
   SELECT conv_id, count(*) AS n_turns,

@@ -155,7 +155,8 @@ def removed(text, found, run: int, min_words: int):
     def call(t, found):
         return strip(t or "", found)
 
-    return call(text, found)
+    # so declared, it is called once per row, not again for each use of its result
+    return call.asNondeterministic()(text, found)
 
 
 def duplicates(docs: DataFrame, run: int = RUN, span_words: int = SPAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 Every document is cut into sentences (at sentence marks followed by white
-space, and at line breaks; a sentence of more than ``MAX_WORDS`` words is cut
-every ``MAX_WORDS`` words). Every run of ``RUN`` consecutive sentences with at
+space, and at line breaks; sentences of fewer than ``LEAST_WORDS`` words are
+joined with the next ones of their line, a sentence of more than ``MAX_WORDS``
+words is cut every ``MAX_WORDS`` words). Every run of ``RUN`` consecutive sentences with at
 least ``SPAN_WORDS`` words is hashed, and the spans are joined globally on the
 128-bit hash. The first occurrence, in the order of (doc_id, text hash,
 position), stays; sentences covered by any other occurrence are removed, where
@@ -35,6 +36,7 @@ from .common import col_of, cut, indexed, restore
 RUN = 3
 SPAN_WORDS = 12
 MIN_WORDS = 25
+LEAST_WORDS = 4
 MAX_WORDS = 16
 
 BREAK = re.compile(r"[.!?…。！？][^\s\w]*\s+|\s*\n\s*")
@@ -50,6 +52,8 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         marks.append(len(text))
     for end in marks:
         words = text[start:end].lower().split()
+        if len(words) < LEAST_WORDS and end < len(text) and words and "\n" not in text[start:end]:
+            continue
         if len(words) > MAX_WORDS:
             at = [m.start() for m in WORD.finditer(text, start, end)][::MAX_WORDS]
             for k, a in enumerate(at):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import cut, pick
 from .labelled import TRAIN_ROWS, held_out, training_rows
 
 MODULUS, REMAINDER = 3, 1  # held-out part of the labels
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS,
     the lexicon (bounded) and two numbers per training row come to the driver.
     Without both classes the score is constant. ``exceptions``: further
     phrases that are never toxic."""
-    rows = training_rows(docs, labels, "toxic", MODULUS, REMAINDER, max_rows)
+    rows = cut(training_rows(docs, labels, "toxic", MODULUS, REMAINDER, max_rows))  # read several times
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < n:
         share = min(max(toxic / n if n else 0.5, 0.01), 0.99)

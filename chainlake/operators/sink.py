@@ -280,8 +280,11 @@ def _stage(batch: DataFrame, path: str, keys: list[str], keep_old: list[str], st
         rest = stored.join(new.select(*keys), keys, "left_anti").withColumn("_op", F.lit("merge"))
         rows = rows.select(*rest.columns).unionByName(rest)
     write_partitioned(rows, f"{stage}/data", partition_cols=["_op", *PARTITION_COLS])
-    total = new.count()
-    return {"inserted": total - updated, "updated": updated}
+    # row counts of files (no column is read): what was staged, less the stored
+    # rows that were only carried along
+    total = spark.read.schema("chain string").parquet(f"{stage}/data").count()
+    carried = old.where(merge).count() - updated if conflict else 0
+    return {"inserted": total - carried - updated, "updated": updated}
 
 
 def _swap_in(spark: SparkSession, stage: str, path: str) -> None:

@@ -1,12 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-Every document is cut into sentences (at sentence marks followed by white
-space, and at line breaks; sentences of fewer than ``LEAST_WORDS`` words are
-joined with the next ones of their line, a sentence of more than ``MAX_WORDS``
-words is cut every ``MAX_WORDS`` words). Every run of ``RUN`` consecutive sentences with at
-least ``SPAN_WORDS`` words is hashed, and the spans are joined globally on the
-128-bit hash. The first occurrence, in the order of (doc_id, text hash,
-position), stays; sentences covered by any other occurrence are removed, where
+Every document is cut into parts of ``LEAST_WORDS`` to ``MAX_WORDS`` words (a
+text of fewer is one part). Cuts are at sentence marks followed by white space
+and at line breaks; of several within ``LEAST_WORDS`` words only the one before
+the word with the least hash counts, line breaks first. Longer sentences are
+also cut before words with the least hash of all within ``PIECE_WORDS`` words.
+So cuts depend on the words around them, not on where a text or sentence
+begins: a passage is cut alike wherever it stands, but for its two ends. Where
+equal words give no least hash, the least one in reach of the last cut is
+taken. Every run of ``RUN`` consecutive parts with at least ``SPAN_WORDS``
+words (with these sizes, every run) is hashed, and the spans are joined
+globally on the 128-bit hash.
+The first occurrence, in the order of (doc_id, text hash,
+position), stays; parts covered by any other occurrence are removed, where
 they form a stretch of at least ``MIN_WORDS`` words (so a short line that many
 documents share, such as a licence, stays).
 
@@ -18,7 +24,8 @@ large partitions Spark splits.
 A document is identified by (doc_id, hash of its text): rows that repeat both
 are one document and fare alike. Null doc_ids sort first; null and empty
 texts have no spans; an empty table gives an empty result. Words are
-compared lower-cased, white space between them does not matter.
+compared lower-cased, white space between them does not matter but for line
+breaks, which are places to cut.
 """
 
 from __future__ import annotations
@@ -36,37 +43,58 @@ from .common import col_of, cut, indexed, restore
 RUN = 3
 SPAN_WORDS = 12
 MIN_WORDS = 25
-LEAST_WORDS = 4
+LEAST_WORDS = 4  # RUN parts never hold less than SPAN_WORDS
+PIECE_WORDS = 5
 MAX_WORDS = 16
 
-BREAK = re.compile(r"[.!?…。！？][^\s\w]*\s+|\s*\n\s*")
-WORD = re.compile(r"\S+\s*")
+MARK = re.compile(r"[.!?…。！？][^\s\w]*\s")
+SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # no white space beyond
+LINE, SENTENCE, INSIDE = 1 << 61, 2 << 61, 3 << 61
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """``(start, end, lower-cased words)`` of each sentence; the parts cover
-    the text from its first word on (white space belongs to the part before)."""
-    out, start = [], 0
-    marks = [m.end() for m in BREAK.finditer(text)]
-    if not marks or marks[-1] < len(text):
-        marks.append(len(text))
-    for end in marks:
-        words = text[start:end].lower().split()
-        if len(words) < LEAST_WORDS and end < len(text) and words and "\n" not in text[start:end]:
-            continue
-        if len(words) > MAX_WORDS:
-            at = [m.start() for m in WORD.finditer(text, start, end)][::MAX_WORDS]
-            for k, a in enumerate(at):
-                b = at[k + 1] if k + 1 < len(at) else end
-                out.append((a if k else start, b, text[a:b].lower().split()))
-        elif words:
-            out.append((start, end, words))
-        elif out:  # white space only
-            out[-1] = (out[-1][0], end, out[-1][2])
-        start = end
+def least(keys: np.ndarray, radius: int) -> np.ndarray:
+    """Where a key is the least within ``radius`` places (the first of equals)."""
+    n, end = len(keys), np.full(radius, 2**64 - 1, np.uint64)
+    wide, out = np.concatenate((end, keys, end)), np.ones(n, bool)
+    for d in range(1, radius + 1):
+        out &= (keys < wide[radius - d:radius - d + n]) & (keys <= wide[radius + d:radius + d + n])
+    return out
+
+
+def places(keys: np.ndarray) -> list[int]:
+    """The words before which a text is cut, the first one and the end
+    included, ``LEAST_WORDS`` to ``MAX_WORDS`` apart."""
+    n = len(keys)
+    at = least(keys, LEAST_WORDS - 1) & (keys < INSIDE)
+    at |= least(np.where(at, np.uint64(0), keys), PIECE_WORDS - 1)
+    at[:LEAST_WORDS] = at[max(n - LEAST_WORDS + 1, 0):] = False
+    out = [0]
+    for c in [*np.flatnonzero(at).tolist(), n]:
+        while c - out[-1] > MAX_WORDS:  # equal or steadily falling keys
+            a = out[-1] + PIECE_WORDS
+            out.append(a + int(np.argmin(keys[a:min(out[-1] + MAX_WORDS, c - LEAST_WORDS) + 1])))
+        out.append(c)
     return out
 
 
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """``(start, end, lower-cased words)`` of each part; the parts cover the
+    text from its first word on (white space belongs to the part before)."""
+    words = text.lower().split()
+    if not words:
+        return []
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = SPACE[np.minimum(codes, len(SPACE) - 1)]
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(3)
+    kind = np.full(len(words) + 1, INSIDE, np.uint64)
+    kind[np.searchsorted(starts, [m.end() for m in MARK.finditer(text)])] = SENTENCE
+    kind[np.searchsorted(starts, np.flatnonzero(codes == 10))] = LINE
+    at = places(keys | kind[:-1])
+    edges = [*starts[at[:-1]].tolist(), len(text)]
+    return [(lo, hi, words[a:b]) for lo, hi, a, b in zip(edges, edges[1:], at, at[1:])]
+
+
 def spans(parts: list[tuple[int, int, list[str]]], run: int = RUN, span_words: int = SPAN_WORDS):
     """``[(first sentence, hash 1, hash 2)]``: the spans of a document."""
     buf = b"".join(xxhash.xxh3_128_digest(" ".join(w)) for _, _, w in parts)

@@ -29,3 +29,17 @@ def test_passages_begun_mid_sentence(spark):
     assert max(plain) < 0.65 and max(plain[10:]) < 0.12
     assert max(left_of_copy(spark, rng, [say(30) + ". " + say(30) for _ in range(10)])) < 0.65
     assert max(left_of_copy(spark, rng, [". ".join(say(15) for _ in range(4)) for _ in range(10)])) < 0.65
+
+
+def test_passages_of_short_lines(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    verse = ["\n".join(" ".join(word() for _ in range(n)) for _ in range(400 // n)) for n in (1, 2, 3)]
+    verse.append(" ".join(word() + "." for _ in range(200)))
+    assert all(sum(len(w) for _, _, w in run) >= spans.SPAN_WORDS
+               for v in verse for p in [spans.sentences(v)] for run in zip(p, p[1:], p[2:]))
+    assert max(left_of_copy(spark, rng, verse, "\n")) < 0.12
+    # a passage that repeats inside one document stays once
+    text = "\n".join(["Yes.\nNo.\nWho knows?"] * 100)
+    got = spans.duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(got.text.split()) < 80

@@ -8,16 +8,20 @@ Texts are compared as sequences of lower-cased words. A benchmark item of
   the item's words an edit spoils one, of its neighbouring pairs at most two,
   and the window may end as many words too early: windows with fewer pairs
   from items of their length than that leaves are discarded (no loss).
-* CGK random walk: a walk over the window repeats or advances a word by the
+* Pieces: items are cut into so many pieces that by the pigeonhole principle
+  one piece of a leak has at most ``PIECE_EDITS`` edits; the pieces' windows
+  are taken at every word that a leak in a window that was kept can reach.
+* CGK random walk: a walk over a piece's window repeats or advances a word by the
   hashed coin of (step, word) and writes down the word it stands on; two
   sequences at a small edit distance get walks at a small Hamming distance.
 * Bit-sampling LSH on the walks: each of the repetitions (a walk of its own)
   draws several tables, a table's key being the words at ``SAMPLED`` steps.
   The number of tables follows from ``RECALL`` at a share of ``AGREE`` equal
-  steps.
-* Exact check: windows whose key is an item's are verified by the bit-parallel
-  approximate matching of the whole item within the window and the allowed
-  edits around it.
+  steps, which a piece with its few edits keeps whatever the item's length and
+  the kind of edits.
+* Exact check: where a window's key is a piece's, the whole item is verified by
+  bit-parallel approximate matching within its window and the allowed edits
+  around it.
 
 The benchmark is read in blocks of at most ``BLOCK_ITEMS`` items, so what goes
 to the tasks is bounded whatever its size; each block takes one pass over the
@@ -44,7 +48,8 @@ from .common import col_of, indexed, pick, restore
 
 MAX_EDITS = 0.2
 RECALL = 0.999
-AGREE = 0.55  # share of equal steps assumed between the walks of a leak
+PIECE_EDITS = 1
+AGREE = 0.55  # share of equal steps assumed between the walks of a piece and its copy
 SAMPLED = 3
 PER_WALK = 4  # tables drawn from one walk
 BLOCK_ITEMS = 5000
@@ -77,6 +82,21 @@ def walks(ids: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.nd
     return out
 
 
+def union(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The places in any of the ranges ``lo .. hi`` (both ascending)."""
+    lo = np.maximum(lo, np.concatenate(([0], hi[:-1])))
+    size = np.maximum(hi - lo, 0)
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def pieces_of(n: int, edits: int) -> list[tuple[int, int]]:
+    """``(offset, length)`` of the pieces of an item of ``n`` words, one of
+    which has at most ``PIECE_EDITS`` of ``edits`` edits."""
+    k = min(edits // (PIECE_EDITS + 1) + 1, n)
+    at = [n * j // k for j in range(k + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
 class Index:
     """LSH index of one block of items (bounded by the block)."""
 
@@ -87,6 +107,7 @@ class Index:
         codes = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
         pairs_of = [c[:-1] * len(self.vocabulary) + c[1:] for c in codes]
         self.pairs = np.unique(np.concatenate([np.empty(0, np.int64), *pairs_of]))
+        self.item_pairs = [np.unique(p) for p in pairs_of]
         rng = np.random.default_rng(7)
         self.hashes = rng.integers(1, 2**64, len(self.vocabulary) + 2, dtype=np.uint64)  # of -2, -1 (foreign), words
         self.edits = [int(max_edits * len(ws)) for _, ws in items]
@@ -98,20 +119,28 @@ class Index:
         self.longest = max(by_length, default=0)
         #: per length: which of the pairs of words its items have
         self.pairs_in = {n: np.isin(self.pairs, np.concatenate([pairs_of[i] for i in of])) for n, of in by_length.items()}
-        #: per length: allowed edits, [(seed, steps of a table)], per table its sorted keys and key -> items
+        #: per length of items: allowed edits, and per length of their pieces [(seed, steps of a table)],
+        #: per table its sorted keys and key -> (item, offset of the piece)
         self.lengths: dict[int, tuple] = {}
         for n, of in sorted(by_length.items()):
-            # a walk passes a window in about 2n steps; its first 1.5n rarely run off
-            tables_of = [(t // PER_WALK, rng.choice(self.steps(n), sampled, replace=False)) for t in range(tables)]
+            edits, of_size = int(max_edits * n), defaultdict(list)
+            for offset, m in pieces_of(n, int(max_edits * n)):
+                of_size[m].append(offset)
             joined, at = np.concatenate([codes[i] for i in of]), np.arange(len(of)) * n
-            w = self.all_walks(joined, at, n)
-            found = []
-            for seed, steps in tables_of:
-                keys: dict[int, list[int]] = {}
-                for i, key in zip(of, self.key(w[steps, seed * len(of):(seed + 1) * len(of)]).tolist()):
-                    keys.setdefault(key, []).append(i)
-                found.append((np.array(sorted(keys), np.int64), keys))
-            self.lengths[n] = (int(max_edits * n), tables_of, found)
+            sizes = []
+            for m, offsets in sorted(of_size.items()):
+                # a walk passes a window in about 2m steps; its first 1.5m rarely run off
+                tables_of = [(t // PER_WALK, rng.choice(self.steps(m), sampled, replace=False)) for t in range(tables)]
+                places = [(i, offset) for offset in offsets for i in of]
+                w = self.all_walks(joined, np.concatenate([at + offset for offset in offsets]), m)
+                found = []
+                for seed, steps in tables_of:
+                    keys: dict[int, list[tuple[int, int]]] = {}
+                    for place, key in zip(places, self.key(w[steps, seed * len(places):(seed + 1) * len(places)]).tolist()):
+                        keys.setdefault(key, []).append(place)
+                    found.append((np.array(sorted(keys), np.int64), keys))
+                sizes.append((m, tables_of, found))
+            self.lengths[n] = (edits, sizes)
         self.masks = []  # per item: word -> bits of its places
         for _, ws in items:
             mask: dict[str, int] = defaultdict(int)
@@ -143,7 +172,7 @@ class Index:
         place = np.minimum(np.searchsorted(self.pairs, both), max(len(self.pairs) - 1, 0))
         if len(self.pairs):
             at, place = at[self.pairs[place] == both], place[self.pairs[place] == both]
-        for n, (edits, _, _) in self.lengths.items():
+        for n, (edits, _) in self.lengths.items():
             need = n - 1 - 3 * edits
             if need > 0:  # so many pairs of this length's items within n words
                 q = at[self.pairs_in[n][place]] if len(self.pairs) else at[:0]
@@ -163,19 +192,45 @@ class Index:
                 yield n, starts
 
     def candidates(self, codes: np.ndarray):
-        """``(item, window start)`` of all windows that share a table key."""
+        """``(item, window start)`` of all windows with a piece that shares a table key."""
+        both = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1] * len(self.vocabulary) + codes[1:], -1)
         for n, starts in self.windows(codes):
-            _, tables_of, found = self.lengths[n]
-            for lo in range(0, len(starts), 10_000):
-                part = starts[lo:lo + 10_000]
-                m = len(part)
-                w = self.all_walks(codes, part, n)
-                for (seed, steps), (keys, items) in zip(tables_of, found):
-                    key = self.key(w[steps, seed * m:(seed + 1) * m])
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    for r in np.flatnonzero(keys[at] == key):
-                        for item in items[int(key[r])]:
-                            yield item, int(part[r])
+            edits, sizes = self.lengths[n]
+            for m, tables_of, found in sizes:
+                # where pieces of a leak in these windows may be
+                at = union(np.maximum(starts - edits, 0), np.minimum(starts + n - m + edits, len(codes) - m) + 1)
+                hits = defaultdict(list)
+                for lo in range(0, len(at), 10_000):
+                    part = at[lo:lo + 10_000]
+                    w = self.all_walks(codes, part, m)
+                    for (seed, steps), (keys, places) in zip(tables_of, found):
+                        key = self.key(w[steps, seed * len(part):(seed + 1) * len(part)])
+                        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        same = np.flatnonzero(keys[k] == key)
+                        if not len(same):
+                            continue
+                        k, hit = k[same], part[same]
+                        order = np.argsort(k, kind="stable")
+                        k, hit = k[order], hit[order]
+                        edge = np.flatnonzero(np.diff(k, prepend=-1, append=-1))
+                        for x, y in zip(edge[:-1], edge[1:]):
+                            for item, offset in places[int(keys[k[x]])]:
+                                hits[item].append(hit[x:y] - offset)
+                for item, at_item in hits.items():
+                    start = np.unique(np.concatenate(at_item))
+                    # the item's window is one of those kept, or a leak's edits away from one
+                    q = np.minimum(np.searchsorted(starts, start - edits), len(starts) - 1)
+                    start = start[np.abs(starts[q] - start) <= edits]
+                    if not len(start):
+                        continue
+                    # an edit spoils at most two of the item's pairs
+                    lo = np.clip(start - edits, 0, len(both))
+                    hi = np.clip(start + n + edits - 1, 0, len(both))
+                    near = union(lo, hi)
+                    near = near[np.isin(both[near], self.item_pairs[item])]
+                    have = np.searchsorted(near, hi) - np.searchsorted(near, lo)
+                    for x in start[have >= n - 1 - 2 * edits].tolist():
+                        yield item, x
 
     def match(self, item: int, words: list[str]) -> tuple[int, int] | None:
         """The smallest edit distance of the whole item to any passage of

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
-from chainlake.llm import spans
+from chainlake.llm import decontam, spans
 
 
 def left_of_copy(spark, rng, passages, joint=" "):
@@ -43,3 +41,21 @@ def test_passages_of_short_lines(spark):
     text = "\n".join(["Yes.\nNo.\nWho knows?"] * 100)
     got = spans.duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert len(got.text.split()) < 80
+
+
+def test_leaks_with_every_allowed_edit():
+    """Exactly the allowed number of edits, of one kind, in items of any length."""
+    rng = random.Random(23)
+    word = lambda: f"w{int(4000 * rng.random() ** 3)}"
+    for n in (10, 15, 45, 59, 100, 200, 300):
+        items = [[word() for _ in range(n)] for _ in range(10)]
+        index, texts = decontam.Index(list(enumerate(items))), []
+        for kind in ("deleted", "inserted", "replaced", "mixed", "spread"):
+            for item in items * 2:
+                edits, words = int(decontam.MAX_EDITS * n), list(item)
+                for p in [k * n // edits for k in range(edits)][::-1] if kind == "spread" else sorted(rng.sample(range(n), edits))[::-1]:
+                    how = {"mixed": rng.choice(["deleted", "inserted", "replaced"]), "spread": "deleted"}.get(kind, kind)
+                    words[p:p + (how != "inserted")] = [] if how == "deleted" else [f"x{rng.random()}".replace(".", "")]
+                texts.append(" ".join([*(word() for _ in range(9)), *words, *(word() for _ in range(9))]))
+        got = {(row, item) for row, item, *_ in index.leaks(texts)}
+        assert sum((k, k % 10) in got for k in range(len(texts))) >= decontam.RECALL * len(texts)

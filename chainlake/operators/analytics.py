@@ -18,6 +18,8 @@ through a one-row-per-bucket summary table:
                         the bin, then the exact range predicate
 * ``count_in_ranges`` - prefix sums of the points and two as-of look-ups per
                         range: no pairs at all
+* ``positions``       - a global sort by range partitions, row numbers inside
+                        them and the counts of the partitions before
 
 No plan here depends on the data's size: joins with the summaries are plain
 equi-joins, which Spark broadcasts when it sees at run time that they are small.
@@ -35,6 +37,22 @@ def _bucket_of(col: str, size: int) -> Column:
     return F.floor(F.col(col) / size).cast("bigint")
 
 
+# --- positions in a global order ----------------------------------------------
+def positions(df: DataFrame, *order, out: str = "position") -> DataFrame:
+    """``df`` with each row's 0-based position in the total order ``order``
+    (include a unique tiebreak). The rows are sorted by range partitions; the
+    partitions' row counts, one row per task, turn their row numbers into
+    global ones. The sorted rows are checkpointed, so both reads agree."""
+    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    # monotonically_increasing_id holds the partition above bit 33, the row below
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return (placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_row"))
+            .drop("_at", "_part", "_row", "_before"))
+
+
 # --- lag with stitched bucket edges ------------------------------------------
 def prev_in_order(df: DataFrame, by: list[str], order: str, cols: list[str],
                   bucket_size: int = BUCKET_SIZE, prefix: str = "prev_") -> DataFrame:

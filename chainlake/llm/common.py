@@ -48,6 +48,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``per_key``, which holds one row for every key of
+    ``rows``, nulls included, and in ``_n`` how many rows have it. Keys with more than one row
+    in ``share`` are fewer than ``share`` whatever the data, so they are
+    broadcast and hot keys stay where they are; the others meet by a shuffle in
+    which no key is large. Both frames are read twice: cut them before."""
+    total = per_key.agg(F.sum("_n")).first()[0] or 0
+    heavy = F.col("_n") * share > total
+    named = per_key.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+
+    def on(right: DataFrame):
+        cond = F.lit(True)
+        for i, k in enumerate(keys):
+            cond = cond & F.col(k).eqNullSafe(right[f"_k{i}"])
+        return cond
+
+    drop = [f"_k{i}" for i in range(len(keys))]
+    big, small = F.broadcast(named.where(heavy)), named.where(~heavy)
+    first = rows.join(big, on(big)).drop(*drop)
+    rest = rows.join(big, on(big), "left_anti").join(small, on(small)).drop(*drop)
+    return first.unionByName(rest).drop("_n")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)`` (two longs).
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, pages, quality, sentencepiece_bpe, sharding, simhash, spans, topk, toxicity
+from . import (chat, decontam, divergence, mixing, orchard, pages, quality, sentencepiece_bpe, sharding, simhash, spans, topk,
+               toxicity)
 from .common import table
 
 
@@ -128,6 +129,89 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = orchard.compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", orchard.hex_code("code").alias("code"), "error", "label_error",
+                      F.lit(orchard.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op11_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The codes in DuckDB SQL, every distance computed; for vectors of
+    ``parts * width`` components."""
+    d = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, width + 1))
+    mean = ", ".join(f"(sum(x[{i}]) - ((sum(x[{i}]) % count(*)) + count(*)) % count(*)) // count(*)" for i in range(1, width + 1))
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+          SELECT r, part, min({{'d': {d}, 'e': entry}}) AS best FROM p JOIN b{k} USING (part) GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+          SELECT part, entry, coalesce(m, c) AS c FROM b{k} LEFT JOIN (
+            SELECT part, best.e AS entry, CAST([{mean}] AS BIGINT[]) AS m FROM a{k} JOIN p USING (r, part) GROUP BY part, best.e)
+          USING (part, entry))""")
+    return f"""
+    WITH e AS (
+      SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM e),
+    p AS MATERIALIZED (SELECT r, part, v[part * {width} + 1 : (part + 1) * {width}] AS x FROM k, (SELECT unnest(range({parts})) AS part)),
+    b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries}),
+    {", ".join(steps)},
+    s AS (
+      SELECT r, string_agg(lpad(format('{{:x}}', best.e), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+      FROM a{rounds} GROUP BY r),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+    l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM s JOIN k USING (r) GROUP BY label)
+    SELECT k.vec_id, s.code, s.error, l.label_error, h.codebooks_sha256
+    FROM k JOIN s USING (r) JOIN l ON l.label IS NOT DISTINCT FROM k.label, h"""
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT w.lang, source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+g AS MATERIALIZED (
+  SELECT d.lang, d.source, coalesce(any_value(t.total), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) d
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t ON t.lang = d.lang AND t.source = d.source GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.total + 2 * l.v) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (l.total + 2 * l.v) AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_topk, op2_html, op3_chat, op4_decontamination, op5_simhash, op6_toxicity, op7_quality, op8_sentencepiece, op9_substring_dedup, op10_sharding)}
-ORACLES = {"op1_topk": OP1_SQL, "op3_chat": OP3_SQL, "op10_sharding": sharding.placement_sql()}
+    op1_topk, op2_html, op3_chat, op4_decontamination, op5_simhash, op6_toxicity, op7_quality, op8_sentencepiece,
+    op9_substring_dedup, op10_sharding, op11_vector_codes, op12_mixing, op13_divergence)}
+ORACLES = {"op1_topk": OP1_SQL, "op3_chat": OP3_SQL, "op10_sharding": sharding.placement_sql(), "op11_vector_codes": op11_sql(),
+           "op13_divergence": OP13_SQL}

@@ -10,10 +10,11 @@ of ``(source, size)`` counts, not on the documents.
 
 Rates are then rounded into copies along the order (size, part of a large
 group, hash of doc_id) of each source: a document gets as many copies as whole
-numbers are passed by the running sum of rates. Running sums of rates and of
-copies differ by at most a half anywhere, so the words taken from a source
-differ from its target by no more than its largest document (Abel summation),
-and no document gets more than 3 copies.
+numbers are passed by the running sum of rates, begun at an offset. Running
+sums of rates and of copies differ by less than one anywhere, so the words
+taken from a source differ from its target by no more than about its largest
+document (Abel summation), and no document gets more than 3 copies. Of 16
+offsets each source takes the one that comes nearest to its target.
 
 DataFrame functions only. Sums are of integers (rates in units of 2^-30) and so
 do not depend on the order in which tasks finish: reruns agree exactly.
@@ -35,6 +36,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3  # copies of a document, and targets over sizes, at most
 UNIT = 1 << 30  # rates are whole numbers of 1/UNIT
 STEPS = 60  # bound of the Newton steps; a dozen are usual
+OFFSETS = 16  # roundings tried per source
 SHARE = 1000  # groups of over one row in SHARE are split
 
 
@@ -133,6 +135,13 @@ def running_units(parts: DataFrame) -> DataFrame:
             .drop("_band", "_all", "_in", "_low"))
 
 
+def copies(offset: Column) -> Column:
+    """How many whole numbers the running sum of rates passes at a row of
+    ``(before, units, rank)``."""
+    whole = lambda k: F.shiftright(F.col("before") + k.cast("long") * F.col("units") + offset, 30)
+    return whole(F.col("rank")) - whole(F.col("rank") - 1)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` per row
@@ -158,9 +167,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     starts = (running_units(parts).join(named.select("pos", "source_size", "target"), "pos"))
     key = ["pos", "size", "part"]
     rank = F.row_number().over(W.partitionBy(*key).orderBy("h", "doc_id"))
-    whole = lambda k: F.shiftright(F.col("before") + k.cast("long") * F.col("units") + UNIT // 2, 30)
-    copies = whole(F.col("rank")) - whole(F.col("rank") - 1)
-    out = dealt.withColumn("rank", rank).join(starts, key).withColumn("copies", copies)
+    placed = cut(dealt.withColumn("rank", rank).join(starts, key)
+                 .select("doc_id", "source", "pos", "size", "source_size", "target", "before", "units", "rank"))
+    # the offset that brings each source nearest to its target
+    tried = [F.lit((2 * k + 1) * UNIT // (2 * OFFSETS)) for k in range(OFFSETS)]
+    miss = [F.struct(F.abs(F.sum(copies(o) * F.col("size")) - F.col("target")).alias("miss"), o.alias("offset")) for o in tried]
+    best = placed.groupBy("pos", "target").agg(F.count("*").alias("_n"), F.least(*miss)["offset"].alias("offset")).drop("target")
+    out = attach(placed, cut(best), ["pos"], SHARE).withColumn("copies", copies(F.col("offset")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -4,31 +4,44 @@ Plain Parquet has no MERGE, so an upsert is:
 
 1. keep the last write per key inside the batch (``max_by`` over the row's
    position in its source: file, split, line, block), an aggregate, so a hot
-   key is reduced map-side;
-2. read only the partitions ``(chain, block_bucket)`` the batch touches; the
-   incoming row replaces the stored one whatever batch ids either carries (a
-   new checkpoint, another stream or a back-fill starts counting anew), apart
-   from the columns a partial update keeps;
-3. write the result to a staging folder in the final layout (partitions,
-   sorting, compression, file size, bloom filters): whole partitions where
-   stored keys were hit, further files for the others;
-4. mark the staging folder ready, rename its folders and files into the table,
-   record the commit, drop the staging folder.
-
-A batch that is written under a commit name is applied once: if its commit is
-recorded it is a replay and changes nothing; if its staging folder is marked
-ready, the renames are finished from it; otherwise it starts anew. So a
-failure at any point loses no stored row.
+   key is reduced map-side, and write the result once to a staging folder in
+   the final layout (partitions, units, sorting, compression, bloom filters);
+   everything after reads it from there;
+2. find the stored files it can meet. A *unit* is a range of ``UNIT_BLOCKS``
+   blocks of a partition; a file holds rows of one unit and its name tells the
+   unit and the range of block numbers inside. Units whose new rows lie beside
+   all stored ranges (a live chain's usual batch) gain files, without a look
+   at stored rows;
+3. elsewhere join the stored keys of the overlapping files. Where keys are hit,
+   those files (not the unit, not the partition) are written anew with the
+   batch's rows in place of theirs; the incoming row replaces the stored one
+   whatever batch ids either carries (a new checkpoint, another stream or a
+   back-fill starts counting anew), apart from the columns a partial update
+   keeps;
+4. store the plan (files to move in, files to drop) beside the staged files,
+   move the new files in, drop the old ones, record the commit.
+
+A batch written under a commit name (stream and number) is applied once: name
+*and content* tell a replay, which changes nothing, from new data under a number
+that was used before (a checkpoint that starts anew), which is stored. A plan
+that was stored is carried out by whoever comes next, the batch's own retry or
+the next upsert of the table, named or not; files move in before others are
+dropped. So a failure at any point loses no stored row. One driver process
+writes a table at a time; its threads may share it.
 """
 
 from __future__ import annotations
 
-import json
+import threading
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits, files
+from .files import delete as _delete, exists as _exists, fs_of as _fs, names as _names, rename as _rename  # noqa: F401
+
 PARTITION_COLS = ["chain", "block_bucket"]
 ORDER_COLS = ["_batch_id", "_pos"]
 
@@ -118,63 +131,17 @@ def upsert_counts(batch: DataFrame, existing: DataFrame | None, keys: list[str])
 
 
 # IO-07 … IO-11, IO-13: the physical upsert -------------------------------------
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder (none if it does not exist)."""
-    fs, p = _fs(spark, path)
-    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def _rename(spark: SparkSession, src: str, dst: str) -> None:
-    fs, s = _fs(spark, src)
-    _, d = _fs(spark, dst)
-    fs.mkdirs(d.getParent())
-    if not fs.rename(s, d):
-        raise OSError(f"cannot move {src} to {dst}")
-
-
-def write_marker(spark: SparkSession, path: str, value: dict) -> None:
-    """A small JSON file, written whole or not at all."""
-    fs, p = _fs(spark, path + ".tmp")
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps(value).encode()))
-    out.close()
-    _delete(spark, path)
-    _rename(spark, path + ".tmp", path)
-
-
-def read_marker(spark: SparkSession, path: str) -> dict | None:
-    if not _exists(spark, path):
-        return None
-    fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        return json.loads(bytes(stream.readAllBytes()).decode())
-    finally:
-        stream.close()
-
-
 MAX_RECORDS_PER_FILE = 2_000_000
 # Columns looked up by equality although files are sorted by block number
 # (min/max statistics cannot prune them): Parquet bloom filters let the
 # reader skip row groups for a hash look-up.
 BLOOM_COLUMNS = ("hash", "extrinsic_hash", "parent_hash")
-WRITE_SPLIT_BLOCKS = 10_000
+UNIT_BLOCKS = 10_000  # block numbers of a unit: what one task writes, and an upsert's least range
+
+
+def number_column(columns: list[str]) -> str | None:
+    """The column that holds a row's block number."""
+    return next((c for c in ("block_number", "number") if c in columns), None)
 
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
@@ -187,19 +154,15 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     file, so Parquet min/max statistics prune point look-ups, and files are
     capped at ``MAX_RECORDS_PER_FILE`` rows."""
     parts = partition_cols or PARTITION_COLS
-    key = sort_col or next((c for c in ("block_number", "number") if c in df.columns), None)
+    key = sort_col or number_column(df.columns)
     # Repartition by columns (no fixed count) so AQE sizes the write tasks
     # at run time; ``files_per_write`` pins the count when asked.
     lead = [files_per_write] if files_per_write else []
-    if key is not None:
-        # a large bucket is split into sub-ranges of WRITE_SPLIT_BLOCKS blocks,
-        # each written by its own task (several bounded files per partition)
-        df = (df.repartition(*lead, *PARTITION_COLS, F.floor(F.col(key) / WRITE_SPLIT_BLOCKS))
-              .sortWithinPartitions(*PARTITION_COLS, key))
-    else:
-        df = df.repartition(*lead, *PARTITION_COLS)
-    if partition_cols is not None:
-        df = df.drop(*[c for c in PARTITION_COLS if c not in parts])   # value is in the folder name
+    # a large bucket is split into units of UNIT_BLOCKS blocks, each written by
+    # its own task (several bounded files per partition)
+    unit = [F.floor(F.col(key) / UNIT_BLOCKS)] if key is not None else []
+    df = (df.repartition(*lead, *dict.fromkeys([*PARTITION_COLS, *parts][:2]), *unit)
+          .sortWithinPartitions(*dict.fromkeys(parts), *([key] if key is not None else [])))
     w = (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).option("compression", "zstd"))
     for c in BLOOM_COLUMNS:
@@ -208,101 +171,239 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     w.partitionBy(*parts).parquet(path)
 
 
-def touched_partitions(batch: DataFrame) -> list[tuple]:
-    """The (chain, block_bucket) pairs a batch writes: one entry per partition
-    folder, metadata that the driver's file index of the table holds anyway."""
-    return [tuple(r) for r in batch.select(*PARTITION_COLS).distinct().collect()]
-
-
-def _partition_filter(pairs: list[tuple]):
-    by_chain: dict = {}
-    for chain, bucket in pairs:
-        by_chain.setdefault(chain, set()).add(bucket)
-    cond = F.lit(False)
-    for chain, buckets in by_chain.items():
-        cond = cond | ((F.col("chain") == chain) & F.col("block_bucket").isin(sorted(buckets)))
-    return cond
+_LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)  # per table or lake, of this process
+_ACTIVE: set[str] = set()  # staging folders that a thread of this process is at work in
 
 
 def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | None = None,
-           commit: str | None = None, touched: list[tuple] | None = None) -> dict:
+           commit: str | None = None, digest: str | None = None, feed: list[str] | None = None) -> dict:
     """Merge ``batch`` (stamped by :func:`with_order`) into the Parquet table at
     ``path``. Columns in ``keep_old`` keep their first written value, inside
     the batch too. ``commit`` names the batch (its stream and number): under a
-    name it is applied exactly once, see the module's docstring. ``touched``
-    may be passed in when several tables share one batch's block range.
-    Returns the number of keys inserted and updated (IO-18)."""
+    name, the same content (``digest``, computed if not given) is applied
+    exactly once, see the module's docstring. ``feed``: columns whose values
+    before and after the batch are kept for :func:`changes`. Returns the number
+    of keys inserted and updated (IO-18)."""
     spark = batch.sparkSession
-    log = f"{path}__commits/{commit}" if commit else None
-    done = read_marker(spark, log) if log else None
-    if done is not None:
-        return done
-    stage = f"{path}__staging/{commit or uuid.uuid4().hex}"
-    counts = read_marker(spark, f"{stage}/_READY")
-    if counts is None:
-        _delete(spark, stage)                  # remains of an attempt that was not finished
-        counts = _stage(batch, path, keys, keep_old or [], stage, touched)
-        write_marker(spark, f"{stage}/_READY", counts)
-    _swap_in(spark, stage, path)
-    if log:
-        write_marker(spark, log, counts)
+    order = keep_old or []
+    finish_pending(spark, path)
+    log = commits.CommitLog(spark, f"{path}__commits") if commit else None
+    if log and log.maybe_known(commit):
+        digest = digest or commits.content_digest(deduplicated(batch, keys, order))
+        done = log.find(commit, digest)
+        if done is not None:
+            return done
+    stage = f"{path}__staging/{uuid.uuid4().hex}"
+    _ACTIVE.add(stage)
+    try:
+        staged = _stage(batch, keys, order, stage)
+        if log:
+            digest = digest or commits.content_digest(staged_rows(spark, staged))
+        with _LOCKS[path]:
+            plan = plan_swap(spark, path, staged, keys, order, feed)
+            files.write_json(spark, f"{stage}/_READY", plan | {"commit": commit, "digest": digest})
+            _carry_out(spark, stage, path)
+    finally:
+        _ACTIVE.discard(stage)
+    return plan["counts"]
+
+
+def finish_pending(spark: SparkSession, path: str, carry_out=None) -> None:
+    """Carry out the plans that were stored for the table at ``path`` but not
+    finished, and drop the remains of attempts without one."""
+    with _LOCKS[path]:
+        for name in _names(spark, f"{path}__staging"):
+            stage = f"{path}__staging/{name}"
+            if stage in _ACTIVE:
+                continue
+            if _exists(spark, f"{stage}/_READY"):
+                (carry_out or _carry_out)(spark, stage, path)
+            else:
+                _delete(spark, stage)
+
+
+def _carry_out(spark: SparkSession, stage: str, path: str) -> None:
+    plan = files.read_json(spark, f"{stage}/_READY")
+    swap_in(spark, path, plan)
+    if plan["commit"]:
+        if _exists(spark, f"{stage}/feed"):
+            keep_feed(spark, stage, path, plan["commit"], plan["digest"])
+        commits.CommitLog(spark, f"{path}__commits").record(plan["commit"], plan["digest"], plan["counts"])
     _delete(spark, stage)
-    return counts
 
 
-def _stage(batch: DataFrame, path: str, keys: list[str], keep_old: list[str], stage: str,
-           touched: list[tuple] | None) -> dict:
-    """Write what the table gains to ``<stage>/data/_op=…``: ``merge`` holds
-    whole partitions to replace, ``append`` further files."""
-    spark = batch.sparkSession
-    new = latest(batch, keys, order=["_pos"], keep_old=keep_old, first_order=["_pos"]).drop("_pos")
-    parts = touched if touched is not None else touched_partitions(batch)
-    if not _exists(spark, path) or not parts:
-        conflict, old = [], None
-    else:
-        # explicit schema: a table folder left empty by an empty batch still reads
-        old = spark.read.schema(new.schema).parquet(path).where(_partition_filter(parts))
-        # keys already stored decide which partitions are merged (the rows of
-        # the others, usual for a live chain, become new files)
-        hits = (new.select(*dict.fromkeys([*keys, *PARTITION_COLS]))
-                .join(old.select(*keys, F.lit(1).alias("_hit")), keys)
-                .groupBy(*PARTITION_COLS).agg(F.count("_hit").alias("n")).collect())
-        conflict = [(r["chain"], r["block_bucket"]) for r in hits]
-    merge = _partition_filter(conflict)
-    rows = new.withColumn("_op", F.when(merge, "merge").otherwise("append"))
-    updated = sum(r["n"] for r in hits) if conflict else 0
-    if conflict:
-        stored = old.where(merge)
+def swap_in(spark: SparkSession, path: str, plan: dict) -> None:
+    """Move the plan's new files into the table, then drop those they replace.
+    Repeatable: what was moved is no longer in the staging folder."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    for src, dst in plan["moves"]:
+        if _exists(spark, src):
+            _rename(spark, src, dst)
+    for name in plan["drops"]:
+        _delete(spark, name)
+
+
+def deduplicated(batch: DataFrame, keys: list[str], keep_old: list[str]) -> DataFrame:
+    """The batch's last row per key, without the hidden position."""
+    return latest(batch, keys, order=["_pos"], keep_old=keep_old, first_order=["_pos"]).drop("_pos")
+
+
+def _stage(batch: DataFrame, keys: list[str], keep_old: list[str], stage: str) -> dict:
+    """Write the batch's last row per key below ``<stage>/data/new``, in the final
+    layout; what was staged, as :func:`plan_swap` takes it."""
+    new = deduplicated(batch, keys, keep_old)
+    number = number_column(new.columns)
+    _write_units(new, f"{stage}/data/new", number)
+    staged = {"stage": stage, "schema": new.schema, "number": number}
+    return staged | {"units": _units(staged_rows(batch.sparkSession, staged), number)}
+
+
+def staged_rows(spark: SparkSession, staged: dict, part: str = "new") -> DataFrame:
+    """Staged rows read back, without the unit folders' column."""
+    schema = staged["schema"]
+    return spark.read.schema(schema).parquet(f"{staged['stage']}/data/{part}").select(*schema.names)
+
+
+def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], keep_old: list[str],
+              feed: list[str] | None = None) -> dict:
+    """How the table at ``path`` takes in what was staged: files to move, files
+    to drop, keys inserted and updated. Merged units are written below
+    ``<stage>/data/merged``."""
+    stage, schema, number, gained = staged["stage"], staged["schema"], staged["number"], staged["units"]
+    new = staged_rows(spark, staged)
+    total = sum(u["n"] for u in gained)
+    # stored files that may hold keys of the batch
+    stored = {b: _unit_files(spark, f"{path}/{files.partition_folder(spark, list(zip(PARTITION_COLS, b)))}")
+              for b in {u["bucket"] for u in gained}}
+    meets = {}
+    for u in gained:
+        hit = [f for f in stored[u["bucket"]]
+               if f["unit"] is None or f["unit"] == u["unit"] and f["lo"] <= u["hi"] and u["lo"] <= f["hi"]]
+        if hit:
+            meets[u["bucket"], u["unit"]] = hit
+    updated, drops, merged, old = 0, [], [], None
+    if meets:
+        old = _files_of(spark, path, schema, {f["path"] for hit in meets.values() for f in hit})
+        hits = (new.join(old.select(*keys, F.lit(1).alias("_hit")), keys).groupBy(*PARTITION_COLS, _unit_of(number).alias("_unit"))
+                .agg(F.count("_hit").alias("n")).collect())
+        updated = sum(r["n"] for r in hits)
+        conflict = {((r["chain"], r["block_bucket"]), r["_unit"]) for r in hits}
+        # a file of several units (written by others) is replaced whole
+        drops = sorted({f["path"] for c in conflict for f in meets[c]})
+    if drops:
+        replaced = _files_of(spark, path, schema, drops)
+        inside = F.concat_ws("|", *PARTITION_COLS, _unit_of(number)).isin(
+            sorted("|".join(str(v) for v in (*b, u)) for b, u in conflict))
+        rows = new.where(inside)
         if keep_old:
-            kept = stored.select(*keys, F.struct(*keep_old).alias("_old"))
+            kept = replaced.select(*keys, F.struct(*keep_old).alias("_old"))
             rows = rows.join(kept, keys, "left").withColumns({
                 c: F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in keep_old}).drop("_old")
-        rest = stored.join(new.select(*keys), keys, "left_anti").withColumn("_op", F.lit("merge"))
-        rows = rows.select(*rest.columns).unionByName(rest)
-    write_partitioned(rows, f"{stage}/data", partition_cols=["_op", *PARTITION_COLS])
-    # row counts of files (no column is read): what was staged, less the stored
-    # rows that were only carried along
-    total = spark.read.schema("chain string").parquet(f"{stage}/data").count()
-    carried = old.where(merge).count() - updated if conflict else 0
-    return {"inserted": total - carried - updated, "updated": updated}
-
-
-def _swap_in(spark: SparkSession, stage: str, path: str) -> None:
-    """Move staged partitions and files into the table. Repeatable: what was
-    moved before is no longer in the staging folder."""
-    fs, p = _fs(spark, path)
-    fs.mkdirs(p)
-    for op in ("merge", "append"):
-        root = f"{stage}/data/_op={op}"
-        for chain in _names(spark, root):
-            for bucket in _names(spark, f"{root}/{chain}"):
-                src, dst = f"{root}/{chain}/{bucket}", f"{path}/{chain}/{bucket}"
-                if op == "merge":
-                    _delete(spark, dst)
-                    _rename(spark, src, dst)
-                else:
-                    for name in _names(spark, src):
-                        _rename(spark, f"{src}/{name}", f"{dst}/{name}")
+        rest = replaced.join(new.select(*keys), keys, "left_anti")
+        _write_units(rows.select(*rest.columns).unionByName(rest), f"{stage}/data/merged", number)
+        merged = _units(staged_rows(spark, staged, "merged"), number)
+        gained = [u for u in gained if (u["bucket"], u["unit"]) not in conflict]
+    if feed is not None:
+        rows = new.select(*keys, F.struct(*feed).alias("after"))
+        kind = rows.schema["after"].dataType
+        rows = (rows.join(old.select(*keys, F.struct(*feed).alias("before")), keys, "left") if old is not None
+                else rows.withColumn("before", F.lit(None).cast(kind)))
+        rows.write.parquet(f"{stage}/feed")
+    tag = uuid.uuid4().hex[:8]
+    return {"moves": _moves(spark, f"{stage}/data/new", path, gained, tag) + _moves(spark, f"{stage}/data/merged", path, merged, tag),
+            "drops": drops, "counts": {"inserted": total - updated, "updated": updated}}
+
+
+def _files_of(spark: SparkSession, path: str, schema, names) -> DataFrame:
+    return spark.read.schema(schema).option("basePath", path).parquet(*sorted(names))
+
+
+def _unit_of(number: str | None) -> F.Column:
+    return F.floor(F.col(number) / UNIT_BLOCKS).cast("bigint") if number else F.lit(0).cast("bigint")
+
+
+def _write_units(rows: DataFrame, path: str, number: str | None) -> None:
+    write_partitioned(rows.withColumn("_unit", _unit_of(number)), path, partition_cols=[*PARTITION_COLS, "_unit"])
+
+
+def _units(rows: DataFrame, number: str | None) -> list[dict]:
+    """Rows and block range of each unit written: one entry per staged folder."""
+    at = F.col(number) if number else F.lit(0)
+    got = rows.groupBy(*PARTITION_COLS, _unit_of(number).alias("_unit")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).collect()
+    return [{"bucket": (r["chain"], r["block_bucket"]), "unit": r["_unit"], "n": r["n"], "lo": r["lo"], "hi": r["hi"]} for r in got]
+
+
+def _unit_files(spark: SparkSession, folder: str) -> list[dict]:
+    """The data files of a partition; unit and block range by name, None for
+    files that were not named by an upsert."""
+    out = []
+    for name in files.data_files(spark, folder):
+        tag = name.split("_", 4)
+        known = name.startswith("unit_") and len(tag) == 5
+        unit, lo, hi = (int(v) for v in tag[1:4]) if known else (None, None, None)
+        out.append({"path": f"{folder}/{name}", "unit": unit, "lo": lo, "hi": hi})
+    return out
+
+
+def _moves(spark: SparkSession, staged: str, path: str, units: list[dict], tag: str) -> list[list[str]]:
+    """(staged file, place in the table) of every file of ``units``."""
+    out = []
+    for u in units:
+        folder = files.partition_folder(spark, list(zip(PARTITION_COLS, u["bucket"])))
+        src = f"{staged}/{folder}/_unit={u['unit']}"
+        for name in files.data_files(spark, src):
+            out.append([f"{src}/{name}", f"{path}/{folder}/unit_{u['unit']}_{u['lo']}_{u['hi']}_{tag}-{name}"])
+    return out
+
+
+# T-08: what a batch changed ------------------------------------------------------
+def keep_feed(spark: SparkSession, stage: str, path: str, commit: str, digest: str) -> None:
+    """Move a staged change feed to where :func:`changes` finds it."""
+    target = changes_path(path, commit, digest)
+    _delete(spark, target)
+    _rename(spark, f"{stage}/feed", target)
+
+
+def changes_path(path: str, commit: str, digest: str) -> str:
+    return f"{path}__changes/{commit}.{digest}"
+
+
+def changes(spark: SparkSession, path: str, commit: str, digest: str) -> DataFrame:
+    """The change feed of one commit: the keys, and ``before`` (NULL where the
+    key is new) and ``after`` with the columns that :func:`upsert` was asked to
+    feed. It stays until :func:`drop_changes`."""
+    return spark.read.parquet(changes_path(path, commit, digest))
+
+
+def drop_changes(spark: SparkSession, path: str, commit: str, digest: str) -> None:
+    _delete(spark, changes_path(path, commit, digest))
+
+
+def signed_counts(feed: DataFrame, by: list[str], out: str = "n") -> DataFrame:
+    """By how much a change feed moves the row count of each group: one for a
+    row's new values, less one for those it had."""
+    sides = F.array(F.struct(F.col("after").alias("row"), F.lit(1).alias("sign")),
+                    F.struct(F.col("before").alias("row"), F.lit(-1).alias("sign")))
+    moved = feed.select(F.explode(sides).alias("s")).where("s.row is not null")
+    return (moved.groupBy(*[F.col(f"s.row.{c}").alias(c) for c in by]).agg(F.sum("s.sign").cast("bigint").alias(out))
+            .where(F.col(out) != 0))
+
+
+def add_to(deltas: DataFrame, path: str, keys: list[str], value: str, commit: str, digest: str) -> dict:
+    """Add ``deltas(keys, value)`` to a table of sums, exactly once per commit:
+    a replay finds the commit recorded. Groups that fall to zero stay, as zero."""
+    spark = deltas.sparkSession
+    if "chain" not in deltas.columns:
+        deltas = deltas.withColumn("chain", F.lit("all"))
+    rows = deltas.withColumn("block_bucket", F.lit(0).cast("bigint"))
+    with _LOCKS[path]:
+        finish_pending(spark, path)
+        if _exists(spark, path):
+            had = spark.read.schema(rows.schema).parquet(path).select(*keys, F.col(value).alias("_had"))
+            rows = rows.join(had, keys, "left").withColumn(value, F.col(value) + F.coalesce("_had", F.lit(0))).drop("_had")
+        return upsert(with_order(rows.withColumn("_at", F.lit(0)), 0, "_at").drop("_at"), path, keys, commit=commit, digest=digest)
 
 
 # IO-16 / IO-17 ------------------------------------------------------------------

@@ -52,8 +52,8 @@ def stream_write_tables(spark, sf):
     for t in ("blocks", "block_logs", "extrinsics", "events", "_rejected_envelopes", "_bad_blocks"):
         out = _count_of(spark, root, t) if out is None else out.unionByName(_count_of(spark, root, t))
     # IO-18: what the batches' own statistics say
-    inserted = sum(b["blocks_inserted"] for b in I.batch_stats(root, spark).values())
-    return out.unionByName(spark.createDataFrame([(inserted, "blocks_inserted")], "n_rows bigint, table_name string"))
+    inserted = I.stats_table(root, spark).agg(F.coalesce(F.sum(F.col("stats")["blocks_inserted"]), F.lit(0)).alias("n_rows"))
+    return out.unionByName(inserted.withColumn("table_name", F.lit("blocks_inserted")))
 
 
 def _count_of(spark, root, t):
@@ -105,23 +105,41 @@ def stream_replay_idempotent(spark, sf):
                                                       "validator")
 
 
-FILE_EVENTS = 2000  # events of one file of the streams below, so that a run has several triggers
+TRIGGERS = 6  # micro-batches of the streams below, whatever the input's size
+FILE_EVENTS = 1_000_000  # events of one file, at most about
+
+
+def _land(spark, lines, src, least=2 * TRIGGERS):
+    """Write ``lines(value, _order)`` as files in that order, with times in that
+    order, as they would land; how many make up one of ``TRIGGERS`` triggers.
+    Files grow with the input up to ``FILE_EVENTS`` events, then their number."""
+    lines = lines.checkpoint()
+    n = lines.count()
+    count = max(least, -(-n * fixture.EVENTS_PER_BLOCK // FILE_EVENTS))
+    (lines.repartitionByRange(count, "_order").sortWithinPartitions("_order").select("value")
+     .write.mode("overwrite").text(src))
+    fixture.stamp_in_order(spark, src)
+    return max(1, count // TRIGGERS)
 
 
 def _ordered_source(spark, sf, root, chains=FIXTURE_CHAINS):
-    """A follower's folder: files in block order, about ``FILE_EVENTS`` events
-    each, three at least, with times in that order, as they would land."""
+    """A follower's folder: the fixture blocks in block order."""
     events = spark.read.parquet(f"{sf}/events.parquet")
     src = f"{root}/_source"
-    lines = fixture.wire_lines(fixture.nested_blocks(events, chains)).checkpoint()
-    top, n = lines.agg(F.max("_order"), F.count("*")).first()
-    width = max(1, min((top + 1) // 3, FILE_EVENTS // fixture.EVENTS_PER_BLOCK)) if n else 1
-    files = max(3, -(-(top + 1) // width)) if n else 0
-    span = -(-(top + 1) // files) if n else 1
-    (lines.repartitionByRange(files or 1, F.expr(f"_order div {span}")).sortWithinPartitions("_order")
-     .select("value").write.mode("overwrite").text(src))
-    fixture.stamp_in_order(spark, src)
-    return src, events
+    per_trigger = _land(spark, fixture.wire_lines(fixture.nested_blocks(events, chains)), src)
+    return src, events, per_trigger
+
+
+LAG_MS = 3 * 3_600_000
+
+
+def _lagging_source(spark, sf, root):
+    """The chains' blocks in order of delivery: by block time, but kusama's
+    three hours late."""
+    blocks = fixture.nested_blocks(spark.read.parquet(f"{sf}/events.parquet"), FIXTURE_CHAINS)
+    late = F.when(F.col("chain") == "kusama", LAG_MS).otherwise(0)
+    src = f"{root}/_source"
+    return src, _land(spark, fixture.wire_lines(blocks, F.col("header.block_timestamp") + late), src), blocks
 
 
 def _append_redelivery(events, src, chains=FIXTURE_CHAINS):
@@ -141,12 +159,10 @@ FROM o_blocks""")
 def stream_late_update(spark, sf):
     """T-04: a block delivered again later replaces the stored row."""
     root = work_dir(spark, "stream-late")
-    src, events = _ordered_source(spark, sf, root)
-    I.run_to_end(I.start_chain(spark, src, root, f"{root}/_checkpoint", max_files=4,
-                               tables=("blocks",)))
-    _append_redelivery(events, src)
-    I.run_to_end(I.start_chain(spark, src, root, f"{root}/_checkpoint", max_files=4,
-                               tables=("blocks",)))
+    src, events, per_trigger = _ordered_source(spark, sf, root)
+    for _ in range(2):
+        I.run_to_end(I.start_chain(spark, src, root, f"{root}/_checkpoint", max_files=2 * per_trigger, tables=("blocks",)))
+        _append_redelivery(events, src)
     return spark.read.parquet(f"{root}/blocks").select("chain", "number", "spec_version", "validator")
 
 
@@ -160,14 +176,9 @@ def stream_dedup(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     first = fixture.nested_blocks(events, FIXTURE_CHAINS)
     again = fixture.redelivery(first)
-    lines = (fixture.wire_lines(first).unionByName(fixture.wire_lines(again).withColumn("_order", F.col("_order") + 50))
-             .checkpoint())
-    top = lines.agg(F.max("_order")).first()[0] or 0
+    lines = fixture.wire_lines(first).unionByName(fixture.wire_lines(again).withColumn("_order", F.col("_order") + 50))
     src = f"{root}/_source"
-    (lines.repartitionByRange(max(3, top // 100), "_order").sortWithinPartitions("_order").select("value")
-     .write.mode("overwrite").text(src))
-    fixture.stamp_in_order(spark, src)
-    out = (I.dedup_blocks(I.block_stream(spark, src, max_files=1), delay="30 days")
+    out = (I.dedup_blocks(I.block_stream(spark, src, max_files=_land(spark, lines, src, TRIGGERS)), delay="30 days")
            .select("chain", "number", "hash", "spec_version"))
     I.run_to_end(out.writeStream.format("parquet").option("path", f"{root}/blocks")
                  .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
@@ -179,12 +190,35 @@ SELECT chain, mod_name, event_name, count(*) AS n FROM o_events GROUP BY ALL""")
 def stream_event_counts(spark, sf):
     """T-08: running counts in update mode, merged into a keyed result table."""
     root = work_dir(spark, "stream-counts")
-    src, _ = _ordered_source(spark, sf, root)
-    _drain(I.live_event_counts(I.event_stream(spark, src, max_files=2)), "update",
+    src, _, per_trigger = _ordered_source(spark, sf, root)
+    _drain(I.live_event_counts(I.event_stream(spark, src, max_files=per_trigger)), "update",
            I.upsert_sink(f"{root}/counts", ["chain", "mod_name", "event_name"]), root)
     return spark.read.parquet(f"{root}/counts").select("chain", "mod_name", "event_name", "n")
 
 
+@query("stream_event_counts_redelivered", """
+, stored AS (
+  SELECT chain, mod_name, CASE WHEN block_number % 10 = 0 AND event_name = 'ItemCompleted' THEN 'ItemFailed' ELSE event_name END AS event_name
+  FROM o_events)
+SELECT chain, mod_name, event_name, count(*) AS n FROM stored GROUP BY ALL""")
+def stream_event_counts_redelivered(spark, sf):
+    """T-08 that follows replaced rows: all blocks, then those of
+    ``B % 10 = 0`` again as they were, then again with events renamed, then the
+    last files once more under a checkpoint that starts anew. Each batch adds
+    what its change feed says; the counts equal a count over the stored table."""
+    root = work_dir(spark, "stream-counts-again")
+    src, events, per_trigger = _ordered_source(spark, sf, root)
+    blocks = fixture.nested_blocks(events, FIXTURE_CHAINS)
+    run = lambda where, ckpt, n: I.run_to_end(I.start_live_counts(
+        spark, where, root, f"{root}/counts", f"{root}/{ckpt}", max_files=n, known_chains=FIXTURE_CHAINS))
+    run(src, "_checkpoint", 2 * per_trigger)
+    for i, again in enumerate((fixture.redelivery(blocks), fixture.renamed_events(blocks))):
+        fixture.wire_lines(again).select("value").write.text(f"{root}/_again{i}")
+        run(f"{root}/_again{i}", f"_checkpoint{i}", None)
+    run(f"{root}/_again1", "_checkpoint_new", None)
+    return spark.read.parquet(f"{root}/counts").where("n <> 0").select("chain", "mod_name", "event_name", "n")
+
+
 DAY_MS = 86_400_000
 
 
@@ -197,8 +231,8 @@ def stream_window_tumbling(spark, sf):
     bounded number of files (in block order) per trigger; the result table is
     bucketed by day."""
     root = work_dir(spark, "stream-window")
-    src, _ = _ordered_source(spark, sf, root)
-    _drain(I.events_windowed(I.event_stream(spark, src, max_files=2), "1 hour"), "update",
+    src, _, per_trigger = _ordered_source(spark, sf, root)
+    _drain(I.events_windowed(I.event_stream(spark, src, max_files=per_trigger), "1 hour"), "update",
            I.upsert_sink(f"{root}/windows", ["chain", "window_start_ms"], "window_start_ms", DAY_MS), root)
     return spark.read.parquet(f"{root}/windows").select("chain", "window_start_ms", "window_end_ms",
                                                        "n_events")
@@ -212,13 +246,47 @@ GROUP BY ALL""")
 def stream_window_sliding(spark, sf):
     """T-07: 1-hour windows sliding by 30 minutes, update mode into a keyed table."""
     root = work_dir(spark, "stream-sliding")
-    src, _ = _ordered_source(spark, sf, root)
-    _drain(I.events_windowed(I.event_stream(spark, src, max_files=2), "1 hour", slide="30 minutes"), "update",
+    src, _, per_trigger = _ordered_source(spark, sf, root)
+    _drain(I.events_windowed(I.event_stream(spark, src, max_files=per_trigger), "1 hour", slide="30 minutes"), "update",
            I.upsert_sink(f"{root}/windows", ["chain", "window_start_ms"], "window_start_ms", DAY_MS), root)
     return spark.read.parquet(f"{root}/windows").select("chain", "window_start_ms", "window_end_ms",
                                                        "n_events")
 
 
+@query("stream_window_lagging_chain", """
+SELECT chain, (block_timestamp // 3600000) * 3600000 AS window_start_ms,
+       (block_timestamp // 3600000) * 3600000 + 3600000 AS window_end_ms, count(*) AS n_events, 0 AS n_late
+FROM o_events GROUP BY ALL""")
+def stream_window_lagging_chain(spark, sf):
+    """T-07 with a chain three hours behind the other under a watermark of one
+    hour: one query per chain, each with its own watermark, so no event is late
+    (``n_late``: what Spark left out as late)."""
+    root = work_dir(spark, "stream-lag")
+    src, per_trigger, _ = _lagging_source(spark, sf, root)
+    queries = I.per_chain(FIXTURE_CHAINS, lambda c: I.start_windows(
+        spark, src, f"{root}/windows", f"{root}/_checkpoint", c, per_trigger, size="1 hour", delay="1 hour"))
+    I.run_to_end(*queries.values())
+    late = I.dropped_late(queries)
+    n_late = F.coalesce(*[F.when(F.col("chain") == c, n) for c, n in late.items()])
+    return spark.read.parquet(f"{root}/windows").select(
+        "chain", "window_start_ms", "window_end_ms", "n_events", n_late.alias("n_late"))
+
+
+@query("stream_dedup_lagging_chain", """
+SELECT chain, number, hash, spec_version FROM o_blocks""")
+def stream_dedup_lagging_chain(spark, sf):
+    """T-09 with the same lag: every block comes twice, the second time in the
+    next file; each chain's own query drops it, and no first one is late."""
+    root = work_dir(spark, "stream-dedup-lag")
+    src, per_trigger, blocks = _lagging_source(spark, sf, root)
+    again = f"{root}/_again"
+    _land(spark, fixture.wire_lines(blocks, F.col("header.block_timestamp")), again)
+    fixture.interleave(spark, src, again)
+    I.run_to_end(*I.per_chain(FIXTURE_CHAINS, lambda c: I.start_dedup(
+        spark, src, f"{root}/blocks", f"{root}/_checkpoint", c, 2 * per_trigger, delay="1 hour")).values())
+    return I.read_chains(spark, f"{root}/blocks", FIXTURE_CHAINS).select("chain", "number", "hash", "spec_version")
+
+
 GAP_MS = 600_000
 
 
@@ -237,8 +305,8 @@ def stream_window_session(spark, sf):
     open when the input ends come from a batch pass over the events after the
     last session each chain's stream has emitted."""
     root = work_dir(spark, "stream-session")
-    src, events = _ordered_source(spark, sf, root)
-    ev = I.event_stream(spark, src, max_files=2).where(F.col("event_name") == "ExtrinsicFailed")
+    src, events, per_trigger = _ordered_source(spark, sf, root)
+    ev = I.event_stream(spark, src, max_files=per_trigger).where(F.col("event_name") == "ExtrinsicFailed")
     q = (I.events_windowed(ev, gap="10 minutes", delay="1 hour")
          .writeStream.outputMode("append").format("parquet").option("path", f"{root}/sessions")
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
@@ -256,6 +324,30 @@ def stream_window_session(spark, sf):
     return closed.unionByName(still_open)
 
 
+@query("stream_reset_checkpoint", """
+SELECT chain, number, CASE WHEN number % 10 = 0 THEN spec_version + 1 ELSE spec_version END AS spec_version,
+       CASE WHEN number % 10 = 0 THEN NULL ELSE validator END AS validator
+FROM o_blocks""")
+def stream_reset_checkpoint(spark, sf):
+    """T-03: a stream reads the odd blocks; its checkpoint is lost and it starts
+    anew under the same name over new files only (the even blocks, whose batches
+    have the old numbers but other content: stored), again over the re-delivery,
+    and once more over the same files (a true replay: nothing is stored)."""
+    root = work_dir(spark, "stream-reset")
+    blocks = fixture.nested_blocks(spark.read.parquet(f"{sf}/events.parquet"), FIXTURE_CHAINS)
+    parts = [blocks.where("block_number % 2 = 1"), blocks.where("block_number % 2 = 0"), fixture.redelivery(blocks)]
+    for i, part in enumerate(parts):
+        _land(spark, fixture.wire_lines(part), f"{root}/_source{i}", 3)
+        I.run_to_end(I.start_chain(spark, f"{root}/_source{i}", root, f"{root}/_checkpoint{i}", max_files=1,
+                                   tables=("blocks",), stream="follower", known_chains=FIXTURE_CHAINS))
+    before = I.stats_table(root, spark).count()
+    I.run_to_end(I.start_chain(spark, f"{root}/_source2", root, f"{root}/_checkpoint3", max_files=1, tables=("blocks",),
+                               stream="follower", known_chains=FIXTURE_CHAINS))
+    if I.stats_table(root, spark).count() != before:
+        raise AssertionError("a replay was stored")
+    return spark.read.parquet(f"{root}/blocks").select("chain", "number", "spec_version", "validator")
+
+
 @query("backfill_range", """
 SELECT chain, number, CASE WHEN number BETWEEN 20 AND 299 AND number % 10 = 0 THEN spec_version + 1
                            ELSE spec_version END AS spec_version FROM o_blocks""")

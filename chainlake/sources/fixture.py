@@ -240,6 +240,15 @@ def redelivery(blocks: DataFrame) -> DataFrame:
                         .withField("validator", F.lit(None).cast("binary"))))
 
 
+def renamed_events(blocks: DataFrame) -> DataFrame:
+    """A re-delivery that changes stored rows: blocks with ``B % 10 = 0`` again,
+    their ``ItemCompleted`` events now ``ItemFailed``."""
+    events = F.transform(F.col("body.events"), lambda e: e.withField(
+        "event_name", F.when(e["event_name"] == "ItemCompleted", F.lit("ItemFailed")).otherwise(e["event_name"])))
+    return (blocks.where(F.col("block_number") % REDELIVER_MOD == 0)
+            .withColumn("body", F.col("body").withField("events", events)))
+
+
 def raw_event_rows(events: DataFrame) -> DataFrame:
     """Legacy raw events (bytes + topics) for the polkadot chain."""
     ev = event_rows(events)
@@ -266,9 +275,10 @@ def raw_event_rows(events: DataFrame) -> DataFrame:
 
 
 # Wire form (JSON envelope) -------------------------------------------------
-def to_wire(blocks: DataFrame) -> DataFrame:
+def to_wire(blocks: DataFrame, order: Column | None = None) -> DataFrame:
     """Nested blocks -> envelope rows, one block per envelope as the
-    reference sends them; bytes travel as arrays of numbers."""
+    reference sends them; bytes travel as arrays of numbers. ``order`` says
+    when they are delivered (default: by block number)."""
     ib = ints_from_bytes
     h = F.col("header")
     header = F.struct(
@@ -290,7 +300,7 @@ def to_wire(blocks: DataFrame) -> DataFrame:
         title[F.col("chain")].alias("chain"),
         F.lit("Polkadot").alias("chain_kind"),
         F.array(block).alias("polkadot_blocks"),
-        F.col("block_number").alias("_order"))
+        (F.col("block_number") if order is None else order).alias("_order"))
 
 
 def bad_lines(events: DataFrame) -> DataFrame:
@@ -325,9 +335,9 @@ def bad_lines(events: DataFrame) -> DataFrame:
     return refused.unionByName(bad)
 
 
-def wire_lines(blocks: DataFrame) -> DataFrame:
+def wire_lines(blocks: DataFrame, order: Column | None = None) -> DataFrame:
     """``(value, _order)``: one envelope per line, NULL fields left out."""
-    wire = to_wire(blocks)
+    wire = to_wire(blocks, order)
     cols = [c for c in wire.columns if c != "_order"]
     return wire.select(F.to_json(F.struct(*cols)).alias("value"), "_order")
 
@@ -359,6 +369,19 @@ def stamp_in_order(spark, path: str) -> None:
         fs.setTimes(file, last - 1000 * (len(files) - i), -1)
 
 
+def interleave(spark, path: str, other: str) -> None:
+    """Move the files of ``other`` into ``path``, each right behind the file of
+    its rank, in name and time."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder, tag in ((path, "a"), (other, "b")):
+        names = sorted(n.getPath().getName() for n in fs.listStatus(fs_path(folder)) if not n.getPath().getName().startswith(("_", ".")))
+        for i, name in enumerate(names):
+            if not fs.rename(fs_path(f"{folder}/{name}"), fs_path(f"{path}/{i:06d}{tag}-{name}")):
+                raise OSError(f"cannot move {folder}/{name}")
+    stamp_in_order(spark, path)
+
+
 ARCHIVE_BLOCKS = 100  # blocks of one archive folder
 
 

@@ -3,15 +3,20 @@
 The chain follower's output (envelope files) is a file source. Each
 micro-batch goes through ``write_batch``: validate envelopes, explode
 blocks, quarantine bad blocks, then upsert header -> logs -> extrinsics ->
-events. The checkpoint gives at-least-once delivery, and a batch is stored under the name
-of its stream and number, once: the effect is exactly once - where the
-reference is at-most-once.
+events. The checkpoint gives at-least-once delivery, and a batch is stored once
+under its stream, number and content: the effect is exactly once - where the
+reference is at-most-once - and a checkpoint that starts anew loses nothing.
+
+Chains are independent: ``per_chain`` runs one query, with a watermark of its
+own, for each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.codec import chain_key
+from ..operators import commits, files, hash_index
 from ..operators import extract as X
 from ..operators import sink as S
 from ..sources import envelope as V
@@ -33,82 +39,137 @@ TABLE_STEPS = (
 
 def write_batch(batch: DataFrame, batch_id: int, root: str,
                 tables: tuple[str, ...] = ("blocks", "block_logs", "extrinsics", "events"),
-                stream: str = "all", known_chains: tuple[str, ...] | None = None) -> dict:
+                stream: str = "all", known_chains: tuple[str, ...] | None = None,
+                feeds: dict[str, list[str]] | None = None, indexes: tuple[str, ...] = ()) -> dict:
     """IO-15: one micro-batch of the stream ``stream`` into the stored tables
     (plus dead letters). The lines are parsed once, tagged and kept for the
-    batch; each table takes the batch under the commit name ``stream-batch``,
-    so a batch that is run again is applied once, wherever it broke off.
-    Returns the batch's block count and range (A-04) and the keys inserted and
-    updated, and stores them in ``<root>/_batch_stats/<stream>-<batch>``."""
+    batch; the tables are staged side by side, and one plan and one commit
+    cover them all: a batch that is run again (same name, same files) changes
+    nothing or finishes what it had begun, wherever it broke off. ``feeds``:
+    columns per table whose values before and after are kept (see
+    ``sink.changes``). ``indexes``: hash columns of ``blocks`` whose index is
+    kept along, in the same commit. Returns the batch's block count and range
+    (A-04) and the keys inserted and updated, which the commit log keeps (see
+    :func:`batch_stats`)."""
+    return commit_batch(batch, batch_id, root, tables, stream, known_chains, feeds, indexes)[0]
+
+
+def commit_batch(batch: DataFrame, batch_id: int, root: str, tables: tuple[str, ...], stream: str,
+                 known_chains: tuple[str, ...] | None, feeds: dict[str, list[str]] | None,
+                 indexes: tuple[str, ...]) -> tuple[dict, str]:
+    """:func:`write_batch`; its statistics and the digest of its content."""
     spark = batch.sparkSession
+    finish_batches(spark, root)
     name = f"{stream}-{batch_id}"
-    stored = S.read_marker(spark, f"{root}/_batch_stats/{name}")
-    if stored is not None:
-        return stored
     batch = batch.withColumn("_line", F.struct("_line.*", F.monotonically_increasing_id().alias("line")))
     tagged = batch.withColumn("reason", V.reject_reason(known_chains)).persist(StorageLevel.MEMORY_AND_DISK)
+    stage = f"{root}__staging/{uuid.uuid4().hex}"
+    S._ACTIVE.add(stage)
     try:
-        rejected = tagged.where("reason is not null")
+        # what the batch delivers: the lines of each piece of each file
+        pieces = tagged.groupBy("_line.file", "_line.time", "_line.split").agg(
+            F.count(F.lit(1)).alias("n"), F.count("reason").alias("refused"))
+        what = pieces.agg(*commits.digest_columns(["file", "time", "split", "n"]), F.sum("refused").alias("refused")).first()
+        digest = commits.digest_of(what)
+        log = commits.CommitLog(spark, f"{root}/_commits")
+        stored = log.find(name, digest) if log.maybe_known(name) else None
+        if stored is not None:
+            return stored, digest
         good, bad = V.quarantine(V.blocks_of(tagged.where("reason is null")))
-        # one aggregate: the partitions the batch touches (the four tables of a
-        # block share them), its block count and range (A-04)
-        parts = (good.groupBy("chain", X.block_bucket("block_number").alias("block_bucket"))
-                 .agg(F.count(F.lit(1)).alias("n"), F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
-                 .collect())
-        touched = [(r["chain"], r["block_bucket"]) for r in parts]
-        stats = {"n_blocks": sum(r["n"] for r in parts), "min_block": min((r["lo"] for r in parts), default=None),
-                 "max_block": max((r["hi"] for r in parts), default=None)}
-        steps = [(t, fn, pos) for t, fn, pos in TABLE_STEPS if t in tables]
+        steps = [(t, fn) for t, fn, _ in TABLE_STEPS if t in tables]
 
         def one(step):
-            table, fn, _ = step
-            rows = S.with_order(fn(good), batch_id)
-            return table, S.upsert(rows, f"{root}/{table}", S.TABLE_KEYS[table], commit=name, touched=touched)
-
-        def dead_letters():
-            _dead_letters(rejected.select("reason", F.coalesce(V.CORRUPT, F.to_json(F.struct(
-                "chain", "chain_kind"))).alias("payload")), f"{root}/_rejected_envelopes", stream, batch_id)
-            _dead_letters(bad.select("chain", "problem", F.to_json("header").alias("payload")),
-                          f"{root}/_bad_blocks", stream, batch_id)
-        # independent tables (and the dead letters) are written by concurrent
-        # jobs; each write is idempotent, so their order does not matter
-        with ThreadPoolExecutor(max_workers=len(steps) + 1) as pool:
-            dl = pool.submit(dead_letters)
-            written = dict(pool.map(one, steps))
-            dl.result()
-        for table, counts in written.items():       # IO-18: inserted vs updated keys
-            stats.update({f"{table}_{k}": v for k, v in counts.items()})
-        S.write_marker(spark, f"{root}/_batch_stats/{name}", stats)
-        return stats
+            table, fn = step
+            return table, S._stage(S.with_order(fn(good), batch_id), S.TABLE_KEYS[table], [], f"{stage}/{table}")
+
+        def block_range():
+            blocks = V.blocks_of(tagged.where("reason is null")).withColumn("fault", V.block_problem())
+            return blocks.agg(F.count_if(F.col("fault").isNull()).alias("n"), F.count("fault").alias("bad"),
+                              F.min(F.when(F.col("fault").isNull(), F.col("block_number"))).alias("lo"),
+                              F.max(F.when(F.col("fault").isNull(), F.col("block_number"))).alias("hi")).first()
+
+        def dead_letters(refused: int, faulty: int):
+            for folder in ("_rejected_envelopes", "_bad_blocks"):  # readable also while empty
+                fs, p = files.fs_of(spark, f"{root}/{folder}")
+                fs.mkdirs(p)
+            if refused:
+                rows = tagged.where("reason is not null").select("reason", F.coalesce(V.CORRUPT, F.to_json(F.struct(
+                    "chain", "chain_kind"))).alias("payload"))
+                _dead_letters(rows, f"{root}/_rejected_envelopes", stream, batch_id, digest)
+            if faulty:
+                _dead_letters(bad.select("chain", "problem", F.to_json("header").alias("payload")),
+                              f"{root}/_bad_blocks", stream, batch_id, digest)
+        # independent tables and the dead letters are written by concurrent jobs
+        with ThreadPoolExecutor(max_workers=len(steps) + 2) as pool:
+            seen = pool.submit(block_range)
+            staged = pool.map(one, steps)
+            letters = pool.submit(lambda: dead_letters(what["refused"] or 0, seen.result()["bad"]))
+            staged = dict(staged)
+            letters.result()
+        stats = {"n_blocks": seen.result()["n"], "min_block": seen.result()["lo"], "max_block": seen.result()["hi"]}
+        with S._LOCKS[root], ThreadPoolExecutor(max_workers=max(1, len(steps))) as pool:
+            plans = dict(pool.map(lambda t: (t, S.plan_swap(spark, f"{root}/{t}", staged[t], S.TABLE_KEYS[t], [],
+                                                            (feeds or {}).get(t))), staged))
+            for table, plan in plans.items():       # IO-18: inserted vs updated keys
+                stats.update({f"{table}_{k}": v for k, v in plan["counts"].items()})
+            for column in indexes:
+                plans[f"index_{column}"] = hash_index.plan_append(
+                    spark, S.staged_rows(spark, staged["blocks"]), root, column, f"{stage}/index_{column}")
+            files.write_json(spark, f"{stage}/_READY", {"commit": name, "digest": digest, "stats": stats, "plans": plans})
+            _carry_out(spark, stage, root)
+        for column in indexes:
+            hash_index.fold(spark, root, column)
+        return stats, digest
     finally:
+        S._ACTIVE.discard(stage)
         tagged.unpersist()
 
 
+def finish_batches(spark: SparkSession, root: str) -> None:
+    """Finish the batches whose plan was stored but not carried out."""
+    S.finish_pending(spark, root, _carry_out)
+
+
+def _carry_out(spark: SparkSession, stage: str, root: str) -> None:
+    ready = files.read_json(spark, f"{stage}/_READY")
+    for table, plan in ready["plans"].items():
+        S.swap_in(spark, f"{root}/{table}", plan)
+        if files.exists(spark, f"{stage}/{table}/feed"):
+            S.keep_feed(spark, f"{stage}/{table}", f"{root}/{table}", ready["commit"], ready["digest"])
+    commits.CommitLog(spark, f"{root}/_commits").record(ready["commit"], ready["digest"], ready["stats"])
+    files.delete(spark, stage)
+
+
 def batch_stats(root: str, spark: SparkSession) -> dict[str, dict]:
-    """A-04: the stored statistics of each ``stream-batch``."""
-    return {n: S.read_marker(spark, f"{root}/_batch_stats/{n}") for n in S._names(spark, f"{root}/_batch_stats")
-            if not n.startswith(".")}
+    """A-04: the stored statistics of each ``stream-batch``, by one scan."""
+    return {f"{r['stream']}-{r['batch']}": r["stats"] for r in stats_table(root, spark).collect()}
+
+
+def stats_table(root: str, spark: SparkSession) -> DataFrame:
+    """A-04: ``(stream, batch, stats)`` of the stored batches, ``stats`` a map."""
+    return commits.CommitLog(spark, f"{root}/_commits").table().select(
+        "stream", "batch", F.from_json("value", "map<string,bigint>").alias("stats"))
 
 
-def _dead_letters(df: DataFrame, path: str, stream: str, batch_id: int) -> None:
-    # Each batch of each stream has a folder of its own and overwrites it: a
-    # replayed batch replaces its own dead letters, and nobody else's.
-    (df.withColumns({"stream": F.lit(stream), "batch": F.lit(batch_id).cast("bigint")})
+def _dead_letters(df: DataFrame, path: str, stream: str, batch_id: int, digest: str) -> None:
+    # Each delivery (stream, batch, content) has a folder of its own and
+    # overwrites it: a replay replaces its own dead letters, and nobody else's.
+    (df.withColumns({"stream": F.lit(stream), "batch": F.lit(batch_id).cast("bigint"), "delivery": F.lit(digest)})
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("stream", "batch").parquet(path))
+       .partitionBy("stream", "batch", "delivery").parquet(path))
 
 
 def start_chain(spark: SparkSession, src: str, root: str, checkpoint: str,
                 chain: str | None = None, max_files: int | None = 1, available_now: bool = True,
                 tables: tuple[str, ...] = ("blocks", "block_logs", "extrinsics", "events"),
                 block_range: tuple[int, int] | None = None, stream: str | None = None,
-                known_chains: tuple[str, ...] | None = None) -> StreamingQuery:
+                known_chains: tuple[str, ...] | None = None, indexes: tuple[str, ...] = ()) -> StreamingQuery:
     """T-01 / T-02 / T-10: one streaming query, for all chains or (``chain``)
     for one, so a slow chain never blocks another. Lines that belong to no
     known chain are not a per-chain stream's: :func:`start_rejects` takes them.
     ``block_range`` keeps only blocks in ``[start, end]`` (back-fill).
-    ``stream`` names the query's batches; another checkpoint needs another
-    name (default: drawn from the checkpoint's path)."""
+    ``stream`` names the query's batches (default: drawn from the
+    checkpoint's path)."""
     lines = V.read_block_stream(spark, src, max_files)
     if chain is not None:
         lines = lines.where(chain_key(F.col("chain")) == chain)
@@ -119,22 +180,22 @@ def start_chain(spark: SparkSession, src: str, root: str, checkpoint: str,
             lo, hi = block_range
             df = df.withColumn("polkadot_blocks", F.filter(
                 "polkadot_blocks", lambda b: b["header"]["block_number"].between(lo, hi)))
-        write_batch(df, bid, root, tables, stream, known_chains)
+        write_batch(df, bid, root, tables, stream, known_chains, indexes=indexes)
 
     return _start(lines, body, checkpoint, f"ingest_{chain}" if chain else None, available_now)
 
 
 def start_rejects(spark: SparkSession, src: str, root: str, checkpoint: str, chains: tuple[str, ...],
-                  max_files: int | None = 1, available_now: bool = True) -> StreamingQuery:
+                  max_files: int | None = 1, available_now: bool = True, stream: str = "rejects") -> StreamingQuery:
     """The dead letters that no per-chain stream of ``chains`` sees: lines that
     don't parse, have no chain, or name another one."""
     lines = V.read_block_stream(spark, src, max_files).where(
         ~F.coalesce(chain_key(F.col("chain")).isin(*chains), F.lit(False)))
 
     def body(df: DataFrame, bid: int) -> None:
-        write_batch(df, bid, root, (), "rejects", chains)
+        write_batch(df, bid, root, (), stream, chains)
 
-    return _start(lines, body, checkpoint, "ingest_rejects", available_now)
+    return _start(lines, body, checkpoint, f"ingest_{stream}", available_now)
 
 
 def start_backfill(spark: SparkSession, archive: str, root: str, checkpoint: str, block_range: tuple[int, int],
@@ -143,7 +204,7 @@ def start_backfill(spark: SparkSession, archive: str, root: str, checkpoint: str
     ``range=<block div archive_blocks>`` per block range. Only the folders of
     the range are listed and read."""
     lo, hi = (b // archive_blocks for b in block_range)
-    wanted = {f"range={k}" for k in range(lo, hi + 1)} & set(S._names(spark, archive))
+    wanted = {f"range={k}" for k in range(lo, hi + 1)} & set(files.names(spark, archive))
     src = f"{archive}/{{{','.join(sorted(wanted))}}}" if wanted else f"{archive}/range={lo}*"
     return start_chain(spark, src, root, checkpoint, block_range=block_range, max_files=None, **options)
 
@@ -164,19 +225,73 @@ def run_to_end(*queries: StreamingQuery) -> None:
 
 
 # --- T-07 / T-08 / T-09: stream analytics -------------------------------------------
-def event_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
-    """Flat events (with event time) from the envelope stream."""
-    env, _ = V.split_valid(V.read_block_stream(spark, src, max_files))
+def _chain_lines(spark: SparkSession, src: str, max_files: int | None, chain: str | None) -> DataFrame:
+    lines = V.read_block_stream(spark, src, max_files)
+    return lines if chain is None else lines.where(chain_key(F.col("chain")) == chain)
+
+
+def event_stream(spark: SparkSession, src: str, max_files: int | None = None, chain: str | None = None) -> DataFrame:
+    """Flat events (with event time) from the envelope stream, of all chains or
+    of one."""
+    env, _ = V.split_valid(_chain_lines(spark, src, max_files, chain))
     good, _ = V.quarantine(V.blocks_of(env))
     return X.extract_events(good.drop(V.SOURCE)).withColumn("t", F.timestamp_millis("block_timestamp"))
 
 
-def block_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
-    env, _ = V.split_valid(V.read_block_stream(spark, src, max_files))
+def block_stream(spark: SparkSession, src: str, max_files: int | None = None, chain: str | None = None) -> DataFrame:
+    env, _ = V.split_valid(_chain_lines(spark, src, max_files, chain))
     good, _ = V.quarantine(V.blocks_of(env))
     return X.extract_headers(good.drop(V.SOURCE)).withColumn("t", F.timestamp_millis("timestamp"))
 
 
+def per_chain(chains: tuple[str, ...], start: Callable[[str], StreamingQuery]) -> dict[str, StreamingQuery]:
+    """T-01: ``start(chain)`` for each chain: independent queries side by side.
+
+    A watermark belongs to a query, and follows the newest event the query has
+    seen. In one query over several chains the chain that is ahead would make
+    events of a chain that lags late; with one query per chain each has a
+    watermark of its own, and a chain that stands still holds up nobody's."""
+    return {c: start(c) for c in chains}
+
+
+def dropped_late(queries: dict[str, StreamingQuery]) -> dict[str, int]:
+    """Rows per chain that came after their watermark and were left out, as far
+    as Spark's progress reports go back (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    return {c: sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for op in p["stateOperators"])
+            for c, q in queries.items()}
+
+
+def start_windows(spark: SparkSession, src: str, out: str, checkpoint: str, chain: str, max_files: int | None = 1,
+                  available_now: bool = True, bucket_ms: int = 86_400_000, **window) -> StreamingQuery:
+    """T-07 for one chain: windowed event counts (``window`` as for
+    :func:`events_windowed`) into the keyed table ``out``, which the chains
+    share."""
+    counts = events_windowed(event_stream(spark, src, max_files, chain), **window)
+    body = upsert_sink(out, ["chain", "window_start_ms"], "window_start_ms", bucket_ms, stream=f"windows-{chain}")
+    w = counts.writeStream.outputMode("update").foreachBatch(body).option("checkpointLocation", f"{checkpoint}/{chain}")
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+
+
+def start_dedup(spark: SparkSession, src: str, out: str, checkpoint: str, chain: str, max_files: int | None = 1,
+                available_now: bool = True, delay: str = "1 hour") -> StreamingQuery:
+    """T-09 for one chain: its blocks without re-deliveries, appended to
+    ``<out>/<chain>`` (see :func:`read_chains`)."""
+    rows = dedup_blocks(block_stream(spark, src, max_files, chain), delay)
+    w = (rows.writeStream.format("parquet").option("path", f"{out}/{files.escape(spark, chain)}")
+         .option("checkpointLocation", f"{checkpoint}/{chain}"))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+
+
+def read_chains(spark: SparkSession, out: str, chains: tuple[str, ...]) -> DataFrame:
+    """What the chains' own queries appended, side by side. A folder is read by
+    its sink's log, so files of attempts that failed don't show."""
+    parts = [spark.read.parquet(f"{out}/{files.escape(spark, c)}") for c in chains]
+    first, *rest = parts
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
 def events_windowed(events: DataFrame, size: str | None = None, slide: str | None = None,
                     gap: str | None = None, delay: str = "1 hour",
                     by: tuple[str, ...] = ("chain",)) -> DataFrame:
@@ -193,10 +308,34 @@ def events_windowed(events: DataFrame, size: str | None = None, slide: str | Non
 
 
 def live_event_counts(events: DataFrame) -> DataFrame:
-    """T-08: running counts per (chain, pallet, event), for update mode."""
+    """T-08: running counts per (chain, pallet, event) of what is delivered, for
+    update mode; a block delivered twice counts twice (see
+    :func:`start_live_counts` for counts of what is stored)."""
     return events.groupBy("chain", "mod_name", "event_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def start_live_counts(spark: SparkSession, src: str, root: str, out: str, checkpoint: str, by: tuple[str, ...] = ("chain", "mod_name", "event_name"),
+                      max_files: int | None = 1, available_now: bool = True, stream: str = "counts",
+                      known_chains: tuple[str, ...] | None = None) -> StreamingQuery:
+    """T-08: store the events (``<root>/events``) and keep, in the table
+    ``out``, their number per group equal to a count over the stored table,
+    re-deliveries and changed rows included: each batch's change feed gives
+    what rows were before and are now, and the difference is added once."""
+    keep = [c for c in by if c != "chain"]
+
+    def body(df: DataFrame, bid: int) -> None:
+        _, digest = commit_batch(df, bid, root, ("events",), stream, known_chains, {"events": keep}, ())
+        commit = (f"{stream}-{bid}", digest)
+        table = f"{root}/events"
+        if files.exists(spark, S.changes_path(table, *commit)):
+            feed = S.changes(spark, table, *commit)
+            sides = {side: F.when(F.col(side).isNotNull(), F.struct("chain", f"{side}.*")) for side in ("before", "after")}
+            S.add_to(S.signed_counts(feed.withColumns(sides), list(by)), out, list(by), "n", *commit)
+            S.drop_changes(spark, table, *commit)
+
+    return _start(V.read_block_stream(spark, src, max_files), body, checkpoint, None, available_now)
+
+
 def dedup_blocks(blocks: DataFrame, delay: str = "1 hour") -> DataFrame:
     """T-09: drop re-delivered blocks (same chain + hash) within the delay."""
     return blocks.withWatermark("t", delay).dropDuplicatesWithinWatermark(["chain", "hash"])

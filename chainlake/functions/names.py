@@ -74,30 +74,60 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 class HandlerRegistry:
-    """``(pallet, event) -> DataFrame transform``. Each handler receives only
-    the events of its key (a pushed-down filter) and returns a table; events
-    without a handler are skipped, as in the reference."""
+    """Handlers of ``(pallet, event)`` keys. A handler is either a DataFrame
+    transform of the events of its key (:meth:`register`, any operations, a scan
+    each) or a set of columns (:meth:`register_fields`), of which any number run
+    in one scan. Events without a handler are skipped, as in the reference."""
 
     def __init__(self) -> None:
-        self._handlers: dict[tuple[str, str], tuple[str, Handler]] = {}
+        self._handlers: dict[str, tuple[str, str, Handler]] = {}
+        self._fields: dict[str, tuple[str, str, dict[str, Column]]] = {}
+
+    def _free(self, name: str) -> None:
+        if name in self._handlers or name in self._fields:
+            raise ValueError(f"duplicate handler {name!r}")
 
     def register(self, pallet: str, event: str, name: str, fn: Handler) -> "HandlerRegistry":
-        self._handlers[(pallet, event)] = (name, fn)
+        self._free(name)
+        self._handlers[name] = (pallet, event, fn)
+        return self
+
+    def register_fields(self, pallet: str, event: str, name: str, fields: dict[str, Column]) -> "HandlerRegistry":
+        self._free(name)
+        self._fields[name] = (pallet, event, fields)
         return self
 
     def keys(self) -> list[tuple[str, str]]:
-        return list(self._handlers)
+        return list(dict.fromkeys((p, e) for p, e, _ in [*self._handlers.values(), *self._fields.values()]))
 
     def apply(self, events: DataFrame) -> dict[str, DataFrame]:
-        out = {}
-        for (pallet, event), (name, fn) in self._handlers.items():
-            sel = events.where((F.col("mod_name") == pallet) & (F.col("event_name") == event))
-            out[name] = fn(sel)
-        return out
-
-    def matched(self, events: DataFrame) -> Column:
-        """Predicate: the event has a registered handler."""
-        cond = F.lit(False)
-        for pallet, event in self._handlers:
-            cond = cond | ((F.col("mod_name") == pallet) & (F.col("event_name") == event))
-        return cond
+        """One lazy table per handler; its key is a pushed-down filter."""
+        def of(pallet: str, event: str) -> DataFrame:
+            return events.where((F.col("mod_name") == pallet) & (F.col("event_name") == event))
+        out = {name: fn(of(p, e)) for name, (p, e, fn) in self._handlers.items()}
+        return out | {name: of(p, e).select(*[c.alias(k) for k, c in fields.items()]) for name, (p, e, fields) in self._fields.items()}
+
+    def dispatch(self, events: DataFrame) -> DataFrame:
+        """The column handlers in one scan: a row per event and handler, with
+        ``handler`` and, in a struct column named after each handler, its
+        columns (NULL in the rows of others). Events are tagged by a map
+        look-up; the scan is filtered to the keys there are."""
+        by_key: dict[tuple[str, str], list[str]] = {}
+        for name, (pallet, event, _) in self._fields.items():
+            by_key.setdefault((pallet, event), []).append(name)
+        text = lambda p, e: F.concat_ws("\n", p, e)
+        lookup = F.create_map(*[x for (p, e), names in by_key.items()
+                                for x in (text(F.lit(p), F.lit(e)), F.array(*[F.lit(n) for n in names]))])
+        known = (F.col("mod_name").isin(sorted({p for p, _ in by_key})) & F.col("event_name").isin(sorted({e for _, e in by_key})))
+        tagged = events.where(known).withColumn("handler", F.explode(F.try_element_at(lookup, text(F.col("mod_name"), F.col("event_name")))))
+        return tagged.select("handler", *[F.when(F.col("handler") == name, F.struct(*[c.alias(k) for k, c in fields.items()])).alias(name)
+                                          for name, (_, _, fields) in self._fields.items()])
+
+    def write_all(self, events: DataFrame, root: str) -> None:
+        """Write the tables of all column handlers in one job:
+        ``<root>/handler=<name>``, read by :meth:`table`."""
+        self.dispatch(events).write.partitionBy("handler").parquet(root)
+
+    def table(self, spark: SparkSession, root: str, name: str) -> DataFrame:
+        """A handler's table of :meth:`write_all`: one folder, its own columns."""
+        return spark.read.parquet(root).where(F.col("handler") == name).select(f"{name}.*")

@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import extract as X
-from .operators.sink import _delete, _exists, _fs, _names, with_order, write_partitioned
+from .operators import analytics as A
+from .operators import bucketed, files, hash_index, rollups
+from .operators.files import delete as _delete, exists as _exists, fs_of as _fs, names as _names
+from .operators.sink import with_order, write_partitioned
 from .session import checkpoint_dir
 from .sources import fixture
 from .tables import TABLES
@@ -68,6 +71,36 @@ class ChainLake:
                 fixture.write_envelope_files(events, path, FIXTURE_CHAINS)
         return path
 
+    def indexed(self, column: str) -> str:
+        """The root of the lake, with the index of the blocks' hash column
+        ``column`` built once beside the tables."""
+        with _LOCK:
+            done = f"{self.root}/index_{column}/_SUCCESS"
+            if not _exists(self.spark, done):
+                _delete(self.spark, hash_index.index_path(self.root, column))
+                hash_index.build(self.table("blocks"), self.root, column)
+        return self.root
+
+    def bucketed(self, name: str, buckets: int = 64) -> DataFrame:
+        """A stored table bucketed by block (``blocks``: its number is called
+        ``block_number``), built once beside the tables; of the session that
+        ``operators.bucketed`` holds."""
+        rows = self.table(name).drop("block_bucket", "_batch_id")
+        rows = rows.withColumnRenamed("number", "block_number") if name == "blocks" else rows
+        return bucketed.table(self.spark, rows, f"{self.root}/bucketed_{buckets}/{name}", buckets)
+
+    def sketches(self) -> DataFrame:
+        """The daily sketches of the blocks, built once."""
+        path = f"{self.root}/daily_sketches"
+        with _LOCK:
+            if not _exists(self.spark, f"{path}/_built"):
+                blocks = self.table("blocks")
+                prev = A.prev_in_order(blocks.select("chain", "number", "timestamp"), ["chain"], "number", ["timestamp"])
+                rollups.store(rollups.daily_sketches(blocks, prev.withColumn(
+                    "interval_ms", F.col("timestamp") - F.col("prev_timestamp"))), path)
+                files.write_json(self.spark, f"{path}/_built", {})
+        return rollups.read(self.spark, path)
+
     def register(self, chain: str | None = None, spark: SparkSession | None = None) -> None:
         """Temp views for SQL, over one chain (Q-01) or all."""
         view_lake = ChainLake(spark or self.spark, self.root, self.sf_dir)

@@ -16,8 +16,7 @@ through a one-row-per-bucket summary table:
                         the last marker of earlier buckets
 * ``range_join``      - ranges exploded into fixed-width bins, equi-join on
                         the bin, then the exact range predicate
-* ``count_in_ranges`` - prefix sums of the points and two as-of look-ups per
-                        range: no pairs at all
+* ``count_in_ranges`` - one sweep over points and range ends: no pairs at all
 * ``positions``       - a global sort by range partitions, row numbers inside
                         them and the counts of the partitions before
 
@@ -53,6 +52,91 @@ def positions(df: DataFrame, *order, out: str = "position") -> DataFrame:
             .drop("_at", "_part", "_row", "_before"))
 
 
+# --- ranks and first / last values over whole groups -----------------------------
+def ranked(df: DataFrame, by: list[str], order: str, tiebreak: list[str], tiles: int | None = None,
+           parts: int | None = None) -> DataFrame:
+    """``df`` with ``row_number``, ``rank`` and ``dense_rank`` over ``order``
+    (ascending, NULLs first) inside ``by``, row numbers of ties by
+    ``tiebreak`` (which makes the order total), and ``ntile`` if ``tiles`` is
+    given.
+
+    No group is one task: rows are sorted globally by range partitions
+    (:func:`positions`), each partition numbers its own rows and ties, and a
+    table of one row per partition carries what a group or a tie has already
+    counted in the partitions before. ``parts``: how many range partitions
+    (default: Spark chooses)."""
+    line = [*by, F.asc_nulls_first(order), *tiebreak]
+    placed = df.repartitionByRange(parts, *line).sortWithinPartitions(*line) if parts else df.orderBy(*line)
+    placed = placed.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)),
+                                 "_g": F.struct(*by), "_v": F.struct(*by, order)})
+    w = Window.partitionBy("_part").orderBy("_row")
+    prior = F.lag(F.struct("_g", "_v")).over(w)
+    # NULL: the partition's first row, which only the partitions before can tell
+    placed = placed.withColumn("_prior", prior).withColumns({
+        "_newg": F.when(F.col("_prior").isNotNull(), ~F.col("_prior._g").eqNullSafe(F.col("_g"))),
+        "_newv": F.when(F.col("_prior").isNotNull(), ~F.col("_prior._v").eqNullSafe(F.col("_v")))}).drop("_prior")
+    parts = placed.groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("_g", "_v"), "_row").alias("_first"), F.max_by(F.struct("_g", "_v"), "_row").alias("_last"),
+        F.max(F.when(F.col("_newg"), F.col("_row"))).alias("_gat"), F.max(F.when(F.col("_newv"), F.col("_row"))).alias("_vat"),
+        F.count_if("_newv").alias("_vs"))
+    seq = Window.orderBy("_part")
+    before = seq.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"_base": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_end": F.lag("_last").over(seq)})
+    # a partition's first row starts a group / a value unless the row before it has the same
+    parts = parts.withColumns({"_g0": ~F.coalesce(F.col("_end._g").eqNullSafe(F.col("_first._g")) & F.col("_end").isNotNull(), F.lit(False)),
+                               "_v0": ~F.coalesce(F.col("_end._v").eqNullSafe(F.col("_first._v")) & F.col("_end").isNotNull(), F.lit(False))})
+    at = lambda last, first: F.when(F.col(last).isNotNull(), F.col("_base") + F.col(last)).when(F.col(first), F.col("_base"))
+    parts = parts.withColumns({"_gs": at("_gat", "_g0"), "_vs_at": at("_vat", "_v0"), "_vsum": F.col("_vs") + F.col("_v0").cast("int")})
+    parts = parts.select("_part", "_base", "_g0", "_v0", F.last("_gs", ignorenulls=True).over(before).alias("_gc"),
+                         F.last("_vs_at", ignorenulls=True).over(before).alias("_vc"),
+                         F.coalesce(F.sum("_vsum").over(before), F.lit(0)).alias("_vbefore"))
+    d = placed.join(F.broadcast(parts), "_part").withColumn("_at", F.col("_base") + F.col("_row"))
+    first = F.col("_row") == 0
+    d = d.withColumns({"_newg": F.when(first, F.col("_g0")).otherwise(F.col("_newg")), "_newv": F.when(first, F.col("_v0")).otherwise(F.col("_newv"))})
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = lambda new, carried: F.coalesce(F.last(F.when(F.col(new), F.col("_at")), ignorenulls=True).over(upto), F.col(carried))
+    d = d.withColumns({"_gstart": start("_newg", "_gc"), "_vstart": start("_newv", "_vc"),
+                       "_vno": F.col("_vbefore") + F.sum(F.col("_newv").cast("int")).over(upto)})
+    # values and rows of a group: small tables of one row per group
+    groups = d.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min("_vno").alias("_v1"), F.count(F.lit(1)).alias("_rows"))
+    on = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    for cond in on[1:]:
+        on[0] = on[0] & cond
+    out = d.join(groups, on[0]).withColumns({
+        "row_number": F.col("_at") - F.col("_gstart") + 1, "rank": F.col("_vstart") - F.col("_gstart") + 1,
+        "dense_rank": F.col("_vno") - F.col("_v1") + 1})
+    if tiles:
+        # the first (rows mod tiles) tiles hold one row more
+        small, extra = F.expr(f"_rows div {tiles}"), F.col("_rows") % tiles
+        i, wide = F.col("row_number") - 1, extra * (small + 1)
+        out = out.withColumn("ntile", F.when(i < wide, F.floor(i / (small + 1))).otherwise(
+            extra + F.floor((i - wide) / F.greatest(small, F.lit(1)))).cast("bigint") + 1)
+    return out.select(*df.columns, "row_number", "rank", "dense_rank", *(["ntile"] if tiles else []))
+
+
+def first_last(df: DataFrame, by: list[str], order: str, tiebreak: list[str], value: str) -> DataFrame:
+    """``df`` with ``first_value`` and ``last_value`` of ``value`` over
+    ``order`` inside ``by`` (the whole group as frame): one aggregate,
+    reduced map-side, joined back."""
+    place = F.struct(*[F.struct(F.col(c).isNotNull().alias("there"), F.col(c).alias("v")) for c in [order, *tiebreak]])  # NULLs first
+    held = F.struct(F.col(value).alias("v"))
+    ends = df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(
+        F.min_by(held, place)["v"].alias("first_value"), F.max_by(held, place)["v"].alias("last_value"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return df.join(ends, on).select(*df.columns, "first_value", "last_value")
+
+
+def next_in_order(df: DataFrame, by: list[str], order: str, cols: list[str], bucket_size: int = BUCKET_SIZE) -> DataFrame:
+    """``lead``: ``next_<c>`` for ``order`` and each of ``cols``, the values of
+    the following row by ``order`` within ``by`` (NULL for the last row);
+    :func:`prev_in_order` along the reversed axis."""
+    turned = prev_in_order(df.withColumn("_turned", -F.col(order)), by, "_turned", [order, *cols], bucket_size, prefix="next_")
+    return turned.drop("_turned", "next__turned")
+
+
 # --- lag with stitched bucket edges ------------------------------------------
 def prev_in_order(df: DataFrame, by: list[str], order: str, cols: list[str],
                   bucket_size: int = BUCKET_SIZE, prefix: str = "prev_") -> DataFrame:
@@ -175,16 +259,37 @@ def range_join(points: DataFrame, ranges: DataFrame, by: list[str], point: str,
 def count_in_ranges(points: DataFrame, ranges: DataFrame, by: list[str], point: str, start: str, end: str,
                     out: str, bucket_size: int) -> DataFrame:
     """``ranges`` with the number of points in ``[start, end]`` (integers).
-    Points are counted per position, the counts summed up along the axis (two
-    levels), and each range takes the difference of the sums as of its ends:
-    the work is linear in points and ranges, however much they overlap."""
-    per = points.groupBy(*by, F.col(point).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_sum(per, by, "_at", "_n", "_upto", bucket_size).select(*by, "_at", "_upto")
-    r = ranges.withColumn("_before", F.col(start) - 1)
-    r = asof_join(r, upto, by, end, "_at", "_upto", "_hi", bucket_size)
-    r = asof_join(r, upto, by, "_before", "_at", "_upto", "_lo", bucket_size)
-    n = F.coalesce("_hi", F.lit(0)) - F.coalesce("_lo", F.lit(0))
-    return r.withColumn(out, n.cast("bigint")).drop("_before", "_hi", "_lo")
+
+    One sweep: points, counted per position, and both ends of the ranges stand
+    on one axis; a running count per bucket, plus the points of all earlier
+    buckets, says how many points lie at or before each end, and a range takes
+    the difference. The work is linear in points and ranges, however much they
+    overlap. Equal ranges are swept together and come out as often as they
+    went in; a range whose end is NULL or lies before its start counts none."""
+    row = F.struct(*ranges.columns)
+    # what a range takes away at its start and adds at its end
+    ends = F.array(F.struct((F.col(start) - 1).alias("_at"), F.lit(-1).alias("_sign")),
+                   F.struct(F.col(end).alias("_at"), F.lit(1).alias("_sign")))
+    probes = (ranges.where(F.col(start) <= F.col(end)).select(*by, row.alias("_row"), F.explode(ends).alias("_e"))
+              .select(*by, F.col("_e._at").cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("_n"), F.col("_e._sign").alias("_sign"), "_row"))
+    per = (points.groupBy(*by, F.col(point).cast("bigint").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+           .withColumns({"_sign": F.lit(0), "_row": F.lit(None).cast(probes.schema["_row"].dataType)}))
+    axis = per.select(*by, "_at", "_n", "_sign", "_row").unionByName(probes).withColumn("_bkt", _bucket_of("_at", bucket_size))
+    upto = Window.partitionBy(*by, "_bkt").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = axis.withColumn("_upto", F.sum("_n").over(upto)).where("_row is not null")
+    # points before each bucket that has an end in it
+    sums = (per.select(*by, _bucket_of("_at", bucket_size).alias("_bkt"), "_n")
+            .unionByName(probes.select(*by, _bucket_of("_at", bucket_size).alias("_bkt"), "_n"))
+            .groupBy(*by, "_bkt").agg(F.sum("_n").alias("_n")))
+    earlier = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*by, "_bkt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    swept = (inside.join(carry, [*by, "_bkt"])
+             .groupBy(F.col("_row")).agg(F.sum(F.col("_sign") * (F.col("_upto") + F.col("_before"))).alias("_all"),
+                                         F.count_if(F.col("_sign") == 1).alias("_copies"))
+             .withColumn(out, F.expr("_all div _copies")))
+    counted = swept.select("_row", out, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_i")).select("_row.*", out)
+    empty = ranges.where(F.coalesce(F.col(start) > F.col(end), F.lit(True))).withColumn(out, F.lit(0).cast("bigint"))
+    return counted.unionByName(empty)
 
 
 # --- exact percentile from a frequency table -------------------------------------------
@@ -193,8 +298,9 @@ def exact_percentile(df: DataFrame, group: list[str], col: str, p: float, out: s
     """Exact percentile of a whole-number column (linear interpolation, like
     ``percentile_cont``). Values are counted per distinct value, the counts
     summed up in value order in two levels, and the two values at the wanted
-    positions picked by an aggregate: no task holds a group's values."""
-    freq = df.where(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count(F.lit(1)).alias("_n"))
+    positions picked by an aggregate: no task holds a group's values. The
+    frequency table is computed once."""
+    freq = df.where(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     upto = running_sum(freq, group, col, "_n", "_upto", bucket_size)
     total = freq.groupBy(*group).agg(F.sum("_n").alias("_all"))
     at = F.lit(p) * (F.col("_all") - 1)
@@ -212,11 +318,15 @@ def fees_per_extrinsic(events: DataFrame) -> DataFrame:
             .groupBy("chain", "block_number", "extrinsic_index").agg(F.sum(fee).alias("fee")))
 
 
+def _number(blocks: DataFrame) -> Column:
+    """The block number of a block table, bucketed or not."""
+    return F.col("block_number" if "block_number" in blocks.columns else "number").alias("block_number")
+
+
 def enrich_transfers(transfers: DataFrame, blocks: DataFrame, extrinsics: DataFrame,
                      events: DataFrame) -> DataFrame:
     """README transfer shape: block hash + time, extrinsic id + hash, fee."""
-    b = blocks.select("chain", F.col("number").alias("block_number"),
-                      F.col("hash").alias("block_hash"), F.col("timestamp").alias("block_time"))
+    b = blocks.select("chain", _number(blocks), F.col("hash").alias("block_hash"), F.col("timestamp").alias("block_time"))
     x = extrinsics.select("chain", "block_number", "extrinsic_index",
                           F.col("extrinsic_hash").alias("x_hash"), "call_name")
     fees = fees_per_extrinsic(events)
@@ -229,8 +339,7 @@ def enrich_transfers(transfers: DataFrame, blocks: DataFrame, extrinsics: DataFr
 def enrich_events(events: DataFrame, extrinsics: DataFrame, blocks: DataFrame) -> DataFrame:
     x = extrinsics.select("chain", "block_number", "extrinsic_index",
                           F.col("extrinsic_hash").alias("x_hash"), "call_name")
-    b = blocks.select("chain", F.col("number").alias("block_number"),
-                      F.col("timestamp").alias("block_time"), "is_finalized")
+    b = blocks.select("chain", _number(blocks), F.col("timestamp").alias("block_time"), "is_finalized")
     return (events.join(x, ["chain", "block_number", "extrinsic_index"], "left")
             .join(b, ["chain", "block_number"], "left"))
 
@@ -283,6 +392,49 @@ def ancestors(blocks: DataFrame, steps: int = 3) -> DataFrame:
     return walk.drop("_up")
 
 
+def fork_roots(blocks: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+    """``(chain, number, hash, root, root_hash, distance)``: each block's oldest
+    stored ancestor and the number of parent links to it, for chains of any
+    length. Blocks on a cycle of parent links have no root (NULL).
+
+    Runs of blocks whose parent is the block stored before them are contracted
+    inside buckets (one window); only the runs' heads are linked by hash. The
+    heads then reach their roots by pointer doubling: a head that points at an
+    ancestor takes over that ancestor's pointer, so after k rounds pointers
+    span 2^k runs. Heads that have arrived don't take part again, so their
+    root is no hot key of the joins."""
+    b = blocks.select("chain", "number", "hash", "parent_hash").withColumn("_bkt", _bucket_of("number", bucket_size))
+    w = Window.partitionBy("chain", "_bkt").orderBy("number")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = ~F.coalesce(F.lag("hash").over(w) == F.col("parent_hash"), F.lit(False))
+    place = F.row_number().over(w)
+    b = b.withColumns({"_head": F.when(head, F.struct(F.col("hash").alias("hash"), place.alias("at"))), "_at": place})
+    b = b.withColumn("_head", F.last("_head", ignorenulls=True).over(upto)).withColumns(
+        {"run": F.col("_head.hash"), "pos": F.col("_at") - F.col("_head.at")}).drop("_head", "_at").checkpoint()
+    heads = b.where("pos = 0").select("chain", "run", F.col("parent_hash").alias("_up"))
+    stored = b.select("chain", F.col("hash").alias("_up"), F.col("run").alias("to"), F.col("pos").alias("_p"))
+    # to: the run that the pointer has reached (NULL: none, the run starts at a root); steps: links from head to head
+    state = (heads.join(stored, ["chain", "_up"], "left").groupBy("chain", "run")
+             .agg(F.min(F.struct("to", "_p")).alias("m"))
+             .select("chain", "run", F.col("m.to").alias("to"), F.coalesce(F.col("m._p") + 1, F.lit(0)).cast("bigint").alias("steps"))
+             .withColumns({"done": F.col("to").isNull(), "to": F.coalesce("to", "run")}).checkpoint())
+    left, rounds = state.where("not done").count(), 0
+    limit = left.bit_length() + 1
+    while left and rounds < limit:
+        ahead = state.select("chain", F.col("run").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_s"),
+                             F.col("done").alias("_d"))
+        moved = state.where("not done").join(ahead, ["chain", "to"]).select(
+            "chain", "run", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_d").alias("done"))
+        state = state.where("done").unionByName(moved).checkpoint()
+        left, rounds = state.where("not done").count(), rounds + 1
+    roots = state.select("chain", "run", F.when(F.col("done"), F.col("to")).alias("root_hash"),
+                         F.when(F.col("done"), F.col("steps")).alias("steps"))
+    number = b.where("pos = 0").groupBy("chain", F.col("run").alias("root_hash")).agg(F.min("number").alias("root"))
+    roots = roots.join(number, ["chain", "root_hash"], "left")
+    return b.join(roots, ["chain", "run"]).select(
+        "chain", "number", "hash", "root", "root_hash", (F.col("steps") + F.col("pos")).alias("distance"))
+
+
 # J-08 ----------------------------------------------------------------------------
 def runtime_versions(blocks: DataFrame) -> DataFrame:
     """Upgrade points: the first block stored with each spec_version."""
@@ -296,8 +448,7 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     (group, salt) - a hot group is spread over ``salt_buckets`` tasks - then
     the top k of those at most ``k * salt_buckets`` survivors per group.
     ``order`` must be a total order (include a unique tiebreak)."""
-    salt = (F.abs(F.xxhash64(F.col(salt_col))) if salt_col else
-            F.abs(F.xxhash64(*[F.col(c) for c in df.columns]))) % salt_buckets
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in ([salt_col] if salt_col else df.columns)]), F.lit(salt_buckets))
     d = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
     pre = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")

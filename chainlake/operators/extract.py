@@ -199,23 +199,32 @@ def _with_success(sel: DataFrame, events: DataFrame) -> DataFrame:
             .withColumn("success", F.coalesce(F.col("success"), F.lit(False))))
 
 
+def _moved(event: dict[str, Column]) -> dict[str, Column]:
+    """The columns of a balance table: where the event stands, its own values
+    ``event``, and whether its extrinsic succeeded."""
+    place = ("chain", "block_number", "index", "id", "extrinsic_id", "extrinsic_index", "extrinsic_hash", "block_timestamp")
+    return {c: F.col("event_index" if c == "index" else c) for c in place} | event
+
+
+def transfer_fields(success: str = "extrinsic_success") -> dict[str, Column]:
+    """X-12 as columns of an event row."""
+    v = F.from_json("values", "`from` string, `to` string, amount string")   # one parse per row
+    return _moved({"from": v["from"], "to": v["to"], "amount": amount38(v["amount"]), "success": F.col(success)})
+
+
+def withdrawal_fields(success: str = "extrinsic_success") -> dict[str, Column]:
+    """X-13 as columns of an event row."""
+    v = F.from_json("values", "who string, amount string")
+    return _moved({"who": v["who"], "amount": amount38(v["amount"]), "success": F.col(success)})
+
+
 def extract_transfers(events: DataFrame) -> DataFrame:
     """Balances.Transfer -> from, to, amount DECIMAL(38,0), success."""
     tr = events.where((F.col("mod_name") == "Balances") & (F.col("event_name") == "Transfer"))
-    v = F.from_json("values", "`from` string, `to` string, amount string")   # one parse per row
-    return (_with_success(tr, events)
-            .select("chain", "block_number", F.col("event_index").alias("index"), "id",
-                    "extrinsic_id", "extrinsic_index", "extrinsic_hash", "block_timestamp",
-                    v["from"].alias("from"), v["to"].alias("to"),
-                    amount38(v["amount"]).alias("amount"), "success"))
+    return _with_success(tr, events).select(*[c.alias(k) for k, c in transfer_fields("success").items()])
 
 
 def extract_withdrawals(events: DataFrame) -> DataFrame:
     """Balances.Withdraw -> who, amount, success."""
     wd = events.where((F.col("mod_name") == "Balances") & (F.col("event_name") == "Withdraw"))
-    v = F.from_json("values", "who string, amount string")
-    return (_with_success(wd, events)
-            .select("chain", "block_number", F.col("event_index").alias("index"), "id",
-                    "extrinsic_id", "extrinsic_index", "extrinsic_hash", "block_timestamp",
-                    v["who"].alias("who"), amount38(v["amount"]).alias("amount"),
-                    "success"))
+    return _with_success(wd, events).select(*[c.alias(k) for k, c in withdrawal_fields("success").items()])

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..lake import FIXTURE_CHAINS, lake_for
+from ..operators import hash_index
 from .registry import query
 
 HOUR_MS = 3_600_000
@@ -348,6 +349,49 @@ def block_by_hash(spark, sf):
         "chain", "number", "hash", "timestamp")
 
 
+@query("block_by_hash_indexed", """
+SELECT chain, number, hash, "timestamp" FROM o_blocks WHERE hash = '0x' || sha256('block-42')""")
+def block_by_hash_indexed(spark, sf):
+    """D-01 through the index: the folder of the hash's first byte, then one
+    partition of the blocks."""
+    lake = lake_for(spark, sf)
+    return hash_index.lookup(spark, lake.indexed("hash"), lake.table("blocks"), "hash", _block_hash_literal(42)).select(
+        "chain", "number", "hash", "timestamp")
+
+
+@query("blocks_by_parent_indexed", """
+SELECT chain, number, parent_hash FROM o_blocks WHERE parent_hash = '0x' || sha256('block-30')""")
+def blocks_by_parent_indexed(spark, sf):
+    """The children of a block, through the index of parent hashes."""
+    lake = lake_for(spark, sf)
+    return hash_index.lookup(spark, lake.indexed("parent_hash"), lake.table("blocks"), "parent_hash",
+                             _block_hash_literal(30)).select("chain", "number", "parent_hash")
+
+
+@query("fork_roots", """
+SELECT * FROM (WITH RECURSIVE walk AS (
+  SELECT chain, number, hash, number AS root, 0 AS distance FROM o_blocks b
+  WHERE NOT EXISTS (SELECT 1 FROM o_blocks p WHERE p.chain = b.chain AND p.hash = b.parent_hash)
+  UNION ALL
+  SELECT b.chain, b.number, b.hash, w.root, w.distance + 1 FROM walk w JOIN o_blocks b ON b.chain = w.chain AND b.parent_hash = w.hash)
+SELECT chain, number, root, distance FROM walk)""")
+def fork_roots(spark, sf):
+    """D-16 / J-09: each block's oldest stored ancestor and the way to it."""
+    return A.fork_roots(_t(spark, sf, "blocks")).select("chain", "number", "root", "distance")
+
+
+@query("fork_roots_tiny_buckets", """
+SELECT * FROM (WITH RECURSIVE walk AS (
+  SELECT chain, number, hash, hash AS root_hash, 0 AS distance FROM o_blocks b
+  WHERE NOT EXISTS (SELECT 1 FROM o_blocks p WHERE p.chain = b.chain AND p.hash = b.parent_hash)
+  UNION ALL
+  SELECT b.chain, b.number, b.hash, w.root_hash, w.distance + 1 FROM walk w JOIN o_blocks b ON b.chain = w.chain AND b.parent_hash = w.hash)
+SELECT chain, number, root_hash, distance FROM walk)""")
+def fork_roots_tiny_buckets(spark, sf):
+    """The same with buckets of 3 blocks, so that pointers are doubled often."""
+    return A.fork_roots(_t(spark, sf, "blocks"), bucket_size=3).select("chain", "number", "root_hash", "distance")
+
+
 @query("events_by_call", """
 SELECT e.chain, x.mod_name AS call_pallet, x.call_name, e.event_name, count(*) AS n
 FROM o_events e JOIN o_extrinsics x ON x.chain = e.chain AND x.block_number = e.block_number

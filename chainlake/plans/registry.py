@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_ingest, q_sink, q_analytics, q_catalog, q_service, q_stream  # noqa: F401
+    from . import q_ingest, q_sink, q_analytics, q_catalog, q_service, q_stream, q_layout  # noqa: F401

@@ -31,7 +31,7 @@ TERM_BLOCK = 4096  # terms of a cell, about
 GROUP_BLOCK = 32  # groups on a side of a cell, about
 UNIT = 1_000_000_000
 RANKS = 10
-HELD = 200_000  # counts that a task holds before it hands them on
+HELD = 500_000  # counts that a task holds before it hands them on
 PIECE = 1 << 20  # bytes of a text split at a time
 
 # Bytes of terms stay (A-Z lower-cased, and all bytes of non-ASCII characters),
@@ -55,43 +55,64 @@ def terms(text: str | None) -> Counter:
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 source_col: str = "source") -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences and documents of each
-    term per group, pre-aggregated by task. Every group that occurs also has
-    the empty term, which no text holds. Nulls read as ''."""
-    names = ["lang", "source", "term", "n", "docs"]
+    """``(lang, term, docs, counts array<struct<source, n>>)``: what a task has
+    found of a term in a language, several rows a term (one per task, or more
+    of a task that holds ``HELD`` counts): documents with it, and its
+    occurrences by source. The empty term, which no text holds, lists every
+    source that occurs. Nulls read as ''."""
+    names = ["lang", "term", "docs", "counts"]
+    pair = pa.struct([("source", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        held: dict[str, dict[str, dict[bytes, int]]] = {}
+        docs: dict[str, Counter] = {}
         size = 0
 
         def out():
-            for (lang, source), found in held.items():
-                keys = list(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys)), pa.array([source] * len(keys)),
-                     pa.array(keys, pa.binary()).cast(pa.string()),
-                     pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64())], names)
+            for lang, groups in held.items():
+                by_term: dict[bytes, list[tuple[str, int]]] = {}
+                for source, found in groups.items():
+                    for term, n in found.items():
+                        by_term.setdefault(term, []).append((source, n))
+                keys = list(by_term)
+                for lo in range(0, len(keys), 65536):
+                    part = keys[lo:lo + 65536]
+                    lists = [by_term[k] for k in part]
+                    ends = np.cumsum([0, *(len(x) for x in lists)]).astype(np.int32)
+                    source, n = zip(*(p for x in lists for p in x))
+                    pairs = pa.StructArray.from_arrays([pa.array(source, pa.string()), pa.array(n, pa.int64())], fields=list(pair))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
+                         pa.array([docs[lang][k] for k in part], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs)], names)
 
         for batch in batches:
             for text, lang, source in zip(*(batch.column(i) for i in range(3))):
-                group = held.setdefault((lang.as_py(), source.as_py()), {b"": [0, 0]})
-                for term, n in terms(text.as_py()).items():
-                    entry = group.get(term)
-                    if entry is None:
-                        group[term] = [n, 1]
-                        size += 1
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
+                lang, found = lang.as_py(), terms(text.as_py())
+                group = held.setdefault(lang, {}).setdefault(source.as_py(), {b"": 0})
+                size -= len(group)
+                for term, n in found.items():
+                    group[term] = group.get(term, 0) + n
+                size += len(group)
+                docs.setdefault(lang, Counter()).update(found.keys())
                 if size > HELD:
                     yield from out()
-                    held, size = {}, 0
+                    held, docs, size = {}, {}, 0
         yield from out()
 
     src = pick(docs, text=text_col, lang=lang_col, source=source_col).select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return (src.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-            .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    return src.mapInArrow(run, "lang string, term string, docs long, counts array<struct<source: string, n: long>>")
+
+
+def kept_counts(docs: DataFrame, least: int) -> DataFrame:
+    """``(lang, term, source, n)`` of the terms in at least ``least`` documents
+    of their language, and of the empty term. Tasks' findings are dealt by
+    term once; what follows stays where it is."""
+    found = term_counts(docs).repartition("lang", "term")
+    whole = F.sum("docs").over(W.partitionBy("lang", "term"))
+    kept = found.withColumn("_docs", whole).where((F.col("_docs") >= least) | (F.col("term") == ""))
+    return (kept.select("lang", "term", F.explode("counts").alias("c")).groupBy("lang", "term", F.col("c.source").alias("source"))
+            .agg(F.sum("c.n").alias("n")))
 
 
 def rate(count: str, total: str, kept: str) -> Column:
@@ -105,11 +126,10 @@ def model(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame, DataFram
     ``groups(lang, source, total, kept, rows, p0)`` of all groups (p0: rate of
     an absent term; null where the language keeps no term), and
     ``whole(lang, term, q)``, the language's own rates."""
-    counts = cut(term_counts(docs))
-    vocabulary = cut(counts.where("term <> ''").groupBy("lang", "term")
-                     .agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs"))
+    counts = cut(kept_counts(docs, least))
+    inside = counts.where("term <> ''")
+    vocabulary = cut(inside.groupBy("lang", "term").agg(F.sum("n").alias("all_n")))
     langs = cut(vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("lang_total")))
-    inside = cut(counts.where("term <> ''").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n"))
     totals = inside.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     groups = cut(counts.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left")

@@ -57,6 +57,12 @@ class ChainLake:
         """Chains stored, from the ``chain=`` folder names (no data read)."""
         return {n.split("=", 1)[1] for n in _names(self.spark, self.path(table)) if n.startswith("chain=")}
 
+    def version(self) -> str:
+        """Changes with every commit to the lake: the names of its latest
+        commits (a listing of two small folders)."""
+        log = f"{self.root}/_commits"
+        return "|".join([*_names(self.spark, f"{log}/folded"), *_names(self.spark, f"{log}/recent"), str(_exists(self.spark, f"{self.root}/_DONE"))])
+
     def source(self, name: str) -> DataFrame:
         """A driver input table of the data folder (e.g. ``events``)."""
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -266,30 +266,25 @@ def count_in_ranges(points: DataFrame, ranges: DataFrame, by: list[str], point:
     the difference. The work is linear in points and ranges, however much they
     overlap. Equal ranges are swept together and come out as often as they
     went in; a range whose end is NULL or lies before its start counts none."""
-    row = F.struct(*ranges.columns)
-    # what a range takes away at its start and adds at its end
-    ends = F.array(F.struct((F.col(start) - 1).alias("_at"), F.lit(-1).alias("_sign")),
-                   F.struct(F.col(end).alias("_at"), F.lit(1).alias("_sign")))
-    probes = (ranges.where(F.col(start) <= F.col(end)).select(*by, row.alias("_row"), F.explode(ends).alias("_e"))
-              .select(*by, F.col("_e._at").cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("_n"), F.col("_e._sign").alias("_sign"), "_row"))
-    per = (points.groupBy(*by, F.col(point).cast("bigint").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-           .withColumns({"_sign": F.lit(0), "_row": F.lit(None).cast(probes.schema["_row"].dataType)}))
-    axis = per.select(*by, "_at", "_n", "_sign", "_row").unionByName(probes).withColumn("_bkt", _bucket_of("_at", bucket_size))
+    # a range takes away what lies before its start and adds what lies up to its end
+    at = lambda c, weight, copy: F.struct(c.cast("bigint").alias("_at"), F.lit(weight).alias("_w"), F.lit(copy).alias("_copy"))
+    ends = F.when(F.col(start) <= F.col(end), F.array(at(F.col(start) - 1, -1, 0), at(F.col(end), 1, 1))).otherwise(
+        F.array(at(F.lit(0), 0, 1)))
+    probes = (ranges.select(*by, F.struct(*ranges.columns).alias("_row"), F.explode(ends).alias("_e"))
+              .select(*by, "_e.*", F.lit(0).cast("bigint").alias("_n"), "_row"))
+    per = points.groupBy(*by, F.col(point).cast("bigint").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    per = per.withColumns({"_w": F.lit(0), "_copy": F.lit(0), "_row": F.lit(None).cast(probes.schema["_row"].dataType)})
+    axis = per.select(*probes.columns).unionByName(probes).withColumn("_bkt", _bucket_of("_at", bucket_size)).checkpoint()
     upto = Window.partitionBy(*by, "_bkt").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = axis.withColumn("_upto", F.sum("_n").over(upto)).where("_row is not null")
-    # points before each bucket that has an end in it
-    sums = (per.select(*by, _bucket_of("_at", bucket_size).alias("_bkt"), "_n")
-            .unionByName(probes.select(*by, _bucket_of("_at", bucket_size).alias("_bkt"), "_n"))
-            .groupBy(*by, "_bkt").agg(F.sum("_n").alias("_n")))
     earlier = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*by, "_bkt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    carry = axis.groupBy(*by, "_bkt").agg(F.sum("_n").alias("_n")).select(
+        *by, "_bkt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     swept = (inside.join(carry, [*by, "_bkt"])
-             .groupBy(F.col("_row")).agg(F.sum(F.col("_sign") * (F.col("_upto") + F.col("_before"))).alias("_all"),
-                                         F.count_if(F.col("_sign") == 1).alias("_copies"))
+             .groupBy("_row").agg(F.sum(F.col("_w") * (F.col("_upto") + F.col("_before"))).alias("_all"), F.sum("_copy").alias("_copies"))
              .withColumn(out, F.expr("_all div _copies")))
-    counted = swept.select("_row", out, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_i")).select("_row.*", out)
-    empty = ranges.where(F.coalesce(F.col(start) > F.col(end), F.lit(True))).withColumn(out, F.lit(0).cast("bigint"))
-    return counted.unionByName(empty)
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return swept.select("_row", out, copies.alias("_i")).select("_row.*", out)
 
 
 # --- exact percentile from a frequency table -------------------------------------------

@@ -163,12 +163,16 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     unit = [F.floor(F.col(key) / UNIT_BLOCKS)] if key is not None else []
     df = (df.repartition(*lead, *dict.fromkeys([*PARTITION_COLS, *parts][:2]), *unit)
           .sortWithinPartitions(*dict.fromkeys(parts), *([key] if key is not None else [])))
-    w = (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    _writer(df).mode(mode).partitionBy(*parts).parquet(path)
+
+
+def _writer(df: DataFrame):
+    w = (df.write.option("partitionOverwriteMode", "dynamic")
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).option("compression", "zstd"))
     for c in BLOOM_COLUMNS:
         if c in df.columns:
             w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
-    w.partitionBy(*parts).parquet(path)
+    return w
 
 
 _LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)  # per table or lake, of this process
@@ -196,9 +200,8 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     stage = f"{path}__staging/{uuid.uuid4().hex}"
     _ACTIVE.add(stage)
     try:
-        staged = _stage(batch, keys, order, stage)
-        if log:
-            digest = digest or commits.content_digest(staged_rows(spark, staged))
+        staged = _stage(batch, keys, order, stage, digest=log is not None and digest is None)
+        digest = digest or staged["digest"]
         with _LOCKS[path]:
             plan = plan_swap(spark, path, staged, keys, order, feed)
             files.write_json(spark, f"{stage}/_READY", plan | {"commit": commit, "digest": digest})
@@ -249,14 +252,21 @@ def deduplicated(batch: DataFrame, keys: list[str], keep_old: list[str]) -> Data
     return latest(batch, keys, order=["_pos"], keep_old=keep_old, first_order=["_pos"]).drop("_pos")
 
 
-def _stage(batch: DataFrame, keys: list[str], keep_old: list[str], stage: str) -> dict:
+def _stage(batch: DataFrame, keys: list[str], keep_old: list[str], stage: str, digest: bool = False) -> dict:
     """Write the batch's last row per key below ``<stage>/data/new``, in the final
-    layout; what was staged, as :func:`plan_swap` takes it."""
-    new = deduplicated(batch, keys, keep_old)
-    number = number_column(new.columns)
-    _write_units(new, f"{stage}/data/new", number)
-    staged = {"stage": stage, "schema": new.schema, "number": number}
-    return staged | {"units": _units(staged_rows(batch.sparkSession, staged), number)}
+    layout; what was staged, as :func:`plan_swap` takes it, with a digest of the
+    rows if asked. Rows are shuffled once, by unit: a key lies in one unit, so
+    the last row per key is found where the unit is written."""
+    number = number_column(batch.columns)
+    place = [*PARTITION_COLS, "_unit"]
+    units = batch.withColumn("_unit", _unit_of(number)).repartition(*place)
+    new = deduplicated(units, list(dict.fromkeys([*place, *keys])), keep_old).select(
+        *[c for c in batch.columns if c != "_pos"], "_unit")
+    _writer(new.sortWithinPartitions(*place, *([number] if number else []))).partitionBy(*place).parquet(f"{stage}/data/new")
+    staged = {"stage": stage, "schema": new.drop("_unit").schema, "number": number}
+    rows = _units(staged_rows(batch.sparkSession, staged), number, digest)
+    sums = {k: sum(int(u[k] or 0) for u in rows) for k in ("_n", "_h1", "_h2")} if digest else None
+    return staged | {"units": rows, "digest": commits.digest_of(sums) if digest else None}
 
 
 def staged_rows(spark: SparkSession, staged: dict, part: str = "new") -> DataFrame:
@@ -327,12 +337,14 @@ def _write_units(rows: DataFrame, path: str, number: str | None) -> None:
     write_partitioned(rows.withColumn("_unit", _unit_of(number)), path, partition_cols=[*PARTITION_COLS, "_unit"])
 
 
-def _units(rows: DataFrame, number: str | None) -> list[dict]:
-    """Rows and block range of each unit written: one entry per staged folder."""
+def _units(rows: DataFrame, number: str | None, digest: bool = False) -> list[dict]:
+    """Rows and block range of each unit written (and the sums of a digest):
+    one entry per staged folder."""
     at = F.col(number) if number else F.lit(0)
     got = rows.groupBy(*PARTITION_COLS, _unit_of(number).alias("_unit")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).collect()
-    return [{"bucket": (r["chain"], r["block_bucket"]), "unit": r["_unit"], "n": r["n"], "lo": r["lo"], "hi": r["hi"]} for r in got]
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"),
+        *(commits.digest_columns(rows.columns) if digest else [])).collect()
+    return [r.asDict() | {"bucket": (r["chain"], r["block_bucket"]), "unit": r["_unit"]} for r in got]
 
 
 def _unit_files(spark: SparkSession, folder: str) -> list[dict]:

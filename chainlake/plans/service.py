@@ -9,6 +9,8 @@ the caller collects.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +23,26 @@ class QueryError(Exception):
     """Maps to the reference's ``{code: Error, reason}`` envelope."""
 
 
+_SESSIONS: dict[tuple[str, str, str], tuple[str, SparkSession]] = {}
+_LOCK = threading.Lock()
+
+
 def chain_session(spark: SparkSession, lake, chain: str, known_chains: set[str] | None = None
                   ) -> SparkSession:
-    """Q-01 / D8: an isolated session whose views are the chain's tables."""
+    """Q-01 / D8: an isolated session whose views are the chain's tables. It is
+    kept, and its views are registered anew only after a commit to the lake, so
+    a call lists no table (the text of a query can't change the session)."""
+    key = (spark.sparkContext.applicationId, lake.root, chain)
+    version = lake.version()
+    with _LOCK:
+        kept = _SESSIONS.get(key)
+    if kept is not None and kept[0] == version and (known_chains is None or chain in known_chains):
+        return kept[1]
     if known_chains is None:
         known_chains = lake.chains()
     if chain not in known_chains:
         raise QueryError(f"unknown chain {chain!r}")
-    s = spark.newSession()
+    s = kept[1] if kept is not None else spark.newSession()
     for k, v in SQL_CONF.items():
         try:
             s.conf.set(k, v)
@@ -37,6 +51,8 @@ def chain_session(spark: SparkSession, lake, chain: str, known_chains: set[str]
     # the chain's views are all there is: no other chain's files by path
     s.conf.set("spark.sql.runSQLOnFiles", "false")
     lake.register(chain, s)
+    with _LOCK:
+        _SESSIONS[key] = (version, s)
     return s
 
 

@@ -202,13 +202,31 @@ def start_backfill(spark: SparkSession, archive: str, root: str, checkpoint: str
                    archive_blocks: int = 100, **options) -> StreamingQuery:
     """T-10: replay blocks ``start..end`` from an archive with a folder
     ``range=<block div archive_blocks>`` per block range. Only the folders of
-    the range are listed and read."""
+    the range are listed and read: a few patterns over the folder number, whose
+    number grows with its digits, not with the range."""
     lo, hi = (b // archive_blocks for b in block_range)
-    wanted = {f"range={k}" for k in range(lo, hi + 1)} & set(files.names(spark, archive))
-    src = f"{archive}/{{{','.join(sorted(wanted))}}}" if wanted else f"{archive}/range={lo}*"
+    src = f"{archive}/{{{','.join(f'range={p}' for p in number_globs(lo, hi))}}}"
     return start_chain(spark, src, root, checkpoint, block_range=block_range, max_files=None, **options)
 
 
+def number_globs(lo: int, hi: int) -> list[str]:
+    """Path patterns that match exactly the numbers ``lo`` to ``hi`` (not
+    negative) written in decimal: ``[7-9]``, ``[1-3][0-9]``, ``4[0-2]`` for 7 to 42."""
+    out = []
+    while lo <= hi:
+        # the largest block of numbers that share all digits but the last k + 1
+        k = 0
+        while lo and lo % 10 ** (k + 1) == 0 and lo + 10 ** (k + 1) - 1 <= hi and len(str(lo + 10 ** (k + 1) - 1)) == len(str(lo)):
+            k += 1
+        step = 10 ** k
+        digit = lo // step % 10
+        last = min(9, digit + (hi - lo + 1) // step - 1)
+        head = str(lo // (step * 10)) if lo >= step * 10 else ""
+        out.append(head + (f"[{digit}-{last}]" if last > digit else str(digit)) + "[0-9]" * k)
+        lo += (last - digit + 1) * step
+    return out
+
+
 def _start(lines: DataFrame, body, checkpoint: str, name: str | None, available_now: bool) -> StreamingQuery:
     w = lines.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     if name:

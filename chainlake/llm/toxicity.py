@@ -1,12 +1,16 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
-Texts are folded first: lower case, homoglyphs (Cyrillic, Greek, full-width,
-accent-free look-alikes of Latin letters) and digit substitutions to the plain
-letter, invisible characters removed, punctuation to spaces. The lexicon is
-learned on a bounded sample of labelled documents: whole words and word
-beginnings that occur mostly in toxic rows, counted by rows and by contexts
-(the word before), so that the words of a toxic text with many copies stay out. Phrases of a term and the word before it that stand in clean documents
-only are exceptions and cancel the match inside them.
+Texts are folded first, and the lexicon is learned on folded texts, so both
+sides agree: lower case, compatibility forms decomposed and marks stripped
+(accents, mathematical and full-width letters), homoglyphs (Cyrillic, Greek)
+and digit substitutions to the plain letter, ``i l 1 ! |`` to one class, ``$``
+to s, invisible characters removed, punctuation to spaces. ``! | $`` stand for
+letters only beside other letters of a word. The lexicon is learned on a
+bounded sample of labelled documents: whole words and word beginnings that
+occur mostly in toxic rows, counted by rows and by contexts (the word before),
+so that the words of a toxic text with many copies stay out. Phrases of a term
+and the word before it that stand in clean documents only are exceptions and
+cancel the match inside them, as do the given ones (``EXCEPTIONS``).
 
 The score is a logistic function, fitted on the same sample, of the summed
 weights of all matches and of that sum per hundred words.
@@ -14,10 +18,10 @@ weights of all matches and of that sum per hundred words.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,24 +36,24 @@ MODULUS, REMAINDER = 3, 1  # held-out part of the labels
 THRESHOLD = 0.7
 LEAST_SHARE = 0.5  # least toxic share of a pattern's support
 GAIN = 10.0  # least log-likelihood ratio of a pattern
-MAX_TERMS = 2000  # bound of the lexicon, and of the exceptions
 SHORTEST, LONGEST = 4, 10  # characters of a word's beginning
 
 # Look-alikes of Latin letters, and digits written for letters.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p",
-    "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ո": "n", "ӏ": "l", "ɡ": "g", "ı": "i",
+    "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ո": "n", "ӏ": "i", "ɡ": "g", "ı": "i",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a",
+    "0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
+    "l": "i", "ø": "o", "đ": "d", "ł": "i", "ħ": "h", "ß": "ss",
 }
+# Phrases of everyday speech that hold a harsh word without being toxic.
+EXCEPTIONS = ("kill time", "kill the process", "killer app", "killer feature", "dead line", "dead end", "die cast", "shoot a photo",
+              "trash can", "garbage collector", "blood test", "master slave", "bloody mary", "damn good", "hell of a")
 
 
-@lru_cache(1)
 def folding() -> dict[int, str]:
     table = {ord(k): v for k, v in LOOK_ALIKES.items()}
-    for c in range(0xFF01, 0xFF5F):  # full-width forms
-        plain = chr(c - 0xFEE0).lower()
-        table[c] = LOOK_ALIKES.get(plain, plain if plain.isalnum() else " ")
+    table |= {c: "" for c in range(0x300, 0x370)}  # marks that a decomposition leaves
     for c in [*range(0x20), *range(0x20, 0x7F), *range(0xA0, 0xC0), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]:
         if c not in table and not chr(c).isalnum():
             table[c] = " "
@@ -58,12 +62,21 @@ def folding() -> dict[int, str]:
     return table
 
 
+FOLDING = folding()  # a plain value: it goes to the tasks with the functions that use it
+STROKE = re.compile(r"(?<![^\s\w@$])[!|](?=[\w@$])")  # in a word or at its start, before a letter
+DOLLAR = re.compile(r"\$+(?=[^\W\d_])|(?<=\w)\$+")
+
+
 def fold(text: str | None) -> str:
     """The folded text between two spaces; words are separated by spaces."""
     t = (text or "").lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFC", t)
-    return f" {t.translate(folding())} "
+        t = unicodedata.normalize("NFKD", t).lower()
+    if "$" in t:
+        t = DOLLAR.sub(lambda m: "s" * len(m.group()), t)
+    if "!" in t or "|" in t:
+        t = STROKE.sub("i", t)
+    return f" {t.translate(FOLDING)} "
 
 
 @dataclass
@@ -173,7 +186,7 @@ def choose(counts: list[tuple[str, int, int]], share: float) -> dict[str, float]
     for _, term, t, weight in sorted(found, key=lambda f: (-round(f[0], 6), -len(f[1]), f[1])):
         covered = any((term.startswith(k) and weight < w + 0.7) or (k.startswith(term) and t < 1.3 * n)
                       for k, (w, n) in chosen.items())
-        if len(chosen) < MAX_TERMS and not covered:
+        if not covered:
             chosen[term] = (weight, t)
     return {k: w for k, (w, _) in chosen.items()}
 
@@ -203,17 +216,16 @@ def exception_phrases(rows: DataFrame, terms: list[str], least: int = 5) -> list
                     yield pa.RecordBatch.from_arrays([pa.array(sorted(found)), pa.array([y] * len(found), pa.int32())], ["phrase", "y"])
 
     counts = (rows.select("text", "y").mapInArrow(run, "phrase string, y int").groupBy("phrase")
-              .agg(F.sum("y").alias("t"), F.count("*").alias("n")).where(f"t = 0 and n >= {least}")
-              .orderBy(F.desc("n"), "phrase").limit(MAX_TERMS))
-    return [r.phrase for r in counts.collect()]
+              .agg(F.sum("y").alias("t"), F.count("*").alias("n")).where(f"t = 0 and n >= {least}"))
+    return sorted(r.phrase for r in counts.collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS,
-          exceptions: Iterable[str] = ()) -> Lexicon:
+          exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
     """Learn on at most ``max_rows`` labelled rows outside the held-out part;
-    the lexicon (bounded) and two numbers per training row come to the driver.
-    Without both classes the score is constant. ``exceptions``: further
-    phrases that are never toxic."""
+    the patterns with enough support among these rows and two numbers per
+    training row come to the driver. Without both classes the score is
+    constant. ``exceptions``: further phrases that are never toxic."""
     rows = cut(training_rows(docs, labels, "toxic", MODULUS, REMAINDER, max_rows))  # read several times
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < n:
@@ -221,8 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS,
         return Lexicon({}, [], (float(np.log(share / (1 - share))), 0.0, 0.0))
     share = toxic / n
     # patterns with enough support in toxic rows, then the same in clean ones
-    toxic_n = {r.term: r.n for r in support(rows.where("y = 1")).where(F.col("n") >= GAIN / -np.log(share))
-               .orderBy(F.desc("n"), "term").limit(40 * MAX_TERMS).collect()}
+    toxic_n = {r.term: r.n for r in support(rows.where("y = 1")).where(F.col("n") >= GAIN / -np.log(share)).collect()}
     clean_n = {r.term: r.n for r in support(rows.where("y <> 1"), frozenset(toxic_n)).collect()}
     terms = choose([(k, t, clean_n.get(k, 0)) for k, t in sorted(toxic_n.items())], share)
     phrases = [fold(p) for p in exceptions] + exception_phrases(rows, list(terms))

@@ -476,3 +476,57 @@ def test_pipeline(spark):
     got = {r.doc_id: (list(r.ids), r.decoded) for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == want and 50 < len(got) < docs.count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+# -- 6: folding and matching ---------------------------------------------------
+
+def plain_matches(lexicon, text):
+    """Lexicon.features by search at every place of the folded text."""
+    t = toxicity.fold(text)
+    spared = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(t)) if t.startswith(p, i)]
+    total = 0.0
+    for i in range(len(t)):
+        found = [w for term, w in lexicon.terms.items() if t.startswith(term, i)]
+        if found and not any(lo <= i < hi - 1 for lo, hi in spared):
+            total += max(found)
+    return total, float(len(t.split()))
+
+
+def test_matching_by_search():
+    rng = random.Random(66)
+    word = lambda: "".join(rng.choices("abil1!$ 0", k=rng.randint(1, 4)))
+    for _ in range(200):
+        terms = {(" " + toxicity.fold(word()).strip() + rng.choice([" ", ""])): round(rng.uniform(0.5, 5), 2) for _ in range(rng.randint(0, 12))}
+        terms = {k: v for k, v in terms.items() if k.strip()}
+        phrases = [p for p in (toxicity.fold(word() + " " + word()) for _ in range(rng.randint(0, 4))) if p.strip() and p not in terms]
+        lexicon = toxicity.Lexicon(terms, phrases, (0.0, 1.0, 0.0))
+        auto = lexicon.automaton()
+        for _ in range(20):
+            text = " ".join(word() for _ in range(rng.randint(0, 12)))
+            got, want = toxicity.Lexicon.features(auto, text), plain_matches(lexicon, text)
+            assert abs(got[0] - want[0]) < 1e-9 and got[1] == want[1], (text, terms, phrases)
+
+
+def test_folding_of_disguises():
+    same = lambda *words: len({toxicity.fold(w) for w in words}) == 1
+    assert same("clown", "c1own", "c|own", "c!own", "CLOWN", "clówn", "ｃｌｏｗｎ", "𝐜𝐥𝐨𝐰𝐧", "𝐂𝐋𝐎𝐖𝐍")
+    assert same("trash", "tra$h", "tr4$h", "7rash") and same("scum", "$cum", "5cum") and same("pigs", "pi9s", "pi6$", "p|gs")
+    assert toxicity.fold("Really! I paid $ 5 | no").split() == ["reaiiy", "i", "paid", "s", "no"]
+
+
+def test_disguised_toxic_rows_are_found(spark):
+    """Recall on the labelled toxic rows with their words disguised, against
+    the plain spelling; clean rows with the same disguises stay clean."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    lexicon = toxicity.train(docs, labels)
+    auto = lexicon.automaton()
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").select("text", "toxic").collect()
+    def share(toxic, disguise):
+        own = [toxicity.Lexicon.features(auto, disguise(r.text or "")) for r in rows if r.toxic == toxic]
+        total, words = (np.array(c) for c in zip(*own))
+        return float((lexicon.score(total, words) >= toxicity.THRESHOLD).mean())
+    ways = [lambda t: t, lambda t: t.replace("l", "1"), lambda t: re.sub(r"(?<=\w)i(?=\w)", "!", t).replace("s", "$"),
+            lambda t: t.replace("a", "á").replace("e", "ê"), lambda t: t.replace("g", "9").replace("o", "0")]
+    found, wrong = [share(1, w) for w in ways], [share(0, w) for w in ways]
+    assert min(found) >= found[0] - 0.05 and found[0] > 0.9, found
+    assert max(wrong) <= wrong[0] + 0.01 and wrong[0] < 0.01, wrong

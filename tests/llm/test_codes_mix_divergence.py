@@ -81,7 +81,10 @@ def test_codes_edge_cases(spark):
     assert sorted((r.vec_id is None, r.vec_id or 0) for r in got) == [(False, 3)] * 3 + [(False, 8), (False, 9), (True, 0)]
     assert len(books) == 2 and all(len(b) == 4 and len(b[0]) == 2 for b in books)  # padded to two parts of two
     assert all(len(r.code) == 2 and r.error >= 0 for r in got)
-    assert [r.error for r in got if r.vec_id == 9] == [2**63 - 1]  # beyond 64 bits
+    assert [r.error for r in got if r.vec_id == 9] == [0]  # an entry of its own after two rounds
+    far = orchard.compress(df, 2, 4, 0)[0].collect()
+    assert [r.error for r in far if r.vec_id == 9] == [2**63 - 1]  # beyond 64 bits
+    assert [r.label_error for r in far if r.vec_id in (8, 9)] == [2**63 - 1] * 2
     assert {r.label_error for r in got if r.label is None} == {sum(r.error for r in got if r.label is None)}
     for empty in (df.where("false"), df.where("vec_id = 8")):
         out, books = orchard.compress(empty)

@@ -25,20 +25,19 @@ are verified by exact bit distance.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col_of, connected_components, cut, indexed, pick, restore
+from .common import attach, col_of, connected_components, cut, indexed, pick, restore
 
 SHINGLE = 4
 MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits) of each segment
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, of the [23,12] Golay code
+EXPLODED = 16384  # fingerprints whose keys one task makes
 SMALL = 8  # keys with up to so many fingerprints are compared pair by pair
 
 
@@ -78,7 +77,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
 # -- Golay keys -------------------------------------------------------------
 
-@lru_cache(1)
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every 23-bit word: its 11-bit syndrome's (a) error pattern and, for
     each of the 2,048 syndromes, (b) the codeword shifts that its one-bit
@@ -113,11 +111,12 @@ def syndrome(x: np.ndarray) -> np.ndarray:
     return r
 
 
-def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def golay_keys(fp: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray]:
     """``(row, key)`` of fingerprints (uint64): see the module's docstring.
     The codeword index is the codeword's upper 12 bits (the code is
-    systematic); key = kind (4 bits) | first part (24) | codeword (12)."""
-    _, shift, count = golay_tables()
+    systematic); key = kind (4 bits) | first part (24) | codeword (12).
+    ``tables``: those of :func:`golay_tables`, if there already."""
+    _, shift, count = tables or golay_tables()
     raw, words, valid = [], [], []
     for first, n in SEGMENTS:
         x = ((fp >> np.uint64(first)) & np.uint64((1 << n) - 1)).astype(np.uint32)
@@ -202,12 +201,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > MAX_BITS:
         raise ValueError("three Golay segments guarantee links up to 4 bits only")
 
+    tables = golay_tables()  # goes to the tasks with the function
+
     def explode(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for lo in range(0, len(fp), 4096):
                 part = fp[lo:lo + 4096]
-                row, key = golay_keys(part)
+                row, key = golay_keys(part, tables)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], ["k", "fp"])
 
     def verify(batches):
@@ -233,7 +234,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if held_k:
             yield out(*key_links(np.concatenate(held_k), np.concatenate(held_f), max_bits))
 
-    keys = fps.select("fp").distinct().mapInArrow(explode, "k long, fp long")
+    one = fps.select("fp").distinct()
+    # each fingerprint becomes some 60 keys: bounded tasks, whatever the table's bytes
+    tasks = max(1, -(-one.count() // EXPLODED))
+    keys = one.repartition(tasks, "fp").mapInArrow(explode, "k long, fp long")
     return keys.repartition("k").sortWithinPartitions("k").mapInArrow(verify, "a long, b long").distinct()
 
 
@@ -248,18 +252,21 @@ def components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     an empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    return fps.join(named_fps(fps, max_bits), "fp").select("id", "fp", "component_id")
+    names = cut(named_fps(fps, max_bits)).withColumnRenamed("n", "_n")
+    return attach(fps, names, ["fp"]).select("id", "fp", "component_id")
 
 
 def named_fps(fps: DataFrame, max_bits: int) -> DataFrame:
-    """``(fp, component, component_id)`` of the distinct fingerprints of
-    ``fps(id, fp)``; ``component`` is one of the component's fingerprints."""
-    by_fp = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    """``(fp, n, component, component_id)`` of the distinct fingerprints of
+    ``fps(id, fp)``: how many rows have it; one of the component's fingerprints;
+    its least id. A component that holds many fingerprints is no hot key: its
+    name is broadcast (see :func:`attach`)."""
+    by_fp = cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     comp = connected_components(links(by_fp, max_bits))
-    named = by_fp.join(comp, by_fp["fp"] == comp["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(least, "component").select("fp", "component", "component_id")
+    named = cut(by_fp.join(comp, by_fp["fp"] == comp["node"], "left").select(
+        "fp", "n", "least", F.coalesce("component", "fp").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")))
+    return attach(named, least, ["component"]).select("fp", "n", "component", "component_id")
 
 
 def hex16(fp):
@@ -279,7 +286,8 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) ->
     src = src.withColumns(key)
     fps = cut(fingerprints_keyed(src, col_of(docs, "text"), shingle))
     names = named_fps(fps.select(F.expr("if(_no, null, _id)").alias("id"), "fp"), max_bits)
-    best = (fps.join(names, "fp").groupBy("component")
+    names = cut(names).select("fp", "component", F.col("n").alias("_n"))
+    best = (attach(fps, names, ["fp"]).groupBy("component")
             .agg(F.min(F.struct("_no", "_id", "_th")).alias("k")).select("k.*"))
     cols = [f"_c{i}" for i in range(len(docs.columns))]
     kept = src.join(best, ["_id", "_no", "_th"], "left_semi")

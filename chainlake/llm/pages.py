@@ -36,16 +36,26 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
           "th": {"td", "th"}, "option": {"option"}}  # open elements that a new one ends
 FENCE = {"p": set(), "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"},
          "th": {"table", "tr"}, "option": {"select"}}
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+WALLS = ("table", "body")  # a stray end tag doesn't close what lies outside
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Blocks(HTMLParser):
-    """Leaf blocks of a page: ``[(text, ancestor features, link share)]``."""
+    """Leaf blocks of a page: ``[(text, ancestor features, link share)]``.
 
-    def __init__(self):
+    The work is linear in the page: an open element holds the marks of all its
+    ancestors (of those in ``known``, if given: features that a model has
+    weights for), and of every tag the places where it is open are known, so
+    no tag walks the stack."""
+
+    def __init__(self, known: frozenset[str] | None = None):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.open: dict[str, list[int]] = {}  # places of each open tag in the stack
+        self.fenced: list[int] = []  # places of open block tags but p
         self.silent = 0
         self.links = 0
         self.parts: list[str] = []
@@ -56,7 +66,7 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                marks = frozenset(m for _, ms in self.stack for m in ms)
+                marks = self.stack[-1][1] if self.stack else frozenset()
                 self.out.append((text, marks, min(self.linked / max(len(text), 1), 1.0)))
             self.parts, self.linked = [], 0
 
@@ -67,32 +77,50 @@ class Blocks(HTMLParser):
                 marks += [f"named:{w.lower()}" for w in NAME.findall(v)]
             elif k in ("hidden", "aria-hidden") and v != "false" or k == "style" and v and HIDDEN.search(v):
                 marks.append("hidden")
-        self.stack.append((tag, tuple(marks)))
+        above = self.stack[-1][1] if self.stack else frozenset()
+        new = {m for m in marks if m not in above and (self.known is None or m in self.known)}
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS and tag != "p":
+            self.fenced.append(len(self.stack))
+        self.stack.append((tag, above | new if new else above))
         self.silent += tag in SILENT
         self.links += tag == "a"
 
     def pop(self, to: int) -> None:
-        for tag, _ in self.stack[to:]:
+        while len(self.stack) > to:
+            tag, _ = self.stack.pop()
+            self.open[tag].pop()
+            if tag in BLOCK_TAGS and tag != "p":
+                self.fenced.pop()
             self.silent -= tag in SILENT
             self.links -= tag == "a"
-        del self.stack[to:]
+
+    def last(self, tags) -> int:
+        """The innermost place where one of ``tags`` is open, -1 if none is."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def leave_head(self) -> None:
+        """What cannot stand in a head ends it, also where its end tag and the
+        body's tag are left out."""
+        if self.stack and self.stack[-1][0] == "head":
+            self.pop(len(self.stack) - 1)
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self.leave_head()
         if tag == "br":
             self.parts.append(" ")
             return
         if tag in BLOCK_TAGS:
             self.flush()
-            for ends, fence in ((CLOSES.get(tag, ()), FENCE.get(tag, ())), (("p",), BLOCK_TAGS - {"p"})):
-                for i in range(len(self.stack) - 1, -1, -1):
-                    name = self.stack[i][0]
-                    if name in ends:
-                        self.pop(i)
-                        break
-                    if name in fence:
-                        break
-        if tag == "body":  # an unclosed head ends here
-            self.pop(next((i for i, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
+            ended = self.last(CLOSES.get(tag, ()))
+            if ended > self.last(FENCE.get(tag, ())):
+                self.pop(ended)
+            ended = self.last(("p",))
+            if ended > (self.fenced[-1] if self.fenced else -1):
+                self.pop(ended)
+        if tag == "body" and self.open.get("head"):  # an unclosed head ends here
+            self.pop(self.open["head"][0])
         if tag not in VOID:
             self.push(tag, attrs)
 
@@ -107,22 +135,21 @@ class Blocks(HTMLParser):
             self.flush()
         if tag == "br":
             self.parts.append(" ")
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop(i)
-                break
-            if self.stack[i][0] in ("table", "body") and tag not in ("html", "body"):
-                break  # a stray end tag doesn't close what lies outside
+        at = self.last((tag,))
+        if at >= 0 and (tag in ("html", "body") or at >= self.last(WALLS)):
+            self.pop(at)
 
     def handle_data(self, data):
+        if data.strip():
+            self.leave_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.strip())
 
 
-def blocks(html: str | None) -> list[tuple[str, frozenset[str], float]]:
-    parser = Blocks()
+def blocks(html: str | None, known: frozenset[str] | None = None) -> list[tuple[str, frozenset[str], float]]:
+    parser = Blocks(known)
     parser.feed(html or "")
     parser.close()
     parser.flush()
@@ -148,6 +175,7 @@ class ChainCRF:
 
     def __init__(self, weights: dict[str, float], trans: np.ndarray):
         self.weights, self.trans = weights, trans
+        self.known = frozenset(weights)
 
     @classmethod
     def train(cls, pages: list[tuple[list[list[str]], list[int]]], l2: float = 0.02, steps: int = 250,
@@ -227,7 +255,7 @@ def trained(n_pages: int = 400) -> ChainCRF:
 
 
 def main_text(html: str | None, model: ChainCRF) -> str:
-    page = blocks(html)
+    page = blocks(html, model.known)
     return "\n\n".join(text for (text, _, _), y in zip(page, model.viterbi(features(page))) if y)
 
 

@@ -59,3 +59,37 @@ def test_leaks_with_every_allowed_edit():
                 texts.append(" ".join([*(word() for _ in range(9)), *words, *(word() for _ in range(9))]))
         got = {(row, item) for row, item, *_ in index.leaks(texts)}
         assert sum((k, k % 10) in got for k in range(len(texts))) >= decontam.RECALL * len(texts)
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    from chainlake.llm import pages
+
+    model = pages.trained()
+    article = "<p>" + "A long enough sentence of the article, with commas, and an end. " * 6 + "</p>"
+
+    def seconds(n):
+        worst = 0.0
+        for html in ("<div class='a'>" * n + article + "</div>" * n, "".join(f"<div class='c{i} x'>" for i in range(n)) + article,
+                     "<b><table>" + "<i>t" * n + "</b>" * n, "<section>x" * n + "</span>" * n, "<ul>" + "<li>one<p>two" * n,
+                     "<p>a" * n + article + "</div>" * n):
+            t = time.process_time()
+            pages.main_text(html, model)
+            worst = max(worst, time.process_time() - t)
+        return worst
+    seconds(200)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.05)
+
+
+def test_pages_without_head_end_or_body():
+    from chainlake.llm import pages
+
+    model = pages.trained()
+    inner = ("<article><h1>A heading</h1>" + "".join(f"<p>Paragraph {i} of the article has a few words, and it ends here.</p>" for i in range(6)) + "</article>")
+    whole = pages.main_text(f"<html><head><title>t</title><meta charset=x></head><body>{inner}</body></html>", model)
+    assert whole.count("Paragraph") == 6
+    for start in ("<html><head><title>t</title><meta charset=x>", "<head><script>var a = '<p>';</script><title>t</title><link rel=x>", "<title>t</title>"):
+        assert pages.main_text(start + inner, model) == whole
+    assert "Loose words" in "".join(t for t, _, _ in pages.blocks("<head><meta a=b>Loose words first<p>then more"))
+    assert pages.blocks("<head><noscript><img src=x></noscript><style>p {}</style><p>text") == pages.blocks("<head></head><p>text")

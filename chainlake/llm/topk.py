@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192  # the larger it is, the fewer times each candidate is sent
 BLOCK = 16384
 DIMS = 16  # dimensions accumulated between two rounds of pruning
 
@@ -33,14 +33,14 @@ DIMS = 16  # dimensions accumulated between two rounds of pruning
 def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """``(vec_id, v array<long>)``, components ``floor(scale * x)``, x as
     double. Rows whose id or vector is null, or whose vector holds a null or
-    non-finite component, are left out. Of rows that repeat an id the
-    (lexicographically) smallest vector stands for it."""
+    non-finite component, are left out; rows that repeat an id are rows of
+    their own."""
     src = pick(vectors, vec_id="vec_id", v="embedding").select(
         F.col("vec_id").cast("long"), F.col("v").cast("array<double>"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ints = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long"))
     return (src.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(whole, F.lit(False)))
-            .groupBy("vec_id").agg(F.min(ints).alias("v")))
+            .select("vec_id", ints.alias("v")))
 
 
 def matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
@@ -61,25 +61,29 @@ def width(column: pa.ChunkedArray) -> int:
         max(np.diff(c.offsets.to_numpy()).max(initial=0) for c in column.chunks))
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, dims: int = DIMS):
+def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, dims: int = DIMS,
+                 qrow: np.ndarray | None = None, crow: np.ndarray | None = None):
     """``(query row, candidate row, score)`` of the k best candidates of each
-    query (all but its own id), ties to the smaller id. ``q`` and ``x``:
-    (dimensions, rows), integers."""
+    query (all but the query's own row), ties to the smaller id. ``q`` and
+    ``x``: (dimensions, rows), integers; ``qrow``, ``crow``: what tells rows
+    apart (default: their ids)."""
+    qrow, crow = qid if qrow is None else qrow, cid if crow is None else crow
     d = len(x)
     safe = d * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2**52
     order = np.argsort(cid, kind="stable")
-    cid, x = cid[order], x[:, order]
+    cid, crow, x = cid[order], crow[order], x[:, order]
     kind = np.float64 if safe else object  # doubles add and multiply such integers exactly
     q, x = q.astype(kind), x.astype(kind)
     edges = list(range(0, d, dims)) + [d]
     mass = lambda a, lo: np.sqrt(np.square(a[lo:].astype(np.float64)).sum(0))
     rest_x = [mass(x, lo) for lo in edges[1:]]
     rest_q = [mass(q, lo) for lo in edges[1:]]
-    own = np.searchsorted(cid, qid)
+    place = {int(r): j for j, r in enumerate(crow.tolist())}
     for i in range(len(qid)):
         alive = np.arange(len(cid))
-        if own[i] < len(cid) and cid[own[i]] == qid[i]:
-            alive = np.delete(alive, own[i])
+        own = place.get(int(qrow[i]))
+        if own is not None:
+            alive = np.delete(alive, own)
         score = np.zeros(len(alive), kind)
         for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
             part = x[lo:hi] if len(alive) == len(cid) else x[lo:hi, alive]
@@ -106,32 +110,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int =
     """``(query_id, rank, vec_id, score)``: for every row of ``vectors`` (see
     :func:`integer_vectors`) with ``is_query`` (over ``vec_id``) the ``k``
     highest inner products with the other rows, all if there are fewer; ties
-    to the smaller vec_id. Vectors of different length meet as if padded with
-    zeros. An empty table gives no rows."""
-    base = cut(vectors)
+    to the smaller vec_id. Rows that repeat an id are queries and candidates
+    of their own. Vectors of different length meet as if padded with zeros. An
+    empty table gives no rows."""
+    base = cut(cut(vectors).withColumn("row", F.monotonically_increasing_id()))
     total, queries = base.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     nb, nq = max(1, math.ceil(total / block)), max(1, math.ceil(queries / query_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cand = base.select(F.col("vec_id").alias("id"), "v", deal(nb, 1).alias("cb"), to_all(nq).alias("qb"))
-    ask = base.where(is_query).select(F.col("vec_id").alias("id"), "v", deal(nq, 2).alias("qb"), to_all(nb).alias("cb"))
+    cand = base.select(F.col("vec_id").alias("id"), "row", "v", deal(nb, 1).alias("cb"), to_all(nq).alias("qb"))
+    ask = base.where(is_query).select(F.col("vec_id").alias("id"), "row", "v", deal(nq, 2).alias("qb"), to_all(nb).alias("cb"))
     keys = ["qb", "cb"]
     n = min(nb * nq, 20_000)  # one group a partition, up to a bounded number
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query", "query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
         d = max(width(left["v"]), width(right["v"]), 1)
         qid, cid = left["id"].to_numpy(), right["id"].to_numpy()
-        got = list(search_block(qid, matrix(left["v"], d), cid, matrix(right["v"], d), k))
+        rows = left["row"].to_numpy()
+        got = list(search_block(qid, matrix(left["v"], d), cid, matrix(right["v"], d), k, DIMS, rows, right["row"].to_numpy()))
         i, r, s = (list(c) for c in zip(*got)) if got else ([], [], [])
-        return pa.table({"query_id": pa.array(qid[i], pa.int64()), "vec_id": pa.array(cid[r], pa.int64()),
+        return pa.table({"query": pa.array(rows[i], pa.int64()), "query_id": pa.array(qid[i], pa.int64()), "vec_id": pa.array(cid[r], pa.int64()),
                          "score": pa.array(s, pa.int64())})
 
     pairs = (ask.repartition(n, *keys).groupBy(*keys)
              .cogroup(cand.repartition(n, *keys).groupBy(*keys))
-             .applyInArrow(meet, "query_id long, vec_id long, score long"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInArrow(meet, "query long, query_id long, vec_id long, score long"))
+    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

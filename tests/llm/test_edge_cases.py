@@ -139,7 +139,12 @@ def test_topk(spark):
             (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (None, [1.0, 1.0], 1), (7, [], 1), (8, [3.0], 1), (9, [-1.0, 0.5, 2.0], 1)]
     df = spark.createDataFrame(rows, v)
     got = topk.search(topk.integer_vectors(df), F.col("vec_id") % 20 == 0, 4).collect()
-    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 12288), (2, 2, 12288), (3, 8, 12288), (4, 7, 0)]
+    # rows that repeat an id are candidates of their own: every row but the query's
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 12288), (2, 2, 12288), (3, 2, 12288), (4, 8, 12288)]
+    two = df.where("vec_id in (0, 1)").unionByName(df.where("vec_id = 1").withColumn("vec_id", F.lit(0).cast("long")))
+    found = topk.search(topk.integer_vectors(two), F.col("vec_id") % 20 == 0, 4).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == [
+        (0, 1, 0, 12288), (0, 1, 0, 12288), (0, 2, 1, 8192), (0, 2, 1, 12288)]
     assert topk.search(topk.integer_vectors(df.where("false")), F.col("vec_id") % 20 == 0, 4).count() == 0
     assert topk.search(topk.integer_vectors(df.where("vec_id > 0")), F.col("vec_id") % 20 == 0, 4).count() == 0
 

@@ -23,10 +23,10 @@ from .operators.files import delete as _delete, exists as _exists, fs_of as _fs,
 from .operators.sink import with_order, write_partitioned
 from .session import checkpoint_dir
 from .sources import fixture
-from .tables import TABLES
+from .tables import PARSED, TABLES, schema_of
 
 STORED = ("blocks", "block_logs", "extrinsics", "events", "raw_event")
-LAKE_VERSION = "v7"
+LAKE_VERSION = "v8"
 FIXTURE_CHAINS = ("polkadot", "kusama")
 
 
@@ -42,13 +42,14 @@ class ChainLake:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, chain: str | None = None) -> DataFrame:
-        """A stored table, of all chains or of one (pruned at scan)."""
+    def table(self, name: str, chain: str | None = None, parsed: bool = False) -> DataFrame:
+        """A stored table, of all chains or of one (pruned at scan); ``parsed``:
+        with the VARIANT column of its JSON."""
         if name == "transfers":
-            return X.extract_transfers(self.table("events", chain))
+            return X.extract_transfers(self.table("events", chain, parsed=True))
         if name == "withdrawals":
-            return X.extract_withdrawals(self.table("events", chain))
-        df = self.spark.read.schema(TABLES[name]).parquet(self.path(name))
+            return X.extract_withdrawals(self.table("events", chain, parsed=True))
+        df = self.spark.read.schema(schema_of(name, parsed)).parquet(self.path(name))
         if chain is not None:
             df = df.where(F.col("chain") == chain)
         return df
@@ -91,7 +92,7 @@ class ChainLake:
         """A stored table bucketed by block (``blocks``: its number is called
         ``block_number``), built once beside the tables; of the session that
         ``operators.bucketed`` holds."""
-        rows = self.table(name).drop("block_bucket", "_batch_id")
+        rows = self.table(name, parsed=True).drop("block_bucket", "_batch_id")
         rows = rows.withColumnRenamed("number", "block_number") if name == "blocks" else rows
         return bucketed.table(self.spark, rows, f"{self.root}/bucketed_{buckets}/{name}", buckets)
 
@@ -127,7 +128,8 @@ def ingest_blocks(blocks: DataFrame, root: str, batch_id: int = 0) -> None:
 
     def one(step):
         name, fn, pos = step
-        rows = with_order(fn(spark.read.schema(blocks.schema).parquet(nested)), batch_id, pos)
+        options = {"parsed": True} if name in PARSED else {}
+        rows = with_order(fn(spark.read.schema(blocks.schema).parquet(nested), **options), batch_id, pos)
         write_partitioned(rows.drop("_pos"), f"{root}/{name}")
     with ThreadPoolExecutor(max_workers=len(steps)) as pool:
         list(pool.map(one, steps))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .extract import BUCKET_SIZE
+from .extract import BUCKET_SIZE, json_values
 
 
 def _bucket_of(col: str, size: int) -> Column:
@@ -307,7 +307,7 @@ def exact_percentile(df: DataFrame, group: list[str], col: str, p: float, out: s
 
 # --- J-06 / J-07 / A-03 -----------------------------------------------------------------
 def fees_per_extrinsic(events: DataFrame) -> DataFrame:
-    fee = F.get_json_object("values", "$.actual_fee").try_cast("decimal(38,0)")
+    fee = json_values("values_v" in events.columns, "actual_fee")[0].try_cast("decimal(38,0)")
     return (events.where((F.col("mod_name") == "TransactionPayment") &
                          (F.col("event_name") == "TransactionFeePaid"))
             .groupBy("chain", "block_number", "extrinsic_index").agg(F.sum(fee).alias("fee")))

@@ -33,7 +33,12 @@ _GUARD = threading.Lock()
 def content_digest(rows: DataFrame) -> str:
     """Digest of a table's rows whatever their order: their number and two sums
     of row hashes."""
-    return digest_of(rows.agg(*digest_columns(rows.columns)).first())
+    return digest_of(rows.agg(*digest_columns(hashable(rows))).first())
+
+
+def hashable(rows: DataFrame) -> list[str]:
+    """The columns of a digest: all but VARIANT ones, which are parsed from others."""
+    return [c for c, kind in rows.dtypes if kind != "variant"]
 
 
 def digest_columns(columns: list[str]) -> list:

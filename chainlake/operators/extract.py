@@ -101,8 +101,8 @@ def _success(ok_idx: Column, idx: Column, scope: str) -> Column:
     return F.coalesce(F.array_min(ok_idx) <= idx.cast("bigint"), F.lit(False))
 
 
-def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> DataFrame:
-    """``extrinsics`` rows. ``result`` is recomputed from the block's events:
+def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic", parsed: bool = False) -> DataFrame:
+    """``extrinsics`` rows (``parsed``: also ``call_params_v``, the JSON as VARIANT). ``result`` is recomputed from the block's events:
     ``extrinsic`` = a System.ExtrinsicSuccess among its own events (A-01);
     ``block_running`` = among the events of extrinsics 0..i of the block, as
     the reference's never-reset flag produces (N-01)."""
@@ -121,6 +121,7 @@ def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> D
                 x["call_name"].alias("call_name"),
                 _success(F.col("_ok"), F.col("extrinsic_index"), success_scope).alias("result"),
                 json_or_null(x["call_params"]).alias("call_params"),
+                *([F.try_parse_json(x["call_params"]).alias("call_params_v")] if parsed else []),
                 x["extrinsic_hash"].alias("extrinsic_hash_bytes"),
                 x["block_timestamp"].cast("bigint").alias("block_timestamp"),
                 F.col("extrinsic_index").cast("bigint").alias("extrinsic_index"),
@@ -129,8 +130,8 @@ def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic") -> D
 
 
 # X-08 ---------------------------------------------------------------------
-def extract_events(blocks: DataFrame) -> DataFrame:
-    """``events`` rows. ``extrinsic_success`` is denormalised here, where the
+def extract_events(blocks: DataFrame, parsed: bool = False) -> DataFrame:
+    """``events`` rows (``parsed``: also ``values_v``, the JSON as VARIANT). ``extrinsic_success`` is denormalised here, where the
     whole block is at hand, so transfer/withdraw tables need no join. An event
     outside extrinsics (phase 1 or 2) has no extrinsic id and no success."""
     bn = _bn(blocks)
@@ -147,6 +148,7 @@ def extract_events(blocks: DataFrame) -> DataFrame:
                 e["event_name"].alias("event_name"),
                 wrap_i16(e["phase"]).alias("phase"),                               # S-09
                 json_or_null(e["values"]).alias("values"),
+                *([F.try_parse_json(e["values"]).alias("values_v")] if parsed else []),
                 e["block_timestamp"].cast("bigint").alias("block_timestamp"),
                 hex0x(e["extrinsic_hash"]).alias("extrinsic_hash"),
                 e["event_index"].cast("bigint").alias("event_index"),
@@ -206,25 +208,34 @@ def _moved(event: dict[str, Column]) -> dict[str, Column]:
     return {c: F.col("event_index" if c == "index" else c) for c in place} | event
 
 
-def transfer_fields(success: str = "extrinsic_success") -> dict[str, Column]:
+def json_values(parsed: bool, *names: str) -> list[Column]:
+    """Fields of an event's ``values`` as text: read from the VARIANT column
+    where there is one, else by one parse of the JSON."""
+    if parsed:
+        return [F.try_variant_get("values_v", f"$.{n}", "string") for n in names]
+    v = F.from_json("values", ", ".join(f"`{n}` string" for n in names))
+    return [v[n] for n in names]
+
+
+def transfer_fields(success: str = "extrinsic_success", parsed: bool = False) -> dict[str, Column]:
     """X-12 as columns of an event row."""
-    v = F.from_json("values", "`from` string, `to` string, amount string")   # one parse per row
-    return _moved({"from": v["from"], "to": v["to"], "amount": amount38(v["amount"]), "success": F.col(success)})
+    source, target, amount = json_values(parsed, "from", "to", "amount")
+    return _moved({"from": source, "to": target, "amount": amount38(amount), "success": F.col(success)})
 
 
-def withdrawal_fields(success: str = "extrinsic_success") -> dict[str, Column]:
+def withdrawal_fields(success: str = "extrinsic_success", parsed: bool = False) -> dict[str, Column]:
     """X-13 as columns of an event row."""
-    v = F.from_json("values", "who string, amount string")
-    return _moved({"who": v["who"], "amount": amount38(v["amount"]), "success": F.col(success)})
+    who, amount = json_values(parsed, "who", "amount")
+    return _moved({"who": who, "amount": amount38(amount), "success": F.col(success)})
 
 
 def extract_transfers(events: DataFrame) -> DataFrame:
     """Balances.Transfer -> from, to, amount DECIMAL(38,0), success."""
     tr = events.where((F.col("mod_name") == "Balances") & (F.col("event_name") == "Transfer"))
-    return _with_success(tr, events).select(*[c.alias(k) for k, c in transfer_fields("success").items()])
+    return _with_success(tr, events).select(*[c.alias(k) for k, c in transfer_fields("success", "values_v" in events.columns).items()])
 
 
 def extract_withdrawals(events: DataFrame) -> DataFrame:
     """Balances.Withdraw -> who, amount, success."""
     wd = events.where((F.col("mod_name") == "Balances") & (F.col("event_name") == "Withdraw"))
-    return _with_success(wd, events).select(*[c.alias(k) for k, c in withdrawal_fields("success").items()])
+    return _with_success(wd, events).select(*[c.alias(k) for k, c in withdrawal_fields("success", "values_v" in events.columns).items()])

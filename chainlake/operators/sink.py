@@ -343,7 +343,7 @@ def _units(rows: DataFrame, number: str | None, digest: bool = False) -> list[di
     at = F.col(number) if number else F.lit(0)
     got = rows.groupBy(*PARTITION_COLS, _unit_of(number).alias("_unit")).agg(
         F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"),
-        *(commits.digest_columns(rows.columns) if digest else [])).collect()
+        *(commits.digest_columns(commits.hashable(rows)) if digest else [])).collect()
     return [r.asDict() | {"bucket": (r["chain"], r["block_bucket"]), "unit": r["_unit"]} for r in got]
 
 

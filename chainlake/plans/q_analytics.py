@@ -187,8 +187,8 @@ JOIN o_blocks b ON b.chain = t.chain AND b.number = t.block_number
 LEFT JOIN o_extrinsics x ON x.chain = t.chain AND x.block_number = t.block_number AND x.extrinsic_index = t.extrinsic_index
 LEFT JOIN """ + _FEE_SQL + """ f ON f.chain = t.chain AND f.block_number = t.block_number AND f.extrinsic_index = t.extrinsic_index""")
 def transfers_enriched(spark, sf):
-    t = A.enrich_transfers(_t(spark, sf, "transfers"), _t(spark, sf, "blocks"),
-                           _t(spark, sf, "extrinsics"), _t(spark, sf, "events"))
+    t = A.enrich_transfers(_t(spark, sf, "transfers"), _t(spark, sf, "blocks"), _t(spark, sf, "extrinsics"),
+                           lake_for(spark, sf).table("events", parsed=True))
     return t.select("chain", "id", "block_hash", "block_time", "x_hash", "call_name", "from", "to",
                     "amount", "fee", "success")
 
@@ -667,9 +667,9 @@ SELECT chain, event_name, sum(CAST(coalesce(json_extract_string("values", '$.amo
        count(*) AS n
 FROM o_events WHERE mod_name IN ('Balances', 'TransactionPayment') GROUP BY chain, event_name""")
 def json_amounts(spark, sf):
-    e = _t(spark, sf, "events").where(F.col("mod_name").isin("Balances", "TransactionPayment"))
-    v = F.from_json("values", "amount string, actual_fee string")      # one parse per row
-    amt = F.coalesce(v["amount"], v["actual_fee"]).try_cast("decimal(38,0)")
+    """D-17: fields of the JSON values, read from the VARIANT written at ingest."""
+    e = lake_for(spark, sf).table("events", parsed=True).where(F.col("mod_name").isin("Balances", "TransactionPayment"))
+    amt = F.coalesce(*X.json_values(True, "amount", "actual_fee")).try_cast("decimal(38,0)")
     return e.groupBy("chain", "event_name").agg(F.sum(amt).alias("total"), _count().alias("n"))
 
 
@@ -695,8 +695,8 @@ SELECT chain, CASE WHEN fee < 1000 THEN 'small' WHEN fee < 5000 THEN 'medium' EL
 FROM (SELECT chain, CAST(json_extract_string("values", '$.actual_fee') AS DECIMAL(38,0)) AS fee
       FROM o_events WHERE event_name = 'TransactionFeePaid') GROUP BY 1, 2""")
 def fee_buckets(spark, sf):
-    fee = F.get_json_object("values", "$.actual_fee").try_cast("decimal(38,0)")
-    e = _t(spark, sf, "events").where(F.col("event_name") == "TransactionFeePaid").select("chain", fee.alias("fee"))
+    fee = X.json_values(True, "actual_fee")[0].try_cast("decimal(38,0)")
+    e = lake_for(spark, sf).table("events", parsed=True).where(F.col("event_name") == "TransactionFeePaid").select("chain", fee.alias("fee"))
     bucket = F.when(F.col("fee") < 1000, "small").when(F.col("fee") < 5000, "medium").otherwise("large")
     return e.groupBy("chain", bucket.alias("bucket")).agg(_count().alias("n"), F.sum("fee").alias("total"))
 

@@ -144,13 +144,14 @@ UNION ALL SELECT 'withdraw', chain, id, amount, who FROM o_withdrawals""")
 def handlers_one_pass(spark, sf):
     """Three handlers, two of them of one event, over one scan of the events;
     their tables are written by one job and read back."""
+    transfer = X.transfer_fields(parsed=True)
     reg = (N.HandlerRegistry()
-           .register_fields("Balances", "Transfer", "transfer", X.transfer_fields())
+           .register_fields("Balances", "Transfer", "transfer", transfer)
            .register_fields("Balances", "Transfer", "outgoing", {
-               "chain": F.col("chain"), "id": F.col("id"), "who": X.transfer_fields()["from"], "amount": X.transfer_fields()["amount"]})
-           .register_fields("Balances", "Withdraw", "withdraw", X.withdrawal_fields()))
+               "chain": F.col("chain"), "id": F.col("id"), "who": transfer["from"], "amount": transfer["amount"]})
+           .register_fields("Balances", "Withdraw", "withdraw", X.withdrawal_fields(parsed=True)))
     root = work_dir(spark, "handlers") + "/tables"
-    reg.write_all(lake_for(spark, sf).table("events"), root)
+    reg.write_all(lake_for(spark, sf).table("events", parsed=True), root)
     out = None
     for name, who in (("transfer", "from"), ("outgoing", "who"), ("withdraw", "who")):
         part = reg.table(spark, root, name).select(F.lit(name).alias("handler"), "chain", "id", "amount", F.col(who).alias("who"))

@@ -28,6 +28,7 @@ from ..operators import commits, files, hash_index
 from ..operators import extract as X
 from ..operators import sink as S
 from ..sources import envelope as V
+from ..tables import PARSED
 
 TABLE_STEPS = (
     ("blocks", X.extract_headers, "number"),
@@ -80,7 +81,8 @@ def commit_batch(batch: DataFrame, batch_id: int, root: str, tables: tuple[str,
 
         def one(step):
             table, fn = step
-            return table, S._stage(S.with_order(fn(good), batch_id), S.TABLE_KEYS[table], [], f"{stage}/{table}")
+            rows = fn(good, **({"parsed": True} if table in PARSED else {}))
+            return table, S._stage(S.with_order(rows, batch_id), S.TABLE_KEYS[table], [], f"{stage}/{table}")
 
         def block_range():
             blocks = V.blocks_of(tagged.where("reason is null")).withColumn("fault", V.block_problem())

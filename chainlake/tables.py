@@ -1,7 +1,9 @@
 """The stored tables: column names and types of the layout.
 
 ``chain`` and ``block_bucket`` are partition columns; ``_batch_id`` is the
-hidden number of the batch that wrote a row.
+hidden number of the batch that wrote a row. ``PARSED`` names the hidden VARIANT
+column that holds a JSON column parsed, written once at ingest, so queries read
+fields without parsing text.
 """
 
 from __future__ import annotations
@@ -42,3 +44,11 @@ def _schema(columns: str) -> T.StructType:
 
 
 TABLES = {name: _schema(f"{cols}, {_PARTITION}") for name, cols in DDL.items()}
+
+PARSED = {"events": "values_v", "extrinsics": "call_params_v"}
+
+
+def schema_of(name: str, parsed: bool = False) -> T.StructType:
+    """A stored table's columns, with its parsed JSON column if asked."""
+    extra = [T.StructField(PARSED[name], T.VariantType())] if parsed and name in PARSED else []
+    return T.StructType(TABLES[name].fields + extra)

@@ -12,9 +12,8 @@ taken. Every run of ``RUN`` consecutive parts with at least ``SPAN_WORDS``
 words (with these sizes, every run) is hashed, and the spans are joined
 globally on the 128-bit hash.
 The first occurrence, in the order of (doc_id, text hash,
-position), stays; parts covered by any other occurrence are removed, where
-they form a stretch of at least ``MIN_WORDS`` words (so a short line that many
-documents share, such as a licence, stays).
+position), stays; parts covered by any other occurrence are removed
+(``min_words`` keeps covered stretches of fewer words; off by default).
 
 Spans with many occurrences are reduced map-side (count and first place), so
 a hot span costs one row per task; what is repeated is cut off as a table of
@@ -42,7 +41,7 @@ from .common import col_of, cut, indexed, restore
 
 RUN = 3
 SPAN_WORDS = 12
-MIN_WORDS = 25
+MIN_WORDS = 0  # every covered part goes
 LEAST_WORDS = 4  # RUN parts never hold less than SPAN_WORDS
 PIECE_WORDS = 5
 MAX_WORDS = 16

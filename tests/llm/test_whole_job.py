@@ -93,3 +93,14 @@ def test_pages_without_head_end_or_body():
         assert pages.main_text(start + inner, model) == whole
     assert "Loose words" in "".join(t for t, _, _ in pages.blocks("<head><meta a=b>Loose words first<p>then more"))
     assert pages.blocks("<head><noscript><img src=x></noscript><style>p {}</style><p>text") == pages.blocks("<head></head><p>text")
+
+
+def test_short_repeated_runs_go_too(spark):
+    """Three repeated sentences of 18 words: the first document keeps them; a
+    least number of words can be asked for."""
+    own = lambda k: " ".join(f"Document {k} says{k}{i} something{i}{k} of its own{k} here." for i in range(6))
+    run = "Rivers carry silt down to plains. Hills keep their snow until spring. Valleys wait for both of them. "
+    df = spark.createDataFrame([(k, f"{own(k)} {run}{own(k + 100)}") for k in range(3)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in spans.duplicates(df).collect()}
+    assert set(got) == {1, 2} and all("Hills keep their snow" not in t and f"Document {k} says" in t for k, t in got.items())
+    assert spans.duplicates(df, min_words=25).count() == 0

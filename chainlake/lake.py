@@ -49,6 +49,8 @@ class ChainLake:
             return X.extract_transfers(self.table("events", chain, parsed=True))
         if name == "withdrawals":
             return X.extract_withdrawals(self.table("events", chain, parsed=True))
+        if name == "raw_event":
+            self._raw_events()
         df = self.spark.read.schema(schema_of(name, parsed)).parquet(self.path(name))
         if chain is not None:
             df = df.where(F.col("chain") == chain)
@@ -71,12 +73,18 @@ class ChainLake:
     def envelopes(self) -> str:
         """JSON-lines envelope files of the fixture chains (both chains plus
         the malformed lines), written once next to the tables."""
-        path = self.path("envelopes")
+        return envelope_files(self.spark, self.sf_dir, self.root)
+
+    def _raw_events(self) -> None:
+        """Store the legacy raw events (of one chain) when they are first read:
+        most of a row are hashes, which no other table needs. Events are
+        dealt out by block before the hashes are derived."""
+        path = self.path("raw_event")
         with _LOCK:
-            if not _exists(self.spark, f"{path}/_SUCCESS"):
-                events = self.source("events")
-                fixture.write_envelope_files(events, path, FIXTURE_CHAINS)
-        return path
+            if self.sf_dir and not _exists(self.spark, f"{path}/_SUCCESS"):
+                raw = fixture.raw_event_rows(fixture.block_ranges(self.source("events"))).withColumn("chain", F.lit("polkadot")) \
+                    .withColumn("block_bucket", X.block_bucket("block_number"))
+                write_partitioned(with_order(raw, 0).drop("_pos"), path, dealt=True)
 
     def indexed(self, column: str) -> str:
         """The root of the lake, with the index of the blocks' hash column
@@ -122,7 +130,7 @@ def ingest_blocks(blocks: DataFrame, root: str, batch_id: int = 0) -> None:
     executor costs no rebuild; it is dropped at the end."""
     spark = blocks.sparkSession
     nested = f"{root}/_nested"
-    blocks.write.mode("overwrite").parquet(nested)
+    blocks.write.mode("overwrite").option("compression", "zstd").parquet(nested)
     steps = [("blocks", X.extract_headers, "number"), ("block_logs", X.extract_logs, None),
              ("extrinsics", X.extract_extrinsics, None), ("events", X.extract_events, None)]
 
@@ -161,6 +169,17 @@ def lake_root(spark: SparkSession, sf_dir: str, tag: str = "lake") -> str:
     return f"{checkpoint_dir(spark)}/chainlake/{tag}-{digest}"
 
 
+def envelope_files(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+    """The envelope files of ``sf_dir`` (see :meth:`ChainLake.envelopes`), which need
+    none of the stored tables."""
+    sf_dir = sf_dir.rstrip("/")
+    path = f"{root or lake_root(spark, sf_dir)}/envelopes"
+    with _LOCK:
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            fixture.write_envelope_files(spark.read.parquet(f"{sf_dir}/events.parquet"), path, FIXTURE_CHAINS)
+    return path
+
+
 def lake_for(spark: SparkSession, sf_dir: str) -> ChainLake:
     """Ingest the fixture chain of ``sf_dir`` once, then reuse it."""
     sf_dir = sf_dir.rstrip("/")
@@ -172,10 +191,7 @@ def lake_for(spark: SparkSession, sf_dir: str) -> ChainLake:
             return ChainLake(spark, root, sf_dir)
         if not _exists(spark, f"{root}/_DONE"):
             events = spark.read.parquet(f"{sf_dir}/events.parquet")
-            ingest_blocks(fixture.nested_blocks(events, FIXTURE_CHAINS), root)
-            raw = fixture.raw_event_rows(events).withColumn("chain", F.lit("polkadot")) \
-                .withColumn("block_bucket", X.block_bucket("block_number"))
-            write_partitioned(with_order(raw, 0).drop("_pos"), f"{root}/raw_event")
+            ingest_blocks(fixture.nested_blocks(fixture.block_ranges(events), FIXTURE_CHAINS), root)
             spark.createDataFrame([(LAKE_VERSION,)], "v string").coalesce(1) \
                 .write.mode("overwrite").text(f"{root}/_DONE")
         lake = ChainLake(spark, root, sf_dir)

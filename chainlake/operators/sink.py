@@ -146,13 +146,14 @@ def number_column(columns: list[str]) -> str | None:
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
                       sort_col: str | None = None, files_per_write: int | None = None,
-                      partition_cols: list[str] | None = None) -> None:
+                      partition_cols: list[str] | None = None, dealt: bool = False) -> None:
     """Write partitioned by (chain, block_bucket). A bucket is a fixed range
     of block numbers, so hashing on the partition columns gives tasks of
     bounded size even when one chain holds most rows (no sampling pass as a
     range shuffle would need). Rows are sorted by the block key inside each
     file, so Parquet min/max statistics prune point look-ups, and files are
-    capped at ``MAX_RECORDS_PER_FILE`` rows."""
+    capped at ``MAX_RECORDS_PER_FILE`` rows. ``dealt``: the rows lie in ranges of
+    blocks already and are not shuffled."""
     parts = partition_cols or PARTITION_COLS
     key = sort_col or number_column(df.columns)
     # Repartition by columns (no fixed count) so AQE sizes the write tasks
@@ -161,8 +162,8 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
     # a large bucket is split into units of UNIT_BLOCKS blocks, each written by
     # its own task (several bounded files per partition)
     unit = [F.floor(F.col(key) / UNIT_BLOCKS)] if key is not None else []
-    df = (df.repartition(*lead, *dict.fromkeys([*PARTITION_COLS, *parts][:2]), *unit)
-          .sortWithinPartitions(*dict.fromkeys(parts), *([key] if key is not None else [])))
+    df = df if dealt else df.repartition(*lead, *dict.fromkeys([*PARTITION_COLS, *parts][:2]), *unit)
+    df = df.sortWithinPartitions(*dict.fromkeys(parts), *([key] if key is not None else []))
     _writer(df).mode(mode).partitionBy(*parts).parquet(path)
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codec as C
-from ..lake import FIXTURE_CHAINS, lake_for
+from ..lake import FIXTURE_CHAINS, envelope_files, lake_for
 from ..operators import extract as X
 from ..sources import envelope as V
 from ..sources import fixture
@@ -22,7 +22,7 @@ def _nested(spark, sf):
 
 
 def _envelopes(spark, sf):
-    return V.read_envelopes(spark, lake_for(spark, sf).envelopes())
+    return V.read_envelopes(spark, envelope_files(spark, sf))
 
 
 # --- extraction straight from nested blocks (X-01 … X-09) -------------------

@@ -15,7 +15,7 @@ from ..sources import fixture
 from ..streaming import ingest as I
 from .q_analytics import _FEE_SQL, _INTERVAL_SQL
 from .q_sink import work_dir
-from .q_stream import _land
+from .q_stream import _ordered_source
 from .registry import query
 
 KEYS = ["chain", "block_number", "extrinsic_index"]
@@ -126,8 +126,7 @@ def stream_hash_index(spark, sf):
     """The index of block hashes kept in the same commits as the blocks, partly
     folded; every stored block is found through it at its place."""
     root = work_dir(spark, "stream-index")
-    blocks = fixture.nested_blocks(spark.read.parquet(f"{sf}/events.parquet"), FIXTURE_CHAINS)
-    per_trigger = _land(spark, fixture.wire_lines(blocks), f"{root}/_source")
+    src, _, per_trigger = _ordered_source(spark, sf, root)
     run = lambda ckpt: I.run_to_end(I.start_chain(
         spark, f"{root}/_source", root, f"{root}/{ckpt}", max_files=2 * per_trigger, tables=("blocks",), stream="indexed", indexes=("hash",)))
     run("_checkpoint")

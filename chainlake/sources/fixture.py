@@ -6,10 +6,12 @@ falls in), so the DuckDB oracle states the same formulas in SQL
 ``k % 20``, extrinsic index ``(k % 20) div 4``.
 
 Scale notes: the per-event derivation is a narrow projection. Building the
-nested block is one ``groupBy(chain, block_number)``; a block holds at most
+nested block is one ``groupBy(block_number)``; a block holds at most
 ``EVENTS_PER_BLOCK`` events by the rule above, so the collected list per
-group is bounded no matter how large ``events`` grows, and the partial
-aggregate runs map-side before the shuffle.
+group is bounded no matter how large ``events`` grows. Chains share the
+groups. Where everything is written out (:func:`block_ranges`) the plain event
+rows are dealt out by block, and hashes and JSON are derived after that
+shuffle: they are many times the size of what they are derived from.
 """
 
 from __future__ import annotations
@@ -105,20 +107,38 @@ def event_rows(events: DataFrame) -> DataFrame:
     return df.withColumn("values", values).drop("props")
 
 
-def _chain_rows(ev: DataFrame, chains: tuple[str, ...]) -> DataFrame:
-    """Tag rows with their chain(s): polkadot carries every block, kusama
-    the blocks with ``B % 2 = 0``. One pass, no union of two scans."""
+BLOCK_OF_EVENT = f"event_id div {EVENTS_PER_BLOCK}"
+TASK_EVENTS = 100_000  # events that a task derives at once, about
+
+
+def block_ranges(events: DataFrame, count: int | None = None) -> DataFrame:
+    """``events`` dealt out by ranges of blocks, ``count`` of them or one for
+    about ``TASK_EVENTS`` events; what is grouped by block after it is not
+    shuffled again."""
+    if count is None:
+        count = max(1, -(-events.count() // TASK_EVENTS))
+    return events.repartitionByRange(count, F.expr(BLOCK_OF_EVENT))
+
+
+def _chain_tags(chains: tuple[str, ...]) -> Column:
+    """The chains that carry a block, by name."""
     tags = []
-    for c in chains:
+    for c in sorted(chains):
         if c == "polkadot":
             tags.append(F.lit(c))
         elif c == "kusama":
             tags.append(F.when(F.col("block_number") % KUSAMA_MOD == 0, F.lit(c)))
         else:
             raise ValueError(f"unknown fixture chain {c!r}")
-    if len(tags) == 1 and chains[0] == "polkadot":
-        return ev.withColumn("chain", F.lit("polkadot"))
-    return (ev.withColumn("chain", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull()))))
+    return F.filter(F.array(*tags), lambda x: x.isNotNull())
+
+
+def _chain_rows(rows: DataFrame, chains: tuple[str, ...]) -> DataFrame:
+    """Tag rows with their chain(s): polkadot carries every block, kusama
+    the blocks with ``B % 2 = 0``. One pass, no union of two scans."""
+    if tuple(chains) == ("polkadot",):
+        return rows.withColumn("chain", F.lit("polkadot"))
+    return rows.withColumn("chain", F.explode(_chain_tags(chains)))
 
 
 def _h(prefix: Column, *parts) -> Column:
@@ -126,15 +146,20 @@ def _h(prefix: Column, *parts) -> Column:
     return sha256_bytes(F.concat(prefix, *[p if isinstance(p, Column) else F.lit(p) for p in parts]))
 
 
-def nested_blocks(events: DataFrame, chains: tuple[str, ...] = ("polkadot",)) -> DataFrame:
-    """One row per block: ``chain, block_number, header, body{extrinsics,
-    events}, logs`` - the in-memory shape of a decoded finalized block."""
-    ev = _chain_rows(event_rows(events), chains)
-    grouped = ev.groupBy("chain", "block_number").agg(
+def grouped_events(events: DataFrame, chains: tuple[str, ...]) -> DataFrame:
+    """``block_number, ts_ms, evs, chain``: the events of each block, once per
+    chain that carries it."""
+    grouped = event_rows(events).groupBy("block_number").agg(
         F.max("ts_ms").alias("ts_ms"),
         F.collect_list(F.struct("event_index", "extrinsic_index", "phase", "mod_name",
                                 "event_name", "values")).alias("evs"))
-    return block_structs(grouped)
+    return _chain_rows(grouped, chains)
+
+
+def nested_blocks(events: DataFrame, chains: tuple[str, ...] = ("polkadot",)) -> DataFrame:
+    """One row per block: ``chain, block_number, header, body{extrinsics,
+    events}, logs`` - the in-memory shape of a decoded finalized block."""
+    return block_structs(grouped_events(events, chains))
 
 
 def block_structs(grouped: DataFrame) -> DataFrame:
@@ -303,13 +328,13 @@ def to_wire(blocks: DataFrame, order: Column | None = None) -> DataFrame:
         (F.col("block_number") if order is None else order).alias("_order"))
 
 
-def bad_lines(events: DataFrame) -> DataFrame:
-    """``(value, _order)``: malformed input derived from the blocks. Blocks with
-    ``B % 37 = 5`` add an envelope that is refused, of the kind
-    ``(B div 37) % 6``; blocks with ``B % 41 = 7`` add one whose block is
-    quarantined, of the kind ``(B div 41) % 3``."""
-    b = events.select(F.expr(f"event_id div {EVENTS_PER_BLOCK}").alias("B")).distinct()
-    n = _s(F.col("B"))
+def bad_lines(number: str) -> Column:
+    """The lines of malformed input that a block ``B`` (column ``number``) adds, as
+    an array: an envelope that is refused where ``B % 37 = 5``, of the kind
+    ``(B div 37) % 6``; one whose block is quarantined where ``B % 41 = 7``, of the
+    kind ``(B div 41) % 3``."""
+    B = F.col(number)
+    n = _s(B)
     empty = '"polkadot_blocks": []}'
     kinds = [F.concat(F.lit("this is not json "), n),
              F.lit('{"chain": "Polkadot", "chain_kind": "Polkadot", "polkadot_blocks": null}'),
@@ -328,11 +353,11 @@ def bad_lines(events: DataFrame) -> DataFrame:
     whole = F.concat(F.lit("["), full, F.lit("]"))
     faults = [block(F.lit("null"), whole, whole), block(n, F.lit("[1]"), whole), block(n, whole, F.lit("null"))]
     pick = lambda options, i: F.get(F.array(*options), i)
-    refused = b.where(F.col("B") % BAD_ENVELOPE_MOD == BAD_ENVELOPE_REM).select(
-        pick(kinds, F.expr(f"cast((B div {BAD_ENVELOPE_MOD}) % 6 as int)")).alias("value"), F.col("B").alias("_order"))
-    bad = b.where(F.col("B") % BAD_BLOCK_MOD == BAD_BLOCK_REM).select(
-        pick(faults, F.expr(f"cast((B div {BAD_BLOCK_MOD}) % 3 as int)")).alias("value"), F.col("B").alias("_order"))
-    return refused.unionByName(bad)
+    refused = F.when(B % BAD_ENVELOPE_MOD == BAD_ENVELOPE_REM,
+                     pick(kinds, F.expr(f"cast((`{number}` div {BAD_ENVELOPE_MOD}) % 6 as int)")))
+    bad = F.when(B % BAD_BLOCK_MOD == BAD_BLOCK_REM,
+                 pick(faults, F.expr(f"cast((`{number}` div {BAD_BLOCK_MOD}) % 3 as int)")))
+    return F.array_sort(F.filter(F.array(refused, bad), lambda x: x.isNotNull()))
 
 
 def wire_lines(blocks: DataFrame, order: Column | None = None) -> DataFrame:
@@ -345,16 +370,40 @@ def wire_lines(blocks: DataFrame, order: Column | None = None) -> DataFrame:
 def write_envelope_files(events: DataFrame, path: str, chains: tuple[str, ...] = ("polkadot",),
                          with_bad: bool = True) -> str:
     """Write the fixture chain as JSON-lines envelope files (the ingest
-    source format), range-partitioned by block number: a file is a contiguous
-    block range and file names follow block order, like a chain follower's.
-    Spark chooses the number of files by size."""
-    lines = wire_lines(nested_blocks(events, chains))
+    source format): a file is a contiguous block range and file names follow
+    block order, like a chain follower's (see :func:`file_count`)."""
+    write_in_block_order(events, path, chains, file_count(events, chains), with_bad)
+    return path
+
+
+FILE_EVENTS = 1_000_000  # events of one file, at most about
+LEAST_FILES = 12
+
+
+def file_count(events: DataFrame, chains: tuple[str, ...], least: int = LEAST_FILES) -> int:
+    """Files grow with the input up to ``FILE_EVENTS`` events, then their number."""
+    weight = sum(1 if c == "polkadot" else 1 / KUSAMA_MOD for c in chains)
+    return max(least, -int(-events.count() * weight // FILE_EVENTS))
+
+
+def write_in_block_order(events: DataFrame, path: str, chains: tuple[str, ...], count: int,
+                         with_bad: bool = False) -> None:
+    """The blocks' envelope lines in ``count`` files in block order. The plain
+    events are dealt out by block and the blocks sorted before their lines are
+    written as JSON, so neither shuffle nor sort carries the lines."""
+    grouped = grouped_events(block_ranges(events, count), chains).sortWithinPartitions("block_number", "chain")
+    # the wire form has the title for the chain; bad lines stand before their block's first line
+    wire = to_wire(block_structs(grouped))
+    value = F.to_json(F.struct("chain", "chain_kind", "polkadot_blocks"))
     if with_bad:
-        lines = lines.unionByName(bad_lines(events))
-    (lines.repartitionByRange("_order").sortWithinPartitions("_order", "value").select("value")
-     .write.mode("overwrite").text(path))
+        titles = F.transform(_chain_tags(chains), lambda c: F.initcap(c))
+        wire = wire.withColumnRenamed("_order", "block_number").withColumn("_first", F.col("chain") == F.get(titles, F.lit(0)))
+        bad = F.when(F.col("_first"), bad_lines("block_number")).otherwise(F.array().cast("array<string>"))
+        lines = wire.select(F.explode(F.concat(bad, F.array(value))).alias("value"))
+    else:
+        lines = wire.select(value.alias("value"))
+    lines.write.mode("overwrite").text(path)
     stamp_in_order(events.sparkSession, path)
-    return path
 
 
 def stamp_in_order(spark, path: str) -> None:

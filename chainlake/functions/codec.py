@@ -50,13 +50,11 @@ def bytes_from_ints(a) -> Column:
 
 
 def ints_from_bytes(b) -> Column:
-    """BINARY -> array of byte values 0..255 (result encoding of BYTEA)."""
+    """BINARY -> array of byte values 0..255 (result encoding of BYTEA): the
+    code points of the bytes read as Latin-1."""
     b = _c(b)
-    h = F.hex(b)
-    idx = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)) \
-        .otherwise(F.array().cast("array<int>"))
-    return F.when(b.isNotNull(), F.transform(
-        idx, lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    values = F.transform(F.split(F.decode(b, "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    return F.when(b.isNotNull(), F.when(F.length(b) > 0, values).otherwise(F.array().cast("array<int>")))
 
 
 # S-03 -------------------------------------------------------------------

@@ -30,6 +30,13 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     return [n for n in names(spark, path) if not n.startswith(("_", "."))]
 
 
+def data_sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """The bytes of each data file of a folder, by name."""
+    fs, p = fs_of(spark, path)
+    found = {st.getPath().getName(): st.getLen() for st in fs.listStatus(p)} if fs.exists(p) else {}
+    return {n: found[n] for n in sorted(found) if not n.startswith(("_", "."))}
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = fs_of(spark, path)
     fs.delete(p, True)

@@ -137,6 +137,9 @@ MAX_RECORDS_PER_FILE = 2_000_000
 # reader skip row groups for a hash look-up.
 BLOOM_COLUMNS = ("hash", "extrinsic_hash", "parent_hash")
 UNIT_BLOCKS = 10_000  # block numbers of a unit: what one task writes, and an upsert's least range
+MERGE_KEYS = 1_000_000  # keys of a batch that a merge sends to all tasks at once, at most
+MERGE_BYTES = 4_000_000  # stored bytes of a unit from which on a merge leaves rows in their places
+MERGE_FILES = 8  # stored files of a unit that a merge rewrites one by one; more are put together
 
 
 def number_column(columns: list[str]) -> str | None:
@@ -181,14 +184,16 @@ _ACTIVE: set[str] = set()  # staging folders that a thread of this process is at
 
 
 def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | None = None,
-           commit: str | None = None, digest: str | None = None, feed: list[str] | None = None) -> dict:
+           commit: str | None = None, digest: str | None = None, feed: list[str] | None = None,
+           dealt: bool = False) -> dict:
     """Merge ``batch`` (stamped by :func:`with_order`) into the Parquet table at
     ``path``. Columns in ``keep_old`` keep their first written value, inside
     the batch too. ``commit`` names the batch (its stream and number): under a
     name, the same content (``digest``, computed if not given) is applied
     exactly once, see the module's docstring. ``feed``: columns whose values
-    before and after the batch are kept for :func:`changes`. Returns the number
-    of keys inserted and updated (IO-18)."""
+    before and after the batch are kept for :func:`changes`. ``dealt``: the rows
+    lie in ranges of blocks already and are not shuffled by unit again. Returns
+    the number of keys inserted and updated (IO-18)."""
     spark = batch.sparkSession
     order = keep_old or []
     finish_pending(spark, path)
@@ -201,7 +206,7 @@ def upsert(batch: DataFrame, path: str, keys: list[str], keep_old: list[str] | N
     stage = f"{path}__staging/{uuid.uuid4().hex}"
     _ACTIVE.add(stage)
     try:
-        staged = _stage(batch, keys, order, stage, digest=log is not None and digest is None)
+        staged = _stage(batch, keys, order, stage, digest=log is not None and digest is None, dealt=dealt)
         digest = digest or staged["digest"]
         with _LOCKS[path]:
             plan = plan_swap(spark, path, staged, keys, order, feed)
@@ -253,14 +258,18 @@ def deduplicated(batch: DataFrame, keys: list[str], keep_old: list[str]) -> Data
     return latest(batch, keys, order=["_pos"], keep_old=keep_old, first_order=["_pos"]).drop("_pos")
 
 
-def _stage(batch: DataFrame, keys: list[str], keep_old: list[str], stage: str, digest: bool = False) -> dict:
+def _stage(batch: DataFrame, keys: list[str], keep_old: list[str], stage: str, digest: bool = False,
+           dealt: bool = False) -> dict:
     """Write the batch's last row per key below ``<stage>/data/new``, in the final
     layout; what was staged, as :func:`plan_swap` takes it, with a digest of the
     rows if asked. Rows are shuffled once, by unit: a key lies in one unit, so
-    the last row per key is found where the unit is written."""
+    the last row per key is found where the unit is written. Rows that are
+    ``dealt`` out by block are not, if their keys hold the block."""
     number = number_column(batch.columns)
     place = [*PARTITION_COLS, "_unit"]
-    units = batch.withColumn("_unit", _unit_of(number)).repartition(*place)
+    units = batch.withColumn("_unit", _unit_of(number))
+    if not dealt:
+        units = units.repartition(*place)
     new = deduplicated(units, list(dict.fromkeys([*place, *keys])), keep_old).select(
         *[c for c in batch.columns if c != "_pos"], "_unit")
     _writer(new.sortWithinPartitions(*place, *([number] if number else []))).partitionBy(*place).parquet(f"{stage}/data/new")
@@ -280,7 +289,8 @@ def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], kee
               feed: list[str] | None = None) -> dict:
     """How the table at ``path`` takes in what was staged: files to move, files
     to drop, keys inserted and updated. Merged units are written below
-    ``<stage>/data/merged``."""
+    ``<stage>/data/merged`` and, where stored rows stay in their places,
+    ``<stage>/data/rest<i>`` (see :func:`_rest_in_place`)."""
     stage, schema, number, gained = staged["stage"], staged["schema"], staged["number"], staged["units"]
     new = staged_rows(spark, staged)
     total = sum(u["n"] for u in gained)
@@ -293,7 +303,11 @@ def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], kee
                if f["unit"] is None or f["unit"] == u["unit"] and f["lo"] <= u["hi"] and u["lo"] <= f["hi"]]
         if hit:
             meets[u["bucket"], u["unit"]] = hit
-    updated, drops, merged, old = 0, [], [], None
+    updated, drops, moves, old = 0, [], [], None
+    tag = uuid.uuid4().hex[:8]
+
+    def moves_of(part):
+        return _moves(spark, f"{stage}/data/{part}", path, _units(staged_rows(spark, staged, part), number), tag)
     if meets:
         old = _files_of(spark, path, schema, {f["path"] for hit in meets.values() for f in hit})
         hits = (new.join(old.select(*keys, F.lit(1).alias("_hit")), keys).groupBy(*PARTITION_COLS, _unit_of(number).alias("_unit"))
@@ -304,16 +318,27 @@ def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], kee
         drops = sorted({f["path"] for c in conflict for f in meets[c]})
     if drops:
         replaced = _files_of(spark, path, schema, drops)
-        inside = F.concat_ws("|", *PARTITION_COLS, _unit_of(number)).isin(
-            sorted("|".join(str(v) for v in (*b, u)) for b, u in conflict))
-        rows = new.where(inside)
+
+        def inside(units):
+            return F.concat_ws("|", *PARTITION_COLS, _unit_of(number)).isin(
+                sorted("|".join(str(v) for v in (*b, u)) for b, u in units))
+        rows = new.where(inside(conflict))
         if keep_old:
             kept = replaced.select(*keys, F.struct(*keep_old).alias("_old"))
             rows = rows.join(kept, keys, "left").withColumns({
                 c: F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in keep_old}).drop("_old")
-        rest = replaced.join(new.select(*keys), keys, "left_anti")
-        _write_units(rows.select(*rest.columns).unionByName(rest), f"{stage}/data/merged", number)
-        merged = _units(staged_rows(spark, staged, "merged"), number)
+        rows = rows.select(*schema.names)
+        kept_places, shuffled = _rest_in_place([u for u in gained if (u["bucket"], u["unit"]) in conflict], meets, number in keys)
+        for i, (names, units) in enumerate(kept_places):
+            mine = new.where(inside(units)).select(*keys)
+            rest = _files_of(spark, path, schema, names).join(F.broadcast(mine), keys, "left_anti").select(*schema.names)
+            _write_units(rest, f"{stage}/data/rest{i}", number, dealt=True)
+            moves += moves_of(f"rest{i}")
+        if shuffled:
+            rest = _files_of(spark, path, schema, shuffled).join(new.select(*keys), keys, "left_anti")
+            rows = rows.unionByName(rest.select(*schema.names))
+        _write_units(rows, f"{stage}/data/merged", number)
+        moves += moves_of("merged")
         gained = [u for u in gained if (u["bucket"], u["unit"]) not in conflict]
     if feed is not None:
         rows = new.select(*keys, F.struct(*feed).alias("after"))
@@ -321,9 +346,36 @@ def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], kee
         rows = (rows.join(old.select(*keys, F.struct(*feed).alias("before")), keys, "left") if old is not None
                 else rows.withColumn("before", F.lit(None).cast(kind)))
         rows.write.parquet(f"{stage}/feed")
-    tag = uuid.uuid4().hex[:8]
-    return {"moves": _moves(spark, f"{stage}/data/new", path, gained, tag) + _moves(spark, f"{stage}/data/merged", path, merged, tag),
-            "drops": drops, "counts": {"inserted": total - updated, "updated": updated}}
+    return {"moves": _moves(spark, f"{stage}/data/new", path, gained, tag) + moves, "drops": drops,
+            "counts": {"inserted": total - updated, "updated": updated}}
+
+
+def _rest_in_place(units: list[dict], meets: dict, by_block: bool) -> tuple[list[tuple[list[str], list]], list[str]]:
+    """How the stored rows of conflicting ``units`` lose the keys that a batch
+    brings: groups of files, with their buckets and units, that are each written
+    anew where they are read, since the group's keys (``MERGE_KEYS`` at
+    most) fit into every task; and the files whose rows are shuffled and put
+    together with the batch's. These are small units, units of many files or
+    keys, files that hold several units, and tables whose keys (not
+    ``by_block``) don't hold the block number."""
+    groups, shuffled, left = [], set(), 0
+    for u in units:
+        hit = meets[u["bucket"], u["unit"]]
+        small = sum(f["size"] for f in hit) < MERGE_BYTES
+        if not by_block or small or len(hit) > MERGE_FILES or u["n"] > MERGE_KEYS or any(f["unit"] is None for f in hit):
+            shuffled |= {f["path"] for f in hit}
+    for u in units:
+        names = [f["path"] for f in meets[u["bucket"], u["unit"]]]
+        if shuffled.intersection(names):
+            shuffled |= set(names)
+            continue
+        if not groups or u["n"] > left:
+            groups.append(([], []))
+            left = MERGE_KEYS
+        groups[-1][0].extend(names)
+        groups[-1][1].append((u["bucket"], u["unit"]))
+        left -= u["n"]
+    return groups, sorted(shuffled)
 
 
 def _files_of(spark: SparkSession, path: str, schema, names) -> DataFrame:
@@ -334,8 +386,8 @@ def _unit_of(number: str | None) -> F.Column:
     return F.floor(F.col(number) / UNIT_BLOCKS).cast("bigint") if number else F.lit(0).cast("bigint")
 
 
-def _write_units(rows: DataFrame, path: str, number: str | None) -> None:
-    write_partitioned(rows.withColumn("_unit", _unit_of(number)), path, partition_cols=[*PARTITION_COLS, "_unit"])
+def _write_units(rows: DataFrame, path: str, number: str | None, dealt: bool = False) -> None:
+    write_partitioned(rows.withColumn("_unit", _unit_of(number)), path, partition_cols=[*PARTITION_COLS, "_unit"], dealt=dealt)
 
 
 def _units(rows: DataFrame, number: str | None, digest: bool = False) -> list[dict]:
@@ -352,11 +404,11 @@ def _unit_files(spark: SparkSession, folder: str) -> list[dict]:
     """The data files of a partition; unit and block range by name, None for
     files that were not named by an upsert."""
     out = []
-    for name in files.data_files(spark, folder):
+    for name, size in files.data_sizes(spark, folder).items():
         tag = name.split("_", 4)
         known = name.startswith("unit_") and len(tag) == 5
         unit, lo, hi = (int(v) for v in tag[1:4]) if known else (None, None, None)
-        out.append({"path": f"{folder}/{name}", "unit": unit, "lo": lo, "hi": hi})
+        out.append({"path": f"{folder}/{name}", "unit": unit, "lo": lo, "hi": hi, "size": size})
     return out
 
 

@@ -32,11 +32,11 @@ def _blocks(spark, sf):
     return blocks, fixture.redelivery(blocks)
 
 
-def _upsert_twice(base, redo, path, keys, keep_old=None):
-    S.upsert(base, path, keys, keep_old, commit="base-0")
-    S.upsert(redo, path, keys, keep_old, commit="redo-1")
-    S.upsert(redo, path, keys, keep_old, commit="redo-1")      # replay of the same batch: no change
-    S.upsert(redo, path, keys, keep_old)                       # the same rows as a new batch: no change
+def _upsert_twice(base, redo, path, keys, keep_old=None, dealt=False):
+    S.upsert(base, path, keys, keep_old, commit="base-0", dealt=dealt)
+    S.upsert(redo, path, keys, keep_old, commit="redo-1", dealt=dealt)
+    S.upsert(redo, path, keys, keep_old, commit="redo-1", dealt=dealt)      # replay of the same batch: no change
+    S.upsert(redo, path, keys, keep_old, dealt=dealt)                       # the same rows as a new batch: no change
 
 
 _BLOCKS_AFTER_SQL = """
@@ -131,7 +131,7 @@ def upsert_counts(spark, sf):
 
 # --- legacy partial upserts / insert-only (IO-11 … IO-13) -----------------------------
 def _raw(spark, sf):
-    raw = X.extract_raw_events(fixture.raw_event_rows(spark.read.parquet(f"{sf}/events.parquet")))
+    raw = X.extract_raw_events(fixture.raw_event_rows(fixture.block_ranges(spark.read.parquet(f"{sf}/events.parquet"))))
     return (raw.withColumn("chain", F.lit("polkadot"))
             .withColumn("block_bucket", X.block_bucket("block_number")))
 
@@ -151,7 +151,7 @@ def upsert_raw_event_partial(spark, sf):
             .withColumn("event_name", F.upper("event_name")))
     path = work_dir(spark, "upsert-raw") + "/raw_event"
     _upsert_twice(S.with_order(raw, 0, "index"), S.with_order(redo, 1, "index"), path,
-                  S.TABLE_KEYS["raw_event"], keep_old=["block_time", "pallet_index"])
+                  S.TABLE_KEYS["raw_event"], keep_old=["block_time", "pallet_index"], dealt=True)
     return spark.read.parquet(path).select("block_number", "index", "block_time", "pallet_index",
                                            "event_name", "topic0")
 

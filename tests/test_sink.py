@@ -2,8 +2,10 @@
 first value, insert-only reports conflicts, order of non-conflicting input
 does not matter."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from chainlake.operators import extract as X
 from chainlake.operators import sink as S
 
 
@@ -201,3 +203,50 @@ def test_swapped_files_keep_the_layout(spark, tmp_path):
     meta = pq.ParquetFile(files[0]).metadata
     assert meta.row_group(0).column(0).compression == "ZSTD"
     assert pq.read_table(files[0])["number"].to_pylist() == list(range(1, 51))
+
+
+# --- a merge leaves stored rows where they are ---------------------------------------
+def _numbered(spark, lo, hi, tag, batch, step=1):
+    rows = spark.range(lo, hi, step, 3).select(
+        F.lit("polkadot").alias("chain"), F.col("id").alias("block_number"), F.lit(0).alias("index"),
+        F.lit(tag).alias("value"), F.concat(F.lit(tag), F.col("id")).alias("first"))
+    return S.with_order(rows.withColumn("block_bucket", X.block_bucket("block_number")), batch, "index")
+
+
+def _stored(spark, path):
+    return {r.block_number: (r.value, r.first) for r in spark.read.parquet(path).collect()}
+
+
+@pytest.mark.parametrize("keys_at_once,files_of_a_unit", [(1_000_000, 8), (150, 8), (5, 8), (1_000_000, 0)])
+def test_merge_in_place_equals_shuffled_merge(spark, tmp_path, monkeypatch, keys_at_once, files_of_a_unit):
+    monkeypatch.setattr(S, "UNIT_BLOCKS", 100)
+    monkeypatch.setattr(S, "MERGE_KEYS", keys_at_once)
+    monkeypatch.setattr(S, "MERGE_FILES", files_of_a_unit)
+    monkeypatch.setattr(S, "MERGE_BYTES", 0)
+    path, keys = str(tmp_path / "t"), ["chain", "block_number", "index"]
+    S.upsert(_numbered(spark, 0, 1000, "a", 0), path, keys, ["first"], dealt=True)
+    for _ in range(2):
+        counts = S.upsert(_numbered(spark, 300, 1100, "b", 1, 10), path, keys, ["first"], dealt=True)
+    assert counts == {"inserted": 0, "updated": 80}
+    want = {n: ("a", f"a{n}") for n in range(1000)} | {n: ("b", f"a{n}" if n < 1000 else f"b{n}") for n in range(300, 1100, 10)}
+    assert _stored(spark, path) == want
+    assert spark.read.parquet(path).count() == len(want)
+
+
+def test_merge_and_dealt_rows_shuffle_no_stored_rows(spark, tmp_path, monkeypatch):
+    plans = []
+    write = S.write_partitioned
+
+    def seen(df, *args, **options):
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), options.get("dealt")))
+        write(df, *args, **options)
+    monkeypatch.setattr(S, "write_partitioned", seen)
+    monkeypatch.setattr(S, "MERGE_BYTES", 0)
+    path, keys = str(tmp_path / "t"), ["chain", "block_number", "index"]
+    S.upsert(_numbered(spark, 0, 1000, "a", 0), path, keys, ["first"])
+    S.upsert(_numbered(spark, 0, 1000, "b", 1, 10), path, keys, ["first"])
+    rest = [p for p, dealt in plans if dealt]
+    assert len(plans) == 2 and len(rest) == 1
+    assert "BroadcastHashJoin" in rest[0] and "Exchange hashpartitioning" not in rest[0]
+    dealt = S.deduplicated(_numbered(spark, 0, 1000, "a", 0).repartitionByRange(4, "block_number"), keys, ["first"])
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1

@@ -43,10 +43,12 @@ def sha256_0x(s) -> Column:
 
 # S-02 / S-13 --------------------------------------------------------------
 def bytes_from_ints(a) -> Column:
-    """Wire form of ``Vec<u8>`` (array of 0..255 numbers) -> BINARY."""
+    """Wire form of ``Vec<u8>`` (array of 0..255 numbers) -> BINARY: a look-up per
+    number; numbers that are no bytes are spelled out."""
     a = _c(a)
-    return F.unhex(F.array_join(
-        F.transform(a, lambda x: F.lpad(F.lower(F.hex(x.cast("int"))), 2, "0")), ""))
+    digits = F.array(*[F.lit(f"{i:02x}") for i in range(256)])
+    return F.unhex(F.array_join(F.transform(a, lambda x: F.coalesce(
+        F.get(digits, x.cast("int")), F.lpad(F.lower(F.hex(x.cast("int"))), 2, "0"))), ""))
 
 
 def ints_from_bytes(b) -> Column:

@@ -65,12 +65,19 @@ def extract_headers(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _items(blocks: DataFrame, cols: list[Column], items: str, pos: str, out: str) -> DataFrame:
+    """``cols`` and one row per item of the array ``items``, with its position.
+    An inner ``posexplode`` lets Spark filter empty arrays first, which derives
+    the array twice more where it is not stored; the outer form does not, and the
+    rows it adds for empty arrays have no position."""
+    return blocks.select(*cols, F.posexplode_outer(F.col(items)).alias(pos, out)).where(F.col(pos).isNotNull())
+
+
 # X-06 / N-02 ---------------------------------------------------------------
 def extract_logs(blocks: DataFrame) -> DataFrame:
     """Digest items, indexed by position; an empty list gives no rows."""
     bn = _bn(blocks)
-    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
-                          F.posexplode(F.col("logs")).alias("pos", "log"))
+    return (_items(blocks, [_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks)], "logs", "pos", "log")
             .select(
                 "chain",
                 item_id(F.col("block_number"), F.col("pos")).alias("id"),
@@ -108,9 +115,8 @@ def extract_extrinsics(blocks: DataFrame, success_scope: str = "extrinsic", pars
     the reference's never-reset flag produces (N-01)."""
     bn = _bn(blocks)
     x = F.col("x")
-    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
-                          ok_indexes(F.col("body.events")).alias("_ok"),
-                          F.posexplode(F.col("body.extrinsics")).alias("extrinsic_index", "x"))
+    return (_items(blocks, [_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
+                            ok_indexes(F.col("body.events")).alias("_ok")], "body.extrinsics", "extrinsic_index", "x")
             .select(
                 "chain",
                 item_id(F.col("block_number"), F.col("extrinsic_index")).alias("id"),
@@ -136,9 +142,8 @@ def extract_events(blocks: DataFrame, parsed: bool = False) -> DataFrame:
     outside extrinsics (phase 1 or 2) has no extrinsic id and no success."""
     bn = _bn(blocks)
     e = F.col("e")
-    return (blocks.select(_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
-                          ok_indexes(F.col("body.events")).alias("_ok"),
-                          F.explode(F.col("body.events")).alias("e"))
+    return (_items(blocks, [_chain(blocks).alias("chain"), bn.alias("block_number"), *_src(blocks),
+                            ok_indexes(F.col("body.events")).alias("_ok")], "body.events", "_at", "e")
             .select(
                 "chain",
                 item_id(F.col("block_number"), e["event_index"]).alias("id"),

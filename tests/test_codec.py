@@ -101,3 +101,12 @@ def test_name_map_rows_and_quirk(spark):
     quirk = {(r["mod_name"], r["event_name"]): r["canonical_event"]
              for r in N.canonical_event_name(ev, reference_quirk=True).collect()}
     assert quirk[("Balances", "Upgraded")] == "ReserveRepatriated"
+
+
+def test_bytes_from_ints_looks_bytes_up_and_spells_out_the_rest(spark):
+    rows = [(None,), ([],), (list(range(256)),), ([0, None, 255],), ([7, 256, 300, -1, 12],)]
+    df = spark.createDataFrame(rows, "a array<smallint>").select(
+        C.bytes_from_ints("a").alias("new"),
+        F.expr("unhex(array_join(transform(a, x -> lpad(lower(hex(cast(x as int))), 2, '0')), ''))").alias("spelled"))
+    got = [(r.new, r.spelled) for r in df.collect()]
+    assert all(a == b for a, b in got) and got[2][0] == bytearray(range(256))

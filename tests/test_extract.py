@@ -162,3 +162,15 @@ def test_wire_engine_is_text_and_bad_envelopes_are_refused(spark, tmp_path):
     assert sorted(r.reason for r in bad.collect()) == ["missing_chain", "missing_chain_kind", "unknown_chain", "unparseable"]
     logs = X.extract_logs(V.blocks_of(ok)).orderBy("log_index").collect()
     assert [(r.type, r.engine, r.data) for r in logs] == [("Seal", "BABE", "0x01ff"), ("Other", None, None)]
+
+
+def test_items_that_are_derived_are_derived_once(spark):
+    item = "struct(cast(1 as bigint) as event_index, cast(0 as bigint) as extrinsic_index, 'System' as mod_name, 'ExtrinsicSuccess' as event_name, " \
+           "0 as phase, '{}' as values, cast(5 as bigint) as block_timestamp, cast('x' as binary) as extrinsic_hash)"
+    blocks = spark.range(3).selectExpr(
+        "'c' as chain", "id as block_number", f"named_struct('events', transform(sequence(1, cast(id as int), 1), i -> {item})) as body").where(
+        "block_number > 0").unionByName(spark.sql(f"select 'c' as chain, cast(9 as bigint) as block_number, "
+                                                  f"named_struct('events', slice(array({item}), 1, 0)) as body"))
+    assert sorted(r.block_number for r in X.extract_events(blocks).collect()) == [1, 2, 2]   # an empty list gives no rows
+    plan = X.extract_events(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan.replace("array_size(", "")

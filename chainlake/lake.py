@@ -20,7 +20,7 @@ from .operators import extract as X
 from .operators import analytics as A
 from .operators import bucketed, files, hash_index, rollups
 from .operators.files import delete as _delete, exists as _exists, fs_of as _fs, names as _names
-from .operators.sink import with_order, write_partitioned
+from .operators.sink import UNIT_BLOCKS, with_order, write_partitioned
 from .session import checkpoint_dir
 from .sources import fixture
 from .tables import PARSED, TABLES, schema_of
@@ -123,25 +123,31 @@ class ChainLake:
             view_lake.table(name, chain).createOrReplaceTempView(name)
 
 
-def ingest_blocks(blocks: DataFrame, root: str, batch_id: int = 0) -> None:
+def ingest_blocks(blocks: DataFrame, root: str, batch_id: int = 0, dealt: bool = False) -> None:
     """Batch ingest: nested blocks -> the four stored tables (IO-15 order:
     header, logs, extrinsics, events). The nested rows are built once, as a
     table in the shared folder that the four extractions read, so a lost
-    executor costs no rebuild; it is dropped at the end."""
+    executor costs no rebuild; it is dropped at the end. Blocks that are
+    ``dealt`` out by ranges of their numbers are not stored: each table derives
+    its own part of them and is written where its rows lie, so only what the
+    blocks are made of is shuffled."""
     spark = blocks.sparkSession
     nested = f"{root}/_nested"
-    blocks.write.mode("overwrite").option("compression", "zstd").parquet(nested)
+    if not dealt:
+        blocks.write.mode("overwrite").option("compression", "zstd").parquet(nested)
     steps = [("blocks", X.extract_headers, "number"), ("block_logs", X.extract_logs, None),
              ("extrinsics", X.extract_extrinsics, None), ("events", X.extract_events, None)]
 
     def one(step):
         name, fn, pos = step
         options = {"parsed": True} if name in PARSED else {}
-        rows = with_order(fn(spark.read.schema(blocks.schema).parquet(nested), **options), batch_id, pos)
-        write_partitioned(rows.drop("_pos"), f"{root}/{name}")
+        source = blocks if dealt else spark.read.schema(blocks.schema).parquet(nested)
+        rows = with_order(fn(source, **options), batch_id, pos)
+        write_partitioned(rows.drop("_pos"), f"{root}/{name}", dealt=dealt)
     with ThreadPoolExecutor(max_workers=len(steps)) as pool:
         list(pool.map(one, steps))
-    _delete(spark, nested)
+    if not dealt:
+        _delete(spark, nested)
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
@@ -191,7 +197,8 @@ def lake_for(spark: SparkSession, sf_dir: str) -> ChainLake:
             return ChainLake(spark, root, sf_dir)
         if not _exists(spark, f"{root}/_DONE"):
             events = spark.read.parquet(f"{sf_dir}/events.parquet")
-            ingest_blocks(fixture.nested_blocks(fixture.block_ranges(events), FIXTURE_CHAINS), root)
+            ranges = fixture.block_ranges(events, task_events=UNIT_BLOCKS * fixture.EVENTS_PER_BLOCK)
+            ingest_blocks(fixture.nested_blocks(ranges, FIXTURE_CHAINS), root, dealt=True)
             spark.createDataFrame([(LAKE_VERSION,)], "v string").coalesce(1) \
                 .write.mode("overwrite").text(f"{root}/_DONE")
         lake = ChainLake(spark, root, sf_dir)

@@ -173,6 +173,8 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite",
 def _writer(df: DataFrame):
     w = (df.write.option("partitionOverwriteMode", "dynamic")
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).option("compression", "zstd"))
+    # filters are as large as a file's values need, else each takes 1 MB whatever the file's size
+    w = w.option("parquet.bloom.filter.adaptive.enabled", "true")
     for c in BLOOM_COLUMNS:
         if c in df.columns:
             w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")

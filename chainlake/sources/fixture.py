@@ -111,12 +111,12 @@ BLOCK_OF_EVENT = f"event_id div {EVENTS_PER_BLOCK}"
 TASK_EVENTS = 100_000  # events that a task derives at once, about
 
 
-def block_ranges(events: DataFrame, count: int | None = None) -> DataFrame:
+def block_ranges(events: DataFrame, count: int | None = None, task_events: int = TASK_EVENTS) -> DataFrame:
     """``events`` dealt out by ranges of blocks, ``count`` of them or one for
-    about ``TASK_EVENTS`` events; what is grouped by block after it is not
+    about ``task_events`` events; what is grouped by block after it is not
     shuffled again."""
     if count is None:
-        count = max(1, -(-events.count() // TASK_EVENTS))
+        count = max(1, -(-events.count() // task_events))
     return events.repartitionByRange(count, F.expr(BLOCK_OF_EVENT))
 
 

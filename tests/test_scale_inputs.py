@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainlake import lake as L
 from chainlake.functions import codec as C
-from chainlake.operators import files
+from chainlake.operators import commits, files
 from chainlake.plans import q_stream
 from chainlake.sources import fixture
 
@@ -72,3 +72,36 @@ def test_ints_from_bytes_covers_every_byte(spark):
     got = [r.x for r in spark.createDataFrame(rows, "b binary").select(C.ints_from_bytes("b").alias("x")).collect()]
     assert got == [None, [], list(range(256)), [0]]
     assert "conv(" not in _plan(spark.createDataFrame(rows, "b binary").select(C.ints_from_bytes("b").alias("x")))
+
+
+def test_tables_of_dealt_blocks_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    seen, write = [], L.write_partitioned
+
+    def watched(df, path, **options):
+        seen.append((df._jdf.queryExecution().executedPlan().toString(), options.get("dealt", False)))
+        return write(df, path, **options)
+    d, other = str(tmp_path / "sf"), str(tmp_path / "other")
+    _events(spark).write.parquet(f"{d}/events.parquet")
+    monkeypatch.setattr(L, "write_partitioned", watched)
+    monkeypatch.setattr(L, "UNIT_BLOCKS", 25)
+    lake = L.lake_for(spark, d)
+    assert len(seen) == 4
+    for plan, dealt in seen:
+        assert dealt and plan.count("Exchange ") == 1 and "sha2" not in plan[plan.index("Exchange rangepartitioning"):]
+    monkeypatch.undo()
+    L.ingest_blocks(fixture.nested_blocks(spark.read.parquet(f"{d}/events.parquet"), L.FIXTURE_CHAINS), other)
+    assert "_nested" not in files.names(spark, lake.root) + files.names(spark, other)
+    for name in ("blocks", "block_logs", "extrinsics", "events"):
+        assert commits.content_digest(lake.table(name)) == commits.content_digest(L.ChainLake(spark, other).table(name))
+
+
+def test_hash_filters_are_as_large_as_a_file_needs(spark, tmp_path):
+    d = str(tmp_path / "sf")
+    _events(spark).write.parquet(f"{d}/events.parquet")
+    lake = L.lake_for(spark, d)
+    folders = [f"{lake.path('blocks')}/chain={c}/block_bucket=0" for c in L.FIXTURE_CHAINS]
+    sizes = [n for f in folders for n in files.data_sizes(spark, f).values()]
+    assert len(sizes) >= 2 and max(sizes) < 300_000     # two filters of 1 MB each before
+    some = lake.table("blocks").where("number = 42 and chain = 'kusama'").first()
+    assert lake.table("blocks").where(F.col("hash") == some["hash"]).count() == 1
+    assert lake.table("blocks").where(F.col("hash") == "0x00").count() == 0

@@ -353,12 +353,20 @@ def block_counts(blocks: DataFrame, extrinsics: DataFrame, events: DataFrame) ->
 
 def running_success(extrinsics: DataFrame, events: DataFrame) -> DataFrame:
     """N-01 over flat tables: any success among extrinsics 0..i of the block.
-    One block is bounded, so the window is partitioned by block."""
-    from .extract import success_by_extrinsic
-    ok = success_by_extrinsic(events)
-    w = Window.partitionBy("chain", "block_number").orderBy("extrinsic_index").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return (extrinsics.join(ok, ["chain", "block_number", "extrinsic_index"], "left")
+    One block is bounded: its events become one row, the extrinsics that
+    succeeded and those that did not, so extrinsics meet it and the window runs
+    in one and the same shuffle, by block."""
+    key = ["chain", "block_number"]
+    good = (F.col("mod_name") == "System") & (F.col("event_name") == "ExtrinsicSuccess")
+    of_block = events.where("extrinsic_index is not null").groupBy(*key).agg(
+        F.collect_set(F.when(good, F.col("extrinsic_index"))).alias("_good"),
+        F.collect_set(F.when(~good, F.col("extrinsic_index"))).alias("_bad"))
+    w = Window.partitionBy(*key).orderBy("extrinsic_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    index = F.col("extrinsic_index")
+    success = F.when(F.array_contains("_good", index), True).when(F.array_contains("_bad", index), False)
+    first = [*key, "extrinsic_index"]
+    return (extrinsics.join(of_block, key, "left")
+            .select(*first, *[c for c in extrinsics.columns if c not in first], success.alias("success"))
             .withColumn("result_running", F.coalesce(F.max("success").over(w), F.lit(False))))
 
 

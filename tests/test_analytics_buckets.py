@@ -156,3 +156,28 @@ def test_sessionize_matches_session_window(spark):
     want = (df.withColumn("ts", F.timestamp_millis("t")).groupBy("k", F.session_window("ts", "1 second").alias("w"))
             .agg(F.min("t").alias("a"), F.count("*").alias("n")))
     assert rows_of(got, ["k", "a", "n"]) == rows_of(want, ["k", "a", "n"])
+
+
+def test_running_success_shuffles_each_side_once(spark):
+    rnd = random.Random(6)
+    names = [("System", "ExtrinsicSuccess"), ("System", "ExtrinsicFailed"), ("Balances", "Transfer"), (None, "ExtrinsicSuccess")]
+    ev = [(c, b, rnd.choice([None, 0, 1, 2, 3, 9]), *rnd.choices(names, [1, 4, 4, 1])[0]) for c in "xy" for b in range(60) for _ in range(rnd.randrange(6))]
+    ex = [(c, b, i, f"{b}-{i}") for c in "xy" for b in range(60) for i in range(4)] + [("x", 0, 1, "twice"), ("x", None, 1, "none")]
+    events = spark.createDataFrame(ev, "chain string, block_number long, extrinsic_index long, mod_name string, event_name string")
+    extrinsics = spark.createDataFrame(ex, "chain string, block_number long, extrinsic_index long, id string")
+    known, good = {}, set()
+    for c, b, i, m, e in ev:
+        if i is not None and not (m is None and e == "ExtrinsicSuccess"):
+            known[c, b, i] = known.get((c, b, i), False) or (m, e) == ("System", "ExtrinsicSuccess")
+    good = {k for k, v in known.items() if v}
+    want = [(c, d, known.get((c, b, i)), any((c, b, j) in good for j in range(i + 1))) for c, b, i, d in ex]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = A.running_success(extrinsics, events)
+        assert got.columns == ["chain", "block_number", "extrinsic_index", "id", "success", "result_running"]
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+        key = lambda r: (r[0], r[1], str(r[2:]))
+        assert sorted(map(tuple, got.select("chain", "id", "success", "result_running").collect()), key=key) == sorted(want, key=key)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -421,15 +421,22 @@ def fork_roots(blocks: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
              .agg(F.min(F.struct("to", "_p")).alias("m"))
              .select("chain", "run", F.col("m.to").alias("to"), F.coalesce(F.col("m._p") + 1, F.lit(0)).cast("bigint").alias("steps"))
              .withColumns({"done": F.col("to").isNull(), "to": F.coalesce("to", "run")}).checkpoint())
-    left, rounds = state.where("not done").count(), 0
+    # Heads that have arrived are kept as they are; a round needs only those that others point at, and a
+    # head nobody points at is never pointed at later: pointers move on to what their targets point at.
+    arrived, active = state.where("done"), state.where("not done")
+    left, rounds = active.count(), 0
     limit = left.bit_length() + 1
+    if left:
+        ends = arrived.join(active.select("chain", F.col("to").alias("run")).distinct(), ["chain", "run"], "left_semi").checkpoint()
     while left and rounds < limit:
-        ahead = state.select("chain", F.col("run").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_s"),
-                             F.col("done").alias("_d"))
-        moved = state.where("not done").join(ahead, ["chain", "to"]).select(
-            "chain", "run", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_d").alias("done"))
-        state = state.where("done").unionByName(moved).checkpoint()
-        left, rounds = state.where("not done").count(), rounds + 1
+        ahead = active.unionByName(ends).select("chain", F.col("run").alias("to"), F.col("to").alias("_to"),
+                                                F.col("steps").alias("_s"), F.col("done").alias("_d"))
+        moved = active.join(ahead, ["chain", "to"]).select(
+            "chain", "run", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_d").alias("done")).checkpoint()
+        here = moved.where("done")
+        arrived, ends, active = arrived.unionByName(here), ends.unionByName(here), moved.where("not done")
+        left, rounds = active.count(), rounds + 1
+    state = arrived.unionByName(active)
     roots = state.select("chain", "run", F.when(F.col("done"), F.col("to")).alias("root_hash"),
                          F.when(F.col("done"), F.col("steps")).alias("steps"))
     number = b.where("pos = 0").groupBy("chain", F.col("run").alias("root_hash")).agg(F.min("number").alias("root"))

@@ -81,10 +81,12 @@ class ChainLake:
         dealt out by block before the hashes are derived."""
         path = self.path("raw_event")
         with _LOCK:
-            if self.sf_dir and not _exists(self.spark, f"{path}/_SUCCESS"):
+            # writes that replace partitions leave no _SUCCESS
+            if self.sf_dir and not _exists(self.spark, f"{path}/_built"):
                 raw = fixture.raw_event_rows(fixture.block_ranges(self.source("events"))).withColumn("chain", F.lit("polkadot")) \
                     .withColumn("block_bucket", X.block_bucket("block_number"))
                 write_partitioned(with_order(raw, 0).drop("_pos"), path, dealt=True)
+                files.write_json(self.spark, f"{path}/_built", {})
 
     def indexed(self, column: str) -> str:
         """The root of the lake, with the index of the blocks' hash column

@@ -138,7 +138,7 @@ MAX_RECORDS_PER_FILE = 2_000_000
 BLOOM_COLUMNS = ("hash", "extrinsic_hash", "parent_hash")
 UNIT_BLOCKS = 10_000  # block numbers of a unit: what one task writes, and an upsert's least range
 MERGE_KEYS = 1_000_000  # keys of a batch that a merge sends to all tasks at once, at most
-MERGE_BYTES = 4_000_000  # stored bytes of a unit from which on a merge leaves rows in their places
+MERGE_BYTES = 1_000_000  # stored bytes of a unit from which on a merge leaves rows in their places
 MERGE_FILES = 8  # stored files of a unit that a merge rewrites one by one; more are put together
 
 
@@ -288,12 +288,14 @@ def staged_rows(spark: SparkSession, staged: dict, part: str = "new") -> DataFra
 
 
 def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], keep_old: list[str],
-              feed: list[str] | None = None) -> dict:
+              feed: list[str] | None = None, by_block: bool = False) -> dict:
     """How the table at ``path`` takes in what was staged: files to move, files
     to drop, keys inserted and updated. Merged units are written below
     ``<stage>/data/merged`` and, where stored rows stay in their places,
-    ``<stage>/data/rest<i>`` (see :func:`_rest_in_place`)."""
+    ``<stage>/data/rest<i>`` (see :func:`_rest_in_place`). ``by_block``: the keys
+    hold the block number inside an id, not as a column."""
     stage, schema, number, gained = staged["stage"], staged["schema"], staged["number"], staged["units"]
+    by_block = by_block or number in keys
     new = staged_rows(spark, staged)
     total = sum(u["n"] for u in gained)
     # stored files that may hold keys of the batch
@@ -305,32 +307,37 @@ def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], kee
                if f["unit"] is None or f["unit"] == u["unit"] and f["lo"] <= u["hi"] and u["lo"] <= f["hi"]]
         if hit:
             meets[u["bucket"], u["unit"]] = hit
-    updated, drops, moves, old = 0, [], [], None
+    updated, drops, moves, found = 0, [], [], None
     tag = uuid.uuid4().hex[:8]
 
     def moves_of(part):
         return _moves(spark, f"{stage}/data/{part}", path, _units(staged_rows(spark, staged, part), number), tag)
+
+    def inside(units):
+        return F.concat_ws("|", *PARTITION_COLS, _unit_of(number)).isin(
+            sorted("|".join(str(v) for v in (*b, u)) for b, u in units))
     if meets:
-        old = _files_of(spark, path, schema, {f["path"] for hit in meets.values() for f in hit})
-        hits = (new.join(old.select(*keys, F.lit(1).alias("_hit")), keys).groupBy(*PARTITION_COLS, _unit_of(number).alias("_unit"))
-                .agg(F.count("_hit").alias("n")).collect())
+        if feed is None:
+            old = _files_of(spark, path, schema, {f["path"] for hit in meets.values() for f in hit})
+            hit_rows = new.join(old.select(*keys), keys).select(*PARTITION_COLS, _unit_of(number).alias("_unit"))
+        else:
+            hit_rows = found = _look_up(spark, path, staged, keys, feed, meets, by_block, inside)
+        hits = hit_rows.groupBy(*PARTITION_COLS, "_unit").agg(F.count(F.lit(1)).alias("n")).collect()
         updated = sum(r["n"] for r in hits)
         conflict = {((r["chain"], r["block_bucket"]), r["_unit"]) for r in hits}
         # a file of several units (written by others) is replaced whole
         drops = sorted({f["path"] for c in conflict for f in meets[c]})
     if drops:
         replaced = _files_of(spark, path, schema, drops)
-
-        def inside(units):
-            return F.concat_ws("|", *PARTITION_COLS, _unit_of(number)).isin(
-                sorted("|".join(str(v) for v in (*b, u)) for b, u in units))
-        rows = new.where(inside(conflict))
+        kept_places, shuffled = _rest_in_place([u for u in gained if (u["bucket"], u["unit"]) in conflict], meets, by_block)
+        # beside stored rows in their places the batch's rows are moved in as staged, unless columns keep old values
+        beside = set() if keep_old else {u for _, units in kept_places for u in units}
+        rows = new.where(inside(conflict - beside))
         if keep_old:
             kept = replaced.select(*keys, F.struct(*keep_old).alias("_old"))
             rows = rows.join(kept, keys, "left").withColumns({
                 c: F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in keep_old}).drop("_old")
         rows = rows.select(*schema.names)
-        kept_places, shuffled = _rest_in_place([u for u in gained if (u["bucket"], u["unit"]) in conflict], meets, number in keys)
         for i, (names, units) in enumerate(kept_places):
             mine = new.where(inside(units)).select(*keys)
             rest = _files_of(spark, path, schema, names).join(F.broadcast(mine), keys, "left_anti").select(*schema.names)
@@ -339,13 +346,14 @@ def plan_swap(spark: SparkSession, path: str, staged: dict, keys: list[str], kee
         if shuffled:
             rest = _files_of(spark, path, schema, shuffled).join(new.select(*keys), keys, "left_anti")
             rows = rows.unionByName(rest.select(*schema.names))
-        _write_units(rows, f"{stage}/data/merged", number)
-        moves += moves_of("merged")
-        gained = [u for u in gained if (u["bucket"], u["unit"]) not in conflict]
+        if conflict - beside:
+            _write_units(rows, f"{stage}/data/merged", number)
+            moves += moves_of("merged")
+        gained = [u for u in gained if (u["bucket"], u["unit"]) not in conflict - beside]
     if feed is not None:
         rows = new.select(*keys, F.struct(*feed).alias("after"))
         kind = rows.schema["after"].dataType
-        rows = (rows.join(old.select(*keys, F.struct(*feed).alias("before")), keys, "left") if old is not None
+        rows = (rows.join(found.select(*keys, "before"), keys, "left") if found is not None
                 else rows.withColumn("before", F.lit(None).cast(kind)))
         rows.write.parquet(f"{stage}/feed")
     return {"moves": _moves(spark, f"{stage}/data/new", path, gained, tag) + moves, "drops": drops,
@@ -360,11 +368,20 @@ def _rest_in_place(units: list[dict], meets: dict, by_block: bool) -> tuple[list
     together with the batch's. These are small units, units of many files or
     keys, files that hold several units, and tables whose keys (not
     ``by_block``) don't hold the block number."""
-    groups, shuffled, left = [], set(), 0
+    def together(hit):
+        return sum(f["size"] for f in hit) < MERGE_BYTES or len(hit) > MERGE_FILES
+    return _key_groups(units, meets, {f["path"] for u in units for hit in (meets[u["bucket"], u["unit"]],)
+                                      if not by_block or together(hit) for f in hit})
+
+
+def _key_groups(units: list[dict], meets: dict, others: set[str]) -> tuple[list[tuple[list[str], list]], list[str]]:
+    """Groups of stored files, with their buckets and units, that a batch brings
+    ``MERGE_KEYS`` keys at most; and the files whose keys are joined instead:
+    ``others``, those of a unit of more keys, and files that hold several units."""
+    groups, shuffled, left = [], set(others), 0
     for u in units:
         hit = meets[u["bucket"], u["unit"]]
-        small = sum(f["size"] for f in hit) < MERGE_BYTES
-        if not by_block or small or len(hit) > MERGE_FILES or u["n"] > MERGE_KEYS or any(f["unit"] is None for f in hit):
+        if u["n"] > MERGE_KEYS or any(f["unit"] is None for f in hit):
             shuffled |= {f["path"] for f in hit}
     for u in units:
         names = [f["path"] for f in meets[u["bucket"], u["unit"]]]
@@ -380,6 +397,26 @@ def _rest_in_place(units: list[dict], meets: dict, by_block: bool) -> tuple[list
     return groups, sorted(shuffled)
 
 
+def _look_up(spark: SparkSession, path: str, staged: dict, keys: list[str], columns: list[str], meets: dict,
+             by_block: bool, inside) -> DataFrame:
+    """The batch's keys that are stored, with their place and, as ``before``, what
+    is stored in ``columns``; written below ``<stage>/found<i>``. Where keys hold
+    the block number, stored rows are not shuffled for it (see :func:`_key_groups`)."""
+    place = [F.col(c) for c in PARTITION_COLS if c not in keys] + [_unit_of(staged["number"]).alias("_unit")]
+    new = staged_rows(spark, staged)
+    met = [u for u in staged["units"] if (u["bucket"], u["unit"]) in meets]
+    every = {f["path"] for hit in meets.values() for f in hit}
+    groups, joined = _key_groups(met, meets, set() if by_block else every)
+    parts = [(names, F.broadcast(new.where(inside(units)).select(*keys, *place))) for names, units in groups]
+    if joined:
+        parts.append((joined, new.select(*keys, *place)))
+    for i, (names, mine) in enumerate(parts):
+        old = _files_of(spark, path, staged["schema"], names).select(*keys, F.struct(*columns).alias("before"))
+        found = mine.join(old, keys)
+        found.write.parquet(f"{staged['stage']}/found{i}")
+    return spark.read.schema(found.schema).parquet(*[f"{staged['stage']}/found{i}" for i in range(len(parts))])
+
+
 def _files_of(spark: SparkSession, path: str, schema, names) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(*sorted(names))
 

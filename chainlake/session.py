@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,22 @@ SQL_CONF = {
     # stays at its default.
 }
 
+# When on, the shuffle files of a query go as it ends, not when the driver's
+# next collection of garbage finds them unused.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind; the session's setting is
+    as before afterwards."""
+    had = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, had)
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "chainlake") -> SparkSession:

@@ -130,9 +130,8 @@ def split_valid(envelopes: DataFrame, known_chains: Iterable[str] | None = None)
 
 
 # IO-04 --------------------------------------------------------------------
-def from_wire_block(b: F.Column) -> dict[str, F.Column]:
-    h = b["header"]
-    header = F.struct(
+def from_wire_header(h: F.Column) -> F.Column:
+    return F.struct(
         wrap_i64(h["block_number"]).alias("block_number"),
         wrap_i64(h["block_timestamp"]).alias("block_timestamp"),
         bytes_from_ints(h["block_hash"]).alias("block_hash"),
@@ -142,6 +141,10 @@ def from_wire_block(b: F.Column) -> dict[str, F.Column]:
         h["is_finished"].alias("is_finished"),
         bytes_from_ints(h["validator"]).alias("validator"),
         h["spec_version"].alias("spec_version"))
+
+
+def from_wire_block(b: F.Column) -> dict[str, F.Column]:
+    header = from_wire_header(b["header"])
     exts = F.transform(b["body"]["extrinsics"], lambda x: x
                        .withField("block_number", wrap_i64(x["block_number"]))
                        .withField("block_timestamp", wrap_i64(x["block_timestamp"]))

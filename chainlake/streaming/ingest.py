@@ -28,6 +28,7 @@ from ..operators import commits, files, hash_index
 from ..operators import extract as X
 from ..operators import sink as S
 from ..sources import envelope as V
+from ..session import SHUFFLE_CLEANUP
 from ..tables import PARSED
 
 TABLE_STEPS = (
@@ -44,7 +45,8 @@ def write_batch(batch: DataFrame, batch_id: int, root: str,
                 feeds: dict[str, list[str]] | None = None, indexes: tuple[str, ...] = ()) -> dict:
     """IO-15: one micro-batch of the stream ``stream`` into the stored tables
     (plus dead letters). The lines are parsed once, tagged and kept for the
-    batch; the tables are staged side by side, and one plan and one commit
+    batch, or, for a single table, parsed by each pass, as what is kept of a
+    large batch fills the disk; the tables are staged side by side, and one plan and one commit
     cover them all: a batch that is run again (same name, same files) changes
     nothing or finishes what it had begun, wherever it broke off. ``feeds``:
     columns per table whose values before and after are kept (see
@@ -63,33 +65,29 @@ def commit_batch(batch: DataFrame, batch_id: int, root: str, tables: tuple[str,
     finish_batches(spark, root)
     name = f"{stream}-{batch_id}"
     batch = batch.withColumn("_line", F.struct("_line.*", F.monotonically_increasing_id().alias("line")))
-    tagged = batch.withColumn("reason", V.reject_reason(known_chains)).persist(StorageLevel.MEMORY_AND_DISK)
+    steps = [(t, fn) for t, fn, _ in TABLE_STEPS if t in tables]
+    tagged = batch.withColumn("reason", V.reject_reason(known_chains))
+    if len(steps) > 1:
+        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     stage = f"{root}__staging/{uuid.uuid4().hex}"
     S._ACTIVE.add(stage)
     try:
-        # what the batch delivers: the lines of each piece of each file
-        pieces = tagged.groupBy("_line.file", "_line.time", "_line.split").agg(
-            F.count(F.lit(1)).alias("n"), F.count("reason").alias("refused"))
-        what = pieces.agg(*commits.digest_columns(["file", "time", "split", "n"]), F.sum("refused").alias("refused")).first()
+        # what the batch delivers: the lines of each piece of each file, and their blocks
+        what = _contents(tagged).agg(
+            *commits.digest_columns(["file", "time", "split", "n"]), F.sum("refused").alias("refused"),
+            F.sum("good").alias("n"), F.sum("bad").alias("bad"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
         digest = commits.digest_of(what)
         log = commits.CommitLog(spark, f"{root}/_commits")
         stored = log.find(name, digest) if log.maybe_known(name) else None
         if stored is not None:
             return stored, digest
         good, bad = V.quarantine(V.blocks_of(tagged.where("reason is null")))
-        steps = [(t, fn) for t, fn, _ in TABLE_STEPS if t in tables]
 
         def one(step):
             table, fn = step
             rows = fn(good, **({"parsed": True} if table in PARSED else {}))
             return table, S._stage(S.with_order(rows, batch_id), S.TABLE_KEYS[table], [], f"{stage}/{table}")
 
-        def block_range():
-            blocks = V.blocks_of(tagged.where("reason is null")).withColumn("fault", V.block_problem())
-            return blocks.agg(F.count_if(F.col("fault").isNull()).alias("n"), F.count("fault").alias("bad"),
-                              F.min(F.when(F.col("fault").isNull(), F.col("block_number"))).alias("lo"),
-                              F.max(F.when(F.col("fault").isNull(), F.col("block_number"))).alias("hi")).first()
-
         def dead_letters(refused: int, faulty: int):
             for folder in ("_rejected_envelopes", "_bad_blocks"):  # readable also while empty
                 fs, p = files.fs_of(spark, f"{root}/{folder}")
@@ -102,16 +100,15 @@ def commit_batch(batch: DataFrame, batch_id: int, root: str, tables: tuple[str,
                 _dead_letters(bad.select("chain", "problem", F.to_json("header").alias("payload")),
                               f"{root}/_bad_blocks", stream, batch_id, digest)
         # independent tables and the dead letters are written by concurrent jobs
-        with ThreadPoolExecutor(max_workers=len(steps) + 2) as pool:
-            seen = pool.submit(block_range)
+        with ThreadPoolExecutor(max_workers=len(steps) + 1) as pool:
             staged = pool.map(one, steps)
-            letters = pool.submit(lambda: dead_letters(what["refused"] or 0, seen.result()["bad"]))
+            letters = pool.submit(dead_letters, what["refused"] or 0, what["bad"] or 0)
             staged = dict(staged)
             letters.result()
-        stats = {"n_blocks": seen.result()["n"], "min_block": seen.result()["lo"], "max_block": seen.result()["hi"]}
+        stats = {"n_blocks": what["n"] or 0, "min_block": what["lo"], "max_block": what["hi"]}
         with S._LOCKS[root], ThreadPoolExecutor(max_workers=max(1, len(steps))) as pool:
             plans = dict(pool.map(lambda t: (t, S.plan_swap(spark, f"{root}/{t}", staged[t], S.TABLE_KEYS[t], [],
-                                                            (feeds or {}).get(t))), staged))
+                                                            (feeds or {}).get(t), by_block=True)), staged))
             for table, plan in plans.items():       # IO-18: inserted vs updated keys
                 stats.update({f"{table}_{k}": v for k, v in plan["counts"].items()})
             for column in indexes:
@@ -127,6 +124,22 @@ def commit_batch(batch: DataFrame, batch_id: int, root: str, tables: tuple[str,
         tagged.unpersist()
 
 
+def _contents(tagged: DataFrame) -> DataFrame:
+    """One row per piece of a file: its lines, how many are refused, and the
+    good and bad blocks of the others with the good ones' range. Only headers
+    are looked at."""
+    heads = tagged.select("_line", "reason", F.posexplode_outer(F.when(
+        F.col("reason").isNull(), F.col("polkadot_blocks.header"))).alias("pos", "wire"))
+    first = F.coalesce("pos", F.lit(0)) == 0   # a line without blocks has one row too
+    header = F.when(F.col("pos").isNotNull(), V.from_wire_header(F.col("wire")))
+    return (heads.withColumn("header", header).withColumn("fault", F.when(F.col("pos").isNotNull(), V.block_problem()))
+            .withColumn("good", F.col("pos").isNotNull() & F.col("fault").isNull())
+            .groupBy("_line.file", "_line.time", "_line.split").agg(
+                F.count_if(first).alias("n"), F.count("reason").alias("refused"), F.count_if("good").alias("good"),
+                F.count("fault").alias("bad"), F.min(F.when(F.col("good"), F.col("header.block_number"))).alias("lo"),
+                F.max(F.when(F.col("good"), F.col("header.block_number"))).alias("hi")))
+
+
 def finish_batches(spark: SparkSession, root: str) -> None:
     """Finish the batches whose plan was stored but not carried out."""
     S.finish_pending(spark, root, _carry_out)
@@ -340,10 +353,13 @@ def start_live_counts(spark: SparkSession, src: str, root: str, out: str, checkp
     """T-08: store the events (``<root>/events``) and keep, in the table
     ``out``, their number per group equal to a count over the stored table,
     re-deliveries and changed rows included: each batch's change feed gives
-    what rows were before and are now, and the difference is added once."""
+    what rows were before and are now, and the difference is added once. A
+    batch's shuffle files go as soon as the step that wrote them ends."""
     keep = [c for c in by if c != "chain"]
 
     def body(df: DataFrame, bid: int) -> None:
+        spark = df.sparkSession  # the stream's own
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
         _, digest = commit_batch(df, bid, root, ("events",), stream, known_chains, {"events": keep}, ())
         commit = (f"{stream}-{bid}", digest)
         table = f"{root}/events"
